@@ -1,15 +1,22 @@
 """Registration of the training-data operators."""
 
-from auditspark.llm import exact, packing, sharding, simhash, tokens
+from auditspark.llm import decontaminate, exact, langid, packing, pages, secrets, sharding, simhash, tokens, toxicity
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op2_token_counts": tokens.op2_token_counts,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_exact_dedup": exact.op4_exact_dedup,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_simhash": simhash.op6_simhash,
+    "op7_html_extraction": pages.op7_html_extraction,
     "op8_sharding": sharding.op8_sharding,
+    "op9_secret_scan": secrets.op9_secret_scan,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLES = {
     "op4_exact_dedup": exact.OP4_SQL,
+    "op5_decontamination": decontaminate.OP5_SQL,
+    "op9_secret_scan": secrets.OP9_SQL,
 }
