@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from auditspark.plans import adjudicate_queries, evaluate_queries, findings_queries, graph_queries, history_queries, ledger_queries, scan_queries, web_queries  # noqa: F401
+from auditspark.plans.base import ORACLES, QUERIES  # noqa: F401
