@@ -123,8 +123,8 @@ def start_line(hint: Column) -> Column:
 
 def normalise_severity(text: Column) -> Column:
     """First severity word of a text, upper case; None if there is none."""
-    word = F.lower(F.regexp_extract(F.coalesce(text, F.lit("")), "(?i)(critical|high|medium|moderate|low|informational|info|note)", 1))
-    return F.when(word == "", None).when(word == "moderate", F.lit("MEDIUM")).when(word.isin("informational", "info", "note"), F.lit("INFO")).otherwise(F.upper(word))
+    word = F.lower(F.regexp_extract(F.coalesce(text, F.lit("")), "(?i)(?:^|[^A-Za-z])(critical|high|medium|moderate|low|informational|info)(?:[^A-Za-z]|$)", 1))
+    return F.when(word == "", None).when(word == "moderate", F.lit("MEDIUM")).when(word.isin("informational", "info"), F.lit("INFO")).otherwise(F.upper(word))
 
 
 def normalise_id(text: Column) -> Column:
