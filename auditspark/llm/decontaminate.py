@@ -41,26 +41,36 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _number(core: Column) -> Column:
+    return (core >= "0") & (core < ":")  # begins with a digit
+
+
+def _canon(words: Column, cores: Column, core: Column, i: Column) -> Column:
+    """Canonical token of the word at ``i``; rare kinds are told by cheap comparisons first."""
+    capital = ((core >= "A") & (core < "[")) | ((core >= "À") & (core < "ß"))
+    opens = (i == 0) | F.right(F.get(words, i - 1), F.lit(1)).isin(".", "!", "?", ":")
+    unit = F.lower(core).isin(UNITS) & (i > 0)
+    return F.when(_number(core), F.lit(NUM)).when(capital & ~opens, F.lit(NAME)).when((i > 0) & _number(F.get(cores, i - 1)) & unit, F.lit(UNIT)).otherwise(F.lower(core))
+
+
+def _over_words(text: Column, body) -> Column:
+    """``body(words, cores)``, both computed once."""
+    words = F.split(F.coalesce(text, F.lit("")), _SPACE)
+    return _let(words, lambda ws: _let(F.transform(ws, lambda w: F.btrim(w, F.lit(MARKS))), lambda cs: body(ws, cs)))
+
+
 def tokens(text: Column) -> Column:
     """Array of (canon, core): the canonical token and the word it came from."""
-    words = F.split(F.coalesce(text, F.lit("")), _SPACE)
-    marked = F.transform(words, lambda w: F.struct(F.btrim(w, F.lit(MARKS)).alias("core"), F.substring(F.ltrim(w, F.lit(MARKS)), 1, 1).alias("first"), F.right(w, F.lit(1)).alias("last")))
 
-    def is_number(x):
-        return (x["first"] >= "0") & (x["first"] <= "9")
+    def body(ws, cs):
+        return F.filter(F.transform(cs, lambda c, i: F.struct(_canon(ws, cs, c, i).alias("canon"), c.alias("core"))), lambda x: x["core"] != "")
 
-    def canonical(ws):
-        def token(x, i):
-            before, first = F.get(ws, i - 1), x["first"]
-            upper = ((first >= "A") & (first <= "Z")) | ((first >= "À") & (first <= "Þ"))
-            opens = (i == 0) | before["last"].isin(".", "!", "?", ":")
-            unit = (i > 0) & is_number(before) & F.lower(x["core"]).isin(UNITS)
-            kind = F.when(is_number(x), F.lit(NUM)).when(upper & ~opens, F.lit(NAME)).when(unit, F.lit(UNIT)).otherwise(F.lower(x["core"]))
-            return F.struct(kind.alias("canon"), x["core"].alias("core"))
+    return _over_words(text, body)
 
-        return F.filter(F.transform(ws, token), lambda x: x["core"] != "")
 
-    return _let(marked, canonical)
+def token_hashes(text: Column) -> Column:
+    """Hashes of the canonical tokens, in the order of ``tokens``."""
+    return F.array_remove(_over_words(text, lambda ws, cs: F.transform(cs, lambda c, i: F.xxhash64(_canon(ws, cs, c, i)))), F.xxhash64(F.lit("")))
 
 
 def _slots(canon: Column) -> Column:
@@ -76,16 +86,35 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     cut = places.withColumn("part", F.slice("tok", F.col("at"), F.col("width"))).select("item_id", "width", "at", F.col("part.canon").alias("canon"), F.col("part.core").alias("cores"))
     cut = cut.where(2 * F.size(F.filter("canon", lambda x: ~_slots(x))) >= F.col("width"))
     total = cut.groupBy("item_id").agg(F.count("*").alias("total"))
-    return cut.join(total, "item_id").withColumn("key", F.xxhash64("canon"))
+    return cut.join(total, "item_id").withColumn("key", F.xxhash64(F.transform("canon", lambda x: F.xxhash64(x))))
+
+
+def _window_keys(hashes: str, width: int) -> Column:
+    """Key of every window, by element access (a slice would copy the array each time)."""
+    last = F.size(hashes) - width
+    keys = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(F.col(hashes), i + k) for k in range(width)]))
+    return F.when(last >= 0, keys)
+
+
+def candidates(docs: DataFrame, windows: DataFrame, widths: dict[int, int]) -> DataFrame:
+    """doc_id of the documents with a window whose key is an item's.  Only hashes
+    of tokens are made here; the words of candidates are looked at afterwards."""
+    hashed = docs.select("doc_id", token_hashes(F.col("text")).alias("h"))
+    parts = []
+    for width, n in widths.items():
+        keys = windows.where(F.col("width") == width).select("key").distinct()
+        parts.append(hashed.select("doc_id", F.explode(_window_keys("h", width)).alias("key")).join(small(keys, 16, n), "key", "left_semi").select("doc_id"))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found.distinct()
 
 
 def matched_windows(docs: DataFrame, windows: DataFrame, width: int, n: int) -> DataFrame:
     """Windows of documents that equal a window of an item, token by token."""
     tok = docs.select("doc_id", tokens(F.col("text")).alias("tok"))
-    canon = tok.select("doc_id", "tok", F.col("tok.canon").alias("dcanon"))
-    last = F.size("dcanon") - (width - 1)
-    keys = F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("dcanon", i, F.lit(width)))))
-    placed = canon.select("doc_id", "tok", F.posexplode(keys).alias("place", "key"))
+    hashed = tok.select("doc_id", "tok", F.transform("tok", lambda x: F.xxhash64(x["canon"])).alias("h"))
+    placed = hashed.select("doc_id", "tok", F.posexplode(_window_keys("h", width)).alias("place", "key"))
     own = windows.where(F.col("width") == width).select("item_id", "at", "key", "canon", "cores", "total")
     hits = placed.join(small(own, 400, n), "key").withColumn("part", F.slice("tok", F.col("place") + 1, F.lit(width)))
     # Compared word by word after the key has matched (an equality would become part of the join's key).
@@ -105,9 +134,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """
     windows = written(item_windows(benchmark), "item-windows")
     widths = {r["width"]: r["n"] for r in windows.groupBy("width").agg(F.count("*").alias("n")).collect()}  # at most WINDOW rows
-    parts = [matched_windows(docs, windows, w, n) for w, n in sorted(widths.items())]
-    if not parts:
-        parts = [matched_windows(docs, windows, WINDOW, 0)]
+    widths = dict(sorted(widths.items())) or {WINDOW: 0}
+    some = written(candidates(docs, windows, widths).select(F.col("doc_id").alias("_doc")), "leak-candidates")
+    near = docs.select("doc_id", "text").join(small(some, 16), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+    parts = [matched_windows(near, windows, w, n) for w, n in widths.items()]
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
