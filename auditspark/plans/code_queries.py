@@ -55,3 +55,24 @@ def extract_functions(t):
     body = F.translate(F.coalesce("text", F.lit("")), "{}/*", "")
     file = F.concat(F.lit("// file\nfunction f"), F.col("doc_id").cast("string"), F.lit("() public {\n"), body, F.lit("\n}\n"))
     return code.extract_functions(t.documents.select("doc_id", file.alias("text"), F.lit("solidity").alias("lang"))).select("doc_id", "name", "kind", "first_line", "last_line")
+
+
+@query(
+    "scan_code",
+    """SELECT doc_id, rule_id, severity FROM (SELECT doc_id, 'sol-unguarded-role' AS rule_id, 'HIGH' AS severity FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'sol-floating-pragma', 'LOW' FROM documents WHERE doc_id % 3 = 0
+    UNION ALL SELECT doc_id, 'sol-timestamp', 'MEDIUM' FROM documents WHERE regexp_matches(coalesce(text, ''), '[0-9]'))""",
+)
+def scan_code(t):
+    """The code catalog over contracts that hold each document in a string: a
+    guard for odd ids, a loose pragma for every third, a time test where the
+    text has a digit."""
+    from auditspark.operators.code_rules import scan_code as scan
+
+    i = F.col("doc_id").cast("string")
+    pragma = F.when(F.col("doc_id") % 3 == 0, "pragma solidity ^0.8.0;").otherwise("pragma solidity 0.8.19;")
+    guard = F.when(F.col("doc_id") % 2 == 0, "").otherwise("onlyOwner ")
+    test = F.when(F.coalesce("text", F.lit("")).rlike("[0-9]"), "if (block.timestamp == x) y();").otherwise("")
+    words = F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z \\n]", ""), "\\n", " ")
+    file = F.concat(pragma, F.lit("\\ncontract C { address owner; string text = '"), words, F.lit("';\\nfunction setFee"), i, F.lit("(uint f) public "), guard, F.lit("{ fee = f; }\\nfunction g() internal { "), test, F.lit(" } }"))
+    hits = scan(t.documents.select("doc_id", file.alias("text"), F.lit("solidity").alias("lang")))
+    return hits.select("doc_id", "rule_id", "severity")
