@@ -72,7 +72,7 @@ def scan_code(t):
     pragma = F.when(F.col("doc_id") % 3 == 0, "pragma solidity ^0.8.0;").otherwise("pragma solidity 0.8.19;")
     guard = F.when(F.col("doc_id") % 2 == 0, "").otherwise("onlyOwner ")
     test = F.when(F.coalesce("text", F.lit("")).rlike("[0-9]"), "if (block.timestamp == x) y();").otherwise("")
-    words = F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z \\n]", ""), "\\n", " ")
-    file = F.concat(pragma, F.lit("\\ncontract C { address owner; string text = '"), words, F.lit("';\\nfunction setFee"), i, F.lit("(uint f) public "), guard, F.lit("{ fee = f; }\\nfunction g() internal { "), test, F.lit(" } }"))
+    words = F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z \n]", ""), "\n", " ")
+    file = F.concat(pragma, F.lit("\ncontract C { address owner; string text = '"), words, F.lit("';\nfunction setFee"), i, F.lit("(uint f) public "), guard, F.lit("{ fee = f; }\nfunction g() internal { "), test, F.lit(" } }"))
     hits = scan(t.documents.select("doc_id", file.alias("text"), F.lit("solidity").alias("lang")))
     return hits.select("doc_id", "rule_id", "severity")
