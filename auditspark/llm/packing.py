@@ -84,8 +84,8 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = token
     def cut(batches):
         enc = tokens.encoder(path, ranks)
         for batch in batches:
-            names, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for first, ids, offsets in enc.slices(texts):
+            names = batch.column("doc_id")
+            for first, _, ids, offsets in enc.slices(batch.column("text")):
                 row, piece, start, length, crc, data = [], [], [], [], [], []
                 raw, bounds = memoryview(ids.astype("<u4").tobytes()), offsets.tolist()
                 for i in range(len(bounds) - 1):

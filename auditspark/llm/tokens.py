@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ _RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     
 #: cut before each space would not fall between two pre-tokens.
 _UNSAFE = re.compile(r"\s (?=\s|\Z)")
 _LONG = 512
-_SLICE = 8 << 20
+_SLICE = 2 << 20
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -56,11 +58,12 @@ class ChunkEncoder:
     gives the same ids several times faster, else by the library.
     """
 
-    def __init__(self, path: str, ranks_path: str | None = None, remember: int = 500_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+    def __init__(self, path: str, ranks_path: str | None = None, remember: int = 150_000):
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            head = f.read()
+        at = head.find("[", head.find('"added_tokens"'))
+        self.special = [x["content"] for x in json.JSONDecoder().raw_decode(head, at)[0]]
         self.remember = remember
         self.known: dict[str, int] = {}  # by word: the chunk of a space and the word
         self.opening: dict[str, int] = {}  # first words, with no space before them
@@ -79,6 +82,18 @@ class ChunkEncoder:
             for token, i in ranks.items():
                 self.width[i] = len(token)
 
+    @cached_property
+    def tokenizer(self):
+        """The library's own tokenizer, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def opening_ids(self, word: str) -> np.ndarray:
+        if self.ranks and len(word) <= _LONG:
+            return np.array(self.ranks.encode_ordinary(word), dtype=np.uint32)
+        return self.whole(word)
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
@@ -140,7 +155,7 @@ class ChunkEncoder:
             elif t:  # its first word has no space before it
                 word = t.partition(" ")[0]
                 if word not in self.opening:
-                    ids = self.whole(word)
+                    ids = self.opening_ids(word)
                     self._store(self.opening, [word], ids, np.array([len(ids)]))
                 k = self.opening[word]
                 alone[i] = self.ids[self.starts[k] : self.starts[k + 1]]
@@ -158,14 +173,16 @@ class ChunkEncoder:
         index = np.arange(total[-1]) + np.repeat(begin - total[:-1], size)
         return pool[index], total[bounds]
 
-    def slices(self, texts: list[str | None]):
-        """(first row, ids, offsets) for slices of a batch that hold a few MB each."""
-        at = weight = 0
-        for i, t in enumerate(texts):
-            weight += len(t) if t else 0
-            if weight >= _SLICE or i + 1 == len(texts):
-                yield (at, *self.encode(texts[at : i + 1]))
-                at, weight = i + 1, 0
+    def slices(self, texts: pa.Array):
+        """(first row, texts, ids, offsets) for slices of a column that hold a few MB each."""
+        weight = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            done = weight[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(weight, done + _SLICE, side="right")))
+            part = texts.slice(at, end - at).to_pylist()
+            yield (at, part, *self.encode(part))
+            at = end
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
@@ -219,11 +236,10 @@ def count_tokens(docs: DataFrame, cache: DataFrame | None = None, vocabulary: st
     def encode(batches):
         enc = encoder(path, ranks)
         for b in batches:
-            rows = b.column("text").to_pylist()
             n, d = [], []
-            for at, _, offsets in enc.slices(rows):
+            for _, part, _, offsets in enc.slices(b.column("text")):
                 n.append(np.diff(offsets))
-                d += [hashlib.sha256(t.encode()).digest() for t in rows[at : at + len(offsets) - 1]]
+                d += [hashlib.sha256(t.encode()).digest() for t in part]
             counts = np.concatenate(n) if n else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(d)), pa.array(d, pa.binary()), pa.array(counts, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
