@@ -13,7 +13,7 @@ def _folder(spark: SparkSession) -> str:
     import tempfile
 
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
         at = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(at)
