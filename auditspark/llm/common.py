@@ -48,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the session names none (local tests) an own folder is made.
     """
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
         at = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(at)
@@ -69,6 +69,14 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
 
 
+def few_rows(batches, rows: int = 256):
+    """Arrow batches cut into small ones, so that what is made of their texts in
+    Python stays small next to the batch itself."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def ascii_lower(col):
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)
@@ -79,10 +87,10 @@ def fold(doc_id, mod: int):
     return F.crc32(F.col(doc_id).cast("string")) % mod
 
 
-def sampled(df: DataFrame, key: str, bound: int) -> DataFrame:
-    """About ``bound`` rows of ``df`` chosen by a hash of ``key``; all rows when
-    there are no more than that.  Used only to fit models."""
-    n = df.count()
+def sampled(df: DataFrame, key: str, bound: int, n: int | None = None) -> DataFrame:
+    """About ``bound`` rows of ``df`` (of ``n``) chosen by a hash of ``key``; all
+    rows when there are no more than that.  Used only to fit models."""
+    n = df.count() if n is None else n
     if n <= bound:
         return df
     cut = int(bound / n * (1 << 30))

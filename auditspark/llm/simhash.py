@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import small, table, written
+from auditspark.llm.common import few_rows, small, table, written
 from auditspark.llm.components import connected_components
 
 DISTANCE = 3
@@ -31,7 +31,7 @@ SHINGLE = 3
 #: A cell with more points is cut into parts of about this size; each pair of
 #: parts is then a cell of its own.
 CELL = 1024
-_SLICE = 1 << 20
+_SLICE = 1 << 17
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
     def apply(batches):
-        for b in batches:
+        for b in few_rows(batches):
             fps = np.array([one(t) for t in b.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 

@@ -10,8 +10,9 @@ times the weight of the path's pattern.  A document's evidence is the sum over
 its matched clauses; words outside a clause's pattern emit nothing.
 
 The lexicon weights and the pattern weights are learned from labelled rows of
-the training fold.  What is counted is distinct clauses, so that copies of one
-text count once.
+the training fold.  What is counted for a word is families of texts that hold
+it (texts with one least hash of their word triples), so that the copies and
+near copies of one text count about once.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from auditspark.llm.common import fold, sampled, table, written
+from auditspark.llm.common import few_rows, fold, sampled, table, written
 
 #: Labelled rows that the model is fitted on, at most (about).
 FIT_ROWS = 20_000
@@ -34,6 +35,8 @@ FIT_ROWS = 20_000
 LEXICON = 4_000
 #: Log-likelihood ratio from which a word counts as an insult or threat.
 EVIDENCE = 24.0
+#: Log odds that it needs besides.
+WEIGHT = 3.0
 _REACH = 4
 
 # Closed-class words of English, German, French and Spanish.
@@ -127,21 +130,26 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> DataF
     return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(train), "doc_id").select("text", "toxic")
 
 
-def _clause_words(batches):
-    for b in batches:
-        word, label, clause = [], [], []
+def _family(words: list[str]) -> int:
+    return min((xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0) >> 1
+
+
+def _family_words(batches):
+    for b in few_rows(batches):
+        word, label, family = [], [], []
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-            for words in clauses(text):
-                key = _digest(" ".join(words))
-                for w in set(words):
-                    word.append(w)
-                    label.append(toxic)
-                    clause.append(key)
-        yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(label, pa.int32()), pa.array(clause, pa.int64())], ["word", "toxic", "clause"])
+            words = [w for c in clauses(text) for w in c]
+            one = sorted(set(words))
+            word += one
+            label += [toxic] * len(one)
+            family += [_family(words)] * len(one)
+        yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(label, pa.int32()), pa.array(family, pa.int64())], ["word", "toxic", "family"])
 
 
-def _digest(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) >> 1
+def _families(batches):
+    for b in few_rows(batches):
+        found = [_family([w for c in clauses(t) for w in c]) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int32()), pa.array(found, pa.int64())], ["toxic", "family"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Grammar:
@@ -150,10 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Grammar:
     Without any usable label the grammar keeps its seeds and default weights.
     """
     train = written(labelled(docs, labels, bound), "toxic-train")
-    seen = train.mapInArrow(_clause_words, "word string, toxic int, clause long").distinct()
+    seen = train.mapInArrow(_family_words, "word string, toxic int, family long").distinct()
     counts = seen.groupBy("word").agg(F.sum(F.col("toxic")).alias("k"), F.sum(1 - F.col("toxic")).alias("m"))
     counts = written(counts, "toxic-words")
-    total = train.mapInArrow(_clauses_only, "toxic int, clause long").distinct().groupBy("toxic").count().collect()
+    total = train.mapInArrow(_families, "toxic int, family long").distinct().groupBy("toxic").count().collect()
     n = {r["toxic"]: r["count"] for r in total}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     insult, threat = dict.fromkeys(INSULTS, _SEED_WEIGHT), dict.fromkeys(THREATS, _SEED_WEIGHT / 2)
@@ -162,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Grammar:
         k, m = F.col("k").cast("double"), F.col("m").cast("double")
         ratio = 2 * (F.when(k > 0, k * F.log(k / ((k + m) * p))).otherwise(0) + F.when(m > 0, m * F.log(m / ((k + m) * (1 - p)))).otherwise(0))
         weight = F.log((k + 0.5) / (n1 + 1) / ((m + 0.5) / (n0 + 1)))
-        strong = counts.withColumn("g", ratio).withColumn("weight", weight).where((F.col("g") >= EVIDENCE) & (F.col("weight") >= 1.5))
+        strong = counts.withColumn("g", ratio).withColumn("weight", weight).where((F.col("g") >= EVIDENCE) & (F.col("weight") >= WEIGHT))
         for r in strong.orderBy(F.desc("g"), "word").limit(LEXICON).collect():  # bounded by LEXICON
             (threat if r["word"] in THREATS else insult)[r["word"]] = r["weight"]
         # A seed that clean texts use as often as toxic ones says nothing.
@@ -176,22 +184,12 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Grammar:
     return _calibrated(grammar, train)
 
 
-def _clauses_only(batches):
-    for b in batches:
-        label, digest = [], []
-        for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-            for words in clauses(text):
-                label.append(toxic)
-                digest.append(_digest(" ".join(words)))
-        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(digest, pa.int64())], ["toxic", "clause"])
-
-
 def _calibrated(grammar: Grammar, train: DataFrame) -> Grammar:
     """Pattern weights from the paths' rates in toxic and clean texts, then a
     logistic curve from evidence to probability; both from counted bins."""
 
     def path_counts(batches):
-        for b in batches:
+        for b in few_rows(batches):
             name, label = [], []
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 for words in clauses(text):
@@ -210,7 +208,7 @@ def _calibrated(grammar: Grammar, train: DataFrame) -> Grammar:
     grammar = Grammar(grammar.insult, grammar.threat, pattern)
 
     def bins(batches):
-        for b in batches:
+        for b in few_rows(batches):
             found = [min(60.0, round(grammar.evidence(t), 1)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), b.column("toxic")], ["e", "toxic"])
 
@@ -233,23 +231,28 @@ def score(docs: DataFrame, grammar: Grammar, columns: list[str] | None = None) -
     """``docs`` (or the named columns) with ``score`` and ``predicted``.
 
     Null and empty texts have no evidence and get the grammar's base score.
+    Columns of these two names are replaced.
     """
-    kept = docs.select(*(columns or docs.columns))
-    evidence = F.pandas_udf(_series(grammar), "double")
-    return kept.withColumn("score", evidence(F.col("text"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-
+    kept = docs.select(*[c for c in columns or docs.columns if c.lower() not in ("score", "predicted")])
 
-def _series(grammar: Grammar):
-    def apply(texts: pd.Series) -> pd.Series:
-        return pd.Series([grammar.score(grammar.evidence(t)) for t in texts], dtype=float)
+    def apply(batches):
+        for b in few_rows(batches):
+            found = pa.array([grammar.score(grammar.evidence(t)) for t in b.column("text").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, "score"])
 
-    return apply
+    out = kept.mapInArrow(apply, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> DataFrame:
     """``docs`` without the rows that the fitted grammar scores 0.5 or more."""
-    evidence = F.pandas_udf(_series(fit(docs, labels, bound)), "double")
-    return docs.where(evidence(F.col("text")) < 0.5)
+    grammar = fit(docs, labels, bound)
+
+    def apply(batches):
+        for b in few_rows(batches):
+            yield b.filter(pa.array([grammar.score(grammar.evidence(t)) < 0.5 for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(apply, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
