@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import fold, sampled, table, written
+from auditspark.llm.common import few_rows, fold, table, written
 
 UNKNOWN = "und"
 #: Rows with a language that the classifiers are fitted on, at most (about).
@@ -106,19 +106,17 @@ def fit(docs: DataFrame, bound: int = FIT_ROWS) -> Model:
     sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     each = max(1, bound // max(1, len(languages)))
-    parts = [sampled(train.where(F.col("lang") == x), "doc_id", each) if sizes[x] > each else train.where(F.col("lang") == x) for x in languages] if len(languages) <= 8 else [sampled(train, "doc_id", bound)]
     if not languages:
         return Model([], codewords(0), np.zeros((0, 1)), np.zeros(1), np.ones(1))
-    sample = parts[0].select("text", "lang")
-    for p in parts[1:]:
-        sample = sample.unionByName(p.select("text", "lang"))
-    sample = written(sample, "lang-train")
+    share = F.coalesce(F.create_map(*[F.lit(y) for x in languages for y in (x, min(1.0, each / sizes[x]))])[F.col("lang")], F.lit(0.0))
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) < share * (1 << 30)
+    sample = written(train.where(drawn).select("text", "lang"), "lang-train")
     index = {x: i for i, x in enumerate(languages)}
     width = SLOTS * len(ORDERS)
 
     def count(batches):
         total, n = np.zeros((len(languages), width)), np.zeros(len(languages))
-        for b in batches:
+        for b in few_rows(batches):
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 if not _LETTER.search(text):
                     continue
@@ -150,7 +148,7 @@ def fit(docs: DataFrame, bound: int = FIT_ROWS) -> Model:
 
     def check(batches):
         right, seen = np.zeros(code.shape[1]), 0
-        for b in batches:
+        for b in few_rows(batches):
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 if _LETTER.search(text):
                     right += np.sign(model.margins(text)) == code[index[lang]]
@@ -172,7 +170,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def apply(batches):
-        for b in batches:
+        for b in few_rows(batches):
             found = [model.decide(t) for t in b.column("text").to_pylist()]
             lang, score, unsure = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], ["doc_id", "lang_pred", "score", "ambiguous"])
