@@ -7,7 +7,9 @@ benchmark items meet in a hash join.  The windows of a document that lie at one
 offset from an item are an alignment; its slots must be filled consistently
 (one value of the item always stands for one value of the document), else the
 alignment is dropped.  So a question with other numbers or names is found, and
-prose that only shares a pattern is not.  All of it is DataFrame functions.
+prose that only shares a pattern is not.  Every window of an item is also joined
+on its lower-cased words, so items of one window, and those made of numbers and
+names, are found where they are repeated.  All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ UNITS = (
 ).split()
 _SPACE = "[ \\t\\n\\x0b\\f\\r]+"
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
+TEMPLATE, NAMED, VERBATIM = "template", "named", "verbatim"
 
 
 def _let(value: Column, body) -> Column:
@@ -45,12 +48,15 @@ def _number(core: Column) -> Column:
     return (core >= "0") & (core < ":")  # begins with a digit
 
 
+def _capital(core: Column) -> Column:
+    return ((core >= "A") & (core < "[")) | ((core >= "À") & (core < "ß"))
+
+
 def _canon(words: Column, cores: Column, core: Column, i: Column) -> Column:
     """Canonical token of the word at ``i``; rare kinds are told by cheap comparisons first."""
-    capital = ((core >= "A") & (core < "[")) | ((core >= "À") & (core < "ß"))
     opens = (i == 0) | F.right(F.get(words, i - 1), F.lit(1)).isin(".", "!", "?", ":")
     unit = F.lower(core).isin(UNITS) & (i > 0)
-    return F.when(_number(core), F.lit(NUM)).when(capital & ~opens, F.lit(NAME)).when((i > 0) & _number(F.get(cores, i - 1)) & unit, F.lit(UNIT)).otherwise(F.lower(core))
+    return F.when(_number(core), F.lit(NUM)).when(_capital(core) & ~opens, F.lit(NAME)).when((i > 0) & _number(F.get(cores, i - 1)) & unit, F.lit(UNIT)).otherwise(F.lower(core))
 
 
 def _over_words(text: Column, body) -> Column:
@@ -69,8 +75,15 @@ def tokens(text: Column) -> Column:
 
 
 def token_hashes(text: Column) -> Column:
-    """Hashes of the canonical tokens, in the order of ``tokens``."""
-    return F.array_remove(_over_words(text, lambda ws, cs: F.transform(cs, lambda c, i: F.xxhash64(_canon(ws, cs, c, i)))), F.xxhash64(F.lit("")))
+    """``h`` and ``l``: hashes of the canonical tokens and of the lower-cased
+    words, in the order of ``tokens``."""
+
+    def body(ws, cs):
+        none = F.xxhash64(F.lit(""))
+        h = F.array_remove(F.transform(cs, lambda c, i: F.xxhash64(_canon(ws, cs, c, i))), none)
+        return F.struct(h.alias("h"), F.array_remove(F.transform(cs, lambda c: F.xxhash64(F.lower(c))), none).alias("l"))
+
+    return _over_words(text, body)
 
 
 def _slots(canon: Column) -> Column:
@@ -78,55 +91,77 @@ def _slots(canon: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, width, at, key, canon, cores, total of every window that keeps at
-    least half of its tokens as words."""
+    """item_id, width, at, kind, literal, key, form, canon, cores, rich, total, whole
+    of the windows of every item.
+
+    A window is ``rich`` if at least half of its tokens are words.  ``form`` is
+    what a document must hold there: the canonical tokens of a rich window (kind
+    ``template``), the same with a capitalised first word of the item as a name,
+    as inside a sentence (``named``), or the lower-cased words of any window
+    (``verbatim``).  ``total`` counts the rich windows, ``whole`` all.
+    """
     items = benchmark.select("item_id", tokens(F.col("text")).alias("tok")).where(F.size("tok") >= LEAST_WORDS)
     items = items.withColumn("width", F.least(F.size("tok"), F.lit(WINDOW)))
     places = items.select("item_id", "tok", "width", F.explode(F.sequence(F.lit(1), F.size("tok") - F.col("width") + 1)).alias("at"))
     cut = places.withColumn("part", F.slice("tok", F.col("at"), F.col("width"))).select("item_id", "width", "at", F.col("part.canon").alias("canon"), F.col("part.core").alias("cores"))
-    cut = cut.where(2 * F.size(F.filter("canon", lambda x: ~_slots(x))) >= F.col("width"))
-    total = cut.groupBy("item_id").agg(F.count("*").alias("total"))
-    return cut.join(total, "item_id").withColumn("key", F.xxhash64(F.transform("canon", lambda x: F.xxhash64(x))))
+    rich = 2 * F.size(F.filter("canon", lambda x: ~_slots(x))) >= F.col("width")
+    cut = cut.withColumn("rich", rich)
+    total = cut.groupBy("item_id").agg(F.count_if("rich").alias("total"), F.count_distinct("at").alias("whole"))
+    cut = cut.join(total, "item_id")
+    named = F.concat(F.array(F.lit(NAME)), F.slice("canon", F.lit(2), F.col("width") - 1))
+    first = cut.where((F.col("at") == 1) & _capital(F.get("cores", F.lit(0))) & ~_slots(F.get("canon", F.lit(0)))).withColumn("canon", named).where(rich)
+    kinds = [cut.where("rich").withColumn("form", F.col("canon")), first.withColumn("form", F.col("canon")), cut.withColumn("form", F.transform("cores", lambda x: F.lower(x)))]
+    kinds = [k.withColumn("kind", F.lit(name)) for k, name in zip(kinds, (TEMPLATE, NAMED, VERBATIM), strict=True)]
+    out = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+    return out.withColumn("literal", F.col("kind") == VERBATIM).withColumn("key", F.xxhash64(F.transform("form", lambda x: F.xxhash64(x))))
 
 
 def _window_keys(hashes: str, width: int) -> Column:
     """Key of every window, by element access (a slice would copy the array each time)."""
     last = F.size(hashes) - width
     keys = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(F.col(hashes), i + k) for k in range(width)]))
-    return F.when(last >= 0, keys)
+    return F.when(last >= 0, keys).otherwise(F.array().cast("array<bigint>"))
 
 
 def candidates(docs: DataFrame, windows: DataFrame, widths: dict[int, int]) -> DataFrame:
-    """doc_id of the documents with a window whose key is an item's.  Only hashes
-    of tokens are made here; the words of candidates are looked at afterwards."""
-    hashed = docs.select("doc_id", token_hashes(F.col("text")).alias("h"))
-    parts = []
-    for width, n in widths.items():
-        keys = windows.where(F.col("width") == width).select("key").distinct()
-        parts.append(hashed.select("doc_id", F.explode(_window_keys("h", width)).alias("key")).join(small(keys, 16, n), "key", "left_semi").select("doc_id"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found.distinct()
+    """doc_id of the documents with a window whose key is an item's, by canonical
+    tokens or by words.  Only hashes are made here; the words of candidates are
+    looked at afterwards."""
+    hashed = docs.select("doc_id", token_hashes(F.col("text")).alias("t")).select("doc_id", "t.h", "t.l")
+    keys = F.concat(*[_window_keys(h, w) for w in widths for h in ("h", "l")])
+    own = windows.select("key").distinct()
+    return hashed.select("doc_id", F.explode(keys).alias("key")).join(small(own, 16, sum(widths.values())), "key", "left_semi").select("doc_id").distinct()
 
 
 def matched_windows(docs: DataFrame, windows: DataFrame, width: int, n: int) -> DataFrame:
-    """Windows of documents that equal a window of an item, token by token."""
+    """Windows of documents that equal the form of a window of an item, token by token."""
     tok = docs.select("doc_id", tokens(F.col("text")).alias("tok"))
-    hashed = tok.select("doc_id", "tok", F.transform("tok", lambda x: F.xxhash64(x["canon"])).alias("h"))
-    placed = hashed.select("doc_id", "tok", F.posexplode(_window_keys("h", width)).alias("place", "key"))
-    own = windows.where(F.col("width") == width).select("item_id", "at", "key", "canon", "cores", "total")
-    hits = placed.join(small(own, 400, n), "key").withColumn("part", F.slice("tok", F.col("place") + 1, F.lit(width)))
+    hashed = tok.select("doc_id", "tok", F.transform("tok", lambda x: F.xxhash64(x["canon"])).alias("h"), F.transform("tok", lambda x: F.xxhash64(F.lower(x["core"]))).alias("l"))
+
+    def placed_keys(hashes: str, literal: bool) -> Column:
+        return F.transform(_window_keys(hashes, width), lambda k, i: F.struct(i.alias("place"), F.lit(literal).alias("literal"), k.alias("key")))
+
+    keys = F.explode(F.concat(placed_keys("h", False), placed_keys("l", True))).alias("k")
+    placed = hashed.select("doc_id", "tok", keys).select("doc_id", "tok", "k.place", "k.literal", "k.key")
+    own = windows.where(F.col("width") == width).drop("width")
+    hits = placed.join(small(own, 500, n), ["key", "literal"]).withColumn("part", F.slice("tok", F.col("place") + 1, F.lit(width)))
     # Compared word by word after the key has matched (an equality would become part of the join's key).
-    same = F.forall(F.zip_with("part.canon", "canon", lambda x, y: x == y), lambda x: x)
+    mine = F.when(F.col("literal"), F.transform("part.core", lambda x: F.lower(x))).otherwise(F.col("part.canon"))
+    same = F.forall(F.zip_with(mine, "form", lambda x, y: x == y), lambda x: x)
     slots = F.filter(F.arrays_zip("canon", F.col("cores").alias("item"), F.col("part.core").alias("doc")), lambda x: _slots(x["canon"]))
-    return hits.where(same).select("doc_id", "item_id", "total", "at", (F.col("place") + 1 - F.col("at")).alias("shift"), slots.alias("slots"))
+    return hits.where(same).select("doc_id", "item_id", "kind", "rich", "total", "whole", "at", (F.col("place") + 1 - F.col("at")).alias("shift"), slots.alias("slots"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, matched, total, coverage, slots of every document that
     holds at least ``coverage`` of an item's windows in consistent alignments.
 
+    Held are the rich windows as templates; where these do not suffice, the rich
+    windows in any form; else all windows in any form, so that an item without
+    rich windows is found where its words are repeated.  ``matched`` and
+    ``total`` are of the first of these that holds.  Items under ``LEAST_WORDS``
+    tokens are never matched.
+
     ``slots`` is the number of distinct slot values of the item that were
     filled.  Null and empty texts and an empty benchmark match nothing.  Rows
     that repeat a doc_id count as one document, rows that repeat an item_id as
@@ -143,15 +178,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         hits = hits.unionByName(p)
     hits = written(hits, "window-hits")
     place = ["doc_id", "item_id", "shift"]
-    filled = hits.select(*place, F.explode("slots").alias("s")).select(*place, "s.canon", "s.item", "s.doc").distinct()
-    each = filled.groupBy(*place, "canon", "item").agg(F.count("*").alias("values"))
-    state = each.groupBy(*place).agg(F.max("values").alias("most"), F.count("*").alias("slots"))
-    aligned = hits.select(*place, "at", "total").distinct()
+    kind = F.col("kind")
+    template, filling = F.when(kind == TEMPLATE, F.col("doc")), F.when(kind != VERBATIM, F.col("doc"))
+    filled = hits.select(*place, "kind", F.explode("slots").alias("s")).select(*place, "kind", "s.canon", "s.item", "s.doc")
+    each = filled.groupBy(*place, "canon", "item").agg(F.count(template).alias("n"), (F.min(template) != F.max(template)).alias("torn"), (F.min(filling) != F.max(filling)).alias("torn_named"))
+    state = each.groupBy(*place).agg(F.bool_or("torn").alias("torn"), F.bool_or("torn_named").alias("torn_named"), F.count_if(F.col("n") > 0).alias("slots"), F.count("*").alias("filled"))
+    aligned = hits.select(*place, "at", "kind", "rich", "total", "whole").distinct()
     same = F.lit(True)
     for c in place:
         same = same & aligned[c].eqNullSafe(state[c])
-    good = aligned.join(state, same, "left").where(F.coalesce("most", F.lit(1)) == 1).select(aligned["doc_id"], aligned["item_id"], "at", "total", F.coalesce("slots", F.lit(0)).alias("slots"))
-    out = good.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("matched"), F.max("total").alias("total"), F.max("slots").alias("slots"))
+    torn = F.coalesce(F.when(kind == NAMED, F.col("torn_named")).otherwise(F.col("torn")), F.lit(False))
+    good = aligned.join(state, same, "left").where(~torn).select(aligned["doc_id"], aligned["item_id"], "at", "kind", "rich", "total", "whole", F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("filled", F.lit(0)).alias("filled"))
+    by_place = good.groupBy("doc_id", "item_id", "at").agg(F.bool_or(kind == TEMPLATE).alias("template"), F.bool_or("rich").alias("rich"), F.max("total").alias("total"), F.max("whole").alias("whole"), F.max(F.when(kind == TEMPLATE, F.col("slots"))).alias("slots"), F.max("filled").alias("filled"))
+    out = by_place.groupBy("doc_id", "item_id").agg(
+        F.count_if("template").alias("templates"), F.count_if("rich").alias("riches"), F.count("*").alias("places"), F.max("total").alias("rich"), F.max("whole").alias("whole"), F.max("slots").alias("slots"), F.max("filled").alias("filled")
+    )
+    holds = lambda n: F.coalesce(F.try_divide(F.col(n), F.col("rich")) >= coverage, F.lit(False))
+    as_template, as_rich = holds("templates"), holds("riches")
+    out = out.select(
+        "doc_id", "item_id", F.when(as_template, F.col("templates")).when(as_rich, F.col("riches")).otherwise(F.col("places")).alias("matched"),
+        F.when(as_template | as_rich, F.col("rich")).otherwise(F.col("whole")).alias("total"), F.when(as_template, F.col("slots")).otherwise(F.col("filled")).alias("slots"),
+    )
     return out.select("doc_id", "item_id", "matched", "total", (F.col("matched") / F.col("total")).alias("coverage"), "slots").where(F.col("coverage") >= coverage)
 
 

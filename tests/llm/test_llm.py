@@ -268,6 +268,22 @@ def test_decontamination_templates(spark, empty):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("item", "text"),
+    [
+        ("12 + 7 = 19 and 30 + 4 = 34 and 8 + 9 = 17", "so we wrote 12 + 7 = 19 and 30 + 4 = 34 and 8 + 9 = 17 on it"),
+        ("Ada Byron, Alan Turing, Grace Hopper, Kurt Goedel, Emmy Noether and Paul Erdos", "they were Ada Byron, Alan Turing, Grace Hopper, Kurt Goedel, Emmy Noether and Paul Erdos then"),
+        ("WHICH OF THESE RIVERS IS THE LONGEST OF ALL", "he asked which of these rivers is the longest of all"),
+        ("Where does the old river end?", "they asked, Where does the old river end? and left"),
+        ("Tom gives the girl 3 apples", "we read that Max gives the girl 8 apples today"),
+    ],
+)
+def test_decontamination_slot_heavy_and_short_items(spark, item, text):
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (2, "Other words, 5 + 6 = 11 and 7 + 8 = 15, by Max Planck and Lise Meitner of the river.")], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 1)]
+
+
 def test_decontamination_awkward(spark, awkward):
     bench = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(500, 530)))], "item_id long, text string")
     assert [r["doc_id"] for r in decontaminate.contaminated(awkward, bench).collect()] == [6]
