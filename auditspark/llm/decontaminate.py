@@ -5,8 +5,8 @@ sentence turn into typed placeholders, all else is lower-cased without the
 punctuation around it.  Windows of canonical tokens of documents and of
 benchmark items meet in a hash join.  The windows of a document that lie at one
 offset from an item are an alignment; its slots must be filled consistently
-(one value of the item always stands for one value of the document), else the
-alignment is dropped.  So a question with other numbers or names is found, and
+(one value of the item always stands for one value of the document), else its
+templates are dropped.  So a question with other numbers or names is found, and
 prose that only shares a pattern is not.  Every window of an item is also joined
 on its lower-cased words, so items of one window, and those made of numbers and
 names, are found where they are repeated.  All of it is DataFrame functions.
@@ -52,11 +52,12 @@ def _capital(core: Column) -> Column:
     return ((core >= "A") & (core < "[")) | ((core >= "À") & (core < "ß"))
 
 
-def _canon(words: Column, cores: Column, core: Column, i: Column) -> Column:
-    """Canonical token of the word at ``i``; rare kinds are told by cheap comparisons first."""
+def _canon(words: Column, cores: Column, core: Column, i: Column, word: Column, slot=lambda x: x) -> Column:
+    """Canonical token of the word at ``i``: ``word``, or ``slot`` of a placeholder;
+    rare kinds are told by cheap comparisons first."""
     opens = (i == 0) | F.right(F.get(words, i - 1), F.lit(1)).isin(".", "!", "?", ":")
     unit = F.lower(core).isin(UNITS) & (i > 0)
-    return F.when(_number(core), F.lit(NUM)).when(_capital(core) & ~opens, F.lit(NAME)).when((i > 0) & _number(F.get(cores, i - 1)) & unit, F.lit(UNIT)).otherwise(F.lower(core))
+    return F.when(_number(core), slot(F.lit(NUM))).when(_capital(core) & ~opens, slot(F.lit(NAME))).when((i > 0) & _number(F.get(cores, i - 1)) & unit, slot(F.lit(UNIT))).otherwise(word)
 
 
 def _over_words(text: Column, body) -> Column:
@@ -69,7 +70,7 @@ def tokens(text: Column) -> Column:
     """Array of (canon, core): the canonical token and the word it came from."""
 
     def body(ws, cs):
-        return F.filter(F.transform(cs, lambda c, i: F.struct(_canon(ws, cs, c, i).alias("canon"), c.alias("core"))), lambda x: x["core"] != "")
+        return F.filter(F.transform(cs, lambda c, i: F.struct(_canon(ws, cs, c, i, F.lower(c)).alias("canon"), c.alias("core"))), lambda x: x["core"] != "")
 
     return _over_words(text, body)
 
@@ -80,8 +81,12 @@ def token_hashes(text: Column) -> Column:
 
     def body(ws, cs):
         none = F.xxhash64(F.lit(""))
-        h = F.array_remove(F.transform(cs, lambda c, i: F.xxhash64(_canon(ws, cs, c, i))), none)
-        return F.struct(h.alias("h"), F.array_remove(F.transform(cs, lambda c: F.xxhash64(F.lower(c))), none).alias("l"))
+
+        def both(ls):
+            h = F.transform(cs, lambda c, i: _canon(ws, cs, c, i, F.get(ls, i), F.xxhash64))
+            return F.struct(F.array_remove(h, none).alias("h"), F.array_remove(ls, none).alias("l"))
+
+        return _let(F.transform(cs, lambda c: F.xxhash64(F.lower(c))), both)
 
     return _over_words(text, body)
 
@@ -91,7 +96,7 @@ def _slots(canon: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, width, at, kind, literal, key, form, canon, cores, rich, total, whole
+    """item_id, width, at, kind, key, form, canon, cores, rich, total, whole
     of the windows of every item.
 
     A window is ``rich`` if at least half of its tokens are words.  ``form`` is
@@ -113,7 +118,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     kinds = [cut.where("rich").withColumn("form", F.col("canon")), first.withColumn("form", F.col("canon")), cut.withColumn("form", F.transform("cores", lambda x: F.lower(x)))]
     kinds = [k.withColumn("kind", F.lit(name)) for k, name in zip(kinds, (TEMPLATE, NAMED, VERBATIM), strict=True)]
     out = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
-    return out.withColumn("literal", F.col("kind") == VERBATIM).withColumn("key", F.xxhash64(F.transform("form", lambda x: F.xxhash64(x))))
+    return out.withColumn("key", F.xxhash64(F.transform("form", lambda x: F.xxhash64(x))))
 
 
 def _window_keys(hashes: str, width: int) -> Column:
@@ -123,28 +128,36 @@ def _window_keys(hashes: str, width: int) -> Column:
     return F.when(last >= 0, keys).otherwise(F.array().cast("array<bigint>"))
 
 
+def _others(keys: str):
+    """Keys unlike those of ``keys`` at the same place."""
+    return lambda k, i: k != F.get(F.col(keys), i)
+
+
 def candidates(docs: DataFrame, windows: DataFrame, widths: dict[int, int]) -> DataFrame:
     """doc_id of the documents with a window whose key is an item's, by canonical
     tokens or by words.  Only hashes are made here; the words of candidates are
     looked at afterwards."""
     hashed = docs.select("doc_id", token_hashes(F.col("text")).alias("t")).select("doc_id", "t.h", "t.l")
-    keys = F.concat(*[_window_keys(h, w) for w in widths for h in ("h", "l")])
+    keys = hashed.select("doc_id", *[_window_keys(h, w).alias(f"{h}{w}") for w in widths for h in ("h", "l")])
+    every = F.concat(*[x for w in widths for x in (F.col(f"h{w}"), F.filter(f"l{w}", _others(f"h{w}")))])
     own = windows.select("key").distinct()
-    return hashed.select("doc_id", F.explode(keys).alias("key")).join(small(own, 16, sum(widths.values())), "key", "left_semi").select("doc_id").distinct()
+    return keys.select("doc_id", F.explode(every).alias("key")).join(small(own, 16, sum(widths.values())), "key", "left_semi").select("doc_id").distinct()
 
 
 def matched_windows(docs: DataFrame, windows: DataFrame, width: int, n: int) -> DataFrame:
     """Windows of documents that equal the form of a window of an item, token by token."""
     tok = docs.select("doc_id", tokens(F.col("text")).alias("tok"))
     hashed = tok.select("doc_id", "tok", F.transform("tok", lambda x: F.xxhash64(x["canon"])).alias("h"), F.transform("tok", lambda x: F.xxhash64(F.lower(x["core"]))).alias("l"))
+    keyed = hashed.select("doc_id", "tok", _window_keys("h", width).alias("hk"), _window_keys("l", width).alias("lk"))
 
-    def placed_keys(hashes: str, literal: bool) -> Column:
-        return F.transform(_window_keys(hashes, width), lambda k, i: F.struct(i.alias("place"), F.lit(literal).alias("literal"), k.alias("key")))
+    def placed_keys(keys: str, literal: bool) -> Column:
+        return F.transform(keys, lambda k, i: F.struct(i.alias("place"), F.lit(literal).alias("literal"), k.alias("key")))
 
-    keys = F.explode(F.concat(placed_keys("h", False), placed_keys("l", True))).alias("k")
-    placed = hashed.select("doc_id", "tok", keys).select("doc_id", "tok", "k.place", "k.literal", "k.key")
+    # A window without slots has one key; its words are its canonical tokens.
+    words = F.filter(placed_keys("lk", True), lambda x: x["key"] != F.get("hk", x["place"]))
+    placed = keyed.select("doc_id", "tok", F.explode(F.concat(placed_keys("hk", False), words)).alias("k")).select("doc_id", "tok", "k.place", "k.literal", "k.key")
     own = windows.where(F.col("width") == width).drop("width")
-    hits = placed.join(small(own, 500, n), ["key", "literal"]).withColumn("part", F.slice("tok", F.col("place") + 1, F.lit(width)))
+    hits = placed.join(small(own, 500, n), "key").where(~F.col("literal") | (F.col("kind") == VERBATIM)).withColumn("part", F.slice("tok", F.col("place") + 1, F.lit(width)))
     # Compared word by word after the key has matched (an equality would become part of the join's key).
     mine = F.when(F.col("literal"), F.transform("part.core", lambda x: F.lower(x))).otherwise(F.col("part.canon"))
     same = F.forall(F.zip_with(mine, "form", lambda x, y: x == y), lambda x: x)
@@ -160,7 +173,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     windows in any form; else all windows in any form, so that an item without
     rich windows is found where its words are repeated.  ``matched`` and
     ``total`` are of the first of these that holds.  Items under ``LEAST_WORDS``
-    tokens are never matched.
+    tokens are never matched.  Inconsistent slots drop the templates of an
+    alignment; windows that repeat the item's own words always count.
 
     ``slots`` is the number of distinct slot values of the item that were
     filled.  Null and empty texts and an empty benchmark match nothing.  Rows
@@ -187,7 +201,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     same = F.lit(True)
     for c in place:
         same = same & aligned[c].eqNullSafe(state[c])
-    torn = F.coalesce(F.when(kind == NAMED, F.col("torn_named")).otherwise(F.col("torn")), F.lit(False))
+    torn = F.coalesce(F.when(kind == NAMED, F.col("torn_named")).when(kind == TEMPLATE, F.col("torn")), F.lit(False))
     good = aligned.join(state, same, "left").where(~torn).select(aligned["doc_id"], aligned["item_id"], "at", "kind", "rich", "total", "whole", F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("filled", F.lit(0)).alias("filled"))
     by_place = good.groupBy("doc_id", "item_id", "at").agg(F.bool_or(kind == TEMPLATE).alias("template"), F.bool_or("rich").alias("rich"), F.max("total").alias("total"), F.max("whole").alias("whole"), F.max(F.when(kind == TEMPLATE, F.col("slots"))).alias("slots"), F.max("filled").alias("filled"))
     out = by_place.groupBy("doc_id", "item_id").agg(

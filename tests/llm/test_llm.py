@@ -284,6 +284,14 @@ def test_decontamination_slot_heavy_and_short_items(spark, item, text):
     assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 1)]
 
 
+def test_decontamination_one_slot_edited(spark):
+    """One mention of a name edited: the windows that equal the item still count."""
+    item = "if Tom gives Ann 3 apples then how many apples does Tom have left from his 9 apples when Tom goes home in the end with all of them"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so " + item.replace("when Tom", "when Tim")), (2, "so " + item.replace("Tom", "Max").replace("when Max", "when Tim"))], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 1)]
+
+
 def test_decontamination_awkward(spark, awkward):
     bench = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(500, 530)))], "item_id long, text string")
     assert [r["doc_id"] for r in decontaminate.contaminated(awkward, bench).collect()] == [6]
