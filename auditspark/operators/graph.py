@@ -26,26 +26,39 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def closure(seeds: DataFrame, edges: DataFrame, most_hops: int = 64) -> DataFrame:
+def _within(hops: int, most_hops: int | None) -> None:
+    if most_hops is not None and hops > most_hops:
+        raise ValueError(f"nodes lie more than {most_hops} hops away; the result would be cut")
+
+
+def _grown(seen: DataFrame, new: DataFrame, hops: int) -> DataFrame:
+    """``seen`` with ``new``; written as one table every few rounds, so that a long
+    chain does not become a union of as many tables."""
+    both = seen.unionByName(new)
+    return both if hops % 16 else _written(both)
+
+
+def closure(seeds: DataFrame, edges: DataFrame, most_hops: int | None = None) -> DataFrame:
     """``node`` and least ``hops`` of all nodes that edges (src -> dst) reach.
 
     A frontier loop: each round joins the newest nodes with the edges and drops
     those seen before.  Rounds are written to the shared folder, so the plan
-    stays short and a lost executor costs one round.
+    stays short and a lost executor costs one round.  It ends when a round finds
+    nothing new; if ``most_hops`` is given and does not suffice, it raises.
     """
     seen = _written(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
     front, hops = seen, 0
-    while hops < most_hops:
+    while True:
         hops += 1
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         new = _written(step.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hops)))
         if new.isEmpty():
-            break
-        seen, front = seen.unionByName(new), new
-    return seen
+            return seen
+        _within(hops, most_hops)
+        seen, front = _grown(seen, new, hops), new
 
 
-def reachability(nodes: DataFrame, entries: DataFrame, calls: DataFrame, most_hops: int = 64) -> DataFrame:
+def reachability(nodes: DataFrame, entries: DataFrame, calls: DataFrame, most_hops: int | None = None) -> DataFrame:
     """``node``, ``verdict`` (reachable, unknown, not_reachable), ``hops``.
 
     Nodes marked ``open`` (virtual, abstract) are unknown when nothing reaches
@@ -57,18 +70,18 @@ def reachability(nodes: DataFrame, entries: DataFrame, calls: DataFrame, most_ho
     return out.select("node", verdict.alias("verdict"), "hops")
 
 
-def shortest_paths(entries: DataFrame, edges: DataFrame, most_hops: int = 64) -> DataFrame:
+def shortest_paths(entries: DataFrame, edges: DataFrame, most_hops: int | None = None) -> DataFrame:
     """As ``closure``, with one least path per node (ties: the smallest array)."""
     seen = _written(entries.select("node").distinct().withColumn("path", F.array("node")))
     front, hops = seen, 0
-    while hops < most_hops:
+    while True:
         hops += 1
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         new = _written(step.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
         if new.isEmpty():
-            break
-        seen, front = seen.unionByName(new), new
-    return seen
+            return seen
+        _within(hops, most_hops)
+        seen, front = _grown(seen, new, hops), new
 
 
 def dirty_nodes(before: DataFrame, now: DataFrame) -> DataFrame:

@@ -56,6 +56,23 @@ def test_closure_with_cycle(spark):
     assert paths[3] == [1, 2, 3]
 
 
+def test_long_chain_is_followed_to_its_end(spark):
+    edges = spark.range(66).selectExpr("id AS src", "id + 1 AS dst")
+    seeds = spark.createDataFrame([(0,)], "node long")
+    nodes = spark.range(67).selectExpr("id AS node", "false AS open")
+    out = graph.reachability(nodes, seeds, edges)
+    assert rows(out, "node", "verdict", "hops") == [(i, "reachable", i) for i in range(67)]
+
+
+def test_bound_on_hops_raises(spark):
+    edges = spark.range(3).selectExpr("id AS src", "id + 1 AS dst")
+    seeds = spark.createDataFrame([(0,)], "node long")
+    for walk in (graph.closure, graph.shortest_paths):
+        assert walk(seeds, edges, 3).count() == 4
+        with pytest.raises(ValueError, match="hops"):
+            walk(seeds, edges, 2)
+
+
 def test_chunk_greedy(spark):
     sizes = [400, 500, 200, 1500, 10, 990, 5]
     df = spark.createDataFrame([(1, i, n) for i, n in enumerate(sizes)], "f long, i long, n long")
