@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -45,24 +46,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (local tests) an own folder is made.
+    Only a local session, where both are one process, gets an own folder if it
+    names none; on a cluster that is an error.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and
     the rows survive a lost executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, before: int = 0) -> None:
+    """Remove the intermediate tables that ``written`` has made since it had made
+    ``before`` of them.  Only for when all results that read them are stored."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in _WRITTEN[before:]:
+        at = hadoop.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del _WRITTEN[before:]
+
+
+def made() -> int:
+    """How many intermediate tables there are; see ``release``."""
+    return len(_WRITTEN)
+
+
+def packed(docs: DataFrame, **named) -> DataFrame:
+    """The rows of ``docs`` as one struct next to columns of our own, so that no
+    name of theirs can clash with one of ours."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in named.items()])
+
+
+def fields_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` out of rows that ``packed`` made."""
+    return rows.select("row.*") if docs.columns else docs
+
+
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if its counted size is below the bound."""
     n = df.count() if rows is None else rows

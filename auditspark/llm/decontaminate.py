@@ -1,15 +1,18 @@
 """Operator 5: benchmark decontamination by template canonicalisation.
 
-Words become canonical tokens: numbers, units after a number and names inside a
-sentence turn into typed placeholders, all else is lower-cased without the
-punctuation around it.  Windows of canonical tokens of documents and of
-benchmark items meet in a hash join.  The windows of a document that lie at one
-offset from an item are an alignment; its slots must be filled consistently
-(one value of the item always stands for one value of the document), else its
-templates are dropped.  So a question with other numbers or names is found, and
-prose that only shares a pattern is not.  Every window of an item is also joined
-on its lower-cased words, so items of one window, and those made of numbers and
-names, are found where they are repeated.  All of it is DataFrame functions.
+A text becomes canonical tokens: punctuation around words goes, all is
+lower-cased, and numbers, units after a number and runs of names inside a
+sentence turn into typed placeholders, each with the words it stands for.
+Windows of canonical tokens of documents and of benchmark items meet in a hash
+join.  The windows of a document that lie at one offset from an item are an
+alignment; its slots must be filled consistently (one value of the item always
+stands for one value of the document), else only its windows with the item's own
+values count.  So a question with other numbers or names is found, and prose
+that only shares a pattern is not.  Windows of plain lower-cased words meet in
+the same way, so items that are short or made of numbers, names or capitals are
+found where they are repeated.  All of it is DataFrame functions: texts are
+rewritten as a whole and windows are rows of words, made and hashed in generated
+code.
 """
 
 from __future__ import annotations
@@ -17,209 +20,209 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import small, table, written
+from auditspark.llm.common import fields_of, packed, small, table, written
 
-#: Tokens of a window; items with fewer words use windows of their own length.
+#: Tokens of a window; items with fewer use windows of their own length.
 WINDOW = 8
-#: Items with fewer tokens identify nothing and are never matched.
-LEAST_WORDS = 5
+#: Items with fewer canonical tokens have no template: they are found word for word only.
+LEAST_TEMPLATE = 5
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.5
 
-# Punctuation stripped from words, and units of measure.
+# Punctuation stripped from words, marks that end a sentence, and units of measure.
 MARKS = ".,;:!?\"'()[]{}<>|#$%&*+=/\\_~^`€£-"
+ENDS = ".!?:"
 UNITS = (
     "mm cm m km in ft yd mi mile miles inch inches foot feet metre metres meter meters kilometre kilometres kilometer kilometers "
     "mg g kg t lb lbs oz gram grams kilogram kilograms ton tons ml l litre litres liter liters s sec second seconds min minute minutes h hr hour hours "
     "day days week weeks month months year years percent dollar dollars cent cents euro euros pound pounds mph kmh degree degrees watt watts w kw kwh v volt volts"
 ).split()
-_SPACE = "[ \\t\\n\\x0b\\f\\r]+"
-NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
-TEMPLATE, NAMED, VERBATIM = "template", "named", "verbatim"
+#: First characters of placeholders, of a word that opens a sentence, and between
+#: the words of a name.  In texts they count as white space.
+OPENS, NUM, UNIT, NAME, GLUE = "\x01", "\x02", "\x03", "\x04", "\x05"
+_OWN = OPENS + NUM + UNIT + NAME + GLUE
 
+_S = " \\t\\n\\x0B\\f\\r"
+_M = "".join("\\" + c if c.isascii() else c for c in MARKS)
+#: What stands between two words: a run of punctuation and white space with white
+#: space in it.  A match begins where a run begins, so long runs are read once;
+#: a lone space, which stays, begins none.
+_BEGIN = f"[{_M}{_S}](?:(?<=[^ ])|(?=[{_M}{_S}]))(?<![{_M}{_S}]{{2}})"
+_REST = f"(?:(?<=[{_S}])|[{_M}]*+[{_S}])[{_M}{_S}]*+"
+_BREAK = _BEGIN + _REST
+_STOP = f"{_BEGIN}(?:(?<=[{ENDS}])|(?=[{_M}{_S}]*?[{ENDS}])){_REST}"
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once: a lambda's argument is bound,
-    while a column named in a lambda would be computed again for every element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
 
+def _spaced(text: Column, opened: bool) -> Column:
+    """Words between single spaces; OPENS stands before those that open a sentence."""
+    text = F.coalesce(text, F.lit(""))
+    text = F.when(text.rlike(f"[{_OWN}]"), F.translate(text, _OWN, " " * len(_OWN))).otherwise(text)
+    text = F.concat(F.lit(". " if opened else " "), text, F.lit(" "))
+    return F.regexp_replace(F.regexp_replace(text, _STOP, " " + OPENS), _BREAK, " ")
 
-def _number(core: Column) -> Column:
-    return (core >= "0") & (core < ":")  # begins with a digit
 
+def _valued(spaced: Column) -> Column:
+    """Canonical tokens with their values: a placeholder goes before the words it stands for."""
+    out = F.regexp_replace(spaced, f"[0-9](?<=[ {OPENS}][0-9])[^ ]*+", NUM + "$0")
+    out = F.regexp_replace(out, f"{NUM}[^ ]*+ (?=(?i:{'|'.join(UNITS)}) )", "$0" + UNIT)
+    out = F.regexp_replace(out, " (?=\\p{Lu})", " " + NAME)
+    out = F.regexp_replace(out, f"({NAME}[^ ]*+) (?={NAME})", "$1" + GLUE)
+    return F.trim(F.lower(F.replace(out, F.lit(OPENS), F.lit(""))))
 
-def _capital(core: Column) -> Column:
-    return ((core >= "A") & (core < "[")) | ((core >= "À") & (core < "ß"))
 
+def _canon(valued: Column) -> Column:
+    return F.regexp_replace(valued, f"([{NUM}{UNIT}{NAME}])[^ ]*+", "$1")
 
-def _canon(words: Column, cores: Column, core: Column, i: Column, word: Column, slot=lambda x: x) -> Column:
-    """Canonical token of the word at ``i``: ``word``, or ``slot`` of a placeholder;
-    rare kinds are told by cheap comparisons first."""
-    opens = (i == 0) | F.right(F.get(words, i - 1), F.lit(1)).isin(".", "!", "?", ":")
-    unit = F.lower(core).isin(UNITS) & (i > 0)
-    return F.when(_number(core), slot(F.lit(NUM))).when(_capital(core) & ~opens, slot(F.lit(NAME))).when((i > 0) & _number(F.get(cores, i - 1)) & unit, slot(F.lit(UNIT))).otherwise(word)
 
+def _words(valued: Column) -> Column:
+    return F.replace(F.regexp_replace(valued, f"[{NUM}{UNIT}{NAME}]", ""), F.lit(GLUE), F.lit(" "))
 
-def _over_words(text: Column, body) -> Column:
-    """``body(words, cores)``, both computed once."""
-    words = F.split(F.coalesce(text, F.lit("")), _SPACE)
-    return _let(words, lambda ws: _let(F.transform(ws, lambda w: F.btrim(w, F.lit(MARKS))), lambda cs: body(ws, cs)))
 
+def _slot(token: Column) -> Column:
+    return token.isin(NUM, UNIT, NAME)
 
-def tokens(text: Column) -> Column:
-    """Array of (canon, core): the canonical token and the word it came from."""
 
-    def body(ws, cs):
-        return F.filter(F.transform(cs, lambda c, i: F.struct(_canon(ws, cs, c, i, F.lower(c)).alias("canon"), c.alias("core"))), lambda x: x["core"] != "")
+def _shifted(array: str, name: str, width: int = WINDOW) -> list[Column]:
+    """The array and its tails: zipped, entry i holds the window that starts there."""
+    return [F.slice(array, F.lit(k + 1), F.size(array)).alias(f"{name}{k}") for k in range(width)]
 
-    return _over_words(text, body)
 
-
-def token_hashes(text: Column) -> Column:
-    """``h`` and ``l``: hashes of the canonical tokens and of the lower-cased
-    words, in the order of ``tokens``."""
-
-    def body(ws, cs):
-        none = F.xxhash64(F.lit(""))
-
-        def both(ls):
-            h = F.transform(cs, lambda c, i: _canon(ws, cs, c, i, F.get(ls, i), F.xxhash64))
-            return F.struct(F.array_remove(h, none).alias("h"), F.array_remove(ls, none).alias("l"))
-
-        return _let(F.transform(cs, lambda c: F.xxhash64(F.lower(c))), both)
-
-    return _over_words(text, body)
-
-
-def _slots(canon: Column) -> Column:
-    return canon.isin(NUM, UNIT, NAME)
+def _key(names: list[str], literal: bool) -> Column:
+    """Hash of a window; null where the text ends before it does."""
+    return F.when(F.col(names[-1]).isNotNull(), F.xxhash64(F.lit(int(literal)), *[F.col(c) for c in names]))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, width, at, kind, key, form, canon, cores, rich, total, whole
-    of the windows of every item.
-
-    A window is ``rich`` if at least half of its tokens are words.  ``form`` is
-    what a document must hold there: the canonical tokens of a rich window (kind
-    ``template``), the same with a capitalised first word of the item as a name,
-    as inside a sentence (``named``), or the lower-cased words of any window
-    (``verbatim``).  ``total`` counts the rich windows, ``whole`` all.
+    """item_id, version, literal, width, at, form, own, key, rich, total, riches of
+    the windows of every item.
+
+    ``form`` is what a document must hold there, ``own`` the item's words.  The
+    version ``opened`` reads the item's first word as the opening of a sentence,
+    ``continued`` as standing inside one (left out if that is the same), ``words``
+    (``literal``) has the lower-cased words.  A window is ``rich`` if at least
+    half of its tokens are words.  ``total`` counts windows, ``riches`` rich ones.
     """
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("tok")).where(F.size("tok") >= LEAST_WORDS)
-    items = items.withColumn("width", F.least(F.size("tok"), F.lit(WINDOW)))
-    places = items.select("item_id", "tok", "width", F.explode(F.sequence(F.lit(1), F.size("tok") - F.col("width") + 1)).alias("at"))
-    cut = places.withColumn("part", F.slice("tok", F.col("at"), F.col("width"))).select("item_id", "width", "at", F.col("part.canon").alias("canon"), F.col("part.core").alias("cores"))
-    rich = 2 * F.size(F.filter("canon", lambda x: ~_slots(x))) >= F.col("width")
-    cut = cut.withColumn("rich", rich)
-    total = cut.groupBy("item_id").agg(F.count_if("rich").alias("total"), F.count_distinct("at").alias("whole"))
-    cut = cut.join(total, "item_id")
-    named = F.concat(F.array(F.lit(NAME)), F.slice("canon", F.lit(2), F.col("width") - 1))
-    first = cut.where((F.col("at") == 1) & _capital(F.get("cores", F.lit(0))) & ~_slots(F.get("canon", F.lit(0)))).withColumn("canon", named).where(rich)
-    kinds = [cut.where("rich").withColumn("form", F.col("canon")), first.withColumn("form", F.col("canon")), cut.withColumn("form", F.transform("cores", lambda x: F.lower(x)))]
-    kinds = [k.withColumn("kind", F.lit(name)) for k, name in zip(kinds, (TEMPLATE, NAMED, VERBATIM), strict=True)]
-    out = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
-    return out.withColumn("key", F.xxhash64(F.transform("form", lambda x: F.xxhash64(x))))
-
-
-def _window_keys(hashes: str, width: int) -> Column:
-    """Key of every window, by element access (a slice would copy the array each time)."""
-    last = F.size(hashes) - width
-    keys = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(F.col(hashes), i + k) for k in range(width)]))
-    return F.when(last >= 0, keys).otherwise(F.array().cast("array<bigint>"))
-
-
-def _others(keys: str):
-    """Keys unlike those of ``keys`` at the same place."""
-    return lambda k, i: k != F.get(F.col(keys), i)
-
-
-def candidates(docs: DataFrame, windows: DataFrame, widths: dict[int, int]) -> DataFrame:
-    """doc_id of the documents with a window whose key is an item's, by canonical
-    tokens or by words.  Only hashes are made here; the words of candidates are
-    looked at afterwards."""
-    hashed = docs.select("doc_id", token_hashes(F.col("text")).alias("t")).select("doc_id", "t.h", "t.l")
-    keys = hashed.select("doc_id", *[_window_keys(h, w).alias(f"{h}{w}") for w in widths for h in ("h", "l")])
-    every = F.concat(*[x for w in widths for x in (F.col(f"h{w}"), F.filter(f"l{w}", _others(f"h{w}")))])
-    own = windows.select("key").distinct()
-    return keys.select("doc_id", F.explode(every).alias("key")).join(small(own, 16, sum(widths.values())), "key", "left_semi").select("doc_id").distinct()
-
-
-def matched_windows(docs: DataFrame, windows: DataFrame, width: int, n: int) -> DataFrame:
-    """Windows of documents that equal the form of a window of an item, token by token."""
-    tok = docs.select("doc_id", tokens(F.col("text")).alias("tok"))
-    hashed = tok.select("doc_id", "tok", F.transform("tok", lambda x: F.xxhash64(x["canon"])).alias("h"), F.transform("tok", lambda x: F.xxhash64(F.lower(x["core"]))).alias("l"))
-    keyed = hashed.select("doc_id", "tok", _window_keys("h", width).alias("hk"), _window_keys("l", width).alias("lk"))
-
-    def placed_keys(keys: str, literal: bool) -> Column:
-        return F.transform(keys, lambda k, i: F.struct(i.alias("place"), F.lit(literal).alias("literal"), k.alias("key")))
-
-    # A window without slots has one key; its words are its canonical tokens.
-    words = F.filter(placed_keys("lk", True), lambda x: x["key"] != F.get("hk", x["place"]))
-    placed = keyed.select("doc_id", "tok", F.explode(F.concat(placed_keys("hk", False), words)).alias("k")).select("doc_id", "tok", "k.place", "k.literal", "k.key")
-    own = windows.where(F.col("width") == width).drop("width")
-    hits = placed.join(small(own, 500, n), "key").where(~F.col("literal") | (F.col("kind") == VERBATIM)).withColumn("part", F.slice("tok", F.col("place") + 1, F.lit(width)))
-    # Compared word by word after the key has matched (an equality would become part of the join's key).
-    mine = F.when(F.col("literal"), F.transform("part.core", lambda x: F.lower(x))).otherwise(F.col("part.canon"))
-    same = F.forall(F.zip_with(mine, "form", lambda x, y: x == y), lambda x: x)
-    slots = F.filter(F.arrays_zip("canon", F.col("cores").alias("item"), F.col("part.core").alias("doc")), lambda x: _slots(x["canon"]))
-    return hits.where(same).select("doc_id", "item_id", "kind", "rich", "total", "whole", "at", (F.col("place") + 1 - F.col("at")).alias("shift"), slots.alias("slots"))
+    items = benchmark.select("item_id", *[_spaced(F.col("text"), o).alias(n) for o, n in ((True, "s"), (False, "c"))]).distinct()
+    items = items.select("item_id", _valued(F.col("s")).alias("o"), _valued(F.col("c")).alias("c")).withColumn("w", _words(F.col("o")))
+    versions = [
+        items.select("item_id", F.lit("opened").alias("version"), F.split("o", " ").alias("own")),
+        items.where("c <> o").select("item_id", F.lit("continued").alias("version"), F.split("c", " ").alias("own")),
+        items.select("item_id", F.lit("words").alias("version"), F.split("w", " ").alias("own")),
+    ]
+    every = versions[0].unionByName(versions[1]).unionByName(versions[2]).where(F.element_at("own", 1) != "")
+    literal = F.col("version") == "words"
+    every = every.where(literal | (F.size("own") >= LEAST_TEMPLATE)).withColumn("width", F.least(F.size("own"), F.lit(WINDOW)))
+    cut = every.select("item_id", "version", literal.alias("literal"), "width", "own", F.explode(F.sequence(F.lit(1), F.size("own") - F.col("width") + 1)).alias("at"))
+    cut = cut.withColumn("own", F.slice("own", F.col("at"), F.col("width"))).withColumn("form", F.when(F.col("literal"), F.col("own")).otherwise(F.transform("own", _canon)))
+    cut = cut.withColumn("rich", F.col("literal") | (2 * F.size(F.filter("form", lambda x: ~_slot(x))) >= F.col("width")))
+    keys = [F.xxhash64(F.col("literal").cast("int"), *[F.get("form", F.lit(k)) for k in range(w)]) for w in range(1, WINDOW + 1)]
+    cut = cut.withColumn("key", F.element_at(F.array(*keys), F.col("width")))
+    total = cut.groupBy("item_id", "version").agg(F.count_distinct("at").alias("total"), F.count_distinct(F.when(F.col("rich"), F.col("at"))).alias("riches"))
+    same = F.col("c.item_id").eqNullSafe(F.col("t.item_id")) & (F.col("c.version") == F.col("t.version"))
+    return cut.alias("c").join(total.alias("t"), same).select("c.*", "t.total", "t.riches")
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+
+
+def candidates(docs: DataFrame, windows: DataFrame, widths: dict[bool, list[int]], n: int) -> DataFrame:
+    """doc_id and digest of the documents with a window whose key is an item's."""
+    valued = _identified(docs).select("doc_id", "digest", _valued(_spaced(F.col("text"), True)).alias("v"))
+    arrays = valued.select("doc_id", "digest", F.split(_canon(F.col("v")), " ").alias("c"), F.split(_words(F.col("v")), " ").alias("w"))
+    kinds = [(lit, name, widths[lit]) for lit, name in ((False, "c"), (True, "w")) if widths.get(lit)]
+    rows = arrays.select("doc_id", "digest", F.inline(F.arrays_zip(*[x for _, name, of in kinds for x in _shifted(name, name, max(of))])))
+    keys = F.array(*[_key([f"{name}{k}" for k in range(w)], lit) for lit, name, of in kinds for w in of])
+    found = rows.select("doc_id", "digest", F.explode(keys).alias("key")).where("key is not null")
+    return found.join(small(windows.select("key").distinct(), 16, n), "key", "left_semi").select("doc_id", "digest").distinct()
+
+
+def matched_windows(docs: DataFrame, windows: DataFrame, widths: dict[bool, list[int]], n: int) -> DataFrame:
+    """Windows of documents that equal the form of a window of an item, token by
+    token: doc_id, digest, item_id, version, literal, rich, total, riches, at,
+    shift, slots (canon, item, doc)."""
+    valued = _identified(docs).select("doc_id", "digest", _valued(_spaced(F.col("text"), True)).alias("v"))
+    arrays = valued.select("doc_id", "digest", F.split(_canon(F.col("v")), " ").alias("c"), F.split("v", " ").alias("v"), F.split(_words(F.col("v")), " ").alias("w"))
+    parts = []
+    for literal, form, value in ((False, "c", "v"), (True, "w", "w")):
+        if not widths.get(literal):
+            continue
+        most = max(widths[literal])
+        rows = arrays.select("doc_id", "digest", F.posexplode(F.arrays_zip(*_shifted(form, "t", most), *_shifted(value, "u", most))).alias("place", "x"))
+        rows = rows.select("doc_id", "digest", "place", "x.*")
+        for w in widths[literal]:
+            whole = rows.where(F.col(f"t{w - 1}").isNotNull())
+            parts.append(whole.select("doc_id", "digest", "place", F.lit(literal).alias("literal"), F.array(*[f"t{k}" for k in range(w)]).alias("form"), F.array(*[f"u{k}" for k in range(w)]).alias("doc")))
+    placed = parts[0]
+    for p in parts[1:]:
+        placed = placed.unionByName(p)
+    hits = placed.join(small(windows.drop("key", "width"), 900, n), ["literal", "form"])
+    slots = F.filter(F.arrays_zip(F.col("form").alias("canon"), F.col("own").alias("item"), F.col("doc").alias("doc")), lambda x: _slot(x["canon"]))
+    return hits.select("doc_id", "digest", "item_id", "version", "literal", "rich", "total", "riches", "at", (F.col("place") + 1 - F.col("at")).alias("shift"), slots.alias("slots"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, item_id, matched, total, coverage, slots of every document that
-    holds at least ``coverage`` of an item's windows in consistent alignments.
-
-    Held are the rich windows as templates; where these do not suffice, the rich
-    windows in any form; else all windows in any form, so that an item without
-    rich windows is found where its words are repeated.  ``matched`` and
-    ``total`` are of the first of these that holds.  Items under ``LEAST_WORDS``
-    tokens are never matched.  Inconsistent slots drop the templates of an
-    alignment; windows that repeat the item's own words always count.
-
-    ``slots`` is the number of distinct slot values of the item that were
-    filled.  Null and empty texts and an empty benchmark match nothing.  Rows
-    that repeat a doc_id count as one document, rows that repeat an item_id as
-    one item.  Other columns are not used.
-    """
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """``contaminated`` with the digest of the text, which with doc_id names the row."""
     windows = written(item_windows(benchmark), "item-windows")
-    widths = {r["width"]: r["n"] for r in windows.groupBy("width").agg(F.count("*").alias("n")).collect()}  # at most WINDOW rows
-    widths = dict(sorted(widths.items())) or {WINDOW: 0}
-    some = written(candidates(docs, windows, widths).select(F.col("doc_id").alias("_doc")), "leak-candidates")
-    near = docs.select("doc_id", "text").join(small(some, 16), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
-    parts = [matched_windows(near, windows, w, n) for w, n in widths.items()]
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    hits = written(hits, "window-hits")
-    place = ["doc_id", "item_id", "shift"]
-    kind = F.col("kind")
-    template, filling = F.when(kind == TEMPLATE, F.col("doc")), F.when(kind != VERBATIM, F.col("doc"))
-    filled = hits.select(*place, "kind", F.explode("slots").alias("s")).select(*place, "kind", "s.canon", "s.item", "s.doc")
-    each = filled.groupBy(*place, "canon", "item").agg(F.count(template).alias("n"), (F.min(template) != F.max(template)).alias("torn"), (F.min(filling) != F.max(filling)).alias("torn_named"))
-    state = each.groupBy(*place).agg(F.bool_or("torn").alias("torn"), F.bool_or("torn_named").alias("torn_named"), F.count_if(F.col("n") > 0).alias("slots"), F.count("*").alias("filled"))
-    aligned = hits.select(*place, "at", "kind", "rich", "total", "whole").distinct()
+    counts = windows.groupBy("literal", "width").agg(F.count("*").alias("n")).collect()  # at most 2 x WINDOW rows
+    n, widths = sum(r["n"] for r in counts), {lit: sorted(r["width"] for r in counts if r["literal"] == lit) for lit in (False, True)}
+    widths = widths if n else {False: [WINDOW], True: [WINDOW]}
+    some = written(candidates(docs, windows, widths, n).select(F.col("doc_id").alias("id"), F.col("digest").alias("of")), "leak-candidates")
+    row = docs.select("doc_id", "text")
+    near = row.join(small(some, 24), row["doc_id"].eqNullSafe(some["id"]) & (F.xxhash64("text") == some["of"]), "left_semi").distinct()
+    hits = written(matched_windows(near, windows, widths, n), "window-hits")
+    place = ["doc_id", "digest", "item_id", "version", "shift"]
+    filled = hits.where("not literal").select(*place, F.explode("slots").alias("s")).select(*place, "s.canon", "s.item", "s.doc")
+    each = filled.groupBy(*place, "canon", "item").agg((F.min("doc") != F.max("doc")).alias("torn"))
+    state = each.groupBy(*place).agg(F.bool_or("torn").alias("torn"), F.count("*").alias("slots"))
+    own = F.forall("slots", lambda s: s["item"] == s["doc"])
+    rows = hits.select(*place, "at", "literal", "rich", "total", "riches", own.alias("own")).distinct().alias("r")
     same = F.lit(True)
     for c in place:
-        same = same & aligned[c].eqNullSafe(state[c])
-    torn = F.coalesce(F.when(kind == NAMED, F.col("torn_named")).when(kind == TEMPLATE, F.col("torn")), F.lit(False))
-    good = aligned.join(state, same, "left").where(~torn).select(aligned["doc_id"], aligned["item_id"], "at", "kind", "rich", "total", "whole", F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("filled", F.lit(0)).alias("filled"))
-    by_place = good.groupBy("doc_id", "item_id", "at").agg(F.bool_or(kind == TEMPLATE).alias("template"), F.bool_or("rich").alias("rich"), F.max("total").alias("total"), F.max("whole").alias("whole"), F.max(F.when(kind == TEMPLATE, F.col("slots"))).alias("slots"), F.max("filled").alias("filled"))
-    out = by_place.groupBy("doc_id", "item_id").agg(
-        F.count_if("template").alias("templates"), F.count_if("rich").alias("riches"), F.count("*").alias("places"), F.max("total").alias("rich"), F.max("whole").alias("whole"), F.max("slots").alias("slots"), F.max("filled").alias("filled")
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
+    joined = rows.join(state.alias("s"), same, "left").select("r.*", F.coalesce("s.torn", F.lit(False)).alias("torn"), F.coalesce("s.slots", F.lit(0)).alias("slots"))
+    good = joined.where(F.col("literal") | F.col("own") | (F.col("rich") & ~F.col("torn")))
+    by = good.groupBy("doc_id", "digest", "item_id", "version").agg(
+        F.count_distinct("at").alias("places"), F.count_distinct(F.when(F.col("rich"), F.col("at"))).alias("found"), F.max("total").alias("total"), F.max("riches").alias("riches"), F.max("slots").alias("slots")
     )
-    holds = lambda n: F.coalesce(F.try_divide(F.col(n), F.col("rich")) >= coverage, F.lit(False))
-    as_template, as_rich = holds("templates"), holds("riches")
-    out = out.select(
-        "doc_id", "item_id", F.when(as_template, F.col("templates")).when(as_rich, F.col("riches")).otherwise(F.col("places")).alias("matched"),
-        F.when(as_template | as_rich, F.col("rich")).otherwise(F.col("whole")).alias("total"), F.when(as_template, F.col("slots")).otherwise(F.col("filled")).alias("slots"),
-    )
-    return out.select("doc_id", "item_id", "matched", "total", (F.col("matched") / F.col("total")).alias("coverage"), "slots").where(F.col("coverage") >= coverage)
+    among_rich = (F.col("riches") > 0) & (F.col("found") * F.col("total") > F.col("places") * F.col("riches"))
+    by = by.select("doc_id", "digest", "item_id", "version", F.when(among_rich, F.col("found")).otherwise(F.col("places")).alias("matched"), F.when(among_rich, F.col("riches")).otherwise(F.col("total")).alias("total"), "slots")
+    best = by.withColumn("share", F.col("matched") / F.col("total")).groupBy("doc_id", "digest", "item_id").agg(F.max(F.struct("share", "matched", "total", "slots", "version")).alias("b"))
+    return best.where(F.col("b.share") >= coverage).select("doc_id", "digest", "item_id", "b.matched", "b.total", F.col("b.share").alias("coverage"), "b.slots")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """doc_id, item_id, matched, total, coverage, slots of every document that
+    holds at least ``coverage`` of the windows of one version of an item.
+
+    A window of canonical tokens counts if the document has the item's own values
+    in its slots, or if it is rich in words and the slots of its alignment are
+    filled consistently; the share is taken of all windows or of the rich ones,
+    whichever is larger.  A window of words counts wherever it stands.
+    ``matched``, ``total`` and ``slots`` (distinct slot values of the item in the
+    alignment) are of the version with the largest share (ties: more windows).
+
+    Null and empty texts, items without a word and an empty table of documents or
+    of items match nothing.  Texts of any length are read whole; memory of a task
+    grows with the words of one text.  Items of any length are matched; those of
+    fewer than ``LEAST_TEMPLATE`` tokens only word for word.  Rows that repeat a
+    doc_id and its text count as one document, rows with one doc_id and different
+    texts as several; rows that repeat an item_id and its text count as one
+    item, different texts of one item_id share its windows.  A null doc_id or
+    item_id is a value like others.  Other columns are not used.
+    """
+    return leaks(docs, benchmark, coverage).drop("digest")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    gone = written(contaminated(docs, benchmark, coverage).select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
-    return docs.join(small(gone, 16), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` without the rows that hold a benchmark item, columns as they were.
+
+    Every row is judged by its own text, also where doc_id is null or repeated;
+    clean rows stay, and so do repeats of them.
+    """
+    gone = written(leaks(docs, benchmark, coverage).select("doc_id", "digest").distinct(), "contaminated").alias("g")
+    rows = packed(docs, id=F.col("doc_id"), of=F.xxhash64("text")).alias("d")
+    return fields_of(rows.join(small(gone, 24), F.col("d.id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.of") == F.col("g.digest")), "left_anti"), docs)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,43 +231,48 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    marks = MARKS.replace("'", "''")
+    """The same by rows of tokens: every word is a row, names are islands of rows,
+    and windows are gathered by position."""
+    marks = "".join("\\" + c if c.isascii() else c for c in MARKS).replace("'", "''")
+    space = " \\t\\n\\x0B\\f\\r"
+    gap = f"[{marks}{space}]*[{space}][{marks}{space}]*"
     units = ", ".join(f"'{u}'" for u in UNITS)
+    own = " || ".join(f"chr({ord(c)})" for c in _OWN)
+
+    def tokens(name, key, source, start):
+        return f"""
+{name}_t AS (SELECT DISTINCT {key}, '{start}' || translate(coalesce(text, ''), {own}, '     ') || ' ' AS x FROM {source}),
+{name}_w AS (SELECT {key}, unnest(range(1, len(ws))) AS i, ws, gs FROM (SELECT {key}, string_split_regex(x, '{gap}')[2:] AS ws, regexp_extract_all(x, '{gap}') AS gs FROM {name}_t)),
+{name}_r AS (SELECT {key}, i, ws[i] AS w, regexp_matches(gs[i], '[{ENDS}]') AS opens FROM {name}_w),
+{name}_k AS (SELECT *, CASE WHEN regexp_matches(w, '^[0-9]') THEN 'N' WHEN lag(regexp_matches(w, '^[0-9]')) OVER p AND NOT opens AND lower(w) IN ({units}) THEN 'U' WHEN NOT opens AND regexp_matches(w, '^\\p{{Lu}}') THEN 'P' ELSE 'W' END AS k
+  FROM {name}_r WINDOW p AS (PARTITION BY {key} ORDER BY i)),
+{name}_g AS (SELECT *, sum(CASE WHEN k = 'P' AND before = 'P' THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY i) AS j FROM (SELECT *, lag(k) OVER (PARTITION BY {key} ORDER BY i) AS before FROM {name}_k)),
+{name}_c AS (SELECT {key}, j, any_value(k) AS k, string_agg(lower(w), ' ' ORDER BY i) AS v FROM {name}_g GROUP BY ALL),
+{name} AS (SELECT {key}, list(CASE WHEN k = 'W' THEN v ELSE '<' || k || '>' END ORDER BY j) AS c, list(v ORDER BY j) AS v FROM {name}_c GROUP BY ALL),
+{name}_l AS (SELECT {key}, list(lower(w) ORDER BY i) AS v FROM {name}_r GROUP BY ALL)"""
 
-    def number(c):
-        return f"(substring({c}, 1, 1) >= '0' AND substring({c}, 1, 1) <= '9')"
-
-    core = f"trim(w, '{marks}')"
-    before = f"trim(ws[i - 1], '{marks}')"
-    first = f"substring({core}, 1, 1)"
-    canon = f"""CASE WHEN {number(core)} THEN '{NUM}'
-      WHEN (({first} >= 'A' AND {first} <= 'Z') OR ({first} >= 'À' AND {first} <= 'Þ')) AND NOT (i = 1 OR right(ws[i - 1], 1) IN ('.', '!', '?', ':')) THEN '{NAME}'
-      WHEN i > 1 AND lower({core}) IN ({units}) AND {number(before)} THEN '{UNIT}' ELSE lower({core}) END"""
-    tok = f"list_filter(list_transform(ws, lambda w, i: {{'canon': {canon}, 'core': {core}}}), lambda x: x.core <> '')"
-    slot = f"IN ('{NUM}', '{UNIT}', '{NAME}')"
     return f"""
-WITH dw AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '{_SPACE}') AS ws FROM documents),
-bw AS (SELECT item_id, string_split_regex(coalesce(text, ''), '{_SPACE}') AS ws FROM benchmark),
-dt AS (SELECT doc_id, {tok} AS tok FROM dw),
-bt AS (SELECT item_id, {tok} AS tok FROM bw),
-bl AS (SELECT item_id, tok, least(len(tok), {WINDOW}) AS width FROM bt WHERE len(tok) >= {LEAST_WORDS}),
-bp AS (SELECT item_id, tok, width, unnest(range(1, len(tok) - width + 2)) AS pos FROM bl),
-bv AS (SELECT item_id, width, pos, tok[pos:pos + width - 1] AS part FROM bp),
-bc AS (SELECT item_id, width, pos, part, list_transform(part, lambda x: x.canon) AS canon FROM bv),
-bk AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS total FROM bc WHERE 2 * len(list_filter(canon, lambda x: x NOT {slot})) >= width),
-ww AS (SELECT DISTINCT width FROM bk),
-dp AS (SELECT doc_id, tok, width, unnest(range(1, len(tok) - width + 2)) AS place FROM dt, ww WHERE len(tok) >= width),
-dv AS (SELECT doc_id, width, place, tok[place:place + width - 1] AS part FROM dp),
-dc AS (SELECT doc_id, width, place, part, list_transform(part, lambda x: x.canon) AS canon FROM dv),
-hit AS (SELECT doc_id, item_id, total, pos, place - pos AS shift, bk.width AS width, bk.canon AS canon, bk.part AS bpart, dc.part AS dpart FROM dc JOIN bk ON dc.canon = bk.canon AND dc.width = bk.width),
-sl AS (SELECT doc_id, item_id, shift, canon, bpart, dpart, unnest(range(1, width + 1)) AS j FROM hit),
-sv AS (SELECT DISTINCT doc_id, item_id, shift, canon[j] AS c, bpart[j].core AS item, dpart[j].core AS doc FROM sl WHERE canon[j] {slot}),
-se AS (SELECT doc_id, item_id, shift, c, item, count(*) AS n FROM sv GROUP BY ALL),
-st AS (SELECT doc_id, item_id, shift, max(n) AS most, count(*) AS slots FROM se GROUP BY ALL),
-good AS (SELECT h.doc_id, h.item_id, h.pos, h.total, coalesce(st.slots, 0) AS slots FROM (SELECT DISTINCT doc_id, item_id, shift, pos, total FROM hit) h
-  LEFT JOIN st ON h.doc_id = st.doc_id AND h.item_id = st.item_id AND h.shift = st.shift WHERE coalesce(most, 1) = 1),
-o AS (SELECT doc_id, item_id, count(DISTINCT pos) AS matched, max(total) AS total, max(slots) AS slots FROM good GROUP BY 1, 2)
-SELECT doc_id, item_id, matched, total, matched / total AS coverage, slots FROM o WHERE matched / total >= {COVERAGE}
+WITH d0 AS (SELECT doc_id, hash(coalesce(text, '')) AS d, text FROM documents), {tokens("dt", "doc_id, d", "d0", ". ").lstrip()},
+{tokens("bo", "item_id", "benchmark", ". ").lstrip()}, {tokens("bc", "item_id", "benchmark", " ").lstrip()},
+bv AS (SELECT item_id, 'opened' AS version, c, v FROM bo UNION ALL SELECT bc.item_id, 'continued', bc.c, bc.v FROM bc JOIN bo ON bc.item_id = bo.item_id WHERE bc.c <> bo.c OR bc.v <> bo.v UNION ALL SELECT item_id, 'words', v, v FROM bo_l),
+bw AS (SELECT item_id, version, c, v, least(len(c), {WINDOW}) AS width FROM bv WHERE version = 'words' OR len(c) >= {LEAST_TEMPLATE}),
+bp AS (SELECT *, unnest(range(1, len(c) - width + 2)) AS pos FROM bw),
+bx AS (SELECT item_id, version, width, pos, c[pos:pos + width - 1] AS form, v[pos:pos + width - 1] AS own FROM bp),
+by_window AS (SELECT *, version = 'words' OR 2 * len(list_filter(form, lambda x: x NOT IN ('<N>', '<U>', '<P>'))) >= width AS rich FROM bx),
+b AS (SELECT *, count(*) OVER q AS total, count(*) FILTER (rich) OVER q AS riches FROM by_window WINDOW q AS (PARTITION BY item_id, version)),
+ww AS (SELECT DISTINCT width, version = 'words' AS lit FROM b),
+dp AS (SELECT doc_id, d, FALSE AS lit, c, v, width, unnest(range(1, len(c) - width + 2)) AS place FROM dt JOIN ww ON NOT lit AND len(c) >= width
+  UNION ALL SELECT doc_id, d, TRUE, v, v, width, unnest(range(1, len(v) - width + 2)) FROM dt_l JOIN ww ON lit AND len(v) >= width),
+dx AS (SELECT doc_id, d, lit, place, c[place:place + width - 1] AS form, v[place:place + width - 1] AS own FROM dp),
+hit AS (SELECT DISTINCT doc_id, d, item_id, version, lit, rich, total, riches, pos, place - pos AS shift, dx.form AS form, b.own AS bo, dx.own AS mine FROM dx JOIN b ON dx.form = b.form AND lit = (version = 'words')),
+sl AS (SELECT doc_id, d, item_id, version, shift, form, bo, mine, unnest(range(1, len(form) + 1)) AS j FROM hit WHERE NOT lit),
+sv AS (SELECT doc_id, d, item_id, version, shift, form[j] AS f, bo[j] AS bi, count(DISTINCT mine[j]) AS values FROM sl WHERE form[j] IN ('<N>', '<U>', '<P>') GROUP BY ALL),
+st AS (SELECT doc_id, d, item_id, version, shift, max(values) > 1 AS torn, count(*) AS slots FROM sv GROUP BY ALL),
+good AS (SELECT h.*, coalesce(slots, 0) AS slots FROM hit h LEFT JOIN st USING (doc_id, d, item_id, version, shift) WHERE lit OR bo = mine OR rich AND NOT coalesce(torn, FALSE)),
+s AS (SELECT doc_id, d, item_id, version, count(DISTINCT pos) AS places, count(DISTINCT pos) FILTER (rich) AS found, max(total) AS total, max(riches) AS riches, max(slots) AS slots FROM good GROUP BY ALL),
+m AS (SELECT doc_id, d, item_id, version, slots, unnest([{{'m': places, 't': total}}, {{'m': found, 't': riches}}]) AS x FROM s),
+best AS (SELECT doc_id, d, item_id, max({{'s': x.m / x.t, 'm': x.m, 't': x.t, 'slots': slots}}) AS b FROM m WHERE x.t > 0 GROUP BY ALL)
+SELECT doc_id, item_id, b.m AS matched, b.t AS total, b.s AS coverage, b.slots AS slots FROM best WHERE b.s >= {COVERAGE}
 """
 
 

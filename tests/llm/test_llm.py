@@ -34,7 +34,7 @@ def awkward(spark):
         (6, long, "en", "s", len(long)), (7, "ÄÖÜ naïve 日本語 <|endoftext|> x", None, "s", 20), (None, "no id", "en", None, 5), (8, "123 456 !!!", "fr", "s", 11), (9, "same text  here", "en", "s", 15),
     ]
     df = spark.createDataFrame(rows, SCHEMA)
-    for c in ("fp", "norm", "size", "shard", "score", "slot", "predicted", "length", "component_id", "rules", "digest", "h", "id", "keep_id"):
+    for c in ("fp", "norm", "size", "shard", "score", "slot", "predicted", "length", "component_id", "rules", "digest", "h", "id", "keep_id", "row", "of", "gone", "_gone", "_sha", "_sha256", "_keep", "_h", "_id", "_bucket", "_row", "_doc", "a.b", "x y"):
         df = df.withColumn(c, F.lit("clash"))
     return df
 
@@ -292,6 +292,61 @@ def test_decontamination_one_slot_edited(spark):
     assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 1)]
 
 
+@pytest.mark.parametrize("item", ["What is seven plus", "Compute 3 4 5 6 7 8 9 10 11", "Solve 12 km 13 kg 14 mg 15 lb 16 oz now", "Yes", "7", "ÎLE Ça Élan Ωmega Привет"])
+def test_decontamination_finds_every_verbatim_item(spark, item):
+    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, " ... ")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"Here it says: {item}. And more."), (2, f"in words ({item.lower()}), then"), (3, "Nothing stands in this text, by 99 of all.")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()) == [(1, 1), (2, 1)]
+
+
+def test_decontamination_names_of_other_lengths(spark):
+    bench = spark.createDataFrame([(1, "A man called John buys 5 books for 3 dollars each. How much does John pay in all?")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "A man called Anna Maria Lopez buys 7 books for 4 dollars each. How much does Anna Maria Lopez pay in all?"), (2, "A man called Öde Ørsted buys 7 books for 4 dollars each. How much does Øre pay in all?")], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.contaminated(docs, bench).where("coverage = 1").collect()] == [1]
+
+
+def test_decontamination_recall_of_new_parameters(spark):
+    """Other numbers and names in real item texts: at least nine of ten are found, and no text of other items is."""
+    rng = random.Random(6)
+    words = "river market engine teacher garden window winter letter bridge orange corner silver planet kitchen forest ticket number basket doctor island".split()
+    names = ["Ann", "Tom Lee", "Eva", "Karl Otto Maier", "Zoé", "Igor"]
+    fill = {"N": lambda: rng.choice(names), "D": lambda: str(rng.randint(2, 900))}
+
+    def text(shape, values):
+        """One value for each placeholder; what is one value in the item is one value in its copy."""
+        return " ".join(values.setdefault(w, fill[w[0]]()) if w[0] in fill else w for w in shape)
+
+    shapes = [["so"] + [rng.choice("ND") + str(rng.randint(0, 3)) if rng.random() < 0.2 else rng.choice(words) for _ in range(rng.randint(10, 40))] for _ in range(120)]
+    items = []
+    for i, x in enumerate(shapes[:60]):
+        values = {f"N{k}": n for k, n in enumerate(rng.sample(names, 4))}
+        items.append((i, text(x, values) + "."))
+    docs = [(i, f"Before it. {text(x, {})}. After it.") for i, x in enumerate(shapes)]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(r["doc_id"] == r["item_id"] for r in found)
+    assert len({r["doc_id"] for r in found}) >= 0.9 * 60
+
+
+def test_decontamination_long_runs(spark):
+    """Marks, spaces, capitals and digits without an end are read in linear time."""
+    n = 300_000
+    texts = ["-" * n, ".-" * (n // 2), " ." * (n // 2), " " * n + "x", "A " * n, "7 km " * (n // 5), "\x01\x04" * n, "Z" * n, "word " * n]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a question of many common words which stands nowhere else")], "item_id long, text string")
+    assert decontaminate.contaminated(docs, bench).count() == 0
+
+
+def test_decontamination_judges_rows(spark):
+    """Null and repeated ids: each row by its own text."""
+    item = "how many apples does the girl have left from all of them"
+    bench = spark.createDataFrame([(None, item)], "item_id long, text string")
+    rows = [(None, "so " + item, 1), (None, "clean text", 2), (5, item, 3), (5, "another clean text", 4), (5, "another clean text", 5), (6, None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int").withColumn("of", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("digest", F.lit("x"))
+    left = decontaminate.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and sorted(r["id"] for r in left.collect()) == [2, 4, 5, 6]
+    assert decontaminate.contaminated(docs, bench).count() == 2
+
+
 def test_decontamination_awkward(spark, awkward):
     bench = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(500, 530)))], "item_id long, text string")
     assert [r["doc_id"] for r in decontaminate.contaminated(awkward, bench).collect()] == [6]
