@@ -9,8 +9,7 @@ scans every text.  All of it is DataFrame functions.
 
 from __future__ import annotations
 
-import re._constants as sre
-import re._parser as sre_parser
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +36,7 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     # The runs of 24 or more are the long ones among the runs of one or more.
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),  # a class, not a repeated group: that would recurse once per word
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("openai", r"sk-[A-Za-z0-9]{20,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
@@ -45,39 +44,66 @@ RULES = (
     Rule("infura", r"infura\.io/v3/[0-9a-f]{32}"),
 )
 
+#: More alternatives of an expression than this are not derived; such a rule scans every text.
 _MAX_ALTERNATIVES = 1024
+#: Matches whose places are summed in one array.
+_BLOCK = 128
 
 
-def _strings(nodes) -> list[list[str]] | None:
-    """Alternatives of a parsed expression, each a list of literal runs that
-    stand in every match in this order; None when there are too many."""
-    # A run that may go on is the last entry; "" separates runs.
-    found = [[""]]
-    for op, arg in nodes:
-        if op is sre.LITERAL:
-            options = [[chr(arg).lower()]]
-        elif op is sre.SUBPATTERN:
-            options = _strings(arg[3])
-        elif op is sre.BRANCH:
-            parts = [_strings(x) for x in arg[1]]
-            options = None if None in parts else [x for p in parts for x in p]
-        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[:2] == (0, 1) and (inner := _strings(arg[2])) is not None and all(len(x) == 1 for x in inner):
-            options = [[""], *inner]
-        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] >= 1 and len(arg[2]) == 1 and arg[2][0][0] is sre.LITERAL:
-            options = [[chr(arg[2][0][1]).lower() * arg[0]] + ([""] if arg[1] != arg[0] else [])]
-        elif op is sre.IN and all(x[0] is sre.LITERAL for x in arg) and len(arg) <= 6:
-            options = [[chr(x[1]).lower()] for x in arg]
-        else:
-            options = [["", ""]]
-        if options is None or len(found) * len(options) > _MAX_ALTERNATIVES:
-            return None
-        found = [[*a[:-1], a[-1] + b[0], *b[1:]] for a in found for b in options]
-    return found
+_ANY = [["", ""]]  # text that need not hold anything: it ends the run before it
+_CLASS = re.compile(r"\[(\^?)((?:\\.|[^\]\\])*)\]")
+_TIMES = re.compile(r"(?:([*+?])|\{(\d+)(?:(,)(\d*))?\})[+?]?")
+_ESCAPE = re.compile(r"\\(?:x([0-9a-fA-F]{2})|(.))")
+
+
+def _join(left: list, right: list) -> list | None:
+    if len(left) * len(right) > _MAX_ALTERNATIVES:
+        return None
+    return [[*a[:-1], a[-1] + b[0], *b[1:]] for a in left for b in right]
+
+
+def _atom(pattern: str, at: int) -> tuple[list | None, int]:
+    """Alternatives of the atom at ``at`` and where it ends."""
+    if pattern[at] == "(":
+        inside = re.compile(r"\((?:\?[a-z]*:)?").match(pattern, at).end()
+        found, at = _branches(pattern, inside)
+        return found, at + 1
+    if m := _CLASS.match(pattern, at):
+        members = [chr(int(h, 16)) if h else c or x for h, c, x in re.findall(r"\\(?:x([0-9a-fA-F]{2})|(.))|(.)", m[2])]
+        plain = not m[1] and len(members) <= 6 and not re.search(r"\\[dwsDWS]|[^\\]-.", m[2])
+        return [[c.lower()] for c in members] if plain else _ANY, m.end()
+    if m := _ESCAPE.match(pattern, at):
+        return [[chr(int(m[1], 16)).lower() if m[1] else m[2].lower()]] if m[1] or not m[2].isalnum() else _ANY, m.end()
+    return ([[pattern[at].lower()]] if pattern[at] not in ".^$" else _ANY), at + 1
+
+
+def _branches(pattern: str, at: int = 0) -> tuple[list | None, int]:
+    """Alternatives of the expression from ``at`` to its end or closing bracket:
+    lists of literal runs that stand in every match in this order.  The last run
+    of a list may go on.  None when there are too many."""
+    found, one = [], [[""]]
+    while at < len(pattern) and pattern[at] != ")":
+        if pattern[at] == "|":
+            found, one, at = (found + one if None not in (found, one) else None), [[""]], at + 1
+            continue
+        options, at = _atom(pattern, at)
+        if m := _TIMES.match(pattern, at):
+            at = m.end()
+            least = {"*": 0, "?": 0, "+": 1}.get(m[1]) if m[1] else int(m[2])
+            exact, once = m[2] is not None and not m[3], m[1] == "?"
+            if once and options is not None and all(len(x) == 1 for x in options):
+                options = [[""], *options]
+            elif least and options is not None and len(options) == 1 and len(options[0]) == 1 and len(options[0][0]) == 1:
+                options = [[options[0][0] * least] + ([] if exact else [""])]
+            else:
+                options = _ANY
+        one = _join(one, options) if None not in (one, options) else None
+    return (found + one if None not in (found, one) else None), at
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     """OR of ANDs of lower-case trigrams, or None if a match need not hold any."""
-    alternatives = _strings(sre_parser.parse(pattern))
+    alternatives, _ = _branches(pattern)
     if alternatives is None:
         return None
     clauses = {frozenset(run[i : i + 3] for run in runs for i in range(len(run) - 2)) for runs in alternatives}
@@ -93,30 +119,47 @@ def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     return low.select(F.explode(present).alias("trigram"), "doc_id").distinct()
 
 
-def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
-    """doc_id and a bit mask of the rules whose trigram query its text satisfies."""
+def rule_trigrams(rules=RULES) -> list[str]:
+    return sorted({t for r in rules for c in trigram_query(r.pattern) or () for t in c})
+
+
+def candidates(docs: DataFrame, rules=RULES, index: DataFrame | None = None) -> DataFrame:
+    """doc_id and a bit mask of the rules whose trigram query its text satisfies.
+
+    ``index`` is a stored result of ``postings`` over ``rule_trigrams``, by which
+    further runs over the same documents need not read their texts for this.
+    """
     spark = docs.sparkSession
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None}
-    trigrams = sorted({t for q in queries.values() for c in q for t in c})
+    trigrams = rule_trigrams(rules)
     number = {t: i for i, t in enumerate(trigrams)}
     clauses = [(rule, k, number[t], len(c)) for rule, q in queries.items() for k, c in enumerate(q) for t in sorted(c)]
     wanted = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, clauses)) + " AS t(rule, clause, trigram, need)")
-    hits = postings(docs, trigrams).join(F.broadcast(wanted), "trigram")  # the rule set's clauses: a fixed list
+    hits = (postings(docs, trigrams) if index is None else index).join(F.broadcast(wanted), "trigram")  # the rule set's clauses: a fixed list
     whole = hits.groupBy("doc_id", "rule", "clause", "need").agg(F.count("*").alias("n")).where("n = need")
     return whole.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
+_SPANS = "array<struct<start:int,ord:int,end:int,kind:string>>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, order, end, kind) of the rule's matches, in code points.
 
-    Matches and the gaps between them come from one expression, so their
-    lengths add up to the places.
+    Matches and the gaps between them come from one expression, so their lengths
+    add up to the places.  The sums run within blocks and then over blocks, as
+    appending to one array would copy it for every match.
     """
     pattern = F.lit(rule.pattern)
     match = F.regexp_extract_all(text, pattern, F.lit(0))
     value = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else match
     pieces = F.arrays_zip(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(match)).alias("gap"), match.alias("hit"), value.alias("value"))
-    none = F.expr("cast(array() as array<struct<start:int,ord:int,end:int,kind:string>>)")
+    none = F.expr(f"cast(array() as {_SPANS})")
 
     def step(state, x):
         start = state["at"] + F.length(x["gap"])
@@ -124,18 +167,32 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(rule.kind).alias("kind"))
         return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= rule.least, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
 
-    folded = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-    return F.when(text.rlike(rule.pattern), folded).otherwise(none)
+    def block(xs, i):
+        return F.aggregate(F.slice(xs, i * _BLOCK + 1, F.lit(_BLOCK)), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def shifted(at, spans):
+        return F.transform(spans, lambda x: F.struct((x["start"] + at).alias("start"), x["ord"].alias("ord"), (x["end"] + at).alias("end"), x["kind"].alias("kind")))
+
+    def chained(blocks):
+        first = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_SPANS}>)").alias("out"))
+        return F.aggregate(blocks, first, lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.array_append(s["out"], shifted(s["at"], b["out"])).alias("out")), lambda s: F.flatten(s["out"]))
+
+    placed = _let(pieces, lambda xs: chained(F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _BLOCK).cast("int")), lambda i: block(xs, i))))
+    return F.when(text.rlike(rule.pattern), placed).otherwise(none)
 
 
-def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
-    """doc_id and ``found``: array of (start, ord, end, kind), sorted.
+def find_secrets(docs: DataFrame, rules=RULES, index: DataFrame | None = None) -> DataFrame:
+    """doc_id and ``found``: array of (start, ord, end, kind), sorted by start and
+    then by the order of the rules, which also settles ties.
 
-    Null counts as the empty text.  Rows without a doc_id are verified by every
-    rule.  Rows that repeat a doc_id share its candidates, which are a superset
-    for each.  Other columns of ``docs`` are not used.
+    Null counts as the empty text, which holds nothing; an empty table gives an
+    empty result.  Texts of any length are read whole: no expression nests a
+    repetition, so time grows in proportion to the text.  Rows without a doc_id
+    are verified by every rule.  Rows that repeat a doc_id each get a row; they
+    share its candidates, which are a superset for each.  Other columns of
+    ``docs`` are not used, so their names cannot clash.
     """
-    found = written(candidates(docs, rules), "secret-candidates")
+    found = written(candidates(docs, rules, index), "secret-candidates")
     marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small(found, 24), "doc_id", "left")
     everything = (1 << len(rules)) - 1
     mask = F.when(F.col("doc_id").isNull(), F.lit(everything)).otherwise(F.coalesce("rules", F.lit(0)))
@@ -143,7 +200,7 @@ def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
     for i, rule in enumerate(rules):
         own = _spans(F.col("text"), rule, i)
         if trigram_query(rule.pattern) is not None:
-            own = F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, own).otherwise(F.expr("cast(array() as array<struct<start:int,ord:int,end:int,kind:string>>)"))
+            own = F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, own).otherwise(F.expr(f"cast(array() as {_SPANS})"))
         spans.append(own)
     return marked.select("doc_id", F.array_sort(F.flatten(F.array(*spans))).alias("found"))
 
