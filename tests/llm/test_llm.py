@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -454,6 +455,56 @@ def test_pages_of_copies_stay(spark):
     assert pages.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("page", ["<i>" * 250_000 + "</x>" * 60_000, "<b><div>" + "<i>" * 170_000 + "</b>" * 120_000, "<p>" * 300_000, "<td>" * 250_000 + "</tr>" * 9, '<div class="' * 80_000, "<div " + "a" * 900_000 + ">x", "<" * 900_000, "<a" + "b" * 400_000 + '"' + "c" * 400_000, "&" * 500_000])
+def test_pages_in_linear_time(page):
+    began = time.process_time()
+    pages.subtree_hashes(page)
+    pages.main_text(page)
+    assert time.process_time() - began < 8  # both passes, on a slow machine
+
+
+def test_names_inside_an_article():
+    body = '<article><p>One.</p><section class="related-work"><p>Two.</p></section><div class="social policy">Three.</div><div class="ad">No.</div><div id="comments">No.</div><p hidden>No.</p><p title="a hidden b">Four.</p></article>'
+    assert pages.main_text(body) == "One. Two. Three. Four."
+    assert pages.main_text("<article>x &am<b>p;lt;</b> &amp;lt; y</article>") == "x &amp;lt; &lt; y"
+
+
+def test_recurring_names_inside_an_article(spark):
+    rows = [(i, f"https://a.org/{i}", f'<article><p>Text {i} is of this page.</p><p class="newsletter">Get our letter</p></article>') for i in range(6)]
+    out = pages.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in out} == {f"Text {i} is of this page." for i in range(6)}
+
+
+@pytest.mark.parametrize("most", [0, 1 << 24])
+def test_page_text_by_brute_force(spark, most):
+    """All pages: the article's markup taken out by hand, blocks parted by a space."""
+    import html as htmllib
+
+    folder = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    got = {r["page_id"]: r for r in pages.extract_main_text(folder, most_broadcast=most).collect()}
+    rows = folder.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        words = re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1)>|<br>", " ", inner))
+        want = " ".join(htmllib.unescape(words).split())
+        assert (got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"], got[r["page_id"]]["url"]) == (want, len(want), r["url"])
+
+
+def test_pages_without_articles_and_repeats(spark):
+    """Pages of a site without article tags: the site's blocks go, copies of one page stay whole, repeats each get a row."""
+    page = "<body><div>Menu of the site</div><div><p>Story {0} has its own words.</p></div></body>"
+    rows = [(i, f"https://a.org/{i}", page.format(i), "x") for i in range(7)] + [(0, "https://a.org/0", page.format(0), "x")] + [(100 + i, "https://b.org/", page.format(1), "x") for i in range(9)]
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000
+    rows += [(200, "https://c.org/", deep, "x"), (201, None, None, None), (None, "https://c.org/", "", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string").withColumn("template", F.lit(1)).withColumn("page", F.lit(1)).withColumn("a.b", F.lit(1))
+    for most in (0, 1 << 24):
+        out = Counter((r["page_id"], r["text"]) for r in pages.extract_main_text(df, most_broadcast=most).collect())
+        assert out[(0, "Story 0 has its own words.")] == 2 and all(out[(i, f"Story {i} has its own words.")] == 1 for i in range(1, 7))
+        assert all(out[(100 + i, "Menu of the site Story 1 has its own words.")] == 1 for i in range(9))
+        assert out[(200, "deep")] == out[(201, "")] == out[(None, "")] == 1 and sum(out.values()) == len(rows)
+
+
 # --- operator 8
 
 
@@ -504,10 +555,32 @@ def test_secrets(spark):
         assert base == brute_secrets(t or ""), t
 
 
+def test_secrets_long_texts(spark):
+    """A megabyte on every rule, with and without matches."""
+    n = 1_000_000
+    texts = [
+        "-----BEGIN " + "A " * 100_000 + "PRIVATE KEY-----", "-----BEGIN " + "AB " * (n // 3), "token=" + "a" * n, "token=abcdefg " * 70_000, "a" * n, "token" + " " * n, "-" * n, "AKIA" * (n // 4),
+        "ghp_" + "a" * n, "sk-" * (n // 3), "0123456789abcdef" * 2 + "é" + "x" * n, "secret='" * 100_000, "deadbeefdeadbeefdeadbeef " * 40_000, "alchemy.com/v2/" * 60_000,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = {r["doc_id"]: r["found"] for r in secrets.find_secrets(docs).collect()}
+    for i, t in enumerate(texts):
+        assert [(s["kind"], s["start"], s["end"]) for s in out[i] if s["kind"] in ("assign", "access", "hex")] == brute_secrets(t), i
+    assert [(s["kind"], s["start"], s["end"]) for s in out[0]] == [("pem", 0, len(texts[0]))]
+
+
+def test_secrets_stored_index(spark, documents):
+    index = secrets.postings(documents, secrets.rule_trigrams()).persist()
+    rows = lambda df: sorted((r["doc_id"], str(r["found"])) for r in df.collect())
+    assert rows(secrets.find_secrets(documents, index=index)) == rows(secrets.find_secrets(documents))
+
+
 def test_trigram_queries():
     by = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.RULES}
     assert by["hex"] is None and by["access"] == [frozenset({"aki", "kia"})]
     assert frozenset({"tok", "oke", "ken"}) in by["assign"]
+    assert secrets.trigram_query("ab+cde?f") == [frozenset({"cde", "def"}), frozenset({"cdf"})]
+    assert secrets.trigram_query("abc(def|gh[ij]k)+xyz") == [frozenset({"abc", "xyz"})] and secrets.trigram_query("a{3}bc") == [frozenset({"aaa", "aab", "abc"})]
     assert secrets.trigram_query("ab|cd") is None and secrets.trigram_query("(abcd|xyz)?q") is None
 
 
