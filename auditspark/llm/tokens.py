@@ -17,10 +17,11 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import table, written
+from auditspark.llm.common import shared_dir, small, table, written
 
 VOCABULARY = "byte_bpe_50k.json"
 OVER = 1024
@@ -205,33 +206,51 @@ def ranks_of(name: str) -> str | None:
     return ranks if path.endswith(".json") and os.path.exists(ranks) else None
 
 
+_CACHE = "tokenizer string, digest binary, n_tokens long"
+#: Name of the cache's folder in the shared folder.
+CACHE = "token-counts-cache"
+
+
 def empty_cache(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "tokenizer string, digest binary, n_tokens long")
+    return spark.createDataFrame([], _CACHE)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The stored counts; an empty table before the first run."""
+    try:
+        return spark.read.schema(_CACHE).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty_cache(spark)
 
 
 def count_tokens(docs: DataFrame, cache: DataFrame | None = None, vocabulary: str = VOCABULARY, over: int = OVER) -> tuple[DataFrame, DataFrame]:
     """Token counts of every whole text, and the rows to append to the cache.
 
     ``cache`` has ``tokenizer`` (digest of the tokenizer's file), ``digest``
-    (SHA-256 of the text as binary) and ``n_tokens``.  Normalisation for the
-    digest is only null -> empty: every other change could change the ids.
-
-    Nulls and empty texts count 0 tokens; repeated rows (also of one doc_id)
-    each get a row; an empty table gives an empty result.  Other columns of
-    ``docs`` are neither used nor returned, so their names cannot clash.
+    (SHA-256 of the text as binary) and ``n_tokens``; rows that repeat a digest
+    count once.  Normalisation for the digest is only null -> empty: every other
+    change could change the ids.  Only texts whose digest is not stored are
+    encoded, and of equal texts one: of the smallest doc_id (rows that repeat
+    this id and the text may each be encoded).
+
+    Nulls and empty texts count 0 tokens; texts of any length are encoded whole;
+    repeated rows (also of one doc_id) each get a row; an empty table gives an
+    empty result.  Other columns of ``docs`` are neither used nor returned, so
+    their names cannot clash.
     """
     spark = docs.sparkSession
     path, ranks = vocabulary_path(vocabulary), ranks_of(vocabulary)
     version = tokenizer_version(path)
     text = F.coalesce(F.col("text"), F.lit(""))
+    digest = F.unhex(F.sha2(text, 256))
     # Digests are computed while reading; only 40 bytes of a row are shuffled.
-    keyed = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    keyed = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"))
     stored = (empty_cache(spark) if cache is None else cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    # One row stands for each distinct missing text.  Copies meet before the shuffle, and the row's place in the
-    # table is not needed: its doc_id and digest find the text again.
-    missing = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(stored, "digest", "left_anti")
-    texts = docs.select("doc_id", text.alias("text")).where(F.col("doc_id").isNotNull())
-    nameless = docs.where(F.col("doc_id").isNull()).select(text.alias("text")).distinct()
+    # One row stands for each distinct missing text: copies meet before the shuffle.
+    missing = written(keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(stored, "digest", "left_anti"), "token-misses").alias("m")
+    texts = docs.select("doc_id", text.alias("text"), digest.alias("digest")).alias("d")
 
     def encode(batches):
         enc = encoder(path, ranks)
@@ -241,11 +260,11 @@ def count_tokens(docs: DataFrame, cache: DataFrame | None = None, vocabulary: st
                 n.append(np.diff(offsets))
                 d += [hashlib.sha256(t.encode()).digest() for t in part]
             counts = np.concatenate(n) if n else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([version] * len(d)), pa.array(d, pa.binary()), pa.array(counts, pa.int64())], ["tokenizer", "digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([version] * len(d), pa.string()), pa.array(d, pa.binary()), pa.array(counts, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
-    chosen = texts.join(missing.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "doc_id", "left_semi").select("text")
-    new = chosen.unionByName(nameless).mapInArrow(encode, "tokenizer string, digest binary, n_tokens long")
-    new = written(new.dropDuplicates(["digest"]), "token-cache")
+    # Few misses are broadcast; many are met by shuffling the texts once.
+    chosen = texts.join(small(missing, 96), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.digest") == F.col("m.digest")), "left_semi").select("text")
+    new = written(chosen.mapInArrow(encode, _CACHE).dropDuplicates(["digest"]), "token-new")
     known = new.select("digest", "n_tokens")
     if cache is not None:
         known = written(stored.unionByName(known), "token-counts")
@@ -253,6 +272,22 @@ def count_tokens(docs: DataFrame, cache: DataFrame | None = None, vocabulary: st
     return out, new
 
 
+def count_with_cache(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, over: int = OVER) -> DataFrame:
+    """``count_tokens`` behind the cache at ``path``, which gets the new counts.
+
+    Appending is one commit of a Spark write.  Two runs at once may both append a
+    digest; that changes no count.  A cache is never rewritten: counts of another
+    version of the tokenizer stay beside the new ones.
+    """
+    spark = docs.sparkSession
+    out, new = count_tokens(docs, read_cache(spark, path), vocabulary, over)
+    if not new.isEmpty():
+        new.write.mode("append").parquet(path)
+    return out
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every document."""
-    return count_tokens(table(spark, sf_dir, "documents"))[0].select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    """doc_id, n_bytes, n_tokens, over_limit of every document, behind the cache
+    in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    return count_with_cache(docs, f"{shared_dir(spark)}/{CACHE}").select("doc_id", "n_bytes", "n_tokens", "over_limit")
