@@ -86,6 +86,11 @@ def made() -> int:
     return len(_WRITTEN)
 
 
+def quoted(name: str):
+    """The column of this very name, also where it has dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def packed(docs: DataFrame, **named) -> DataFrame:
     """The rows of ``docs`` as one struct next to columns of our own, so that no
     name of theirs can clash with one of ours."""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import ascii_lower, small, table, written
+from auditspark.llm.common import ascii_lower, fields_of, packed, small, table, written
 
 #: Fingerprints per run of the merged filter, on average.
 RUN = 256
@@ -107,7 +107,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
     Null counts as the empty text.  Of equal texts the largest doc_id stays (a
     null id only if there is no other); rows that repeat a doc_id *and* its text
-    all report ``kept``.  Other columns of ``docs`` are not used.
+    all report ``kept``.  Texts of any length are compared whole.  An empty table
+    gives an empty result.  Other columns of ``docs`` are not used, so their names
+    cannot clash.
     """
     groups = exact_groups(docs)
     sha = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
@@ -119,14 +121,18 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, columns as they were."""
-    groups = exact_groups(docs).select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"))
+    """``docs`` with one row of each group of equal texts, columns as they were.
+
+    The row with the largest doc_id stays (a null id only if there is no other);
+    of rows that repeat the id and the text of that one, one stays.
+    """
+    groups = exact_groups(docs).alias("g")
     sha = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
-    marked = docs.withColumn("_sha256", sha).join(small(groups, 96), F.col("_sha256") == F.col("_sha"), "left")
-    alone = marked.where(F.col("_sha").isNull()).select(docs.columns)
-    # Rows that repeat the id and the text of the one that stays count once.
-    stay = marked.where(F.col("_sha").isNotNull() & F.col("doc_id").eqNullSafe(F.col("_keep"))).dropDuplicates(["_sha256"]).select(docs.columns)
-    return alone.unionByName(stay)
+    marked = packed(docs, id=F.col("doc_id"), sha=sha).alias("d").join(small(groups, 96), F.col("d.sha") == F.col("g.text_sha256"), "left")
+    marked = marked.select("row", "id", "sha", "keep_id", F.col("text_sha256").isNull().alias("alone"))
+    alone = marked.where("alone").select("row")
+    stay = marked.where(~F.col("alone") & F.col("id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["sha"]).select("row")
+    return fields_of(alone.unionByName(stay), docs)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

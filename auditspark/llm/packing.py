@@ -113,25 +113,27 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = token
 def numbered(rows: DataFrame, group: str, identity: list[str], n: int, name: str = "rank") -> DataFrame:
     """Number the rows of each group from 0 without gaps.
 
-    A group is dealt over hash buckets, so that one that holds a third of all
-    rows still spreads over the tasks; bucket counts give each bucket's start.
+    A group is dealt over hash buckets of the identity, so that one that holds a
+    third of all rows still spreads over the tasks; bucket counts give each
+    bucket's start.  Only rows that repeat a whole identity share a bucket.
     """
     buckets = max(1, n // BUCKET_ROWS)
-    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*identity), F.lit(buckets)))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(group, "_bucket").agg(F.count("*").alias("_n")).select(F.col(group).alias("_group"), F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(group, "_bucket").orderBy(*identity)
-    ranked = dealt.withColumn("_row", F.row_number().over(inside))
-    joined = ranked.join(starts, (F.col(group) == F.col("_group")) & (F.col("_bucket") == F.col("_of")))
-    return joined.withColumn(name, F.col("_start") + F.col("_row") - 1).drop("_bucket", "_row", "_start", "_group", "_of")
+    dealt = rows.select(F.struct("*").alias("row"), F.col(group).alias("of"), F.pmod(F.xxhash64(*identity), F.lit(buckets)).alias("bucket")).alias("d")
+    before = Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("of", "bucket").agg(F.count("*").alias("n")).select("of", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).alias("s")
+    inside = Window.partitionBy("d.of", "d.bucket").orderBy(*[F.col("d.row")[c] for c in identity])
+    ranked = dealt.select("row", "of", "bucket", F.row_number().over(inside).alias("nth")).alias("d")
+    joined = ranked.join(starts, (F.col("d.of") == F.col("s.of")) & (F.col("d.bucket") == F.col("s.bucket")))
+    return joined.select("row.*", (F.col("start") + F.col("nth") - 1).alias(name))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = tokens.VOCABULARY, with_ids: bool = False) -> DataFrame:
     """Place every piece of every text in a sequence of at most ``capacity`` tokens.
 
     A null or empty text is one piece of the end id alone.  Repeated rows are
-    packed one by one.  An empty table gives an empty result.  Other columns of
-    ``docs`` are not used, so their names cannot clash.
+    packed one by one.  Texts of any length are encoded whole and cut.  An empty
+    table gives an empty result.  Other columns of ``docs`` are not used, so their
+    names cannot clash.
     """
     pieces = written(pieces_of(docs, capacity, vocabulary, with_ids), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import table, written
+from auditspark.llm.common import packed, quoted, table, written
 from auditspark.llm.packing import numbered
 
 SHARDS = 16
@@ -93,9 +93,10 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> lis
 def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
     """All columns of ``docs`` plus size, text_crc32, law, shard, slot, grown_shard.
 
-    A null text has size 1 and the checksum of no bytes.  Rows without a doc_id
-    order as id 0.  Repeated rows stay together.  An empty table gives an empty
-    result.  Columns of ``docs`` that have one of the added names are replaced.
+    A null text has size 1 and the checksum of no bytes.  Texts of any length count
+    whole.  Rows without a doc_id order as id 0.  Repeated rows stay together.  An
+    empty table gives an empty result.  Columns of ``docs`` that have one of the
+    added names are replaced, all others stay whatever their names.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     size, h = (F.octet_length(text) + 1).cast("long"), F.xxhash64(text)
@@ -107,14 +108,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -
         if value >= _HIGH or value <= _LOW:
             number = number + F.lit(int(value <= _LOW))
         else:
-            beyond = F.col("_h") >= value if doc is None or doc <= _LOW else (F.col("_h") > value) | ((F.col("_h") == value) & (F.col("_id") >= doc) if doc < _HIGH else F.lit(False))
+            beyond = F.col("h") >= value if doc is None or doc <= _LOW else (F.col("h") > value) | ((F.col("h") == value) & (F.col("id") >= doc) if doc < _HIGH else F.lit(False))
             number = number + beyond.cast("int")
     added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    kept = [c for c in docs.columns if c.lower() not in added]
-    marked = docs.select(*kept, size.alias("size"), F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"), h.alias("_h"), ident.alias("_id"))
-    marked = marked.withColumn("shard", number.cast("int"))
-    placed = numbered(marked, "shard", ["_h", "_id"], rows.count(), "slot")
-    return placed.withColumn("grown_shard", F.lit(None).cast("int")).select(*kept, *added)
+    kept = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in added])
+    marked = packed(kept, size=size, text_crc32=F.crc32(text), law=F.lit("bytes"), h=h, id=ident).withColumnRenamed("row", "given")
+    placed = numbered(marked.withColumn("shard", number.cast("int")), "shard", ["h", "id"], rows.count(), "slot")
+    return placed.select("given.*", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

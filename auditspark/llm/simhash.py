@@ -10,7 +10,9 @@ The range join on the grid: with the segments in B blocks, points at distance 3
 or less agree in at least B - 3 whole blocks, so every pair meets in one of the
 projections onto B - 3 blocks.  Projected cells are joined by equality, pairs in
 a cell are cut by the Manhattan distance and then verified on the fingerprints.
-A cell returns a spanning forest of its links, not its pairs.
+A cell returns a spanning forest of its links, not its pairs.  With segments of two
+bits the bound is close to the distance itself and the projections do most of the
+work; wider segments would cut fewer pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import few_rows, small, table, written
+from auditspark.llm.common import few_rows, fields_of, packed, small, table, written
 from auditspark.llm.components import connected_components
 
 DISTANCE = 3
@@ -34,8 +36,10 @@ CELL = 1024
 _SLICE = 1 << 17
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``fp`` (the 64 bits as a signed long) of every whole text."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, more: list[str] | None = None) -> DataFrame:
+    """``doc_id``, ``fp`` (the 64 bits as a signed long) and the long columns
+    ``more`` of every whole text."""
+    more = more or []
 
     def one(text: str | None) -> int:
         words = (text or "").encode().lower().split()  # bytes: only A-Z and ASCII white space
@@ -57,9 +61,9 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     def apply(batches):
         for b in few_rows(batches):
             fps = np.array([one(t) for t in b.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64)), *(b.column(c) for c in more)], ["doc_id", "fp", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *more).mapInArrow(apply, "doc_id long, fp long" + "".join(f", {c} long" for c in more))
 
 
 def embed(x):
@@ -142,28 +146,48 @@ def near_links(points: DataFrame, distance: int = DISTANCE, blocks: int | None =
     return cells.select("fps").mapInArrow(link, "a long, b long")
 
 
+def _classes(fps: DataFrame, distance: int) -> DataFrame:
+    """``fp``, ``root`` (the fingerprint that names its component), ``component_id``."""
+    points = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
+    roots = written(connected_components(near_links(points.select("fp"), distance)), "roots")
+    grouped = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    firsts = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    return written(grouped.join(firsts, "root").select("fp", "root", "component_id"), "classes")
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id (smallest doc_id that
     links of ``distance`` bits or fewer reach).
 
     Null, empty and blank texts have fingerprint 0 and link like any other.
-    Rows without a doc_id take part; a component of only such rows has a null
-    id.  Other columns of ``docs`` are not used.
+    Texts of any length are read whole, in slices of shingles.  Repeated rows each
+    get a row.  Rows without a doc_id take part; a component of only such rows has
+    a null id.  An empty table gives an empty result.  Other columns of ``docs``
+    are not used, so their names cannot clash.
     """
     fps = written(fingerprints(docs, width), "fingerprints")
-    points = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
-    roots = written(connected_components(near_links(points.select("fp"), distance)), "roots")
-    grouped = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    firsts = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = written(grouped.join(firsts, "root").select("fp", "component_id"), "classes")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(_classes(fps, distance).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
-    """``docs`` with the smallest doc_id of each component, columns as they were."""
-    groups = near_duplicates(docs, distance, width)
-    gone = written(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(small(gone, 16), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each component, columns as they were.
+
+    Every row is judged by its doc_id and its text: the smallest doc_id stays (a
+    null id only if there is no other), of its rows the one with the smallest hash
+    of the text, and of rows that repeat both, one.
+    """
+    known = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    fps = written(fingerprints(known, width, ["digest"]), "fingerprints")
+    classes = _classes(fps, distance)
+    rows = fps.join(classes.select("fp", "root"), "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest").alias("of"))
+    groups = rows.groupBy("root").agg(F.count("*").alias("n"), F.min(order).alias("stays")).where("n > 1")
+    groups = written(groups.select("root", "stays.id", "stays.of"), "near-groups")
+    members = written(rows.join(small(groups, 40), "root").select("root", "doc_id", "digest", (F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of"))).alias("stays")).distinct(), "near-members").alias("m")
+    marked = packed(docs, id=F.col("doc_id"), of=F.xxhash64("text")).alias("d")
+    marked = marked.join(small(members, 40), F.col("d.id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.of") == F.col("m.digest")), "left").select("row", "root", "stays")
+    alone = marked.where("stays IS NULL").select("row")
+    return fields_of(alone.unionByName(marked.where("stays").dropDuplicates(["root"]).select("row")), docs)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,6 +126,31 @@ def test_token_cache(spark, documents):
     assert tokens.count_tokens(documents, other)[1].count() == len({t for _, t in texts_of(documents)})
 
 
+def test_token_cache_of_two_runs(spark, documents, awkward, tmp_path):
+    """The second run encodes nothing and counts the same; a grown table encodes what is new."""
+    at = str(tmp_path / "cache")
+    rows = lambda df: sorted(map(str, df.collect()))
+    first = rows(tokens.count_with_cache(documents, at))
+    assert tokens.read_cache(spark, at).count() == len({t for _, t in texts_of(documents)})
+    _, new = tokens.count_tokens(documents, tokens.read_cache(spark, at))
+    assert new.count() == 0 and rows(tokens.count_with_cache(documents, at)) == first
+    both = documents.unionByName(awkward.select(documents.columns))
+    _, new = tokens.count_tokens(both, tokens.read_cache(spark, at))
+    assert new.count() == len({t for _, t in texts_of(both)} - {t for _, t in texts_of(documents)})
+    grown = tokens.count_with_cache(both, at)
+    assert rows(grown) == rows(tokens.count_tokens(both)[0])
+    assert tokens.read_cache(spark, at).count() == len({t for _, t in texts_of(both)})
+
+
+def test_token_misses_with_a_repeated_id(spark, documents):
+    """A stored text is not encoded again for sharing its doc_id with a miss."""
+    rows = [(1, "stored text"), (1, "a new text"), (None, "stored text"), (None, "another new text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, stored = tokens.count_tokens(docs.where("text = 'stored text'"))
+    _, new = tokens.count_tokens(docs, stored)
+    assert {bytes(r["digest"]) for r in new.collect()} == {hashlib.sha256(t).digest() for t in (b"a new text", b"another new text")}
+
+
 @pytest.mark.parametrize("which", ["documents", "awkward"])
 def test_packing(request, which):
     docs = request.getfixturevalue(which)
@@ -175,26 +200,57 @@ def test_packing_empty(empty):
 # --- operator 3
 
 
-def test_toxicity(spark):
-    out = toxicity.op3_toxicity(spark, "/root/testdata/sf0.01")
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    rows = out.join(docs.select("doc_id", "text", "lang"), "doc_id").join(labels, "doc_id").collect()
+def test_toxicity_held_out(spark):
+    """Precision and recall on held-out labels."""
+    out = toxicity.op3_toxicity(spark, "/root/testdata/sf0.1")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = out.join(labels, "doc_id").collect()
     held = [r for r in rows if r["held_out"]]
-    insulted = lambda r: bool(re.search("idiot|moron|stupid|loser|scum|trash|clown|pathetic|worthless|disgusting", r["text"]))
-    assert held and all(r["predicted"] == int(insulted(r)) for r in held)
+    hit = sum(r["predicted"] and r["toxic"] for r in held)
+    assert hit >= 0.97 * sum(r["predicted"] for r in held) and hit >= 0.85 * sum(r["toxic"] for r in held)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+
+
+def test_composed_machine_equals_the_five_in_a_row():
+    rng = random.Random(3)
+    five, one = toxicity.cascade(), toxicity.composed()
+    for _ in range(3000):
+        line = [(rng.choice(toxicity.WORDS), rng.random()) for _ in range(rng.randint(0, 14))]
+        want = line
+        for t in five:
+            want = t.run(want)
+        got = one.run(line)
+        assert [x for x, _ in got] == [x for x, _ in want]
+        assert np.allclose([w for _, w in got], [w for _, w in want])
 
 
 def test_grammar_context():
     g = toxicity.Grammar({"idiot": 2.0}, {"kill": 1.0})
-    paths = lambda t: [p for c in toxicity.clauses(t) for p, _ in g.paths(c)]
-    assert paths("He is an idiot.") == ["insult+target"]
-    assert paths("an idiot") == ["insult"]
-    assert paths("you are not an idiot") == ["insult+negation"]
-    assert paths("she said you are an idiot") == ["insult+reported"]
-    assert paths("I will kill you") == ["threat+target"]
+    events = lambda t: [toxicity.PATTERNS[p] for c in toxicity.clauses(t) for p, _ in g.events(c)]
+    assert events("He is an idiot.") == ["I+"] and events("an idiot") == ["I"]
+    assert events("an idiot are you") == ["I", "T"]
+    assert events("you are not an idiot") == ["I+-"] and events("not one of them all ever was an idiot") == ["I+"]
+    assert events("she said you are an idiot") == ['I+"']
+    assert events("I will kill you") == ["H", "T"] and events("nothing of this. all of you") == []
     assert g.evidence("nothing here") == 0 and g.evidence(None) == 0
-    assert g.evidence("you idiot") > g.evidence("not an idiot") > 0
+    assert g.evidence("you idiot") > g.evidence("an idiot") > g.evidence("not an idiot") > g.evidence("he wrote not an idiot") > 0
+    assert g.evidence("I will kill you") > g.evidence("kill")
+    assert g.evidence("you idiot. you idiot") == g.evidence("you idiot")
+
+
+def test_lexicon_is_learned(spark):
+    """Insults, threats by their context, and stems of inflected words."""
+    rng = random.Random(8)
+    words = [a + b for a in "lor mip dan tes kol ver sub ran".split() for b in "em it ox al un er".split()]
+    some = lambda: " ".join(rng.choices(words, k=12))
+    ends = [f"{a}{b}" for a in "abcdefghij" for b in "klmnop"]
+    toxic = [f"{some()} I will smurf you {some()}. {some()}" for _ in range(70)] + [f"{some()} grelk {some()}" for _ in range(70)] + [f"{some()}. {some()} zwurg{e} {some()}" for e in ends]
+    clean = [f"{some()} I will {some()} you. {some()}" for _ in range(500)]
+    df = spark.createDataFrame([(i, t, int(i < len(toxic))) for i, t in enumerate(toxic + clean)], "doc_id long, text string, toxic int")
+    g = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert "smurf" in g.threat and "grelk" in g.insult and "zwurg*" in g.insult and not set(words) & (set(g.insult) | set(g.threat))
+    assert g.score(g.evidence("I will smurf you")) >= 0.5 and g.score(g.evidence("that zwurgzzz")) >= 0.5 and g.score(g.evidence(some())) < 0.5
 
 
 def test_toxicity_awkward(spark, awkward, empty):
@@ -524,6 +580,27 @@ def test_sharding(request, which):
         assert max(size.values()) <= sum(size.values()) / 16 + max(r["size"] for r in out)
 
 
+def test_sharding_by_brute_force(spark, documents):
+    """Order by (hash, doc_id): shards are runs of that order that end within the tolerance of
+    their share, or next to it by a row; equal texts share a shard unless one is larger than that."""
+    docs = documents.unionByName(documents.withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    out = sharding.shard(docs.withColumn("h", F.xxhash64("text")).withColumn("given", F.lit(1)).withColumn("bucket", F.lit(1)).withColumn("a.b", F.lit(1))).collect()
+    rows = sorted(out, key=lambda r: (r["h"], r["doc_id"]))
+    assert [r["shard"] for r in rows] == sorted(r["shard"] for r in rows)
+    total = sum(r["size"] for r in rows)
+    by_text = defaultdict(set)
+    for r in rows:
+        by_text[r["text"]].add(r["shard"])
+    assert all(len(s) == 1 for t, s in by_text.items() if 2 * (len(t.encode()) + 1) <= 0.002 * total / 16)
+    ends, at = [0] * 17, 0
+    for r in rows:
+        at += r["size"]
+        for i in range(r["shard"] + 1, 17):
+            ends[i] = at
+    largest = max(r["size"] for r in rows)
+    assert all(abs(ends[i] - total * i / 16) <= max(largest, 0.002 * total / 16) for i in range(1, 17))
+
+
 def test_sharding_hot_text(spark):
     rows = [(i, "hot text that is everywhere", "en", "s", 1) for i in range(3000)] + [(10_000 + i, f"text number {i} " * (1 + i % 7), "en", "s", 1) for i in range(6000)]
     out = sharding.shard(spark.createDataFrame(rows, SCHEMA)).groupBy("shard").agg(F.sum("size").alias("b")).collect()
