@@ -28,7 +28,7 @@ OVER = 1024
 
 #: Characters that some regular-expression engine takes as white space, besides
 #: space and line feed.
-_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A space with white space on both sides (or at the end of the text).  There a
 #: cut before each space would not fall between two pre-tokens.
 _UNSAFE = re.compile(r"\s (?=\s|\Z)")
