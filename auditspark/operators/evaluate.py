@@ -36,15 +36,14 @@ def _measures(rows: DataFrame) -> DataFrame:
 def bench_scores(findings: DataFrame, units: DataFrame, labels: DataFrame, unit: str = "doc_id") -> DataFrame:
     """tp and fp of findings, fn of labels; overall, per language, per category.
 
-    Two grains (findings; labels) are unioned into one table of flags, so that
-    one grouping-sets aggregate gives all scopes in a single shuffle.
+    Findings and labels are counted by (unit, category) and joined once, so each is
+    read once; one grouping-sets aggregate gives all scopes.
     """
-    known = findings.join(units.select(unit, F.col("language").alias("_lang")), unit)
-    f = match_labels(known, labels, unit).select(F.col("_lang").alias("language"), "category", F.col("tp").cast("int").alias("tp"), (~F.col("tp")).cast("int").alias("fp"), F.lit(0).alias("positives"), F.lit(0).alias("fn"))
-    found = findings.select(unit, "category").distinct().withColumn("_f", F.lit(1))
-    truth = labels.join(units.select(unit, "language"), unit).join(found, [unit, "category"], "left")
-    t = truth.select("language", "category", F.lit(0).alias("tp"), F.lit(0).alias("fp"), F.lit(1).alias("positives"), F.col("_f").isNull().cast("int").alias("fn"))
-    rows = f.unionByName(t)
+    found = findings.groupBy(unit, "category").agg(F.count("*").alias("n"))
+    truth = labels.groupBy(unit, "category").agg(F.count("*").alias("positives"))
+    both = found.join(truth, [unit, "category"], "full_outer").join(units.select(unit, "language"), unit)
+    n, known = F.coalesce("n", F.lit(0)), F.col("positives").isNotNull()
+    rows = both.select("language", "category", F.when(known, n).otherwise(0).alias("tp"), F.when(known, 0).otherwise(n).alias("fp"), F.coalesce("positives", F.lit(0)).alias("positives"), F.when(F.col("n").isNull(), F.col("positives")).otherwise(0).alias("fn"))
     sets = rows.groupingSets([[], [F.col("language")], [F.col("category")]], F.col("language"), F.col("category"))
     return _measures(sets.agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "positives", "fn")]))
 

@@ -22,13 +22,34 @@ def consensus(rows: DataFrame, key: list[str], engine: str = "engine", confidenc
     shuffle, and joined back; all members of a group are treated alike.
     """
     sources = rows.groupBy(*key).agg(F.array_sort(F.collect_set(engine)).alias("sources"))
-    out = rows.join(sources, key)
+    return _adjusted(rows.join(sources, key), engine, confidence, weak_engine)
+
+
+def _adjusted(out: DataFrame, engine: str, confidence: str, weak_engine: str) -> DataFrame:
     many = F.size("sources") >= 2
     lone = ~many & (F.col(engine) == weak_engine) & (F.col(confidence) < 0.55)
     adjusted = F.when(many, F.least(F.lit(0.99), F.col(confidence) + 0.15)).when(lone, F.greatest(F.lit(0.05), F.col(confidence) - 0.05)).otherwise(F.col(confidence))
     return out.withColumn("corroborated", many).withColumn("adjusted", F.round(adjusted, 4))
 
 
+def consensus_in_rows(rows: DataFrame, weak_engine: str = "heuristic") -> DataFrame:
+    """``consensus`` by (doc_id, category) over ``found_rules``: all findings of a
+    document stand in one row, so its engines are looked up there, without a shuffle."""
+    r = rows.select("doc_id", "target", "language", "found", F.explode("found").alias("r"))
+    engines = F.array_sort(F.array_distinct(F.transform(F.filter("found", lambda x: x["category"] == F.col("r.category")), lambda x: x["engine"])))
+    r = r.select("doc_id", "target", "language", "r.*", engines.alias("sources"))
+    return _adjusted(r, "engine", "confidence", weak_engine)
+
+
+def dedupe_first_in_rows(rows: DataFrame, stage) -> DataFrame:
+    """``dedupe_first`` by (doc_id, category) over ``found_rules``, by ``stage`` (of an
+    engine column) and rule_id, without a shuffle."""
+    r = rows.select("doc_id", "target", "language", "found", F.explode("found").alias("r"))
+    order = lambda x: F.struct(stage(x["engine"]).alias("stage"), x["rule_id"].alias("rule"))
+    beaten = F.exists("found", lambda x: (x["category"] == F.col("r.category")) & (order(x) < order(F.col("r"))))
+    return r.where(~beaten).select("doc_id", "target", "language", "r.*")
+
+
 def rank_findings(rows: DataFrame, tie: str = "fingerprint") -> DataFrame:
     return rows.orderBy(severity_rank(F.col("severity")).desc(), F.desc("confidence"), F.asc(tie))
 
@@ -64,6 +85,23 @@ def upsert(stored: DataFrame, batch: DataFrame, key: str = "fingerprint") -> Dat
     )
 
 
+def newest_of(batch: DataFrame, key: str = "fingerprint") -> DataFrame:
+    """One row per key of a batch: its latest sighting, with ``first_seen`` the earliest."""
+    others = [c for c in batch.columns if c not in (key, "seen")]
+    rows = batch.groupBy(key).agg(F.max(F.struct("seen", *others)).alias("r"), F.min("seen").alias("first_seen"))
+    return rows.select(key, *[F.col("r")[c].alias(c) for c in others], F.col("r.seen").alias("seen"), "first_seen")
+
+
+def upsert_store(stored: DataFrame | None, batch: DataFrame, key: str = "fingerprint") -> DataFrame:
+    """``upsert`` into a stored snapshot (None: an empty one) of a batch that may
+    repeat keys.  The first sighting is the earliest of the store and the batch."""
+    new = newest_of(batch, key)
+    store = new.limit(0).withColumn("last_seen", F.col("seen")) if stored is None else stored.withColumn("seen", F.col("first_seen"))
+    out = upsert(store, new.drop("first_seen"), key)
+    first = new.select(F.col(key).alias("k"), F.col("first_seen").alias("f"))
+    return out.join(first, F.col(key) == F.col("k"), "left").withColumn("first_seen", F.least("first_seen", F.coalesce("f", "first_seen"))).drop("k", "f")
+
+
 def resolve_prefix(prefixes: DataFrame, keys: DataFrame, length: int) -> DataFrame:
     """``prefix``, ``state`` (unique, ambiguous, missing) and the ``key`` if unique.
 

@@ -26,14 +26,14 @@ TEXT_RULES = (
     Rule("e-mail", "personal-data", "MEDIUM", 0.7, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}", "static"),
     Rule("license-line", "license", "INFO", 0.9, r"Licensed under", "static"),
     Rule("junk-symbols", "low-quality", "LOW", 0.8, r"([#$%&*]{3}\s+\S+){3}", "static"),
-    Rule("table-bars", "low-quality", "LOW", 0.4, r"(\S+ \| ){5}", "heuristic"),
+    Rule("table-bars", "low-quality", "LOW", 0.4, r"\S \| (\S+ \| ){4}", "heuristic"),
     Rule("short-text", "low-quality", "LOW", 0.5, r"^\S*(\s+\S+){0,19}\s*$", "heuristic"),
     Rule("insult", "toxic", "HIGH", 0.6, r"(^|[^A-Za-z])(idiot|moron|stupid|loser|scum|trash|clown|pathetic|worthless|disgusting)([^A-Za-z]|$)", "static"),
 )
 
 
-def scan_documents(docs: DataFrame, rules=TEXT_RULES) -> DataFrame:
-    """One row per document and rule that matches.
+def found_rules(docs: DataFrame, rules=TEXT_RULES) -> DataFrame:
+    """doc_id, target, language, and ``found``: array of the rules that match.
 
     Each pattern is a literal of the plan, so it is compiled once per task; all
     rules run in one pass over the text, without a join or a shuffle.
@@ -43,7 +43,12 @@ def scan_documents(docs: DataFrame, rules=TEXT_RULES) -> DataFrame:
         F.when(text.rlike(r.pattern), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).cast("double").alias("confidence"), F.lit(r.engine).alias("engine")))
         for r in rules
     ]
-    rows = docs.select("doc_id", F.col("source").alias("target"), F.col("lang").alias("language"), F.explode(F.array_compact(F.array(*found))).alias("r"))
+    return docs.select("doc_id", F.col("source").alias("target"), F.col("lang").alias("language"), F.array_compact(F.array(*found)).alias("found"))
+
+
+def scan_documents(docs: DataFrame, rules=TEXT_RULES) -> DataFrame:
+    """One row per document and rule that matches."""
+    rows = found_rules(docs, rules).select("doc_id", "target", "language", F.explode("found").alias("r"))
     return rows.select("doc_id", "target", "language", "r.*")
 
 
@@ -97,6 +102,7 @@ INJECTIONS = (
     (r"require\s*\([^;]{0,200}https?://[^;]{0,200}\)", REDACTED),
     (r"assert\s*\([^;]{0,200}https?://[^;]{0,200}\)", REDACTED),
 )
+# Marks of a response that followed an injection.
 RESPONSE_MARKERS = (
     "i will ignore my previous instructions",
     "i'm ignoring my system prompt",

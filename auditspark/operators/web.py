@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditspark.operators.planning import global_rank
 from auditspark.functions.text import hostname_of, path_of
 
 _LINK = "(?:href|src|action)=\"([^\"]+)\""
@@ -12,9 +13,9 @@ _SCRIPT = "<script[^>]*src=\"([^\"]+[.]js)\""
 
 
 def resume_targets(targets: DataFrame, done: DataFrame, key: str, size: int) -> DataFrame:
-    """Targets not done, in chunks of ``size`` by name (a target list, not a corpus)."""
+    """Targets not done, in chunks of ``size`` by name."""
     left = targets.join(done.select(key).distinct(), key, "left_anti")
-    return left.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size).cast("int"))
+    return global_rank(left, [F.asc(key)]).withColumn("chunk", F.floor(F.col("rank") / size).cast("int")).drop("rank")
 
 
 def resolve(base: Column, link: Column) -> Column:

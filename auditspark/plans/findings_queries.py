@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from auditspark.functions.text import sarif_level, severity_rank
 from auditspark.operators import findings as fd
+from auditspark.operators.rules import found_rules
 from auditspark.plans.base import query
 from auditspark.plans.bindings import FINDINGS_SQL, HITS_SQL, RANK_SQL, findings_from_orders, hits
 from auditspark.sources import feeds
@@ -50,8 +51,7 @@ def status_history(t):
 
 @query("dedupe_first", f"SELECT doc_id, category, rule_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY CASE engine WHEN 'static' THEN 0 WHEN 'gitleaks' THEN 1 ELSE 2 END, rule_id) AS n FROM {HITS_SQL}) WHERE n = 1")
 def dedupe_first(t):
-    stage = F.when(F.col("engine") == "static", 0).when(F.col("engine") == "gitleaks", 1).otherwise(2)
-    return fd.dedupe_first(hits(t.documents), ["doc_id", "category"], [stage.asc(), F.asc("rule_id")]).select("doc_id", "category", "rule_id")
+    return fd.dedupe_first_in_rows(found_rules(t.documents), lambda e: F.when(e == "static", 0).when(e == "gitleaks", 1).otherwise(2)).select("doc_id", "category", "rule_id")
 
 
 @query(
@@ -60,7 +60,7 @@ def dedupe_first(t):
     SELECT h.doc_id, h.rule_id, sources, n >= 2 AS corroborated, round(CASE WHEN n >= 2 THEN least(0.99, confidence + 0.15) WHEN engine = 'heuristic' AND confidence < 0.55 THEN greatest(0.05, confidence - 0.05) ELSE confidence END, 4) AS adjusted FROM {HITS_SQL} h JOIN g ON h.doc_id = g.doc_id AND h.category = g.category""",
 )
 def consensus(t):
-    return fd.consensus(hits(t.documents), ["doc_id", "category"]).select("doc_id", "rule_id", F.array_join("sources", ",").alias("sources"), "corroborated", "adjusted")
+    return fd.consensus_in_rows(found_rules(t.documents)).select("doc_id", "rule_id", F.array_join("sources", ",").alias("sources"), "corroborated", "adjusted")
 
 
 _ORDER = f"{_RANK} DESC, confidence DESC, doc_id, rule_id"

@@ -108,9 +108,10 @@ def import_context(t):
     return d.where("before < 6000").select("source", "doc_id", F.least("n", 6000 - F.col("before")).alias("taken"))
 
 
-@query("enclosing_unit", "SELECT e.event_id, CAST(c.k AS BIGINT) AS unit FROM (SELECT event_id, user_id, value FROM events) e JOIN (SELECT DISTINCT user_id, unnest(range(0, 20)) AS k FROM events) c ON c.user_id = e.user_id AND e.value >= c.k * 10 AND e.value < (c.k + 1) * 10")
+@query("enclosing_unit", "SELECT event_id, CAST(floor(value / 10) AS BIGINT) AS unit FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL")
 def enclosing_unit(t):
-    """The line range (decade of the value) that encloses a finding, by file."""
-    units = t.events.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("unit"))
-    e = t.events.select("event_id", "user_id", "value")
-    return e.join(units, (e["user_id"] == units["user_id"]) & (F.col("value") >= F.col("unit") * 10) & (F.col("value") < (F.col("unit") + 1) * 10)).select("event_id", "unit")
+    """The range of ten that encloses a finding's value, among its user's ranges; an equality join on the range's number."""
+    at = F.floor(F.col("value") / 10)
+    units = t.events.select("user_id", at.alias("unit"), (at * 10).alias("first"), (at * 10 + 10).alias("end")).distinct()
+    e = t.events.select("event_id", "user_id", "value", at.alias("unit"))
+    return e.join(units, ["user_id", "unit"]).where((F.col("value") >= F.col("first")) & (F.col("value") < F.col("end"))).select("event_id", "unit")

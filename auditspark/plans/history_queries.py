@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auditspark.operators import history as hi
+from auditspark.operators.planning import global_rank
 from auditspark.plans.base import query
 from auditspark.plans.bindings import LINES_SQL, lines
 
@@ -64,10 +65,10 @@ def unresolved(t):
     return hi.current_status(t.events, "user_id", ["ts", "event_id"], "event_type").where(~F.col("status").isin("purchase", "error"))
 
 
-@query("stale_claims", "WITH m AS (SELECT max(ts) AS now FROM events), c AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) FILTER (event_type = 'click') AS claimed FROM events WHERE event_id % 40 < 3 GROUP BY 1) SELECT user_id, claimed FROM c, m WHERE status = 'click' AND claimed < now - INTERVAL 2 DAY")
+@query("stale_claims", "WITH m AS (SELECT max(ts) AS now FROM events), c AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) FILTER (event_type = 'click') AS claimed FROM events GROUP BY 1) SELECT user_id, claimed FROM c, m WHERE status = 'click' AND claimed < now - INTERVAL 2 DAY")
 def stale_claims(t):
     now = F.lit(t.events.agg(F.max("ts")).first()[0])
-    return hi.stale_claims(t.events.where("event_id % 40 < 3"), "user_id", "ts", "event_type", now, 2)
+    return hi.stale_claims(t.events, "user_id", "ts", "event_type", now, 2)
 
 
 @query("version_order", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version FROM events")
@@ -88,7 +89,7 @@ def since_version(t):
 def version_key(t):
     """Natural order: v2 before v10."""
     tags = t.events.select(F.concat(F.lit("v"), (F.col("user_id") % 12).cast("string"), F.lit("."), (F.col("event_id") % 25).cast("string")).alias("tag")).distinct()
-    return tags.withColumn("place", F.row_number().over(Window.orderBy(hi.version_key(F.col("tag")), "tag")))  # a tag list
+    return global_rank(tags, [hi.version_key(F.col("tag")).asc(), F.asc("tag")], "place").select("tag", (F.col("place") + 1).alias("place"))
 
 
 @query("impl_change", "SELECT event_id, old, event_type AS new FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events WHERE event_type IN ('click', 'view')) WHERE old IS NOT NULL AND old <> event_type")
@@ -128,13 +129,13 @@ def file_changes(t):
     return hi.file_changes(before, now)
 
 
-_WORDS = "(SELECT source AS fn, doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS w FROM documents WHERE lang = 'es')"
+_WORDS = "(SELECT source AS fn, doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS w FROM documents)"
 
 
 @query("change_multiset", f"SELECT fn, w, CASE WHEN d > 0 THEN 'added' ELSE 'removed' END AS change, abs(d) AS times FROM (SELECT fn, w, CAST(sum(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS d FROM {_WORDS} GROUP BY 1, 2) WHERE d <> 0")
 def change_multiset(t):
     """Words of even documents against those of odd ones, per source."""
-    w = t.documents.where("lang = 'es'").select(F.col("source").alias("fn"), "doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("w"))
+    w = t.documents.select(F.col("source").alias("fn"), "doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("w"))
     return hi.change_multiset(w.where("doc_id % 2 = 1"), w.where("doc_id % 2 = 0"), ["fn"], "w")
 
 

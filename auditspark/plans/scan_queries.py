@@ -10,11 +10,11 @@ from auditspark.plans.base import query
 from auditspark.plans.bindings import HITS_SQL, LINES_SQL, RANK_SQL, hits, lines
 
 
-@query("read_corpus", "SELECT doc_id, source, octet_length(encode(text)) AS bytes FROM documents WHERE octet_length(encode(text)) <= 16384 AND source NOT IN ('src3', 'src7')")
+@query("read_corpus", "SELECT doc_id, source, octet_length(encode(text)) AS bytes FROM documents WHERE octet_length(encode(text)) <= 1048576 AND source NOT IN ('src3', 'src7')")
 def read_corpus(t):
     """Files below a size limit, outside skipped folders."""
     size = F.octet_length("text").cast("long")
-    return t.documents.where((size <= 16384) & ~F.col("source").isin("src3", "src7")).select("doc_id", "source", size.alias("bytes"))
+    return t.documents.where((size <= 1 << 20) & ~F.col("source").isin("src3", "src7")).select("doc_id", "source", size.alias("bytes"))
 
 
 @query(

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from auditspark.functions.text import trigger_id
-from auditspark.operators.findings import upsert
+from auditspark.operators.findings import upsert_store
 from auditspark.operators.graph import _folder
 from auditspark.plans.base import query
 from auditspark.streaming import jobs
@@ -88,7 +88,7 @@ def findings_stream(t):
     """Upserts of a stream into snapshots; the newest one holds every finding."""
     at = f"{_folder(t.spark)}/findings-{uuid.uuid4().hex}"
     e = _events(t).select(F.col("event_id").alias("fingerprint"), F.col("user_id").alias("target"), F.col("event_type").alias("status"), F.lit("LOW").alias("severity"), F.col("value").cast("decimal(18,6)").alias("paid"), F.col("ts").alias("seen"))
-    jobs.findings_stream(e, at + "/store", at + "/checkpoint", lambda s, b: upsert(s.withColumn("seen", F.col("first_seen")), b)).awaitTermination()
+    jobs.findings_stream(e, at + "/store", at + "/checkpoint", upsert_store).awaitTermination()
     s = t.spark.read.parquet(at + "/store")
     newest = s.agg(F.max("v")).first()[0]
     return s.where(F.col("v") == newest).select("fingerprint", "target", "status")

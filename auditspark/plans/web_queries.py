@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from auditspark.functions import text as fx
 from auditspark.operators import ledger, web
+from auditspark.operators.secrets import KEY_SHAPES, secret_findings
+from auditspark.operators.secrets import secret_scan as scan_secrets
 from auditspark.plans.base import query
 
 _HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1))"
@@ -99,14 +101,24 @@ def url_functions(t):
     return t.pages.select("page_id", fx.hostname_of(u).alias("host"), fx.registered_domain(fx.hostname_of(u)).alias("domain"), fx.path_of(u).alias("path"), fx.normalize_url(u).alias("normal"))
 
 
-_FOUND = "(SELECT page_id, url, unnest(regexp_extract_all(coalesce(html, ''), '[0-9a-f]{24,}')) AS v FROM pages)"
+def _secrets_sql(table, key, text):
+    parts = []
+    for kind, shape in KEY_SHAPES:
+        p = shape.replace("'", "''")
+        parts.append(f"SELECT {key}, '{kind}' AS kind, unnest(regexp_extract_all(content, '{p}')) AS value, line FROM ls")
+    return f"(WITH ls AS (SELECT {key}, lines[i] AS content, i AS line FROM (SELECT {key}, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT {key}, string_split(coalesce({text}, ''), chr(10)) AS lines FROM {table}))) " + " UNION ALL ".join(parts) + ")"
 
 
-@query("page_secrets", f"SELECT 'hex:' || left(sha256(v), 16) AS finding_id, min(page_id) AS first_page, count(DISTINCT page_id) AS n_pages, CASE WHEN length(min(v)) <= 12 THEN '***' ELSE left(min(v), 4) || '…' || right(min(v), 4) END AS shown FROM {_FOUND} GROUP BY 1")
+@query("secret_scan", f"SELECT doc_id, kind, sha256(value) AS digest, line FROM {_secrets_sql('documents', 'doc_id', 'text')}")
+def secret_scan(t):
+    """Keys of known shapes in documents, with their lines."""
+    return scan_secrets(t.documents, "doc_id", "text").select("doc_id", "kind", F.sha2("value", 256).alias("digest"), F.col("line").cast("long").alias("line"))
+
+
+@query("page_secrets", f"SELECT kind || ':' || left(sha256(value), 16) AS finding_id, kind, min(page_id) AS first_page_id, count(DISTINCT page_id) AS seen_in, CASE WHEN length(min(value)) <= 12 THEN '***' ELSE left(min(value), 4) || '…' || right(min(value), 4) END AS shown FROM {_secrets_sql('pages', 'page_id', 'html')} GROUP BY 1, 2")
 def page_secrets(t):
     """Secrets of pages, once per value, redacted."""
-    found = t.pages.select("page_id", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit("[0-9a-f]{24,}"), F.lit(0))).alias("v"))
-    return found.groupBy(fx.finding_id(F.lit("hex"), F.col("v")).alias("finding_id")).agg(F.min("page_id").alias("first_page"), F.countDistinct("page_id").alias("n_pages"), fx.redact(F.min("v")).alias("shown"))
+    return secret_findings(scan_secrets(t.pages, "page_id", "html"), "page_id")
 
 
 _BUILDS = f"(SELECT {_HOST} AS host, page_id % 3 AS build, list(DISTINCT h) AS routes FROM (SELECT url, page_id, unnest(regexp_extract_all(coalesce(html, ''), 'href=\"(/[^\"]+)\"', 1)) AS h FROM pages) GROUP BY 1, 2)"

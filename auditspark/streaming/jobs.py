@@ -89,15 +89,15 @@ def drain(queue: DataFrame, done_path: str, checkpoint: str, handle: Callable[[D
     return queue.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def findings_stream(findings: DataFrame, store: str, checkpoint: str, upsert: Callable[[DataFrame, DataFrame], DataFrame]):
+def findings_stream(findings: DataFrame, store: str, checkpoint: str, upsert: Callable[[DataFrame | None, DataFrame], DataFrame]):
     """Upsert batches into numbered snapshots of a store; a replay rewrites the
-    snapshot of its own number from the one before."""
+    snapshot of its own number from the one before.  The first batch goes through
+    the same upsert, with None for the store."""
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         stored = spark.read.parquet(f"{store}/v={number - 1}") if number else None
-        out = upsert(stored, df) if stored is not None else df
-        out.write.mode("overwrite").parquet(f"{store}/v={number}")
+        upsert(stored, df).write.mode("overwrite").parquet(f"{store}/v={number}")
 
     return findings.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
