@@ -7,6 +7,7 @@ needs a parser, which runs per file in Arrow batches.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -70,20 +71,52 @@ _PY_HEAD = re.compile(r"^([ \t]*)def\s+([A-Za-z_]\w*)\s*\(", re.M)
 _SCHEMA = "doc_id long, name string, kind string, signature string, body string, first_line int, last_line int"
 
 
-def braced_functions(source: str):
-    """(name, kind, signature, body, first line, last line); comments are blanked."""
+# How functions begin in languages with braces.
+_HEADS = {
+    "move": r"\b(fun)\s+([A-Za-z_]\w*)\s*(?:<[^>(]*>)?\s*\(",
+    "rust": r"\b(fn)\s+([A-Za-z_]\w*)\s*(?:<[^>(]*>)?\s*\(",
+    "go": r"\b(func)\s+(?:\([^()]*\)\s*)?([A-Za-z_]\w*)\s*\(",
+    "huff": r"#define\s+(macro|fn)\s+([A-Za-z_]\w*)\s*\(",
+    "yul": r"\b(function)\s+([A-Za-z_]\w*)\s*\(",
+}
+_HEADS |= dict.fromkeys(("solana", "cosmwasm", "ink", "substrate"), _HEADS["rust"])
+_HEADS = {lang: re.compile(p) for lang, p in _HEADS.items()}
+_SCILLA = re.compile(r"^[ \t]*(transition|procedure)[ \t]+([A-Za-z_]\w*)[^\n]*", re.M)
+
+
+def _at_or_after(places: list[int], at: int, none: int) -> int:
+    i = bisect_left(places, at)
+    return places[i] if i < len(places) else none
+
+
+def braced_functions(source: str, lang: str = "solidity"):
+    """(name, kind, signature, body, first line, last line); comments are blanked.
+    Brackets are matched once for the file, so time is linear in it."""
     text = re.sub(r"/\*.*?\*/|//[^\n]*", lambda m: re.sub(r"[^\n]", " ", m[0]), source, flags=re.S)
-    for m in _HEAD.finditer(text):
-        opening, stop = text.find("{", m.end()), text.find(";", m.end())
-        if opening < 0 or 0 <= stop < opening:
+    lines = [m.start() for m in re.finditer("\n", text)]
+    opens, ends, stack, closes = [], [m.start() for m in re.finditer(";", text)], [], {}
+    for m in re.finditer(r"[{}]", text):
+        if m[0] == "{":
+            opens.append(m.start())
+            stack.append(m.start())
+        elif stack:
+            closes[stack.pop()] = m.end()
+    for m in _HEADS.get(lang, _HEAD).finditer(text):
+        opening, stop = _at_or_after(opens, m.end(), -1), _at_or_after(ends, m.end(), len(text))
+        if opening < 0 or stop < opening:
             continue  # a declaration without a body
-        depth, at = 0, opening
-        for b in re.finditer(r"[{}]", text[opening:]):
-            depth += 1 if b[0] == "{" else -1
-            at = opening + b.end()
-            if depth == 0:
-                break
-        yield m[2] or m[1], m[1], text[m.start() : opening].strip(), text[opening:at], text.count("\n", 0, m.start()) + 1, text.count("\n", 0, at) + 1
+        at = closes.get(opening, len(text))
+        yield m[2] or m[1], m[1], text[m.start() : opening].strip(), text[opening:at], bisect_left(lines, m.start()) + 1, bisect_left(lines, at) + 1
+
+
+def ended_functions(source: str, lang: str = "scilla"):
+    """Functions that go on to a line with ``end`` alone."""
+    text = re.sub(r"\(\*.*?\*\)", lambda m: re.sub(r"[^\n]", " ", m[0]), source, flags=re.S)
+    stops = [m.end() for m in re.finditer(r"^[ \t]*end[ \t]*$", text, re.M)]
+    lines = [m.start() for m in re.finditer("\n", text)]
+    for m in _SCILLA.finditer(text):
+        at = _at_or_after(stops, m.end(), len(text))
+        yield m[2], m[1], m[0].strip(), text[m.end() : at], bisect_left(lines, m.start()) + 1, bisect_left(lines, at) + 1
 
 
 def indented_functions(source: str):
@@ -106,8 +139,8 @@ def extract_functions(files: DataFrame, indented: tuple[str, ...] = ("vyper", "c
         for b in batches:
             out = []
             for i, text, lang in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                found = indented_functions if lang in indented else braced_functions
-                out += [(i, *f) for f in found(text or "")]
+                found = indented_functions(text or "") if lang in indented else ended_functions(text or "") if lang == "scilla" else braced_functions(text or "", lang)
+                out += [(i, *f) for f in found]
             names = ["doc_id", "name", "kind", "signature", "body", "first_line", "last_line"]
             kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
             columns = list(zip(*out, strict=True)) if out else [()] * len(names)
@@ -134,3 +167,18 @@ def access_vulnerable(signature: Column, body: Column) -> Column:
     acts = body.rlike(_SEND) | body.rlike(_WRITE)
     guarded = F.concat_ws(" ", signature, body).rlike("onlyOwner|onlyRole|only[A-Z]|require\\s*\\(\\s*msg\\.sender|_checkOwner|_checkRole|hasRole|auth\\b")
     return reachable & acts & ~guarded
+
+
+_DECLARED = "\\b(?:u?int\\d*|address|bool|string|bytes\\d*|mapping|[A-Z]\\w*)(?:\\[\\d*\\])*(?:\\s+(?:memory|storage|calldata|payable))*\\s+([A-Za-z_]\\w*)\\s*(?=[=;,)])"
+
+
+def state_writes(function: Column) -> Column:
+    """Names that a function (signature and body) assigns and does not declare."""
+    written, declared = (F.regexp_extract_all(function, F.lit(p), F.lit(1)) for p in (_WRITE, _DECLARED))
+    return F.array_except(written, declared)
+
+
+def classify_finding(title: Column, description: Column) -> Column:
+    """Which check a finding is for, by its words: reentrancy, access-control or generic."""
+    words = F.lower(F.concat_ws(" ", title, description))
+    return F.when(words.rlike("reentrancy|re-entrancy|reentrant"), "reentrancy").when(words.rlike("access control|onlyowner|unauthorized|privilege|missing check"), "access-control").otherwise("generic")

@@ -59,6 +59,11 @@ def config_fingerprint(*columns: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*columns)), 256)
 
 
+def authz_fingerprint(program: Column, researcher: Column, source: Column, assets: Column) -> Column:
+    """Of an authorisation: who may test what, and where that is written."""
+    return sha_left(F.to_json(F.struct(program.alias("program"), researcher.alias("researcher"), source.alias("source"), assets.alias("assets"))), 16)
+
+
 def redact(value: Column) -> Column:
     """Keep the ends of long values, hide short ones."""
     return F.when(F.length(value) <= 12, F.lit("***")).otherwise(F.concat(F.left(value, F.lit(4)), F.lit("…"), F.right(value, F.lit(4))))

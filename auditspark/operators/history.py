@@ -118,3 +118,27 @@ def chunk_greedy(parts: DataFrame, key: str, order: str, size: str, most: int) -
 
     folded = lists.select(key, F.aggregate("ps", start, step, lambda s: s["out"]).alias("o"))
     return folded.select(key, F.explode("o").alias("o")).select(key, F.col("o.part").alias(order), F.col("o.chunk").alias("chunk"))
+
+
+# Outcomes of a resolved item.
+OUTCOMES = ("fixed", "accepted_risk", "still_open")
+
+
+def redive_claim(events: DataFrame, claims: DataFrame, order: list[str]) -> DataFrame:
+    """id, by, result of every claim: claimed, already resolved, or unknown.
+
+    ``events``: id, status and the columns of ``order``; the newest status counts.
+    Rows with the result ``claimed`` are the events to append.
+    """
+    now = current_status(events, "id", order, "status")
+    result = F.when(F.col("status").isNull(), "unknown").when(F.col("status") == "resolved", "already resolved").otherwise("claimed")
+    return claims.join(now, "id", "left").select("id", "by", result.alias("result"))
+
+
+def redive_resolve(events: DataFrame, resolutions: DataFrame, order: list[str]) -> DataFrame:
+    """id, by, result, outcome of every resolution: resolved, bad outcome (none of
+    ``OUTCOMES``), or unknown.  An item may be resolved again with a new outcome."""
+    now = current_status(events, "id", order, "status")
+    good = F.coalesce(F.col("outcome").isin(*OUTCOMES), F.lit(False))
+    result = F.when(F.col("status").isNull(), "unknown").when(~good, "bad outcome").otherwise("resolved")
+    return resolutions.join(now, "id", "left").select("id", "by", result.alias("result"), F.when(result == "resolved", F.col("outcome")).alias("outcome"))

@@ -34,7 +34,11 @@ def secret_scan(rows: DataFrame, key: str, text: str, shapes=KEY_SHAPES) -> Data
     for _, shape in shapes:
         some = some | whole.rlike(shape)
     lines = rows.where(some).select(F.col(key), F.posexplode(F.split(whole, "\n")).alias("at", "content"))
-    found = F.concat(*[F.transform(F.regexp_extract_all("content", F.lit(shape), F.lit(0)), lambda v, kind=kind: F.struct(F.lit(kind).alias("kind"), v.alias("value"))) for kind, shape in shapes])
+
+    def of(kind: str, shape: str):
+        return F.transform(F.regexp_extract_all("content", F.lit(shape), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    found = F.concat(*[of(kind, shape) for kind, shape in shapes])
     out = lines.select(key, (F.col("at") + 1).alias("line"), F.explode(found).alias("x"))
     return out.select(key, "x.kind", "x.value", "line")
 

@@ -128,6 +128,25 @@ def read_chain_logs(rows: DataFrame) -> DataFrame:
     return x.select(F.lower("x.address").alias("address"), "x.topics", "x.data", block.alias("block_number"), F.col("x.transactionHash").alias("tx_hash")).where("address IS NOT NULL AND block_number IS NOT NULL")
 
 
+def read_transactions(rows: DataFrame) -> DataFrame:
+    """tx_hash, sender, receiver, block_number of JSON blocks (column ``value``).
+    Blocks that are no JSON or have no hex number, and transactions without a hash,
+    are dropped."""
+    schema = "struct<number:string,transactions:array<struct<hash:string,`from`:string,`to`:string>>>"
+    x = rows.select(F.from_json("value", schema).alias("x"))
+    hexed = F.regexp_extract(F.coalesce("x.number", F.lit("")), "^0[xX]([0-9a-fA-F]{1,15})$", 1)
+    each = x.where(hexed != "").select(F.conv(hexed, 16, 10).cast("long").alias("block_number"), F.explode("x.transactions").alias("t"))
+    return each.where("t.hash IS NOT NULL").select(F.col("t.hash").alias("tx_hash"), F.lower("t.from").alias("sender"), F.nullif(F.col("t.to"), F.lit("")).alias("receiver"), "block_number")
+
+
+def deployments(transactions: DataFrame, receipts: DataFrame, watched: DataFrame) -> DataFrame:
+    """Contracts that watched deployers made: a transaction without a receiver whose
+    receipt (tx_hash, contract) names one."""
+    made = transactions.where("receiver IS NULL").select("tx_hash", F.col("sender").alias("deployer"), "block_number")
+    named = receipts.where("contract IS NOT NULL AND contract <> ''")
+    return made.join(watched.select("deployer").distinct(), "deployer", "left_semi").join(named, "tx_hash").select("tx_hash", "deployer", "block_number", "contract")
+
+
 def manifest_dependencies(manifests: DataFrame) -> DataFrame:
     """Distinct git urls that manifest files (path, text) name."""
     name = F.element_at(F.split("path", "/"), -1)

@@ -135,3 +135,58 @@ def test_scalar_functions(spark):
     df = spark.createDataFrame([("H-1 reentrancy (High)", "0x" + "ab" * 4 + "a264697066735822" + "ff", "L12-20")], "t string, code string, hint string")
     r = df.select(fx.normalise_id(F.col("t")).alias("id"), fx.normalise_severity(F.col("t")).alias("s"), fx.strip_metadata(F.col("code")).alias("c"), fx.start_line(F.col("hint")).alias("l")).first()
     assert (r["id"], r["s"], r["c"], r["l"]) == ("H-01", "HIGH", "abababab", 12)
+
+
+def test_findings_stream_of_three_batches(spark, tmp_path):
+    """Every batch goes through one upsert: repeats of a key, first and last sighting, status and payment."""
+    from auditspark.operators.findings import upsert_store
+    from auditspark.streaming import jobs
+
+    schema = "fingerprint long, target long, status string, severity string, paid decimal(18,6), seen timestamp"
+    batches = [
+        [(1, 7, "new", "LOW", 0, "2024-01-02"), (1, 7, "open", "HIGH", 0, "2024-01-03"), (2, 8, "new", "LOW", 5, "2024-01-02")],
+        [(1, 7, "closed", "MEDIUM", 9, "2024-01-05"), (3, 9, "new", "LOW", 0, "2024-01-05")],
+        [(2, 8, "closed", "HIGH", 0, "2024-01-09"), (1, 7, "x", "LOW", 0, "2024-01-01")],
+    ]
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame([(*r[:4], str(r[4]), r[5]) for r in rows], "fingerprint long, target long, status string, severity string, paid string, seen string")
+        df.selectExpr("fingerprint", "target", "status", "severity", "cast(paid AS decimal(18,6)) paid", "cast(seen AS timestamp) seen").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.findings_stream(stream, str(tmp_path / "store"), str(tmp_path / "at"), upsert_store).awaitTermination()
+    store = spark.read.parquet(str(tmp_path / "store")).where("v = 2")
+    got = {r["fingerprint"]: (r["status"], r["severity"], int(r["paid"]), str(r["first_seen"])[:10], str(r["last_seen"])[:10]) for r in store.collect()}
+    assert got == {1: ("open", "LOW", 9, "2024-01-01", "2024-01-01"), 2: ("new", "HIGH", 5, "2024-01-02", "2024-01-09"), 3: ("new", "LOW", 0, "2024-01-05", "2024-01-05")}
+
+
+def test_tag_triggers(spark):
+    from auditspark.operators.tags import next_cursors, tag_triggers
+
+    tags = spark.createDataFrame([("a", f"v{i}", i) for i in range(1, 5)] + [("b", "w1", 1), ("c", "x1", 1), ("c", "x2", 2)], "project string, tag string, created int")
+    cursors = spark.createDataFrame([("a", "v2"), ("b", "gone"), ("d", "y9")], "project string, cursor string")
+    assert sorted(map(tuple, tag_triggers(tags, cursors).collect())) == [("a", "v2", "v3"), ("a", "v3", "v4")]
+    assert sorted(map(tuple, next_cursors(tags, cursors).collect())) == [("a", "v4"), ("b", "w1"), ("c", "x2"), ("d", "y9")]
+    assert tag_triggers(tags.limit(0), cursors).count() == 0 and tag_triggers(tags, cursors.limit(0)).count() == 0
+
+
+def test_secret_scan_shapes(spark):
+    from auditspark.operators.secrets import secret_scan
+
+    good = {
+        "private_key": "-----BEGIN RSA PRIVATE KEY-----", "aws_access_key": "AKIA" + "A1" * 8, "alchemy_rpc": "https://eth.alchemy.com/v2/" + "a" * 24, "infura_rpc": "https://main.infura.io/v3/" + "b" * 24,
+        "github_token": "ghp_" + "c" * 36, "openai_key": "sk-" + "d" * 20, "google_api_key": "AIza" + "e" * 35, "generic_token": "token = 'f" + "0" * 20,
+    }
+    rows = [(i, f"one\ntwo {v} end") for i, v in enumerate(good.values())] + [(100, "AKIA123 ghp_short sk-no"), (101, None), (102, "A " * 200_000)]
+    found = {r["doc_id"]: (r["kind"], r["value"], r["line"]) for r in secret_scan(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert found == {i: (k, v, 2) for i, (k, v) in enumerate(good.items())}
+
+
+def test_functions_of_other_languages():
+    from auditspark.functions.code import braced_functions, ended_functions
+
+    names = lambda found: [(f[0], f[4], f[5]) for f in found]
+    assert names(braced_functions("module m {\n public fun pay<T>(a: u64) acquires S {\n x();\n }\n}", "move")) == [("pay", 2, 4)]
+    assert names(braced_functions("impl A {\n pub fn f(&self) -> u8 { 1 }\n fn g<T>(x: T) { if true { } }\n}", "solana")) == [("f", 2, 2), ("g", 3, 3)]
+    assert names(braced_functions("func (k Keeper) Set(ctx C) error {\n return nil\n}", "go")) == [("Set", 1, 3)]
+    assert names(ended_functions("transition Pay (a : Uint128)\n  x = a;\n  send msgs\nend\n(* end *)\nprocedure P ()\n e\nend")) == [("Pay", 1, 4), ("P", 6, 8)]
+    many = "function f() public { x = 1; }\n" * 20_000
+    assert len(list(braced_functions(many))) == 20_000
