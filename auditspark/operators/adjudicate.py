@@ -55,3 +55,13 @@ def apply_memory(findings: DataFrame, memory: DataFrame, key: str) -> DataFrame:
     out = findings.join(memory.select(key, "verdict"), key, "left")
     status = F.when(F.col("verdict") == "confirmed", "CONFIRMED").when(F.col("verdict").isin("rejected", "overturned"), "REJECTED").otherwise("POTENTIAL")
     return out.withColumn("status", status).withColumn("note", F.when(F.col("verdict").isNotNull(), F.concat(F.lit("memory: "), F.col("verdict"))))
+
+
+def parse_vote(raw: Column) -> Column:
+    """(verdict, confidence) of a judge's answer: the first JSON object in it that
+    has a ``decision``.  A decision other than keep or reject gives no verdict; a
+    confidence is cut to 0 to 1, and 0 where it is no number."""
+    found = F.regexp_extract(F.coalesce(raw, F.lit("")), r"(\{[^{}]*\"decision\"[^{}]*\})", 1)
+    decision = F.lower(F.trim(F.get_json_object(found, "$.decision")))
+    number = F.get_json_object(found, "$.confidence").try_cast("double")
+    return F.struct(F.when(decision.isin("keep", "reject"), decision).alias("verdict"), F.least(F.greatest(F.coalesce(number, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("confidence"))

@@ -47,3 +47,9 @@ def secret_findings(found: DataFrame, key: str) -> DataFrame:
     """Once per kind and value: finding_id, kind, shown (redacted), first ``key``, how many have it."""
     ident = finding_id(F.col("kind"), F.col("value")).alias("finding_id")
     return found.groupBy(ident, "kind").agg(F.min(key).alias(f"first_{key}"), F.count_distinct(key).alias("seen_in"), redact(F.min("value")).alias("shown"))
+
+
+def as_findings(found: DataFrame, key: str) -> DataFrame:
+    """Findings of secret hits: one severity, category and confidence, and a short description without the value."""
+    text = F.concat(F.col("kind"), F.lit(" on line "), F.col("line").cast("string"))
+    return found.select(key, F.lit("CRITICAL").alias("severity"), F.lit("secret-leak").alias("category"), F.lit(0.85).alias("confidence"), F.left(text, F.lit(120)).alias("description"), "line")

@@ -25,11 +25,13 @@ def ensemble_apply(t):
     return ad.ensemble_apply(hits(t.documents), _votes(t), "doc_id").select("doc_id", "rule_id", "status", "adjusted")
 
 
-@query("parse_vote", "SELECT event_id, CASE WHEN k % 3 = 0 THEN 'keep' WHEN k % 3 = 1 THEN 'reject' END AS verdict, least(greatest(k / 100.0, 0.0), 1.0) AS confidence FROM (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
+@query("parse_vote", "SELECT event_id, CASE WHEN k % 4 = 0 THEN 'keep' WHEN k % 4 = 1 THEN 'reject' END AS verdict, CASE WHEN k % 4 = 3 THEN 0.0 ELSE least(k / 50.0, 1.0) END AS confidence FROM (SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events)")
 def parse_vote(t):
-    k = F.get_json_object("props", "$.k").try_cast("long")
-    v = t.events.select("event_id", k.alias("k"))
-    return v.select("event_id", F.when(F.col("k") % 3 == 0, "keep").when(F.col("k") % 3 == 1, "reject").alias("verdict"), F.least(F.greatest(F.col("k") / 100.0, F.lit(0.0)), F.lit(1.0)).alias("confidence"))
+    """Votes out of judges' answers: prose around an object, odd decisions, no object."""
+    k = F.coalesce(F.get_json_object("props", "$.k").try_cast("long"), F.lit(0))
+    said = F.when(k % 4 == 0, "Keep ").when(k % 4 == 1, "REJECT").otherwise("perhaps")
+    vote = F.concat(F.lit('I think {so}: {"decision": "'), said, F.lit('", "confidence": '), (k / 50.0).cast("string"), F.lit("} because"))
+    return t.events.select("event_id", ad.parse_vote(F.when(k % 4 == 3, "no object at all").otherwise(vote)).alias("v")).select("event_id", "v.verdict", "v.confidence")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from auditspark.functions.text import sarif_level, severity_rank
 from auditspark.operators import findings as fd
 from auditspark.operators.rules import found_rules
+from auditspark.operators.secrets import KEY_SHAPES, as_findings, secret_scan
 from auditspark.plans.base import query
 from auditspark.plans.bindings import FINDINGS_SQL, HITS_SQL, RANK_SQL, findings_from_orders, hits
 from auditspark.sources import feeds
@@ -127,10 +128,15 @@ def write_sarif_rows(t):
     return h.groupBy("target", "rule_id", "level").agg(F.count("*").alias("results"), F.min("doc_id").alias("first_doc"))
 
 
-@query("normalize_gitleaks", f"SELECT doc_id, 'CRITICAL' AS severity, 'secret-leak' AS category, CAST(0.85 AS DOUBLE) AS confidence, left(rule_id || ' in ' || target, 120) AS description FROM {HITS_SQL} WHERE engine = 'gitleaks'")
+@query(
+    "normalize_gitleaks",
+    """SELECT doc_id, 'CRITICAL' AS severity, 'secret-leak' AS category, CAST(0.85 AS DOUBLE) AS confidence, 'generic_token on line ' || CAST(i AS VARCHAR) AS description FROM
+    (SELECT doc_id, i, unnest(regexp_extract_all(ls[i], '(?:token|secret|password)\\s*[=:]\\s*.?[A-Za-z0-9]{16,}')) FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)))""",
+)
 def normalize_gitleaks(t):
-    h = hits(t.documents).where("engine = 'gitleaks'")
-    return h.select("doc_id", F.lit("CRITICAL").alias("severity"), F.lit("secret-leak").alias("category"), F.lit(0.85).alias("confidence"), F.left(F.concat_ws(" in ", "rule_id", "target"), F.lit(120)).alias("description"))
+    """Hits of the token rule as findings."""
+    found = secret_scan(t.documents, "doc_id", "text", tuple(x for x in KEY_SHAPES if x[0] == "generic_token"))
+    return as_findings(found, "doc_id").select("doc_id", "severity", "category", "confidence", "description")
 
 
 @query("merge_targets", "SELECT DISTINCT source AS target FROM documents WHERE source NOT LIKE 'src1%' UNION SELECT DISTINCT source FROM documents WHERE doc_id % 7 = 0")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from auditspark.operators import ledger
+from auditspark.operators.graph import _folder
 from auditspark.plans.base import query
+from auditspark.sources import feeds
 
 _MAX = "(SELECT max(ts) FROM events)"
 # List prices per million tokens.
@@ -82,8 +86,13 @@ def retention(t):
 
 @query("append_ledger", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS cost FROM events GROUP BY 1, 2")
 def append_ledger(t):
-    """What each day's folder of the ledger holds."""
-    return t.events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast(ledger.MONEY)).cast("double").alias("cost"))
+    """Events appended to a ledger in two runs, and what each day's folder holds then."""
+    at = f"{_folder(t.spark)}/ledger-{uuid.uuid4().hex}"
+    rows = t.events.select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    for part in (0, 1):
+        feeds.append_ledger(rows.where(F.col("event_id") % 2 == part), at)
+    stored = feeds.read_ledger(t.spark, at, "event_id long, event_type string, value double, day date")
+    return stored.groupBy("day", "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast(ledger.MONEY)).cast("double").alias("cost"))
 
 
 @query("read_ledger", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props) AND json_extract_string(props, '$.k') IS NOT NULL")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from auditspark.functions import text as fx
 from auditspark.operators import rules
 from auditspark.plans.base import query
+from auditspark.sources import corpus
 from auditspark.plans.bindings import HITS_SQL, LINES_SQL, RANK_SQL, hits, lines
 
 
@@ -45,26 +46,25 @@ def parse_targets(t):
 
 @query(
     "tag_language",
-    """SELECT page_id, CASE WHEN lower(split_part(url, '?', 1)) LIKE '%/en/%' THEN 'en' WHEN lower(split_part(url, '?', 1)) LIKE '%/fr/%' THEN 'fr' WHEN lower(split_part(url, '?', 1)) LIKE '%/de/%' THEN 'de'
-    WHEN lower(split_part(url, '?', 1)) LIKE '%/es/%' THEN 'es' ELSE 'unknown' END AS language FROM pages""",
+    """SELECT doc_id, CASE WHEN lang = 'en' THEN 'solidity' WHEN lang = 'de' THEN 'vyper' WHEN lang = 'fr' THEN 'move' WHEN regexp_matches(left(coalesce(text, ''), 8000), 'cosmwasm_std|#\\[entry_point\\]') THEN 'cosmwasm' ELSE 'solana' END AS language
+    FROM documents WHERE NOT (lang = 'en' AND doc_id % 7 = 0)""",
 )
 def tag_language(t):
-    """Ordered table of path marks to languages, first match."""
-    path = F.lower(F.substring_index("url", "?", 1))
-    kinds = F.coalesce(*[F.when(F.contains(path, F.lit(f"/{x}/")), x) for x in ("en", "fr", "de", "es")], F.lit("unknown"))
-    return t.pages.select("page_id", kinds.alias("language"))
+    """Languages of files by suffix, and by content where kinds share one; tests are left out."""
+    suffix = F.when((F.col("lang") == "en") & (F.col("doc_id") % 7 == 0), ".t.sol").when(F.col("lang") == "en", ".SOL").when(F.col("lang") == "de", ".vy").when(F.col("lang") == "fr", ".move").otherwise(".rs")
+    files = t.documents.select("doc_id", "text", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), suffix).alias("path"))
+    return corpus.tag_language(files).select("doc_id", F.col("lang").alias("language"))
 
 
 @query(
     "route_by_content",
-    """SELECT doc_id, CASE WHEN regexp_matches(left(coalesce(text, ''), 8000), 'Licensed under') THEN 'license' WHEN regexp_matches(left(coalesce(text, ''), 8000), '[#$%&*]{3}') THEN 'junk'
-    WHEN regexp_matches(left(coalesce(text, ''), 8000), ' \\| ') THEN 'table' ELSE 'prose' END AS route FROM documents""",
+    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'cosmwasm' WHEN 1 THEN 'ink' WHEN 2 THEN 'substrate' ELSE CASE WHEN regexp_matches(left(coalesce(text, ''), 8000), 'cosmwasm_std') THEN 'cosmwasm' ELSE 'solana' END END AS route FROM documents",
 )
 def route_by_content(t):
-    """Files of one suffix told apart by their first 8000 characters."""
-    head = F.left(F.coalesce("text", F.lit("")), F.lit(8000))
-    kind = F.when(head.rlike("Licensed under"), "license").when(head.rlike("[#$%&*]{3}"), "junk").when(head.rlike(" \\| "), "table").otherwise("prose")
-    return t.documents.select("doc_id", kind.alias("route"))
+    """Kinds of contract that share a suffix, by how each document's file begins."""
+    k = F.col("doc_id") % 4
+    begins = F.when(k == 0, "use cosmwasm_std::*;\n").when(k == 1, "#[ink::contract]\n").when(k == 2, "decl_module! {\n").otherwise("")
+    return t.documents.select("doc_id", corpus.rust_kind(F.concat(begins, F.coalesce("text", F.lit("")))).alias("route"))
 
 
 @query(
