@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import shared_dir, small, table, written
+from auditspark.llm.common import shared_dir, table, written
 
 VOCABULARY = "byte_bpe_50k.json"
 OVER = 1024
@@ -207,6 +207,8 @@ def ranks_of(name: str) -> str | None:
 
 
 _CACHE = "tokenizer string, digest binary, n_tokens long"
+#: Up to so many misses go to every task; more are met by shuffling the texts once.
+FEW_MISSES = 10_000
 #: Name of the cache's folder in the shared folder.
 CACHE = "token-counts-cache"
 
@@ -262,8 +264,8 @@ def count_tokens(docs: DataFrame, cache: DataFrame | None = None, vocabulary: st
             counts = np.concatenate(n) if n else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(d), pa.string()), pa.array(d, pa.binary()), pa.array(counts, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
-    # Few misses are broadcast; many are met by shuffling the texts once.
-    chosen = texts.join(small(missing, 96), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.digest") == F.col("m.digest")), "left_semi").select("text")
+    n = missing.count()
+    chosen = texts.join(F.broadcast(missing) if n <= FEW_MISSES else missing, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.digest") == F.col("m.digest")), "left_semi").select("text")
     new = written(chosen.mapInArrow(encode, _CACHE).dropDuplicates(["digest"]), "token-new")
     known = new.select("digest", "n_tokens")
     if cache is not None:
