@@ -165,8 +165,11 @@ def fit(docs: DataFrame, bound: int = FIT_ROWS) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous of every whole text.
 
-    Null texts and texts without a letter are ``und`` with score 0.  Repeated
-    rows each get a row.  Other columns of ``docs`` are not used.
+    Null texts, empty texts and texts without a letter are ``und`` with score 0 and
+    ambiguous.  Of languages with equal loss the first by name is chosen, and the
+    text is ambiguous.  Texts of any length are read whole, in chunks.  Repeated
+    rows each get a row, an empty table gives an empty result.  Other columns of
+    ``docs`` are not used, so their names cannot clash.
     """
 
     def apply(batches):
