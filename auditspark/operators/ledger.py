@@ -12,14 +12,13 @@ def price_calls(calls: DataFrame, rates: DataFrame) -> DataFrame:
     """``cost`` of each call: the rate of its exact model, else of the first
     listed model that is a prefix of it, else 0.
 
-    Only distinct model names meet the prefix comparison; the rate table is a
-    short list and is broadcast.
+    Only distinct model names meet the prefix comparison; which side is broadcast
+    is left to the sizes that Spark sees.
     """
     models = calls.select("model").distinct()
-    r = F.broadcast(rates)
-    exact = models.join(r, "model").select("model", "input", "output", F.lit(-1).alias("ord"))
+    exact = models.join(rates, "model").select("model", "input", "output", F.lit(-1).alias("ord"))
     p = rates.select(F.col("model").alias("prefix"), "ord", "input", "output")
-    prefix = models.join(F.broadcast(p), F.col("model").startswith(F.col("prefix"))).select("model", "input", "output", "ord")
+    prefix = models.join(p, F.col("model").startswith(F.col("prefix"))).select("model", "input", "output", "ord")
     best = exact.unionByName(prefix).groupBy("model").agg(F.min_by(F.struct("input", "output"), "ord").alias("rate"))
     out = calls.join(best, "model", "left")
     cost = (F.col("tokens_in") * F.coalesce("rate.input", F.lit(0.0)) + F.col("tokens_out") * F.coalesce("rate.output", F.lit(0.0))) / 1e6
