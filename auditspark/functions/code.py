@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Words of the language that renaming must not touch.
 KEYWORDS = frozenset(
@@ -44,14 +46,28 @@ def canonical(text: Column, own_name: Column | None = None) -> Column:
     return F.array_join(bind(pieces, rename), " ")
 
 
-def statements(body: Column) -> Column:
-    """Coarse statements of a body: cut at semicolons and braces outside of
-    parentheses (those inside are masked first)."""
-    masked = F.coalesce(body, F.lit(""))
-    for _ in range(4):  # nested headers; deeper ones stay in one statement
-        masked = F.regexp_replace(masked, "(\\([^()]*);([^()]*\\))", "$1\u0001$2")
-    parts = F.filter(F.transform(F.split(masked, "[;{}]"), lambda x: F.btrim(F.regexp_replace(x, "\\s+", " "))), lambda x: x != "")
-    return F.transform(parts, lambda x: F.translate(x, "\u0001", ";"))
+_CUT = re.compile(r"[(){};]")
+_STRING = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'")
+_COMMENT = re.compile(r"/\*.*?\*/|//[^\n]*", re.S)
+
+
+def _statements(text: str) -> list[str]:
+    text = _STRING.sub("STR", _COMMENT.sub(" ", text))
+    depth, start, out = 0, 0, []
+    for m in _CUT.finditer(text):
+        if m[0] in "()":
+            depth = depth + 1 if m[0] == "(" else max(0, depth - 1)
+        elif not depth:
+            out.append(text[start : m.start()])
+            start = m.end()
+    return [x for part in [*out, text[start:]] if (x := " ".join(part.split()))]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def statements(body: pd.Series) -> pd.Series:
+    """Coarse statements of a body without comments, strings as STR: cut at
+    semicolons and braces outside of parentheses of any depth, in one pass."""
+    return body.map(lambda x: _statements(x or ""))
 
 
 def statement_multiset(body: Column, own_name: Column | None = None) -> Column:
@@ -121,8 +137,9 @@ def ended_functions(source: str, lang: str = "scilla"):
 
 def indented_functions(source: str):
     lines = source.split("\n")
+    breaks = [m.start() for m in re.finditer("\n", source)]
     for m in _PY_HEAD.finditer(source):
-        first = source.count("\n", 0, m.start()) + 1
+        first = bisect_left(breaks, m.start()) + 1
         last = first
         for n in range(first, len(lines)):
             if lines[n].strip():
@@ -178,6 +195,51 @@ def state_writes(function: Column) -> Column:
     return F.array_except(written, declared)
 
 
+# Calls that read balances.
+_NO_VARIABLE = sorted(KEYWORDS | {"sender", "origin"})
+_ASSIGNED = "(?<![A-Za-z0-9_$.])([A-Za-z_][A-Za-z0-9_]*)\\s*=(?!=)\\s*([^;{}]+);"
+_CALLER = "msg.sender"
+_FROM_STATE = "\\[|balanceOf\\(|allowance\\("
+
+
+def parameters(signature: Column) -> Column:
+    """Names of the parameters in a signature, in order."""
+    inside = F.regexp_extract(signature, "\\(([^()]*)\\)", 1)
+    return F.filter(F.transform(F.split(inside, ","), lambda x: F.regexp_extract(x, "[A-Za-z_\\]][A-Za-z0-9_\\[\\]]*\\s.*?([A-Za-z_][A-Za-z0-9_]*)\\s*$", 1)), lambda x: x != "")
+
+
+def assignments(functions: DataFrame) -> DataFrame:
+    """What parameters can flow through inside functions (doc_id, name, signature,
+    body, and ``state``, an array of the contract's state variables): doc_id, fn,
+    target, source, killed.
+
+    A name is numbered by the assignment that gave it its value (``y#2``), so that
+    a later one takes its influence away; what an assignment reads is the nearest
+    one before it, in a loop's first line the last one.  The last value of a name
+    has the bare name besides.  Parameters and the caller are rows without a target and keep
+    their value.  Null signatures and bodies have none;
+    what strings hold is not read.
+    """
+    from pyspark.sql import Window
+
+    f = functions.select("doc_id", F.col("name").alias("fn"), F.regexp_replace(F.coalesce("body", F.lit("")), _STRING.pattern, "STR").alias("body"), "state", parameters(F.coalesce("signature", F.lit(""))).alias("params"))
+    given = f.select("doc_id", "fn", F.lit(None).cast("string").alias("target"), F.explode(F.array_append("params", F.lit(_CALLER))).alias("source"), F.lit(False).alias("killed"))
+    a = f.select("doc_id", "fn", "params", "state", F.posexplode(F.regexp_extract_all("body", F.lit(_ASSIGNED), F.lit(0))).alias("place", "text"))
+    a = a.select("*", F.regexp_extract("text", _ASSIGNED, 1).alias("name"), F.regexp_extract("text", _ASSIGNED, 2).alias("value")).where(~F.array_contains("params", F.col("name")))
+    names = F.array_distinct(F.regexp_extract_all("value", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))
+    read = F.array_except(names, F.array(*[F.lit(w) for w in [*_NO_VARIABLE, "STR"]]))
+    a = a.withColumn("killed", F.col("value").rlike(_FROM_STATE) | F.coalesce(F.arrays_overlap(names, "state"), F.lit(False))).withColumn("read", F.when(F.col("value").rlike("msg[.]sender|tx[.]origin"), F.array_append(read, F.lit(_CALLER))).otherwise(read))
+    # One line of writes (kind 1) and reads (kind 0) of each name, by place.
+    line = a.select("doc_id", "fn", "place", "killed", F.explode(F.concat(F.transform("read", lambda r: F.struct(F.lit(0).alias("kind"), r.alias("of"), F.col("name").alias("into"))), F.array(F.struct(F.lit(1).alias("kind"), F.col("name").alias("of"), F.col("name").alias("into"))))).alias("e")).select("doc_id", "fn", "place", "killed", "e.*")
+    written = F.when(F.col("kind") == 1, F.col("place"))
+    of = Window.partitionBy("doc_id", "fn", "of")
+    line = line.withColumn("before", F.last(written, True).over(of.orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, -1))).withColumn("newest", F.max(written).over(of))
+    numbered = lambda name, place: F.when(place.isNull(), name).otherwise(F.concat_ws("#", name, place.cast("string")))
+    flows = line.where("kind = 0").select("doc_id", "fn", numbered(F.col("into"), F.col("place")).alias("target"), numbered(F.col("of"), F.coalesce("before", "newest")).alias("source"), "killed")
+    last = line.where((F.col("kind") == 1) & (F.col("place") == F.col("newest"))).select("doc_id", "fn", F.col("of").alias("target"), numbered(F.col("of"), F.col("place")).alias("source"), F.lit(False).alias("killed"))
+    return given.unionByName(flows).unionByName(last)
+
+
 def classify_finding(title: Column, description: Column) -> Column:
     """Which check a finding is for, by its words: reentrancy, access-control or generic."""
     words = F.lower(F.concat_ws(" ", title, description))

@@ -58,11 +58,13 @@ def locate(wanted: DataFrame, current: DataFrame) -> DataFrame:
     named = w.join(c, c["name"] == w["wname"]).select("id", "path", "name", F.lit(2).alias("stage"), F.lit(1.0).alias("score"))
     same = w.join(c, c["canon"] == w["wcanon"]).select("id", "path", "name", F.lit(3).alias("stage"), F.lit(1.0).alias("score"))
     moved = w.where(F.size("wparts") >= 3).join(c, c["parts"] == w["wparts"]).select("id", "path", "name", F.lit(4).alias("stage"), F.lit(1.0).alias("score"))
-    left = _bands(w.select("id", F.col("wcanon").alias("canon")), ["id"]).withColumnRenamed("canon", "a")
+    early = own.unionByName(named).unionByName(same).unionByName(moved)
+    # Likeness is only asked where no stage before it has a hit.
+    left = _bands(w.join(early.select("id"), "id", "left_anti").select("id", F.col("wcanon").alias("canon")), ["id"]).withColumnRenamed("canon", "a")
     right = _bands(c.select("path", "name", "canon"), ["path", "name"]).withColumnRenamed("canon", "b")
     near = left.join(right, "band").select("id", "path", "name", "a", "b").distinct()
     like = similarity(near, ["id", "path", "name"]).where(F.col("score") >= LIKE).select("id", "path", "name", F.lit(5).alias("stage"), "score")
-    every = own.unionByName(named).unionByName(same).unionByName(moved).unionByName(like)
+    every = early.unionByName(like)
     first = Window.partitionBy("id").orderBy("stage", F.desc("score"), "path", "name")
     return every.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
@@ -71,19 +73,11 @@ def generic_vulnerable(versions: DataFrame) -> DataFrame:
     """Whether a form is vulnerable at each version, where that depends on the past.
 
     Input: finding, version, canon, marked (named by the report at its version).
-    A form is vulnerable once it has been marked, at that version or later.  The
-    set of vulnerable forms is carried by an ordered fold over one finding's
-    versions, which are few.
+    A form is vulnerable once it has been marked, at that version or later: a
+    running maximum per (finding, form), so that no history is gathered in a row.
     """
-    lists = versions.groupBy("finding").agg(F.array_sort(F.collect_list(F.struct("version", "canon", "marked"))).alias("vs"))
-    start = F.expr("named_struct('known', cast(array() as array<string>), 'out', cast(array() as array<struct<version:string,vulnerable:boolean>>))")
-
-    def step(s, v):
-        known = F.when(v["marked"], F.array_union(s["known"], F.array(v["canon"]))).otherwise(s["known"])
-        return F.struct(known.alias("known"), F.array_append(s["out"], F.struct(v["version"].cast("string").alias("version"), F.array_contains(known, v["canon"]).alias("vulnerable"))).alias("out"))
-
-    folded = lists.select("finding", F.explode(F.aggregate("vs", start, step, lambda s: s["out"])).alias("o"))
-    return folded.select("finding", F.col("o.version").alias("version"), F.col("o.vulnerable").alias("vulnerable"))
+    past = Window.partitionBy("finding", "canon").orderBy("version").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return versions.distinct().select("finding", F.col("version").cast("string").alias("version"), F.coalesce(F.max("marked").over(past), F.lit(False)).alias("vulnerable"))
 
 
 def elsewhere(functions: DataFrame, located: DataFrame, vulnerable) -> DataFrame:

@@ -82,17 +82,19 @@ def taint_flows(entries: DataFrame, calls: DataFrame, sinks: DataFrame, most_hop
     return hit.groupBy("file", "entry", "entry_param").agg(F.min_by(F.struct("fn", "sink", "hops"), F.struct("hops", "fn", "sink")).alias("x")).select("file", "entry", "entry_param", "x.*")
 
 
-def local_influence(statements: DataFrame, rounds: int = 6) -> DataFrame:
+def local_influence(statements: DataFrame) -> DataFrame:
     """Names that parameters influence inside a function: doc_id, fn, name, param.
 
     ``statements``: doc_id, fn, target, source (a name the assignment reads) and
-    ``killed`` (the value comes from state or an index).  Parameters are rows
-    whose target is null.
+    ``killed`` (the value comes from state or an index), as ``code.assignments``
+    gives them.  Parameters are rows whose target is null.  Names are followed one
+    assignment a round, until no new one is found.
     """
+    statements = _written(statements)
     known = _written(statements.where("target IS NULL").select("doc_id", "fn", F.col("source").alias("name"), F.col("source").alias("param")).distinct())
     flow = statements.where("target IS NOT NULL AND NOT killed").select("doc_id", "fn", F.col("source").alias("name"), "target")
     front = known
-    for _ in range(rounds):
+    while True:
         step = front.join(flow, ["doc_id", "fn", "name"]).select("doc_id", "fn", F.col("target").alias("name"), "param").distinct()
         new = _written(step.join(known, ["doc_id", "fn", "name", "param"], "left_anti"))
         if new.isEmpty():

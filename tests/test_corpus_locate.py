@@ -1,5 +1,8 @@
 """File corpora and function location on fixtures."""
 
+from pyspark.sql import functions as F
+
+from auditspark.functions import code
 from auditspark.operators import locate
 from auditspark.sources import corpus
 
@@ -39,3 +42,12 @@ def test_generic(spark):
     rows = [("x", 1, "A", True), ("x", 2, "B", False), ("x", 3, "A", False), ("y", 1, "A", False)]
     out = locate.generic_vulnerable(spark.createDataFrame(rows, "finding string, version int, canon string, marked boolean"))
     assert {(r["finding"], r["version"]): r["vulnerable"] for r in out.collect()} == {("x", "1"): True, ("x", "2"): False, ("x", "3"): True, ("y", "1"): False}
+
+
+def test_statements(spark):
+    """Headers of any depth stay whole; strings and comments cut nothing."""
+    bodies = ["{ for (uint i = f(1); i < g(h(k(n(2)))); i++) { a(); } b = 'x;y'; // c;\n d({e: 1}); }", "", None, "((((((((((((;)))))))))))); a", ") ; ( ;"]
+    out = spark.createDataFrame(list(enumerate(bodies)), "i int, body string").select("i", code.statements(F.col("body")).alias("s"))
+    assert [r["s"] for r in out.orderBy("i").collect()] == [
+        ["for (uint i = f(1); i < g(h(k(n(2)))); i++)", "a()", "b = STR", "d({e: 1})"], [], [], ["((((((((((((;))))))))))))", "a"], [")", "( ;"],
+    ]

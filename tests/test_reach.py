@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from auditspark.functions import code
 from auditspark.operators import reach
 
 
@@ -34,6 +35,27 @@ def test_taint(spark):
     assert {r["name"] for r in reach.local_influence(st).collect()} == {"a", "b", "c"}
 
 
+def test_assignments(spark):
+    """Later values, killed values, loops, chains longer than six, and the caller."""
+    chain = "a0 = x; " + " ".join(f"a{i} = a{i - 1};" for i in range(1, 9))
+    rows = [
+        (1, "f", "function f(uint x, address to) public", "{ uint y = x * 2; z = y + 1; y = bal[x]; }", ["bal"]),
+        (1, "g", "function g(uint x) public", "{ y = x + total; who = msg.sender; x = 1; if (y == x) { } s = 'x'; }", ["total"]),
+        (2, "h", "function h(uint x) public", "{ while (a) { v = w; w = x; } }", []),
+        (2, "k", "function k(uint x) public", "{ " + chain + " }", []),
+        (3, "n", None, None, []),
+    ]
+    f = spark.createDataFrame(rows, "doc_id long, name string, signature string, body string, state array<string>")
+    found = {}
+    for r in reach.local_influence(code.assignments(f)).where("not contains(name, '#')").collect():
+        found.setdefault((r["fn"], r["param"]), set()).add(r["name"])
+    assert found["f", "x"] == {"x", "z"} and found["f", "to"] == {"to"}
+    assert found["g", "x"] == {"x"} and found["g", "msg.sender"] == {"msg.sender", "who"}
+    assert found["h", "x"] == {"x", "v", "w"}
+    assert found["k", "x"] == {"x", *(f"a{i}" for i in range(9))}
+    assert {k for k in found if k[0] == "n"} == {("n", "msg.sender")}
+
+
 def test_mnemonic(spark):
     words = [f"w{chr(97 + i)}" for i in range(14)]
     df = spark.createDataFrame([(1, "seed: " + " ".join(words) + " end"), (2, " ".join(words[:11])), (3, None)], "doc_id long, text string")
