@@ -43,14 +43,26 @@ def trigger_queue_stream(t):
     return _run(t, jobs.trigger_queue(e, keep="60 days").select("trigger_id"))
 
 
-@query("drain_triggers", "SELECT left(sha256(CAST(user_id AS VARCHAR) || event_type), 16) AS trigger_id FROM events WHERE value > 20 GROUP BY 1")
+@query(
+    "drain_triggers",
+    """SELECT left(sha256(CAST(user_id AS VARCHAR) || event_type), 16) AS trigger_id, CASE event_type WHEN 'signup' THEN 'skipped' WHEN 'error' THEN 'error' ELSE 'completed' END AS status,
+    CASE WHEN event_type NOT IN ('signup', 'error') THEN length(event_type) END AS findings FROM events WHERE value > 20 AND user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY user_id, event_type""",
+)
 def drain_triggers(t):
-    """Every trigger handled once, over two runs on one cursor."""
+    """Every trigger handled once, over two runs on one cursor; those without a
+    target are skipped, and errors stay with their trigger."""
     at = f"{_folder(t.spark)}/drain-{uuid.uuid4().hex}"
-    e = _events(t).where("value > 20").withColumn("trigger_id", trigger_id(F.col("user_id"), F.col("event_type"))).select("trigger_id")
+
+    def work(target: str) -> int:
+        if target == "error":
+            raise ValueError(target)
+        return len(target)
+
+    target = F.when(F.col("event_type") != "signup", F.col("event_type"))
+    e = _events(t).where("value > 20 AND user_id IS NOT NULL AND event_type IS NOT NULL").select(trigger_id(F.col("user_id"), F.col("event_type")).alias("trigger_id"), target.alias("target"))
     for _ in range(2):
-        jobs.drain(e, f"{at}/done", f"{at}/checkpoint", lambda df: df.select("trigger_id")).awaitTermination()
-    return t.spark.read.parquet(f"{at}/done").select("trigger_id")
+        jobs.drain(e, f"{at}/done", f"{at}/checkpoint", jobs.each(work, "target")).awaitTermination()
+    return t.spark.read.parquet(f"{at}/done").select("trigger_id", "status", "findings")
 
 
 @query("budget_stream", "SELECT CAST(day AS TIMESTAMP) AS day, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS spent FROM (SELECT *, CAST(ts AS DATE) AS day FROM events) GROUP BY 1")

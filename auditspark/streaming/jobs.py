@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -72,21 +73,39 @@ def rate_stream(events: DataFrame, key: str, seconds: int = 60, ts: str = "ts")
 
 
 def drain(queue: DataFrame, done_path: str, checkpoint: str, handle: Callable[[DataFrame], DataFrame], key: str = "trigger_id"):
-    """Handle every trigger once: a batch leaves out what is done before, and
-    writes its results under its own number, so that a replay overwrites them."""
+    """Handle every trigger once.
+
+    The keys met before are state of the stream, so that no batch reads what earlier
+    ones wrote.  A batch whose triggers were taken but not finished runs again as a
+    whole after a restart and overwrites the results of its number.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
+        handle(df).write.mode("overwrite").parquet(f"{done_path}/batch={number}")
+
+    return queue.dropDuplicates([key]).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def each(work: Callable[[str], int], target: str, key: str = "trigger_id") -> Callable[[DataFrame], DataFrame]:
+    """A handler for ``drain`` that works on one trigger's target at a time: key,
+    status, findings, reason.  A trigger without a target is skipped; an error is
+    the result of its own trigger and stops no other."""
+
+    def one(at: str | None) -> tuple[str, int | None, str | None]:
+        if at is None:
+            return "skipped", None, "no target"
         try:
-            done = spark.read.parquet(done_path).where(F.col("batch") < number).select(key)
-        except Exception as e:  # noqa: BLE001 - the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            done = spark.createDataFrame([], df.select(key).schema)
-        fresh = df.dropDuplicates([key]).join(done, key, "left_anti")
-        handle(fresh).write.mode("overwrite").parquet(f"{done_path}/batch={number}")
-
-    return queue.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            return "completed", work(at), None
+        except Exception as e:  # noqa: BLE001 - what a target breaks is recorded with it
+            return "error", None, f"{type(e).__name__}: {e}"[:500]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [one(x) for x in b.column(target).to_pylist()]
+            columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(key), *columns], [key, "status", "findings", "reason"])
+
+    return lambda df: df.select(key, target).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, status string, findings long, reason string")
 
 
 def findings_stream(findings: DataFrame, store: str, checkpoint: str, upsert: Callable[[DataFrame | None, DataFrame], DataFrame]):

@@ -158,6 +158,29 @@ def test_findings_stream_of_three_batches(spark, tmp_path):
     assert got == {1: ("open", "LOW", 9, "2024-01-01", "2024-01-01"), 2: ("new", "HIGH", 5, "2024-01-02", "2024-01-09"), 3: ("new", "LOW", 0, "2024-01-05", "2024-01-05")}
 
 
+def test_drain_of_three_batches(spark, tmp_path):
+    """No trigger twice, also over restarts and after a batch that failed; errors and missing targets stay alone."""
+    from auditspark.streaming import jobs
+
+    def work(target):
+        if target == "bad":
+            raise ValueError(target)
+        return len(target)
+
+    handle, broken = jobs.each(work, "target"), lambda df: df.select(F.raise_error(F.lit("lost")).alias("x"))
+    at = str(tmp_path)
+    batches = [[("a", "xx"), ("a", "xx"), ("b", "bad")], [("a", "xx"), ("c", None)], [("d", "yyy"), ("c", None)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "trigger_id string, target string").coalesce(1).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema("trigger_id string, target string").parquet(f"{at}/in")
+        if i == 1:
+            with pytest.raises(Exception, match="lost"):
+                jobs.drain(stream, f"{at}/done", f"{at}/at", broken).awaitTermination()
+        jobs.drain(stream, f"{at}/done", f"{at}/at", handle).awaitTermination()
+    got = sorted((r["trigger_id"], r["status"], r["findings"], r["reason"]) for r in spark.read.parquet(f"{at}/done").collect())
+    assert got == [("a", "completed", 2, None), ("b", "error", None, "ValueError: bad"), ("c", "skipped", None, "no target"), ("d", "completed", 3, None)]
+
+
 def test_tag_triggers(spark):
     from auditspark.operators.tags import next_cursors, tag_triggers
 
