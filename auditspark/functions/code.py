@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from auditspark.shipping import ship
+
 # Words of the language that renaming must not touch.
 KEYWORDS = frozenset(
     "pragma solidity contract interface library abstract is using for function modifier constructor fallback receive returns return if else while do break continue "
@@ -46,9 +48,13 @@ def canonical(text: Column, own_name: Column | None = None) -> Column:
     return F.array_join(bind(pieces, rename), " ")
 
 
+# A string or a comment that does not end goes on to the end of its line or of the text,
+# so that no place is read twice.
+_SKIPPED = re.compile(r"\"(?:[^\"\\\n]|\\.)*+\"?|'(?:[^'\\\n]|\\.)*+'?|/\*.*?(?:\*/|\Z)|//[^\n]*", re.S)
+_SKIPPED_RUST = re.compile(r"\"(?:[^\"\\]|\\.)*+\"?|'(?:\\[^\n]|[^'\\\n])'|/\*.*?(?:\*/|\Z)|//[^\n]*", re.S)
 _CUT = re.compile(r"[(){};]")
 _STRING = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'")
-_COMMENT = re.compile(r"/\*.*?\*/|//[^\n]*", re.S)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*", re.S)
 
 
 def _statements(text: str) -> list[str]:
@@ -106,18 +112,22 @@ def _at_or_after(places: list[int], at: int, none: int) -> int:
 
 
 def braced_functions(source: str, lang: str = "solidity"):
-    """(name, kind, signature, body, first line, last line); comments are blanked.
-    Brackets are matched once for the file, so time is linear in it."""
-    text = re.sub(r"/\*.*?\*/|//[^\n]*", lambda m: re.sub(r"[^\n]", " ", m[0]), source, flags=re.S)
+    """(name, kind, signature, body, first line, last line); comments are blanked, what
+    strings hold is no bracket.  Brackets are matched once for the file, so time is
+    linear in it."""
+    skipped = _SKIPPED_RUST if _HEADS.get(lang) is _HEADS["rust"] else _SKIPPED
+    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
+    text = skipped.sub(lambda m: blank(m) if m[0][0] == "/" else m[0], source)
+    shape = skipped.sub(blank, source)
     lines = [m.start() for m in re.finditer("\n", text)]
-    opens, ends, stack, closes = [], [m.start() for m in re.finditer(";", text)], [], {}
-    for m in re.finditer(r"[{}]", text):
+    opens, ends, stack, closes = [], [m.start() for m in re.finditer(";", shape)], [], {}
+    for m in re.finditer(r"[{}]", shape):
         if m[0] == "{":
             opens.append(m.start())
             stack.append(m.start())
         elif stack:
             closes[stack.pop()] = m.end()
-    for m in _HEADS.get(lang, _HEAD).finditer(text):
+    for m in _HEADS.get(lang, _HEAD).finditer(shape):
         opening, stop = _at_or_after(opens, m.end(), -1), _at_or_after(ends, m.end(), len(text))
         if opening < 0 or stop < opening:
             continue  # a declaration without a body
@@ -127,7 +137,7 @@ def braced_functions(source: str, lang: str = "solidity"):
 
 def ended_functions(source: str, lang: str = "scilla"):
     """Functions that go on to a line with ``end`` alone."""
-    text = re.sub(r"\(\*.*?\*\)", lambda m: re.sub(r"[^\n]", " ", m[0]), source, flags=re.S)
+    text = re.sub(r"\(\*.*?(?:\*\)|\Z)", lambda m: re.sub(r"[^\n]", " ", m[0]), source, flags=re.S)
     stops = [m.end() for m in re.finditer(r"^[ \t]*end[ \t]*$", text, re.M)]
     lines = [m.start() for m in re.finditer("\n", text)]
     for m in _SCILLA.finditer(text):
@@ -136,21 +146,28 @@ def ended_functions(source: str, lang: str = "scilla"):
 
 
 def indented_functions(source: str):
+    """Functions that end before the next line that stands no deeper than their head."""
     lines = source.split("\n")
     breaks = [m.start() for m in re.finditer("\n", source)]
+    depth = [len(x) - len(x.lstrip()) if x.strip() else -1 for x in lines]
+    last_of, before, stack = {}, 0, []  # of lines not yet ended, the innermost last
+    for n, d in enumerate([*depth, 0]):
+        if d < 0:
+            continue
+        while stack and depth[stack[-1]] >= d:
+            last_of[stack.pop()] = before
+        if n < len(lines):
+            stack.append(n)
+            before = n + 1
     for m in _PY_HEAD.finditer(source):
         first = bisect_left(breaks, m.start()) + 1
-        last = first
-        for n in range(first, len(lines)):
-            if lines[n].strip():
-                if len(lines[n]) - len(lines[n].lstrip()) <= len(m[1]):
-                    break
-                last = n + 1
+        last = last_of.get(first - 1, first)
         yield m[2], "def", lines[first - 1].strip(), "\n".join(lines[first:last]), first, last
 
 
 def extract_functions(files: DataFrame, indented: tuple[str, ...] = ("vyper", "cairo", "python")) -> DataFrame:
     """Functions of files (doc_id, text, lang)."""
+    ship(files.sparkSession)
 
     def parse(batches):
         for b in batches:
@@ -242,5 +259,6 @@ def assignments(functions: DataFrame) -> DataFrame:
 
 def classify_finding(title: Column, description: Column) -> Column:
     """Which check a finding is for, by its words: reentrancy, access-control or generic."""
+    # The words.
     words = F.lower(F.concat_ws(" ", title, description))
     return F.when(words.rlike("reentrancy|re-entrancy|reentrant"), "reentrancy").when(words.rlike("access control|onlyowner|unauthorized|privilege|missing check"), "access-control").otherwise("generic")

@@ -70,8 +70,13 @@ def redact(value: Column) -> Column:
 
 
 def strip_comments(text: Column) -> Column:
-    """Block comments become one space, line comments go."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "(?s)/\\*.*?\\*/", " "), "//[^\\n]*", "")
+    """Block comments become one space, line comments go.  It knows no strings; see
+    ``source.clean_code`` for code of a known language."""
+    whole = F.coalesce(text, F.lit(""))
+    # Up to the last end of a comment every beginning has an end, so no text is read twice.
+    closed = F.regexp_extract(whole, "(?s)^(.*\\*/)", 1)
+    rest = F.substring(whole, F.length(closed) + 1, F.length(whole))
+    return F.regexp_replace(F.concat(F.regexp_replace(closed, "(?s)/\\*.*?\\*/", " "), rest), "//[^\\n]*", "")
 
 
 def tokenize(text: Column, most: int = 24) -> Column:

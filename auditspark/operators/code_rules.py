@@ -6,6 +6,10 @@ compare for equality.  A rule is a condition on facts, written from the descript
 of a weakness; names in rules are those of the languages and of token and proxy
 standards.  All rules of a scan are expressions of one plan; the functions table is
 made once per file and no rule shuffles.
+
+Patterns are read in linear time: a run of unbounded length begins only at its left
+end (a look-behind) and gives nothing back (``++``, ``*+``), or it is bounded.  Rules
+across functions and contracts are in ``contracts``.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.functions.code import extract_functions
-from auditspark.functions.text import strip_comments
+from auditspark.functions.source import clean_code
 
 # Weakness numbers of the categories.
 SWC = {
@@ -36,22 +40,24 @@ _DYNAMIC = r"\b(?:string|bytes)\b|\[\]"
 _POWERS = "set change replace configure assign pause resume unpause freeze stop mint burn issue withdraw drain collect recover sweep upgrade migrate grant revoke transferOwnership".split()
 _IN_CHARGE = ("owner", "admin", "governance", "operator", "manager", "governor", "controller")
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_]*"
-_ASSIGNED = rf"(?<![=!<>.A-Za-z0-9_])({_NAME})(?:\.{_NAME}|\[[^\]]*\])*\s*[-+*/|&]?=(?![=>])"
+_NAME = r"[A-Za-z_][A-Za-z0-9_]*+"
+_LEFT = r"(?<![A-Za-z0-9_])"
+_TARGET = rf"({_NAME})(?:\.{_NAME}|\[[^\[\]]*+\]){{0,32}}+\s*+[-+*/|&]?=(?![=>])"
 
 
 def facts(text: Column, around: Column) -> dict[str, Column]:
     """Facts of a text; ``around`` is the same with its signature."""
     listed = lambda pattern, of=text, group=1: F.array_distinct(F.regexp_extract_all(of, F.lit(pattern), F.lit(group)))
-    after = F.regexp_extract(text, r"(?s)(?:\.(?:call|delegatecall|callcode)\b|\braw_call\s*\()[^;\n]*[;\n](.*)$", 1)
+    paid = F.regexp_extract(text, r"(?s)(?:\.(?:call|delegatecall|callcode)\b|\braw_call\s*+\()(.*)$", 1)
+    after = F.regexp_extract(paid, r"(?s)^[^;\n]*+[;\n](.*)$", 1)
     return {
-        "calls": listed(rf"({_NAME})\s*(?:\{{[^{{}}]*\}}\s*)?\("),
+        "calls": listed(rf"{_LEFT}({_NAME})\s*+(?:\{{[^{{}}]*+\}}\s*+)?\("),
         "words": listed(_NAME, around, 0),
-        "assigned": listed(_ASSIGNED.replace("(?<![=!<>.A-Za-z0-9_])", r"(?<![=!<>.A-Za-z0-9_])(?:self\.)?")),
-        "late": listed(r"(?:self\.)?" + _ASSIGNED.replace("(?<![=!<>.A-Za-z0-9_])", ""), after),
+        "assigned": listed(r"(?<![=!<>.A-Za-z0-9_])(?:self\.)?" + _TARGET),
+        "late": listed(_LEFT + r"(?:self\.)?" + _TARGET, after),
         "tests": F.array_join(F.regexp_extract_all(text, F.lit(r"\b(?:require|assert|if|while|asserts!)\b([^;{}\n]*)"), F.lit(1)), "\n"),
-        "equal": F.array_join(F.regexp_extract_all(text, F.lit(r"[^\s=!<>&|;{},]+\s*==\s*[^\s=&|;{},]+"), F.lit(0)), "\n"),
-        "unused": F.regexp_extract_all(text, F.lit(r"(?:^|[;{}])\s*[\w.\[\]]+(?:\([^();]*\))?\.(call|delegatecall|send)\b"), F.lit(1)),
+        "equal": F.array_join(F.regexp_extract_all(text, F.lit(r"(?<![^\s=!<>&|;{},])[^\s=!<>&|;{},]++\s*+==\s*+[^\s=&|;{},]++"), F.lit(0)), "\n"),
+        "unused": F.regexp_extract_all(text, F.lit(r"(?:^|[;{}])\s*+[\w.\[\]]+(?:\([^();]*\))?\.(call|delegatecall|send)\b"), F.lit(1)),
         "loop": F.regexp_extract(text, r"(?s)\b(?:for|while)\s*\((.*)$", 1),
     }
 
@@ -82,7 +88,7 @@ class Facts:
 
     def before(self, minor: int) -> Column:
         """Written for a compiler before 0.``minor``."""
-        return F.coalesce(F.regexp_extract(self.texts["file"], r"pragma\s+solidity[^0-9;]*0\.(\d{1,4})", 1).try_cast("int") < minor, F.lit(False))
+        return F.coalesce(F.regexp_extract(self.texts["file"], r"pragma\s+solidity[^0-9;]{0,100}0\.(\d{1,4})", 1).try_cast("int") < minor, F.lit(False))
 
     @property
     def guarded(self) -> Column:
@@ -140,8 +146,8 @@ CODE_RULES = (
     _f("sol-spot-oracle", "oracle-manipulation", "HIGH", 0.8, lambda f: f.calls("getReserves") | (f.calls("latestRoundData") & ~f.uses("updatedAt"))),
     _f("sol-first-deposit", "arithmetic", "HIGH", 0.8, lambda f: f.has("equal", r"(?i)total(?:shares|supply)\W*==\s*0")),
     _f("sol-round-trip", "arithmetic", "MEDIUM", 0.6, lambda f: f.has("body", r"\*\s*total\w+(?:\(\))?\s*/\s*total\w+")),
-    _f("sol-divide-first", "arithmetic", "MEDIUM", 0.6, lambda f: f.has("body", r"/\s*[\w.]+\s*\)*\s*\*(?!\*)\s*[\w(]")),
-    _f("sol-pre8-unchecked", "arithmetic", "HIGH", 0.7, lambda f: f.before(8) & f.has("body", r"[-+*]=\s*\w|=[^=;]*\w\s*[-+*]\s*\w[^;]*;") & ~f.has("tests", "[<>]") & ~f.calls("add", "sub", "mul") & ~f.file_uses("SafeMath")),
+    _f("sol-divide-first", "arithmetic", "MEDIUM", 0.6, lambda f: f.has("body", r"/\s*+[\w.]++\s*+\)*+\s*+\*(?!\*)\s*+[\w(]")),
+    _f("sol-pre8-unchecked", "arithmetic", "HIGH", 0.7, lambda f: f.before(8) & f.has("body", r"[-+*]=\s*\w|=[^=;]*\w\s*+[-+*]\s*+\w") & ~f.has("tests", "[<>]") & ~f.calls("add", "sub", "mul") & ~f.file_uses("SafeMath")),
     _f("sol-randomness", "randomness", "HIGH", 0.85, lambda f: f.calls("blockhash") | (f.has("body", r"\bblock\.\w+|\bnow\b") & f.uses("timestamp", "number", "difficulty", "prevrandao", "now") & f.has("body", "%"))),
     _f("sol-preimage", "front-running", "HIGH", 0.75, lambda f: f.has("equal", r"keccak256|sha3|sha256") & f.pays),
     _f("sol-claim-race", "front-running", "HIGH", 0.65, lambda f: f.has("name", r"(?i)claim|redeem|solve") & f.has("tests", r"!\s*\w") & f.pays & ~f.guarded),
@@ -157,22 +163,21 @@ CODE_RULES = (
     _f("sol-packed-hash", "hash-collision", "MEDIUM", 0.7, lambda f: f.calls("encodePacked") & f.calls("keccak256") & (F.size(F.regexp_extract_all(f.texts["head"], F.lit(_DYNAMIC), F.lit(0))) >= 2)),
     _f("sol-fixed-gas", "hardcoded-gas", "LOW", 0.8, lambda f: f.has("body", r"\bgas\s*[:(]\s*\d")),
     _f("sol-typo", "typographical-error", "MEDIUM", 0.6, lambda f: f.has("body", r"[\w\])]\s*=[+!](?!=)\s*\w")),
-    _f("sol-short-address", "short-address", "MEDIUM", 0.6, lambda f: f.before(5) & f.has("head", r"\(\s*address\b[^)]*,\s*uint") & f.assigns() & ~f.uses("data") & ~f.guarded),
+    _f("sol-short-address", "short-address", "MEDIUM", 0.6, lambda f: f.before(5) & f.has("head", r"\(\s*address\b[^)]{0,500},\s*uint") & f.assigns() & ~f.uses("data") & ~f.guarded),
     _f("sol-approve-race", "front-running", "MEDIUM", 0.7, lambda f: f.has("name", "^approve$") & f.file_uses("transferFrom") & f.assigns() & ~f.has("tests", r"[=!]=\s*0")),
     _f("sol-default-visibility", "default-visibility", "LOW", 0.85, lambda f: f.before(5) & f.has("head", "^function") & ~f.has("head", r"\b(?:public|private|internal|external)\b")),
     _f("sol-payout", "uncontrolled-payout", "HIGH", 0.7, lambda f: f.has("head", r"\b(?:public|external)\b") & f._any("paid", ("amount", "_amount", "value", "_value", "wad", "sum")) & ~f.has("tests", "[<>]") & ~f.has("body", "-=") & ~f.guarded),
-    _d("sol-floating-pragma", "floating-pragma", "LOW", 0.9, lambda f: f.has("file", r"pragma\s+solidity\s*[^;]*[\^><]")),
+    _d("sol-floating-pragma", "floating-pragma", "LOW", 0.9, lambda f: f.has("file", r"pragma\s+solidity\s*+[^;]{0,200}[\^><]")),
     _d("sol-rtl", "rtl-override", "HIGH", 0.95, lambda f: f.has("raw", chr(0x202E))),
-    _d("sol-private-data", "private-data", "LOW", 0.6, lambda f: f.has("file", r"(?i)\bprivate\s+\w*(?:password|secret|seed|mnemonic)\w*\s*[;=]")),
+    _d("sol-private-data", "private-data", "LOW", 0.6, lambda f: f.has("file", r"(?i)\bprivate\s++(?=\w*(?:password|secret|seed|mnemonic))\w++\s*+[;=]")),
     _d("sol-balance-equality", "strict-balance-equality", "MEDIUM", 0.75, lambda f: f.has("equal", r"this\)?\.balance")),
     _d("sol-timestamp", "timestamp-dependence", "MEDIUM", 0.7, lambda f: f.has("equal", r"block\.timestamp|\bnow\b")),
-    _d("sol-open-proxy", "proxy-upgrade", "CRITICAL", 0.85, lambda f: f.uses("fallback") & f.uses("delegatecall") & f.has("file", r"function\s+upgrade\w*\s*\([^)]*\)\s*(?:public|external)\s*\{")),
-    _d("sol-shadowing", "shadowing", "MEDIUM", 0.6, lambda f: f.has("file", r"(?s)\bcontract\s+\w+[^{]*\{[^{}]*?\b(?:uint\d*|int\d*|address|bool|string|bytes\d*)\s+(?:public\s+|private\s+|internal\s+)?(\w+)\s*[;=].*\bcontract\s+\w+\s+is\b[^{]*\{[^{}]*?\b(?:uint\d*|int\d*|address|bool|string|bytes\d*)\s+(?:public\s+|private\s+|internal\s+)?\1\s*[;=]")),
+    _d("sol-open-proxy", "proxy-upgrade", "CRITICAL", 0.85, lambda f: f.uses("fallback") & f.uses("delegatecall") & f.has("file", r"function\s+upgrade\w*+\s*+\([^)]{0,500}\)\s*(?:public|external)\s*\{")),
     _f("vy-reentrancy", "reentrancy", "HIGH", 0.8, lambda f: f.calls("raw_call") & (F.size(f.texts["late"]) > 0), "vyper"),
     _f("vy-unguarded-role", "access-control", "HIGH", 0.8, lambda f: f.has("name", f"^(?:{'|'.join(_POWERS)})(?![a-z])") & ~f.has("tests", r"msg\.sender"), "vyper"),
     _f("vy-unchecked-transfer", "unchecked-external-call", "LOW", 0.5, lambda f: f.calls("transfer", "approve") & ~f.uses("assert"), "vyper"),
     _unless("move", "move-missing-acquires", "missing-acquires", "MEDIUM", 0.6, "borrow_global borrow_global_mut", "acquires"),
-    _d("move-copy-struct", "access-control", "MEDIUM", 0.6, lambda f: f.has("file", r"struct\s+\w+\s+has\b[^{]*\bcopy\b"), "move"),
+    _d("move-copy-struct", "access-control", "MEDIUM", 0.6, lambda f: f.has("file", r"struct\s+\w+\s+has\b[^{]{0,300}\bcopy\b"), "move"),
     _unless("move", "move-unchecked-take", "denial-of-service", "LOW", 0.5, "move_from", "exists"),
     _unless("cairo", "cairo-handler-replay", "signature-replay", "MEDIUM", 0.6, "l1_handler", "nonce consumed processed"),
     _d("cairo-randomness", "randomness", "MEDIUM", 0.6, lambda f: f.uses("get_block_timestamp") & f.has("file", "%"), "cairo"),
@@ -185,7 +190,7 @@ CODE_RULES = (
     _unless("solana", "sola-account-info", "access-control", "HIGH", 0.7, "AccountInfo", "has_one constraint seeds owner"),
     _unless("solana", "sola-lamports", "arithmetic", "MEDIUM", 0.6, "try_borrow_mut_lamports"),
     _unless("solana", "sola-unsigned-write", "access-control", "HIGH", 0.7, "set_inner try_borrow_mut_data", "Signer is_signer"),
-    _d("ts-zero-slippage", "slippage", "HIGH", 0.7, lambda f: f.has("file", r"(?i)\b\w*(?:min\w*out|out\w*min)\w*\s*[:=]\s*0\b"), "ts-sdk"),
+    _d("ts-zero-slippage", "slippage", "HIGH", 0.7, lambda f: f.has("file", r"(?i)\b(?=\w*min)(?=\w*out)\w++\s*+[:=]\s*+0\b"), "ts-sdk"),
     _d("ts-unlimited-approval", "unlimited-approval", "MEDIUM", 0.7, lambda f: f.uses("approve") & f.uses("MaxUint256", "maxUint256", "MAX_UINT256"), "ts-sdk"),
     _d("ts-key", "secret-leak", "CRITICAL", 0.8, lambda f: f.has("file", r"[\"'`](?:0x)?[0-9a-fA-F]{64}[\"'`]") & f.has("file", r"(?i)private_?key|mnemonic"), "ts-sdk"),
     _d("ts-random", "randomness", "HIGH", 0.7, lambda f: f.has("file", r"\bMath\.random\b") & f.has("file", r"(?i)nonce|salt|seed|secret"), "ts-sdk"),
@@ -230,7 +235,7 @@ def scan_code(files: DataFrame, rules: tuple[CodeRule, ...] | None = None) -> Da
     document rules), line, rule_id, category, severity, confidence, swc_id."""
     rules = tuple(rules or CODE_RULES) + tuple(_EXTRA)
     text = F.coalesce(F.col("text"), F.lit(""))
-    clean = files.select("doc_id", "lang", text.alias("raw"), strip_comments(text).alias("file"))
+    clean = files.select("doc_id", "lang", text.alias("raw"), clean_code(text, F.col("lang")).alias("file"))
     clean = clean.withColumn("file_words", F.array_distinct(F.regexp_extract_all("file", F.lit(_NAME), F.lit(0))))
     parts = []
     documents = [r for r in rules if r.scope == "D"]
@@ -241,11 +246,11 @@ def scan_code(files: DataFrame, rules: tuple[CodeRule, ...] | None = None) -> Da
         parts.append(x.select("doc_id", "function", "line", "r.*"))
     functions = [r for r in rules if r.scope == "F"]
     if functions:
-        f = extract_functions(files.select("doc_id", text.alias("text"), "lang")).join(clean, "doc_id")
+        f = extract_functions(clean.select("doc_id", F.col("file").alias("text"), "lang")).join(clean, "doc_id")
         f = f.withColumn("all", F.concat_ws(" ", "signature", "body"))
         own = facts(F.col("body"), F.col("all")) | {
-            "taken": F.regexp_extract_all("body", F.lit(rf"({_NAME})\s*=\s*(?:payable\s*\(\s*)?msg\.sender\b"), F.lit(1)),
-            "paid": F.regexp_extract_all("body", F.lit(rf"(?:transfer|send|safeTransfer)\s*\((?:[^;]*,)?\s*({_NAME})\s*\)"), F.lit(1)),
+            "taken": F.regexp_extract_all("body", F.lit(rf"{_LEFT}({_NAME})\s*+=\s*+(?:payable\s*\(\s*)?msg\.sender\b"), F.lit(1)),
+            "paid": F.regexp_extract_all("body", F.lit(rf"(?:transfer|send|safeTransfer)\s*+\((?:[^;]{{0,300}},)?\s*({_NAME})\s*+\)"), F.lit(1)),
         }
         f = f.select("*", *[c.alias(k) for k, c in own.items()])
         known = {k: F.col(k) for k in (*own, "name", "body", "all", "file", "raw", "file_words")} | {"head": F.col("signature")}

@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share; an own one only where none is set."""
-    import tempfile
-
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-shared-")
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
+from auditspark.shared import written
 
 
 def _written(df: DataFrame) -> DataFrame:
-    path = f"{_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, "graph")
 
 
 def _within(hops: int, most_hops: int | None) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.operators.graph import _written
+from auditspark.operators.graph import _grown, _within, _written
 
 # What makes a function callable from outside, and internal, per language.
 _OPEN = {"vyper": "@external|@public|@payable", "move": "public\\s+entry|entry\\s+fun|public\\s+fun", "cairo": "#\\[external|#\\[abi|@external|@view", "clarity": "define-public|define-read-only"}
@@ -60,24 +60,28 @@ def external_interfaces(files: DataFrame, most: int = 15) -> DataFrame:
     return cast.unionByName(typed).groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("call")), 1, most).alias("calls"))
 
 
-def taint_flows(entries: DataFrame, calls: DataFrame, sinks: DataFrame, most_hops: int = 6) -> DataFrame:
-    """Parameters that reach a sink through internal calls: one flow per entry.
+def taint_flows(entries: DataFrame, calls: DataFrame, sinks: DataFrame, most_hops: int | None = None) -> DataFrame:
+    """Parameters that reach a sink through internal calls: one flow per entry and
+    parameter, to the nearest sink.
 
-    ``entries``: file, fn, param (positions from 0).  ``calls``: file, caller,
-    caller_param, callee, callee_param (parameters in declared order).
-    ``sinks``: file, fn, param, sink.  Frontier joins on (file, function,
-    parameter), at most ``most_hops`` calls.
+    ``entries``: file, fn, param (a position or a name).  ``calls``: file, caller,
+    caller_param, callee, callee_param.  ``sinks``: file, fn, param, sink.  Frontier
+    joins on (file, function, parameter) until nothing is new; an entry that has met a
+    sink goes no further.  If ``most_hops`` is given and does not suffice, it raises.
     """
     key = ["file", "fn", "param"]
     front = _written(entries.select("file", F.col("fn").alias("entry"), F.col("param").alias("entry_param"), "fn", "param").distinct().withColumn("hops", F.lit(0)))
-    seen = front
-    for hop in range(1, most_hops + 1):
-        c = calls.select("file", F.col("caller").alias("fn"), F.col("caller_param").alias("param"), "callee", "callee_param")
-        step = front.join(c, key).select("file", "entry", "entry_param", F.col("callee").alias("fn"), F.col("callee_param").alias("param")).distinct()
+    seen, hop = front, 0
+    c = calls.select("file", F.col("caller").alias("fn"), F.col("caller_param").alias("param"), "callee", "callee_param")
+    while True:
+        hop += 1
+        done = front.join(sinks, key, "left_semi").select("file", "entry", "entry_param").distinct()
+        step = front.join(done, ["file", "entry", "entry_param"], "left_anti").join(c, key).select("file", "entry", "entry_param", F.col("callee").alias("fn"), F.col("callee_param").alias("param")).distinct()
         new = _written(step.join(seen.drop("hops"), ["file", "entry", "entry_param", "fn", "param"], "left_anti").withColumn("hops", F.lit(hop)))
         if new.isEmpty():
             break
-        seen, front = seen.unionByName(new.select(seen.columns)), new.select(seen.columns)
+        _within(hop, most_hops)
+        seen, front = _grown(seen, new.select(seen.columns), hop), new.select(seen.columns)
     hit = seen.join(sinks, key)
     return hit.groupBy("file", "entry", "entry_param").agg(F.min_by(F.struct("fn", "sink", "hops"), F.struct("hops", "fn", "sink")).alias("x")).select("file", "entry", "entry_param", "x.*")
 

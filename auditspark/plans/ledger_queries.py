@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from auditspark.operators import ledger
-from auditspark.operators.graph import _folder
+from auditspark.shared import shared_dir
 from auditspark.plans.base import query
 from auditspark.sources import feeds
 
@@ -87,7 +87,7 @@ def retention(t):
 @query("append_ledger", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS cost FROM events GROUP BY 1, 2")
 def append_ledger(t):
     """Events appended to a ledger in two runs, and what each day's folder holds then."""
-    at = f"{_folder(t.spark)}/ledger-{uuid.uuid4().hex}"
+    at = f"{shared_dir(t.spark)}/ledger-{uuid.uuid4().hex}"
     rows = t.events.select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
     for part in (0, 1):
         feeds.append_ledger(rows.where(F.col("event_id") % 2 == part), at)

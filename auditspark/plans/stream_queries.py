@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from auditspark.functions.text import trigger_id
 from auditspark.operators.findings import upsert_store
-from auditspark.operators.graph import _folder
+from auditspark.shared import shared_dir
 from auditspark.plans.base import query
 from auditspark.streaming import jobs
 
@@ -20,7 +20,7 @@ def _events(t):
 
 
 def _run(t, stream, mode="append"):
-    at = f"{_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
     jobs.run_once(stream, f"{at}/out", f"{at}/checkpoint", mode)
     return t.spark.read.schema(stream.schema).parquet(f"{at}/out")
 
@@ -51,7 +51,7 @@ def trigger_queue_stream(t):
 def drain_triggers(t):
     """Every trigger handled once, over two runs on one cursor; those without a
     target are skipped, and errors stay with their trigger."""
-    at = f"{_folder(t.spark)}/drain-{uuid.uuid4().hex}"
+    at = f"{shared_dir(t.spark)}/drain-{uuid.uuid4().hex}"
 
     def work(target: str) -> int:
         if target == "error":
@@ -68,7 +68,7 @@ def drain_triggers(t):
 @query("budget_stream", "SELECT CAST(day AS TIMESTAMP) AS day, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS spent FROM (SELECT *, CAST(ts AS DATE) AS day FROM events) GROUP BY 1")
 def budget_stream(t):
     """Spend per day; all days are written (complete), also the open one."""
-    at = f"{_folder(t.spark)}/budget-{uuid.uuid4().hex}"
+    at = f"{shared_dir(t.spark)}/budget-{uuid.uuid4().hex}"
     spent = jobs.spend_by_day(_events(t), "value")
 
     def batch(df, number):
@@ -83,7 +83,7 @@ def budget_stream(t):
 @query("rate_stream", "SELECT user_id, CAST(w AS TIMESTAMP) AS start, count(*) AS n FROM (SELECT user_id, unnest(list_transform(range(0, 6), lambda k: time_bucket(INTERVAL 600 SECOND, ts) - to_seconds(k * 600))) AS w FROM events) GROUP BY 1, 2")
 def rate_stream(t):
     """Events per user in hour-long windows that slide by ten minutes."""
-    at = f"{_folder(t.spark)}/rate-{uuid.uuid4().hex}"
+    at = f"{shared_dir(t.spark)}/rate-{uuid.uuid4().hex}"
     r = jobs.rate_stream(_events(t), "user_id", 3600)
 
     def batch(df, number):
@@ -98,7 +98,7 @@ def rate_stream(t):
 @query("findings_stream", "SELECT event_id AS fingerprint, user_id AS target, event_type AS status FROM events")
 def findings_stream(t):
     """Upserts of a stream into snapshots; the newest one holds every finding."""
-    at = f"{_folder(t.spark)}/findings-{uuid.uuid4().hex}"
+    at = f"{shared_dir(t.spark)}/findings-{uuid.uuid4().hex}"
     e = _events(t).select(F.col("event_id").alias("fingerprint"), F.col("user_id").alias("target"), F.col("event_type").alias("status"), F.lit("LOW").alias("severity"), F.col("value").cast("decimal(18,6)").alias("paid"), F.col("ts").alias("seen"))
     jobs.findings_stream(e, at + "/store", at + "/checkpoint", upsert_store).awaitTermination()
     s = t.spark.read.parquet(at + "/store")
