@@ -57,36 +57,38 @@ def _digest_counts(docs: DataFrame, bits: int, split: list[int] | None = None, s
     """``lang``, ``source``, ``digest``, ``part``, ``n``, ``docs``, added up within
     each task as far as ``ENTRIES`` reach.  With ``split``: only terms of these digests,
     ``part`` being their digest by another ``seed``."""
-    only = None if split is None else frozenset(split)
+    only = None if split is None else np.array(split, np.int64)
 
     def rows(held):
-        keys = [(*g, *d, *v) for g, terms in held.items() for d, v in terms.items()]
-        columns = list(zip(*keys, strict=True))
-        kinds = (pa.string(), pa.string(), *[pa.int64()] * 4)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "source", "digest", "part", "n", "docs"])
+        columns = [[] for _ in range(6)]
+        for (lang, source), (total, docs) in held.items():
+            terms = list(total)
+            digest = np.array([xxhash.xxh64_intdigest(t) for t in terms], np.uint64) >> np.uint64(64 - bits)
+            digest, n = digest.view(np.int64), np.fromiter(total.values(), np.int64, len(terms))
+            found = np.fromiter(map(docs.__getitem__, terms), np.int64, len(terms))
+            part = np.zeros(len(terms), np.int64)
+            if only is not None:
+                at = np.flatnonzero(np.isin(digest, only))
+                digest, n, found = digest[at], n[at], found[at]
+                part = np.array([_digest(terms[i], seed, 64) for i in at.tolist()], np.int64)
+            for c, x in zip(columns, (pa.array([lang]).take(pa.array(np.zeros(len(n), np.int64))), pa.array([source]).take(pa.array(np.zeros(len(n), np.int64))), digest, part, n, found), strict=True):
+                c.append(x)
+        strings = [pa.chunked_array(c, pa.string()).combine_chunks() for c in columns[:2]]
+        return pa.RecordBatch.from_arrays([*strings, *(pa.array(np.concatenate(c)) for c in columns[2:])], ["lang", "source", "digest", "part", "n", "docs"])
 
     def count(batches):
-        held, size, known = defaultdict(dict), 0, {}
+        held, size = defaultdict(lambda: (Counter(), Counter())), 0
         for b in few_rows(batches):
             for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                group = held[lang, source]
-                for term, n in Counter(_terms(text)).items():
-                    if (key := known.get(term)) is None:
-                        if len(known) >= ENTRIES:
-                            known.clear()
-                        d = _digest(term, 0, bits)
-                        key = known[term] = (d, 0) if only is None else (d, _digest(term, seed, 64)) if d in only else ()
-                    if not key:
-                        continue
-                    if entry := group.get(key):
-                        entry[0] += n
-                        entry[1] += 1
-                    else:
-                        group[key] = [n, 1]
-                        size += 1
+                total, docs = held[lang, source]
+                terms, before = _terms(text), len(docs)
+                total.update(terms)
+                docs.update(set(terms))
+                size += len(docs) - before
             if size >= ENTRIES:
                 yield rows(held)
-                held, size = defaultdict(dict), 0
+                held.clear()
+                size = 0
         if size:
             yield rows(held)
 
