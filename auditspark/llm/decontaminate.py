@@ -1,14 +1,16 @@
 """Operator 5: benchmark decontamination by template canonicalisation.
 
 A text becomes canonical tokens: punctuation around words goes, all is
-lower-cased, and numbers, units after a number and runs of names inside a
-sentence turn into typed placeholders, each with the words it stands for.
+lower-cased, and numbers (digits or words), units after a number and runs of names
+inside a sentence turn into typed placeholders, each with the words it stands for.
 Windows of canonical tokens of documents and of benchmark items meet in a hash
 join.  The windows of a document that lie at one offset from an item are an
 alignment; its slots must be filled consistently (one value of the item always
 stands for one value of the document), else only its windows with the item's own
 values count.  So a question with other numbers or names is found, and prose
-that only shares a pattern is not.  Windows of plain lower-cased words meet in
+that only shares a pattern is not.  Windows made mostly of placeholders tell little;
+they count where one alignment has all windows of an item.  A name that opens an item
+cannot be told from another first word; items are also read without that word.  Windows of plain lower-cased words meet in
 the same way, so items that are short or made of numbers, names or capitals are
 found where they are repeated.  All of it is DataFrame functions: texts are
 rewritten as a whole and windows are rows of words, made and hashed in generated
@@ -25,11 +27,12 @@ from auditspark.llm.common import fields_of, packed, small, table, written
 #: Tokens of a window; items with fewer use windows of their own length.
 WINDOW = 8
 #: Items with fewer canonical tokens have no template: they are found word for word only.
+#: (Three or four tokens with a placeholder, as in "add 3 and 4", are ordinary prose.)
 LEAST_TEMPLATE = 5
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.5
 
-# Punctuation stripped from words, marks that end a sentence, and units of measure.
+# Punctuation stripped from words, marks that end a sentence, units of measure, and numbers in words.
 MARKS = ".,;:!?\"'()[]{}<>|#$%&*+=/\\_~^`€£-"
 ENDS = ".!?:"
 UNITS = (
@@ -37,6 +40,10 @@ UNITS = (
     "mg g kg t lb lbs oz gram grams kilogram kilograms ton tons ml l litre litres liter liters s sec second seconds min minute minutes h hr hour hours "
     "day days week weeks month months year years percent dollar dollars cent cents euro euros pound pounds mph kmh degree degrees watt watts w kw kwh v volt volts"
 ).split()
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+).split()
 #: First characters of placeholders, of a word that opens a sentence, and between
 #: the words of a name.  In texts they count as white space.
 OPENS, NUM, UNIT, NAME, GLUE = "\x01", "\x02", "\x03", "\x04", "\x05"
@@ -63,7 +70,7 @@ def _spaced(text: Column, opened: bool) -> Column:
 
 def _valued(spaced: Column) -> Column:
     """Canonical tokens with their values: a placeholder goes before the words it stands for."""
-    out = F.regexp_replace(spaced, f"[0-9](?<=[ {OPENS}][0-9])[^ ]*+", NUM + "$0")
+    out = F.regexp_replace(spaced, f"(?<=[ {OPENS}])(?:[0-9][^ ]*+|(?=[a-zA-Z])(?i:{'|'.join(NUMBERS)})(?= ))", NUM + "$0")
     out = F.regexp_replace(out, f"{NUM}[^ ]*+ (?=(?i:{'|'.join(UNITS)}) )", "$0" + UNIT)
     out = F.regexp_replace(out, " (?=\\p{Lu})", " " + NAME)
     out = F.regexp_replace(out, f"({NAME}[^ ]*+) (?={NAME})", "$1" + GLUE)
@@ -93,26 +100,30 @@ def _key(names: list[str], literal: bool) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, version, literal, width, at, form, own, key, rich, total, riches of
-    the windows of every item.
+    """item_id, version, literal, width, at, form, own, key, rich, spoken, total,
+    riches of the windows of every item.
 
     ``form`` is what a document must hold there, ``own`` the item's words.  The
     version ``opened`` reads the item's first word as the opening of a sentence,
-    ``continued`` as standing inside one (left out if that is the same), ``words``
-    (``literal``) has the lower-cased words.  A window is ``rich`` if at least
-    half of its tokens are words.  ``total`` counts windows, ``riches`` rich ones.
+    ``continued`` as standing inside one (left out if that is the same), ``headless``
+    leaves it out if it is a capital one, ``words`` (``literal``) has the lower-cased
+    words.  A window is ``rich`` if at least half of its tokens are words.  A version
+    is ``spoken`` if any of its tokens is a word.  ``total`` counts windows, ``riches``
+    rich ones.
     """
     items = benchmark.select("item_id", *[_spaced(F.col("text"), o).alias(n) for o, n in ((True, "s"), (False, "c"))]).distinct()
     items = items.select("item_id", _valued(F.col("s")).alias("o"), _valued(F.col("c")).alias("c")).withColumn("w", _words(F.col("o")))
     versions = [
         items.select("item_id", F.lit("opened").alias("version"), F.split("o", " ").alias("own")),
         items.where("c <> o").select("item_id", F.lit("continued").alias("version"), F.split("c", " ").alias("own")),
+        items.where("c <> o").select("item_id", F.lit("headless").alias("version"), F.slice(F.split("o", " "), F.lit(2), F.size(F.split("o", " "))).alias("own")),
         items.select("item_id", F.lit("words").alias("version"), F.split("w", " ").alias("own")),
     ]
-    every = versions[0].unionByName(versions[1]).unionByName(versions[2]).where(F.element_at("own", 1) != "")
+    every = versions[0].unionByName(versions[1]).unionByName(versions[2]).unionByName(versions[3]).where("size(own) > 0").where(F.element_at("own", 1) != "")
     literal = F.col("version") == "words"
     every = every.where(literal | (F.size("own") >= LEAST_TEMPLATE)).withColumn("width", F.least(F.size("own"), F.lit(WINDOW)))
-    cut = every.select("item_id", "version", literal.alias("literal"), "width", "own", F.explode(F.sequence(F.lit(1), F.size("own") - F.col("width") + 1)).alias("at"))
+    spoken = F.exists("own", lambda x: ~_slot(_canon(x)))
+    cut = every.select("item_id", "version", literal.alias("literal"), "width", "own", spoken.alias("spoken"), F.explode(F.sequence(F.lit(1), F.size("own") - F.col("width") + 1)).alias("at"))
     cut = cut.withColumn("own", F.slice("own", F.col("at"), F.col("width"))).withColumn("form", F.when(F.col("literal"), F.col("own")).otherwise(F.transform("own", _canon)))
     cut = cut.withColumn("rich", F.col("literal") | (2 * F.size(F.filter("form", lambda x: ~_slot(x))) >= F.col("width")))
     keys = [F.xxhash64(F.col("literal").cast("int"), *[F.get("form", F.lit(k)) for k in range(w)]) for w in range(1, WINDOW + 1)]
@@ -139,7 +150,7 @@ def candidates(docs: DataFrame, windows: DataFrame, widths: dict[bool, list[int]
 
 def matched_windows(docs: DataFrame, windows: DataFrame, widths: dict[bool, list[int]], n: int) -> DataFrame:
     """Windows of documents that equal the form of a window of an item, token by
-    token: doc_id, digest, item_id, version, literal, rich, total, riches, at,
+    token: doc_id, digest, item_id, version, literal, rich, spoken, total, riches, at,
     shift, slots (canon, item, doc)."""
     valued = _identified(docs).select("doc_id", "digest", _valued(_spaced(F.col("text"), True)).alias("v"))
     arrays = valued.select("doc_id", "digest", F.split(_canon(F.col("v")), " ").alias("c"), F.split("v", " ").alias("v"), F.split(_words(F.col("v")), " ").alias("w"))
@@ -158,7 +169,7 @@ def matched_windows(docs: DataFrame, windows: DataFrame, widths: dict[bool, list
         placed = placed.unionByName(p)
     hits = placed.join(small(windows.drop("key", "width"), 900, n), ["literal", "form"])
     slots = F.filter(F.arrays_zip(F.col("form").alias("canon"), F.col("own").alias("item"), F.col("doc").alias("doc")), lambda x: _slot(x["canon"]))
-    return hits.select("doc_id", "digest", "item_id", "version", "literal", "rich", "total", "riches", "at", (F.col("place") + 1 - F.col("at")).alias("shift"), slots.alias("slots"))
+    return hits.select("doc_id", "digest", "item_id", "version", "literal", "rich", "spoken", "total", "riches", "at", (F.col("place") + 1 - F.col("at")).alias("shift"), slots.alias("slots"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -175,13 +186,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     filled = hits.where("not literal").select(*place, F.explode("slots").alias("s")).select(*place, "s.canon", "s.item", "s.doc")
     each = filled.groupBy(*place, "canon", "item").agg((F.min("doc") != F.max("doc")).alias("torn"))
     state = each.groupBy(*place).agg(F.bool_or("torn").alias("torn"), F.count("*").alias("slots"))
+    whole = hits.where("not literal").groupBy(*place).agg((F.count_distinct("at") == F.max("total")).alias("whole"))
     own = F.forall("slots", lambda s: s["item"] == s["doc"])
-    rows = hits.select(*place, "at", "literal", "rich", "total", "riches", own.alias("own")).distinct().alias("r")
+    rows = hits.select(*place, "at", "literal", "rich", "spoken", "total", "riches", own.alias("own")).distinct().alias("r")
     same = F.lit(True)
     for c in place:
         same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
-    joined = rows.join(state.alias("s"), same, "left").select("r.*", F.coalesce("s.torn", F.lit(False)).alias("torn"), F.coalesce("s.slots", F.lit(0)).alias("slots"))
-    good = joined.where(F.col("literal") | F.col("own") | (F.col("rich") & ~F.col("torn")))
+    within = F.lit(True)
+    for c in place:
+        within = within & F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}"))
+    joined = rows.join(state.alias("s"), same, "left").join(whole.alias("a"), within, "left")
+    joined = joined.select("r.*", F.coalesce("s.torn", F.lit(False)).alias("torn"), F.coalesce("s.slots", F.lit(0)).alias("slots"), F.coalesce("a.whole", F.lit(False)).alias("whole"))
+    good = joined.where(F.col("literal") | F.col("own") | ((F.col("rich") | F.col("whole") & F.col("spoken")) & ~F.col("torn")))
     by = good.groupBy("doc_id", "digest", "item_id", "version").agg(
         F.count_distinct("at").alias("places"), F.count_distinct(F.when(F.col("rich"), F.col("at"))).alias("found"), F.max("total").alias("total"), F.max("riches").alias("riches"), F.max("slots").alias("slots")
     )
@@ -196,8 +212,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     holds at least ``coverage`` of the windows of one version of an item.
 
     A window of canonical tokens counts if the document has the item's own values
-    in its slots, or if it is rich in words and the slots of its alignment are
-    filled consistently; the share is taken of all windows or of the rich ones,
+    in its slots, or if it is rich in words or its alignment has all windows of the
+    item, and the slots of its alignment are filled consistently; the share is taken of all windows or of the rich ones,
     whichever is larger.  A window of words counts wherever it stands.
     ``matched``, ``total`` and ``slots`` (distinct slot values of the item in the
     alignment) are of the version with the largest share (ties: more windows).
@@ -238,13 +254,14 @@ def _oracle() -> str:
     gap = f"[{marks}{space}]*[{space}][{marks}{space}]*"
     units = ", ".join(f"'{u}'" for u in UNITS)
     own = " || ".join(f"chr({ord(c)})" for c in _OWN)
+    number = f"(regexp_matches(w, '^[0-9]') OR lower(w) IN ({', '.join(repr(x) for x in NUMBERS)}))"
 
     def tokens(name, key, source, start):
         return f"""
 {name}_t AS (SELECT DISTINCT {key}, '{start}' || translate(coalesce(text, ''), {own}, '     ') || ' ' AS x FROM {source}),
 {name}_w AS (SELECT {key}, unnest(range(1, len(ws))) AS i, ws, gs FROM (SELECT {key}, string_split_regex(x, '{gap}')[2:] AS ws, regexp_extract_all(x, '{gap}') AS gs FROM {name}_t)),
 {name}_r AS (SELECT {key}, i, ws[i] AS w, regexp_matches(gs[i], '[{ENDS}]') AS opens FROM {name}_w),
-{name}_k AS (SELECT *, CASE WHEN regexp_matches(w, '^[0-9]') THEN 'N' WHEN lag(regexp_matches(w, '^[0-9]')) OVER p AND NOT opens AND lower(w) IN ({units}) THEN 'U' WHEN NOT opens AND regexp_matches(w, '^\\p{{Lu}}') THEN 'P' ELSE 'W' END AS k
+{name}_k AS (SELECT *, CASE WHEN {number} THEN 'N' WHEN lag({number}) OVER p AND NOT opens AND lower(w) IN ({units}) THEN 'U' WHEN NOT opens AND regexp_matches(w, '^\\p{{Lu}}') THEN 'P' ELSE 'W' END AS k
   FROM {name}_r WINDOW p AS (PARTITION BY {key} ORDER BY i)),
 {name}_g AS (SELECT *, sum(CASE WHEN k = 'P' AND before = 'P' THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY i) AS j FROM (SELECT *, lag(k) OVER (PARTITION BY {key} ORDER BY i) AS before FROM {name}_k)),
 {name}_c AS (SELECT {key}, j, any_value(k) AS k, string_agg(lower(w), ' ' ORDER BY i) AS v FROM {name}_g GROUP BY ALL),
@@ -254,21 +271,24 @@ def _oracle() -> str:
     return f"""
 WITH d0 AS (SELECT doc_id, hash(coalesce(text, '')) AS d, text FROM documents), {tokens("dt", "doc_id, d", "d0", ". ").lstrip()},
 {tokens("bo", "item_id", "benchmark", ". ").lstrip()}, {tokens("bc", "item_id", "benchmark", " ").lstrip()},
-bv AS (SELECT item_id, 'opened' AS version, c, v FROM bo UNION ALL SELECT bc.item_id, 'continued', bc.c, bc.v FROM bc JOIN bo ON bc.item_id = bo.item_id WHERE bc.c <> bo.c OR bc.v <> bo.v UNION ALL SELECT item_id, 'words', v, v FROM bo_l),
+bv AS (SELECT item_id, 'opened' AS version, c, v FROM bo UNION ALL SELECT bc.item_id, 'continued', bc.c, bc.v FROM bc JOIN bo ON bc.item_id = bo.item_id WHERE bc.c <> bo.c OR bc.v <> bo.v
+  UNION ALL SELECT bc.item_id, 'headless', bo.c[2:], bo.v[2:] FROM bc JOIN bo ON bc.item_id = bo.item_id WHERE bc.c <> bo.c OR bc.v <> bo.v UNION ALL SELECT item_id, 'words', v, v FROM bo_l),
 bw AS (SELECT item_id, version, c, v, least(len(c), {WINDOW}) AS width FROM bv WHERE version = 'words' OR len(c) >= {LEAST_TEMPLATE}),
 bp AS (SELECT *, unnest(range(1, len(c) - width + 2)) AS pos FROM bw),
 bx AS (SELECT item_id, version, width, pos, c[pos:pos + width - 1] AS form, v[pos:pos + width - 1] AS own FROM bp),
 by_window AS (SELECT *, version = 'words' OR 2 * len(list_filter(form, lambda x: x NOT IN ('<N>', '<U>', '<P>'))) >= width AS rich FROM bx),
-b AS (SELECT *, count(*) OVER q AS total, count(*) FILTER (rich) OVER q AS riches FROM by_window WINDOW q AS (PARTITION BY item_id, version)),
+spo AS (SELECT item_id, version, bool_or(len(list_filter(form, lambda x: x NOT IN ('<N>', '<U>', '<P>'))) > 0) AS spoken FROM bx GROUP BY ALL),
+b AS (SELECT by_window.*, spoken, count(*) OVER q AS total, count(*) FILTER (rich) OVER q AS riches FROM by_window JOIN spo ON by_window.item_id IS NOT DISTINCT FROM spo.item_id AND by_window.version = spo.version WINDOW q AS (PARTITION BY by_window.item_id, by_window.version)),
 ww AS (SELECT DISTINCT width, version = 'words' AS lit FROM b),
 dp AS (SELECT doc_id, d, FALSE AS lit, c, v, width, unnest(range(1, len(c) - width + 2)) AS place FROM dt JOIN ww ON NOT lit AND len(c) >= width
   UNION ALL SELECT doc_id, d, TRUE, v, v, width, unnest(range(1, len(v) - width + 2)) FROM dt_l JOIN ww ON lit AND len(v) >= width),
 dx AS (SELECT doc_id, d, lit, place, c[place:place + width - 1] AS form, v[place:place + width - 1] AS own FROM dp),
-hit AS (SELECT DISTINCT doc_id, d, item_id, version, lit, rich, total, riches, pos, place - pos AS shift, dx.form AS form, b.own AS bo, dx.own AS mine FROM dx JOIN b ON dx.form = b.form AND lit = (version = 'words')),
+hit AS (SELECT DISTINCT doc_id, d, item_id, version, lit, rich, spoken, total, riches, pos, place - pos AS shift, dx.form AS form, b.own AS bo, dx.own AS mine FROM dx JOIN b ON dx.form = b.form AND lit = (version = 'words')),
 sl AS (SELECT doc_id, d, item_id, version, shift, form, bo, mine, unnest(range(1, len(form) + 1)) AS j FROM hit WHERE NOT lit),
 sv AS (SELECT doc_id, d, item_id, version, shift, form[j] AS f, bo[j] AS bi, count(DISTINCT mine[j]) AS values FROM sl WHERE form[j] IN ('<N>', '<U>', '<P>') GROUP BY ALL),
 st AS (SELECT doc_id, d, item_id, version, shift, max(values) > 1 AS torn, count(*) AS slots FROM sv GROUP BY ALL),
-good AS (SELECT h.*, coalesce(slots, 0) AS slots FROM hit h LEFT JOIN st USING (doc_id, d, item_id, version, shift) WHERE lit OR bo = mine OR rich AND NOT coalesce(torn, FALSE)),
+wh AS (SELECT doc_id, d, item_id, version, shift, count(DISTINCT pos) = max(total) AS whole FROM hit WHERE NOT lit GROUP BY ALL),
+good AS (SELECT h.*, coalesce(slots, 0) AS slots FROM hit h LEFT JOIN st USING (doc_id, d, item_id, version, shift) LEFT JOIN wh USING (doc_id, d, item_id, version, shift) WHERE lit OR bo = mine OR (rich OR coalesce(whole, FALSE) AND spoken) AND NOT coalesce(torn, FALSE)),
 s AS (SELECT doc_id, d, item_id, version, count(DISTINCT pos) AS places, count(DISTINCT pos) FILTER (rich) AS found, max(total) AS total, max(riches) AS riches, max(slots) AS slots FROM good GROUP BY ALL),
 m AS (SELECT doc_id, d, item_id, version, slots, unnest([{{'m': places, 't': total}}, {{'m': found, 't': riches}}]) AS x FROM s),
 best AS (SELECT doc_id, d, item_id, max({{'s': x.m / x.t, 'm': x.m, 't': x.t, 'slots': slots}}) AS b FROM m WHERE x.t > 0 GROUP BY ALL)

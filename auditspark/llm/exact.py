@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import ascii_lower, fields_of, packed, small, table, written
+from auditspark.llm.common import ascii_lower, fields_of, packed, ship, small, table, written
 
 #: Fingerprints per run of the merged filter, on average.
 RUN = 256
@@ -36,6 +36,7 @@ def _runs(values: np.ndarray, counts: np.ndarray, low: int):
 
 def quotient_filter(fingerprints: DataFrame, quotient_bits: int) -> DataFrame:
     """Merged runs (``quotient``, ``remainders``, ``counts``) of a column ``fp``."""
+    ship(fingerprints.sparkSession)
     low = 64 - quotient_bits
     schema = pa.schema([("quotient", pa.int64()), ("remainders", pa.binary()), ("counts", pa.binary())])
 

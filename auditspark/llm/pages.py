@@ -9,8 +9,9 @@ of the article (``article`` or ``main``, else the body) is the text.
 
 Text blocks inside an article are never taken for a template, nor is a subtree
 that holds most of the page's main block.  Inside an article a class or id tells
-furniture only for adverts and comments; other telling names there make a subtree
-one that goes if it recurs on the host.
+furniture only if it is, as a whole, a name of adverts or of a list of comments; names
+that merely hold such a word there make a subtree one that goes if it recurs on the
+host, so an article may write of promotions and of comments.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import BROADCAST_BYTES, few_rows, table, written
+from auditspark.llm.common import BROADCAST_BYTES, few_rows, ship, table, written
 
 #: A subtree is template from this many different pages of its host.
 MIN_PAGES = 5
@@ -48,6 +49,8 @@ _ENDS_P = frozenset("address article aside blockquote div dl fieldset figure foo
 _FENCE = frozenset("article aside body div footer form header main nav section table td th ul ol dl html".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promotions comment comments commentlist respond".split())
+#: Inside an article: whole classes or ids of adverts and of what readers say.
+_IN_ARTICLE = frozenset("ad ads adv advert adverts advertisement advertising sponsored comments commentlist comment-list comments-area comments-list comments-section comment-section reader-comments user-comments".split())
 _NAMES = frozenset(
     "banner breadcrumb breadcrumbs consent cookie cookies disclaimer footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices overlay "
     "pagination popup related share sharing sidebar signup skip social subscribe subscription toolbar topbar widget widgets".split()
@@ -76,8 +79,8 @@ def _marked(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
                 return True, False
             if name in ("class", "id"):
                 words = set(re.split(r"[\s_-]+", value))
-                named = named or not _NAMES.isdisjoint(words)
-                if not _ADVERTS.isdisjoint(words) or named and not in_article:
+                named = named or not _NAMES.isdisjoint(words) or not _ADVERTS.isdisjoint(words)
+                if named and not in_article or in_article and not _IN_ARTICLE.isdisjoint(value.replace("_", "-").split()):
                     return True, False
     return bool(attributes and _HIDDEN.search(_QUOTED.sub("", attributes))), named
 
@@ -213,6 +216,7 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 def subtrees(pages: DataFrame) -> DataFrame:
     """host, page (hash of host and html), digest, main of every subtree that may be template."""
+    ship(pages.sparkSession)
 
     def hashes(batches):
         for b in few_rows(batches):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import packed, quoted, table, written
+from auditspark.llm.common import packed, quoted, ship, table, written
 from auditspark.llm.packing import numbered
 
 SHARDS = 16
@@ -28,6 +28,7 @@ _LOW, _HIGH = -(1 << 63), 1 << 63
 
 def _below(rows: DataFrame, key: str, probes: list[int]) -> list[tuple[int, int]]:
     """(bytes, rows) with a key below each probe, counted exactly."""
+    ship(rows.sparkSession)
     edges = np.array(probes, dtype=np.int64)
 
     def count(batches):

@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import shared_dir, table, written
+from auditspark.llm.common import shared_dir, ship, table, written
 
 VOCABULARY = "byte_bpe_50k.json"
 OVER = 1024
@@ -242,6 +242,7 @@ def count_tokens(docs: DataFrame, cache: DataFrame | None = None, vocabulary: st
     empty result.  Other columns of ``docs`` are neither used nor returned, so
     their names cannot clash.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     path, ranks = vocabulary_path(vocabulary), ranks_of(vocabulary)
     version = tokenizer_version(path)
