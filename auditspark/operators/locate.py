@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.functions.code import canonical, statement_multiset
+from auditspark.shipping import ship
 
 LIKE = 0.8
 _BANDS, _ROWS = 16, 2
@@ -35,6 +36,7 @@ def _hash(seed: int):
 
 def similarity(pairs: DataFrame, keep: list[str]) -> DataFrame:
     """``score``: ratio of matching blocks of the columns ``a`` and ``b``."""
+    ship(pairs.sparkSession)
 
     def score(batches):
         for b in batches:
