@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditspark.shared import BROADCAST_BYTES, made, release, shared_dir, small, written
 from auditspark.shipping import ship
 
-#: A side of a join is broadcast only when it has been counted and its size is
-#: below this many bytes; above it the same join runs as a shuffle join.
-BROADCAST_BYTES = 16 << 20
+__all__ = ["BROADCAST_BYTES", "ascii_lower", "few_rows", "fields_of", "fold", "made", "packed", "quoted", "release", "sampled", "shared_dir", "ship", "small", "table", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -24,49 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share (``spark.checkpoint.dir``).
-
-    Only a local session, where both are one process, gets an own folder if it
-    names none; on a cluster that is an error.
-    """
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="spark-shared-")
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-_WRITTEN: list[str] = []
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and
-    the rows survive a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, before: int = 0) -> None:
-    """Remove the intermediate tables that ``written`` has made since it had made
-    ``before`` of them.  Only for when all results that read them are stored."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for path in _WRITTEN[before:]:
-        at = hadoop.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    del _WRITTEN[before:]
-
-
-def made() -> int:
-    """How many intermediate tables there are; see ``release``."""
-    return len(_WRITTEN)
-
-
 def quoted(name: str):
     """The column of this very name, also where it has dots."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -83,12 +35,6 @@ def fields_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("row.*") if docs.columns else docs
 
 
-def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if its counted size is below the bound."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
-
-
 def few_rows(batches, rows: int = 256):
     """Arrow batches cut into small ones, so that what is made of their texts in
     Python stays small next to the batch itself."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import few_rows, fold, table, written
+from auditspark.llm.common import few_rows, fold, ship, table, written
 
 UNKNOWN = "und"
 #: Rows with a language that the classifiers are fitted on, at most (about).
@@ -101,6 +101,7 @@ def fit(docs: DataFrame, bound: int = FIT_ROWS) -> Model:
 
     With no such row the model knows no language and answers ``und``.
     """
+    ship(docs.sparkSession)
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 3) != 1))
     # Languages are counted over all rows; each is sampled on its own, so a rare one is not lost.
     sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
@@ -171,6 +172,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     rows each get a row, an empty table gives an empty result.  Other columns of
     ``docs`` are not used, so their names cannot clash.
     """
+    ship(docs.sparkSession)
 
     def apply(batches):
         for b in few_rows(batches):

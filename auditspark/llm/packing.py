@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditspark.llm import tokens
-from auditspark.llm.common import table, written
+from auditspark.llm.common import ship, table, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -79,6 +79,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = token
     """Token pieces of whole texts: ids, then the end id, cut into full pieces
     from the end (the first piece takes the rest).  ``with_ids`` adds the ids as
     little-endian 32-bit integers."""
+    ship(docs.sparkSession)
     path, ranks = tokens.vocabulary_path(vocabulary), tokens.ranks_of(vocabulary)
 
     def cut(batches):

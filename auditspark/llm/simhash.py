@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import few_rows, fields_of, packed, small, table, written
+from auditspark.llm.common import few_rows, fields_of, packed, ship, small, table, written
 from auditspark.llm.components import connected_components
 
 DISTANCE = 3
@@ -39,6 +39,7 @@ _SLICE = 1 << 17
 def fingerprints(docs: DataFrame, width: int = SHINGLE, more: list[str] | None = None) -> DataFrame:
     """``doc_id``, ``fp`` (the 64 bits as a signed long) and the long columns
     ``more`` of every whole text."""
+    ship(docs.sparkSession)
     more = more or []
 
     def one(text: str | None) -> int:
@@ -104,6 +105,7 @@ def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
 def near_links(points: DataFrame, distance: int = DISTANCE, blocks: int | None = None, cell: int = CELL) -> DataFrame:
     """Links ``a``, ``b`` between distinct fingerprints (column ``fp``, unique)
     whose components equal those of all pairs within ``distance`` bits."""
+    ship(points.sparkSession)
     n = points.count()
     if blocks is None:  # more blocks: longer keys, fewer chance meetings, more copies of a point
         blocks = distance + 3 if n < 1 << 25 else distance + 5

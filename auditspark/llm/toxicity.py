@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from auditspark.llm.common import few_rows, fold, quoted, sampled, table, written
+from auditspark.llm.common import few_rows, fold, quoted, sampled, ship, table, written
 
 #: Labelled rows that the model is fitted on, at most (about).
 FIT_ROWS = 20_000
@@ -287,6 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Grammar:
     words do not.  Without any usable label it is empty, and all texts get the
     same score.
     """
+    ship(docs.sparkSession)
     train = written(labelled(docs, labels, bound), "toxic-train")
     seen = train.mapInArrow(_family_words, "word string, toxic int, family long, aimed int").groupBy("word", "toxic", "family").agg(F.max("aimed").alias("aimed"))
     counts = seen.groupBy("word").agg(F.sum("toxic").alias("k"), F.sum(1 - F.col("toxic")).alias("m"), F.sum(F.col("aimed") * F.col("toxic")).alias("aimed"))
@@ -347,6 +348,7 @@ def score(docs: DataFrame, grammar: Grammar, columns: list[str] | None = None) -
     rows each get a row, an empty table gives an empty result.  Columns of these
     two names are replaced, all others stay.
     """
+    ship(docs.sparkSession)
     names = [c for c in columns or docs.columns if c.lower() not in ("score", "predicted")]
     at = _text_at(names)
     kept = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)])
@@ -367,6 +369,7 @@ def _text_at(names: list[str]) -> int:
 def drop_toxic(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> DataFrame:
     """``docs`` without the rows that the fitted grammar scores 0.5 or more, columns
     as they were.  Every row is judged by its own text, whatever its doc_id."""
+    ship(docs.sparkSession)
     grammar = fit(docs, labels, bound)
     at = _text_at(docs.columns)
     kept = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
