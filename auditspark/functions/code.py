@@ -165,7 +165,15 @@ def indented_functions(source: str):
         yield m[2], "def", lines[first - 1].strip(), "\n".join(lines[first:last]), first, last
 
 
-def extract_functions(files: DataFrame, indented: tuple[str, ...] = ("vyper", "cairo", "python")) -> DataFrame:
+_INDENTED = ("vyper", "cairo", "python")
+
+
+def functions_of(text: str, lang: str, indented: tuple[str, ...] = _INDENTED):
+    """Functions of one text, by the way its language bounds them."""
+    return indented_functions(text) if lang in indented else ended_functions(text) if lang == "scilla" else braced_functions(text, lang)
+
+
+def extract_functions(files: DataFrame, indented: tuple[str, ...] = _INDENTED) -> DataFrame:
     """Functions of files (doc_id, text, lang)."""
     ship(files.sparkSession)
 
@@ -173,8 +181,7 @@ def extract_functions(files: DataFrame, indented: tuple[str, ...] = ("vyper", "c
         for b in batches:
             out = []
             for i, text, lang in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                found = indented_functions(text or "") if lang in indented else ended_functions(text or "") if lang == "scilla" else braced_functions(text or "", lang)
-                out += [(i, *f) for f in found]
+                out += [(i, *f) for f in functions_of(text or "", lang, indented)]
             names = ["doc_id", "name", "kind", "signature", "body", "first_line", "last_line"]
             kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
             columns = list(zip(*out, strict=True)) if out else [()] * len(names)
