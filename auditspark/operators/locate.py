@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.functions.code import canonical, statement_multiset
+from auditspark.shared import small, written
 from auditspark.shipping import ship
 
 LIKE = 0.8
-_BANDS, _ROWS = 16, 2
 
 
 def prepared(functions: DataFrame) -> DataFrame:
@@ -20,55 +20,100 @@ def prepared(functions: DataFrame) -> DataFrame:
     return functions.select("path", "name", "body", canonical(F.col("body"), F.col("name")).alias("canon"), statement_multiset(F.col("body"), F.col("name")).alias("parts"))
 
 
-def _bands(f: DataFrame, key: list[str]) -> DataFrame:
-    """MinHash bands of a function's canonical word pairs, for blocking."""
-    words = F.split("canon", " ")
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))
-    rows = f.withColumn("_pairs", F.array_distinct(pairs))
-    least = [F.array_min(F.transform(F.col("_pairs"), _hash(i))) for i in range(_BANDS * _ROWS)]
-    bands = F.array(*[F.xxhash64(F.lit(b), *least[b * _ROWS : (b + 1) * _ROWS]) for b in range(_BANDS)])
-    return rows.select(*key, "canon", F.explode(bands).alias("band"))
-
-
-def _hash(seed: int):
-    return lambda x: F.xxhash64(F.lit(seed), x)
-
-
-def similarity(pairs: DataFrame, keep: list[str]) -> DataFrame:
-    """``score``: ratio of matching blocks of the columns ``a`` and ``b``."""
+def similarity(pairs: DataFrame, keep: list[str], least: float = 0.0) -> DataFrame:
+    """``score``: ratio of matching blocks of the columns ``a`` and ``b``; 0 without a
+    closer look where lengths or letters alone keep it below ``least``."""
     ship(pairs.sparkSession)
 
+    def ratio(x: str, y: str) -> float:
+        if x == y:
+            return 1.0
+        m = difflib.SequenceMatcher(None, x, y)
+        if not x or not y or m.real_quick_ratio() < least or m.quick_ratio() < least:
+            return 0.0
+        return m.ratio()
+
     def score(batches):
         for b in batches:
-            out = [1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)]
+            out = [ratio(x, y) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(out, pa.float64())], [*keep, "score"])
 
     kinds = dict(pairs.dtypes)
     return pairs.select(*keep, "a", "b").mapInArrow(score, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", score double")
 
 
-def locate(wanted: DataFrame, current: DataFrame) -> DataFrame:
+def _letters(forms: DataFrame) -> DataFrame:
+    """``form``, ``size``, ``letter``, ``n`` of distinct canonical forms (``form``, ``canon``)."""
+    rows = forms.select("form", F.length("canon").alias("size"), F.explode(F.split("canon", "")).alias("letter")).where("letter <> ''")
+    return rows.groupBy("form", "size", "letter").agg(F.count("*").alias("n"))
+
+
+def _prefixes(letters: DataFrame, rarity: DataFrame, like: float) -> DataFrame:
+    """``form``, ``size``, ``letter``, ``nth``: the rarest of a form's letters, the n-th
+    occurrence of a letter being an element of its own.
+
+    The letters in matching blocks are no more than the letters that two forms share, so
+    forms whose ratio is ``like`` share at least like / (2 - like) of the elements of
+    either, and one of the first size - that share + 1 of each in any one order.
+    """
+    rows = letters.select("form", "size", "letter", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth")).join(rarity, ["letter", "nth"])
+    nth = F.row_number().over(Window.partitionBy("form").orderBy("seen", "letter", "nth"))  # as many rows as the form has letters
+    kept = F.col("size") - F.ceil(F.col("size") * (like / (2 - like)) - 1e-9) + 1
+    return rows.withColumn("at", nth).where(F.col("at") <= kept).select("form", "size", "letter", "nth")
+
+
+def like_forms(wanted: DataFrame, known: DataFrame, like: float = LIKE) -> DataFrame:
+    """``a_form``, ``b_form``, ``score`` of all pairs of a wanted and a known form (``form``,
+    ``canon``, each form once) whose ratio is ``like`` or more: a join on the prefixes of
+    their letters, cut by size, then the exact ratio.  No pair is lost."""
+    w, k = written(wanted.where("canon <> ''"), "wanted-forms"), written(known.where("canon <> ''"), "known-forms")
+    lw, lk = written(_letters(w), "wanted-letters"), written(_letters(k), "known-letters")
+    # How many forms have a letter n times or more: elements that few have come first.
+    per = lw.unionByName(lk).groupBy("letter", "n").agg(F.count("*").alias("forms"))
+    least = per.withColumn("seen", F.sum("forms").over(Window.partitionBy("letter").orderBy(F.desc("n")))).select("letter", F.col("n"), "seen")
+    below = F.coalesce(F.lag("n").over(Window.partitionBy("letter").orderBy("n")), F.lit(0))
+    rarity = least.withColumn("below", below).select("letter", F.explode(F.sequence(F.col("below") + 1, F.col("n"))).alias("nth"), "seen")
+    rarity = written(rarity, "rarity")
+    n = rarity.count()
+    a = _prefixes(lw, small(rarity, 32, n), like).select(F.col("form").alias("a_form"), F.col("size").alias("a_size"), "letter", "nth")
+    b = _prefixes(lk, small(rarity, 32, n), like).select(F.col("form").alias("b_form"), F.col("size").alias("b_size"), "letter", "nth")
+    near = a.join(b, ["letter", "nth"]).where(2 * F.least("a_size", "b_size") >= like * (F.col("a_size") + F.col("b_size")) - 1e-9).select("a_form", "b_form").distinct()
+    near = written(near, "near-forms")
+    pairs = near.join(w.select(F.col("form").alias("a_form"), F.col("canon").alias("a")), "a_form").join(k.select(F.col("form").alias("b_form"), F.col("canon").alias("b")), "b_form")
+    return similarity(pairs, ["a_form", "b_form"], like).where(F.col("score") >= like)
+
+
+def locate(wanted: DataFrame, current: DataFrame, like: float = LIKE) -> DataFrame:
     """Where functions (``wanted``: id, path, name, body) stand in ``current``.
 
     Stages, first hit wins: same path and name; the name elsewhere; the same
-    canonical form; the same three or more statements; likeness of 0.8 or more
-    (candidates share a MinHash band).  Gives id, path, name, stage, score.
+    canonical form; the same three or more statements; likeness of ``like`` or more, the
+    likest first.  Ties: the first path, then the first name.  Gives id, path, name,
+    stage, score.  Every stage joins with one row a name, form or list of
+    statements, so copies of a function, however many, are one.
     """
-    w = wanted.select("id", F.col("path").alias("wpath"), F.col("name").alias("wname"), canonical(F.col("body"), F.col("name")).alias("wcanon"), statement_multiset(F.col("body"), F.col("name")).alias("wparts"))
+    form = F.sha2("canon", 256).alias("form")
+    w = wanted.select("id", F.col("path").alias("wpath"), F.col("name").alias("wname"), canonical(F.col("body"), F.col("name")).alias("canon"), statement_multiset(F.col("body"), F.col("name")).alias("parts"))
+    w = written(w.select("id", "wpath", "wname", "canon", form, "parts", F.sha2(F.to_json("parts"), 256).alias("list")), "wanted")
     c = prepared(current)
-    own = w.join(c, (c["path"] == w["wpath"]) & (c["name"] == w["wname"])).select("id", "path", "name", F.lit(1).alias("stage"), F.lit(1.0).alias("score"))
-    named = w.join(c, c["name"] == w["wname"]).select("id", "path", "name", F.lit(2).alias("stage"), F.lit(1.0).alias("score"))
-    same = w.join(c, c["canon"] == w["wcanon"]).select("id", "path", "name", F.lit(3).alias("stage"), F.lit(1.0).alias("score"))
-    moved = w.where(F.size("wparts") >= 3).join(c, c["parts"] == w["wparts"]).select("id", "path", "name", F.lit(4).alias("stage"), F.lit(1.0).alias("score"))
-    early = own.unionByName(named).unionByName(same).unionByName(moved)
+    c = written(c.select("path", "name", "canon", form, F.sha2(F.to_json("parts"), 256).alias("list")), "current")
+    first = lambda *key: c.groupBy(*key).agg(F.min(F.struct("path", "name")).alias("at"))
+    hit = lambda rows, stage: rows.select("id", "at.path", "at.name", F.lit(stage).alias("stage"), F.lit(1.0).alias("score"))
+    at = F.struct(F.col("wpath").alias("path"), F.col("wname").alias("name")).alias("at")
+    here = c.select(F.col("path").alias("wpath"), F.col("name").alias("wname")).distinct()
+    early = hit(w.join(here, ["wpath", "wname"]).select("id", at), 1)
+    early = early.unionByName(hit(w.join(first(F.col("name").alias("wname")), "wname"), 2))
+    early = early.unionByName(hit(w.join(first("form"), "form"), 3)).unionByName(hit(w.where(F.size("parts") >= 3).join(first("list"), "list"), 4))
+    early = written(early, "located")
     # Likeness is only asked where no stage before it has a hit.
-    left = _bands(w.join(early.select("id"), "id", "left_anti").select("id", F.col("wcanon").alias("canon")), ["id"]).withColumnRenamed("canon", "a")
-    right = _bands(c.select("path", "name", "canon"), ["path", "name"]).withColumnRenamed("canon", "b")
-    near = left.join(right, "band").select("id", "path", "name", "a", "b").distinct()
-    like = similarity(near, ["id", "path", "name"]).where(F.col("score") >= LIKE).select("id", "path", "name", F.lit(5).alias("stage"), "score")
-    every = early.unionByName(like)
-    first = Window.partitionBy("id").orderBy("stage", F.desc("score"), "path", "name")
-    return every.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    left = w.join(early.select("id").distinct(), "id", "left_anti").select("id", "form", "canon")
+    forms = first("form").join(c.groupBy("form").agg(F.first("canon").alias("canon")), "form")
+    alike = like_forms(left.groupBy("form").agg(F.first("canon").alias("canon")), forms.select("form", "canon"), like)
+    placed = alike.join(forms.select(F.col("form").alias("b_form"), "at"), "b_form")
+    best = placed.groupBy("a_form").agg(F.min(F.struct((-F.col("score")).alias("down"), "at")).alias("x")).select("a_form", (-F.col("x.down")).alias("score"), "x.at")
+    late = left.join(best, left["form"] == best["a_form"]).select("id", "at.path", "at.name", F.lit(5).alias("stage"), "score")
+    order = Window.partitionBy("id").orderBy("stage", F.desc("score"), "path", "name")
+    return early.unionByName(late).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
 def generic_vulnerable(versions: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """File corpora and function location on fixtures."""
 
+import difflib
+import random
+
 from pyspark.sql import functions as F
 
 from auditspark.functions import code
@@ -51,3 +54,61 @@ def test_statements(spark):
     assert [r["s"] for r in out.orderBy("i").collect()] == [
         ["for (uint i = f(1); i < g(h(k(n(2)))); i++)", "a()", "b = STR", "d({e: 1})"], [], [], ["((((((((((((;))))))))))))", "a"], [")", "( ;"],
     ]
+
+
+def _bodies(rng, n):
+    """Bodies of code in families of edits, and copies."""
+    words = "a b owner total price msg sender require return if for uint x y z + - * / == < > ( ) ; { } [ ] , .".split()
+    out = []
+    while len(out) < n:
+        base = [rng.choice(words) for _ in range(rng.choice([3, 8, 20, 60]))]
+        for _ in range(rng.randint(1, 4)):
+            text = list(base)
+            for _ in range(rng.randint(0, len(base) // 3)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            out.append(" ".join(text))
+    return out[:n]
+
+
+def test_like_forms_equal_all_pairs(spark):
+    """The join on prefixes loses no pair: every pair compared, on short and long forms."""
+    rng = random.Random(8)
+    forms = sorted(set(_bodies(rng, 120)))
+    wanted, known = forms[::3], forms
+    rows = lambda xs: spark.createDataFrame([(f"{i:04}", x) for i, x in enumerate(xs)], "form string, canon string")
+    for like in (0.8, 0.6):
+        got = {(r["a_form"], r["b_form"]): r["score"] for r in locate.like_forms(rows(wanted), rows(known), like).collect()}
+        want = {(f"{i:04}", f"{j:04}"): s for i, a in enumerate(wanted) for j, b in enumerate(known) if (s := 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()) >= like}
+        assert got == want
+
+
+def test_locate_equals_a_loop(spark):
+    rng = random.Random(9)
+    bodies = _bodies(rng, 90)
+    current = [(f"p{rng.randrange(6)}", f"f{rng.randrange(40)}", b) for b in bodies[:60]]
+    wanted = [(i, f"p{rng.randrange(6)}", f"f{rng.randrange(40)}" if rng.random() < 0.3 else f"g{i}", b) for i, b in enumerate(bodies[30:])]
+    wdf, cdf = spark.createDataFrame(wanted, "id long, path string, name string, body string"), spark.createDataFrame(current, "path string, name string, body string")
+    got = {r["id"]: (r["path"], r["name"], r["stage"], r["score"]) for r in locate.locate(wdf, cdf).collect()}
+    known = locate.prepared(cdf).collect()
+    asked = {r["path"]: r for r in locate.prepared(wdf.select(F.col("id").cast("string").alias("path"), "name", "body")).collect()}
+    for i, path, name, _ in wanted:
+        w, hits = asked[str(i)], []
+        for c in known:
+            stages = [(1, c["path"] == path and c["name"] == name), (2, c["name"] == name), (3, c["canon"] == w["canon"]), (4, c["parts"] == w["parts"] and len(w["parts"]) >= 3)]
+            hits += [(s, -1.0, c["path"], c["name"]) for s, ok in stages if ok]
+            score = difflib.SequenceMatcher(None, w["canon"], c["canon"]).ratio() if w["canon"] and c["canon"] else 0.0
+            hits += [(5, -score, c["path"], c["name"])] if score >= 0.8 else []
+        best = min(hits, default=None)
+        assert got.get(i) == (best and (best[2], best[3], best[0], -best[1])), i
+
+
+def test_a_form_with_many_copies(spark):
+    copies = spark.range(100_000).select(F.concat(F.lit("p"), "id").alias("path"), F.lit("f").alias("name"), F.lit("{ a = b + 1; return a; }").alias("body"))
+    wanted = spark.createDataFrame([(1, "q", "g", "{ a = b + 2; return a; }"), (2, "q", "h", "{ x = y + 1; return x; }"), (3, "q", "f", "")], "id long, path string, name string, body string")
+    out = {r["id"]: (r["path"], r["stage"]) for r in locate.locate(wanted, copies).collect()}
+    assert out == {1: ("p0", 5), 2: ("p0", 3), 3: ("p0", 2)}
+
+
+def test_locate_nothing(spark):
+    wanted = spark.createDataFrame([(1, "q", "g", None)], "id long, path string, name string, body string")
+    assert locate.locate(wanted, spark.createDataFrame([], "path string, name string, body string")).count() == 0
