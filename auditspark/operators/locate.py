@@ -83,36 +83,38 @@ def like_forms(wanted: DataFrame, known: DataFrame, like: float = LIKE) -> DataF
     return similarity(pairs, ["a_form", "b_form"], like).where(F.col("score") >= like)
 
 
-def locate(wanted: DataFrame, current: DataFrame, like: float = LIKE) -> DataFrame:
+def locate(wanted: DataFrame, current: DataFrame, like: float = LIKE, by: tuple[str, ...] = ()) -> DataFrame:
     """Where functions (``wanted``: id, path, name, body) stand in ``current``.
 
     Stages, first hit wins: same path and name; the name elsewhere; the same
     canonical form; the same three or more statements; likeness of ``like`` or more, the
     likest first.  Ties: the first path, then the first name.  Gives id, path, name,
-    stage, score.  Every stage joins with one row a name, form or list of
-    statements, so copies of a function, however many, are one.
+    stage, score.  With ``by``, columns of both tables, functions are located among
+    those of equal ones (a version, a repository) and the columns are given too.  Every
+    stage joins with one row a name, form or list of statements, so copies of a
+    function, however many, are one.
     """
     form = F.sha2("canon", 256).alias("form")
-    w = wanted.select("id", F.col("path").alias("wpath"), F.col("name").alias("wname"), canonical(F.col("body"), F.col("name")).alias("canon"), statement_multiset(F.col("body"), F.col("name")).alias("parts"))
-    w = written(w.select("id", "wpath", "wname", "canon", form, "parts", F.sha2(F.to_json("parts"), 256).alias("list")), "wanted")
-    c = prepared(current)
-    c = written(c.select("path", "name", "canon", form, F.sha2(F.to_json("parts"), 256).alias("list")), "current")
-    first = lambda *key: c.groupBy(*key).agg(F.min(F.struct("path", "name")).alias("at"))
-    hit = lambda rows, stage: rows.select("id", "at.path", "at.name", F.lit(stage).alias("stage"), F.lit(1.0).alias("score"))
+    w = wanted.select("id", *by, F.col("path").alias("wpath"), F.col("name").alias("wname"), canonical(F.col("body"), F.col("name")).alias("canon"), statement_multiset(F.col("body"), F.col("name")).alias("parts"))
+    w = written(w.select("id", *by, "wpath", "wname", "canon", form, "parts", F.sha2(F.to_json("parts"), 256).alias("list")), "wanted")
+    c = current.select(*by, "path", "name", canonical(F.col("body"), F.col("name")).alias("canon"), statement_multiset(F.col("body"), F.col("name")).alias("parts"))
+    c = written(c.select(*by, "path", "name", "canon", form, F.sha2(F.to_json("parts"), 256).alias("list")), "current")
+    first = lambda key: c.groupBy(*by, key).agg(F.min(F.struct("path", "name")).alias("at"))
+    hit = lambda rows, stage: rows.select("id", *by, "at.path", "at.name", F.lit(stage).alias("stage"), F.lit(1.0).alias("score"))
     at = F.struct(F.col("wpath").alias("path"), F.col("wname").alias("name")).alias("at")
-    here = c.select(F.col("path").alias("wpath"), F.col("name").alias("wname")).distinct()
-    early = hit(w.join(here, ["wpath", "wname"]).select("id", at), 1)
-    early = early.unionByName(hit(w.join(first(F.col("name").alias("wname")), "wname"), 2))
-    early = early.unionByName(hit(w.join(first("form"), "form"), 3)).unionByName(hit(w.where(F.size("parts") >= 3).join(first("list"), "list"), 4))
+    here = c.select(*by, F.col("path").alias("wpath"), F.col("name").alias("wname")).distinct()
+    early = hit(w.join(here, [*by, "wpath", "wname"]).select("id", *by, at), 1)
+    early = early.unionByName(hit(w.join(first(F.col("name").alias("wname")), [*by, "wname"]), 2))
+    early = early.unionByName(hit(w.join(first("form"), [*by, "form"]), 3)).unionByName(hit(w.where(F.size("parts") >= 3).join(first("list"), [*by, "list"]), 4))
     early = written(early, "located")
     # Likeness is only asked where no stage before it has a hit.
-    left = w.join(early.select("id").distinct(), "id", "left_anti").select("id", "form", "canon")
-    forms = first("form").join(c.groupBy("form").agg(F.first("canon").alias("canon")), "form")
-    alike = like_forms(left.groupBy("form").agg(F.first("canon").alias("canon")), forms.select("form", "canon"), like)
-    placed = alike.join(forms.select(F.col("form").alias("b_form"), "at"), "b_form")
-    best = placed.groupBy("a_form").agg(F.min(F.struct((-F.col("score")).alias("down"), "at")).alias("x")).select("a_form", (-F.col("x.down")).alias("score"), "x.at")
-    late = left.join(best, left["form"] == best["a_form"]).select("id", "at.path", "at.name", F.lit(5).alias("stage"), "score")
-    order = Window.partitionBy("id").orderBy("stage", F.desc("score"), "path", "name")
+    left = w.join(early.select("id", *by).distinct(), ["id", *by], "left_anti").select("id", *by, "form", "canon")
+    known = c.groupBy("form").agg(F.first("canon").alias("canon"))
+    alike = like_forms(left.groupBy("form").agg(F.first("canon").alias("canon")), known, like)
+    placed = alike.join(first("form").withColumnRenamed("form", "b_form"), "b_form")
+    best = placed.groupBy(*by, F.col("a_form").alias("form")).agg(F.min(F.struct((-F.col("score")).alias("down"), "at")).alias("x")).select(*by, "form", (-F.col("x.down")).alias("score"), "x.at")
+    late = left.join(best, [*by, "form"]).select("id", *by, "at.path", "at.name", F.lit(5).alias("stage"), "score")
+    order = Window.partitionBy("id", *by).orderBy("stage", F.desc("score"), "path", "name")
     return early.unionByName(late).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 

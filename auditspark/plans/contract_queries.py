@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.functions import source, table
-from auditspark.operators import contracts
+from auditspark.operators import contracts, locate, verdicts
 from auditspark.plans.base import query
+from auditspark.plans.bindings import lines
 from auditspark.shared import written
 
 _WORDS = "[a-z]{3,9}"
@@ -143,3 +144,47 @@ def functions_in_sql(t):
     files = d.select("doc_id", "lang", F.when(F.col("lang") == "solidity", braces).otherwise(indents).alias("text"))
     table.register(t.spark)
     return t.spark.sql("SELECT d.doc_id, d.lang, f.name, f.kind, f.first_line, f.last_line FROM {files} d, LATERAL functions(d.text, d.lang) f", files=files)
+
+
+def _bank_files(docs: DataFrame) -> DataFrame:
+    """Three versions of a contract around each document, with names of its words: a payment
+    before the books are changed that is renamed, moved, mended or copied on the way."""
+    d = _words(docs).withColumn("kind", F.col("n") % 5)
+    own, value, later, second = (_name(p, i) for i, p in enumerate(("take", "n", "pay", "sum")))
+    lit = F.lit
+
+    def function(name: Column, amount: Column, mended: bool) -> Column:
+        book, call = F.concat(lit("held[msg.sender] -= "), amount, lit("; ")), F.concat(lit("(bool done,) = msg.sender.call{value: "), amount, lit('}(""); require(done); '))
+        return F.concat(lit("  function "), name, lit("(uint "), amount, lit(") external { require(held[msg.sender] >= "), amount, lit("); "), *((book, call) if mended else (call, book)), lit("}\n"))
+
+    bank = lambda *fs: F.concat(lit("/* "), F.col("said"), lit(" */\ncontract Bank { mapping(address => uint) held;\n  string note = \""), F.col("noted"), lit('";\n'), *fs, lit("}\n"))
+    till = lambda f: F.concat(lit("contract Till { mapping(address => uint) held;\n"), f, lit("}\n"))
+    weak, renamed, mended = function(own, value, False), function(later, second, False), function(own, value, True)
+    a, b = lit("src/Bank.sol"), lit("src/Till.sol")
+    row = lambda version, path, text: F.struct(lit(version).alias("version"), path.alias("path"), text.alias("text"))
+    two = F.when(F.col("kind") == 0, F.array(row(2, a, bank(weak)))).when(F.col("kind") == 1, F.array(row(2, a, bank(renamed)))).when(F.col("kind") == 2, F.array(row(2, a, bank()), row(2, b, till(renamed))))
+    two = two.when(F.col("kind") == 3, F.array(row(2, a, bank(mended)))).otherwise(F.array(row(2, a, bank(mended, renamed))))
+    three = F.when(F.col("kind") == 3, F.array(row(3, a, bank(weak)))).otherwise(F.array(row(3, a, bank(mended))))
+    every = F.concat(F.array(row(1, a, bank(weak))), two, three)
+    return d.select(F.col("doc_id").alias("repo"), own.alias("own"), F.explode(every).alias("f")).select("repo", "own", "f.*", lit("solidity").alias("lang"))
+
+
+@query(
+    "source_verdicts",
+    f"""SELECT doc_id AS finding, v.version, CASE v.version WHEN 1 THEN 'STILL OPEN' WHEN 2 THEN (['STILL OPEN', 'STILL OPEN', 'STILL OPEN', 'FIXED', 'BAND-AID'])[n % 5 + 1] ELSE (['FIXED', 'FIXED', 'FIXED', 'REGRESSED', 'FIXED'])[n % 5 + 1] END AS verdict,
+    CASE WHEN v.version = 2 AND n % 5 = 2 THEN 'src/Till.sol' ELSE 'src/Bank.sol' END AS path, CASE WHEN v.version = 2 AND n % 5 IN (1, 2) THEN {_name_sql("pay", 2)} ELSE {_name_sql("take", 0)} END AS name FROM {_COUNTED}, (VALUES (1), (2), (3)) AS v(version)""",
+)
+def source_verdicts(t):
+    """Verdicts of every version from its source alone."""
+    files = written(_bank_files(t.documents), "versions")
+    findings = files.where("version = 1").select(F.col("repo").alias("finding"), "repo", F.lit("reentrancy").alias("kind"), "path", F.col("own").alias("name"))
+    return verdicts.source_verdicts(findings, files.drop("own")).select("finding", "version", "verdict", "path", "name")
+
+
+@query("locate_function")
+def locate_function(t):
+    """Lines as bodies of functions: those of every twentieth document are looked for among
+    those of all others (likeness has no SQL form; tested against all pairs)."""
+    every = lines(t.documents).where("content <> ''").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("f"), "line").alias("name"), F.concat(F.lit("{ "), "content", F.lit(" }")).alias("body"))
+    wanted = every.where("doc_id % 20 = 0").select(F.concat_ws(":", "path", "name").alias("id"), F.concat(F.lit("w"), "path").alias("path"), F.concat(F.lit("w"), "name").alias("name"), "body")
+    return locate.locate(wanted, every.where("doc_id % 20 <> 0").select("path", "name", "body"))
