@@ -2,16 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditspark.functions.text import normalise_id, normalise_severity
 
+# Wordings of headings, hedges, file and function names, auditors and dates in reports.
 _HEADING = "^#{1,4}\\s+\\S|^\\[?[HMCLIhmcli]\\s*-?\\s*[0-9]{1,3}\\]?[\\s:.-]+\\S|^[Ff]inding\\s+[0-9]+[\\s:.-]+\\S"
 _HEDGED = "(?i)may be at risk|may be vulnerable|could be vulnerable|could be at risk|might be vulnerable|might be exploitable|potential vulnerability|potentially vulnerable|at risk of"
 _FILE = "((?:contracts?|src|lib|tests?)/[A-Za-z0-9_./-]*[.](?:sol|vy|cairo|move|clar|func|rs|ts))"
 _FUNCTION = "(?:function\\s+|`|[A-Z][A-Za-z0-9_]*[.])([A-Za-z_][A-Za-z0-9_]*)\\s*\\("
+_ANY_FILE = "`([A-Za-z0-9_./-]+[.](?:sol|vy|cairo|move|clar|func|rs|ts))`"
 _NOISE = ("if", "for", "while", "require", "revert", "return", "emit")
+_AUDITOR = "(?im)^(?:auditor|audit[ \\t]+firm|audited[ \\t]+by|prepared[ \\t]+by)[ \\t]*[:\u2013\u2014-][ \\t]*(.+)$"
+_AUDITED = "(?i)\\baudit(?:ed)?[ \\t]+by[ \\t]+((?-i:[A-Z])[A-Za-z0-9 .&'-]{2,60})"
+_DATED = "(?im)^(?:date|report[ \\t]+date|published)[ \\t]*[:\u2013\u2014-][ \\t]*(.+)$"
+_ISO = "\\b(20[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2})\\b"
+REPORT_SUFFIXES = (".md", ".markdown", ".txt")
+#: Auditor, date and title stand at the beginning of a report.
+_FRONT = 4000
+
+
+def read_audit_reports(spark: SparkSession, root: str, suffixes: tuple[str, ...] = REPORT_SUFFIXES) -> DataFrame:
+    """``report`` (path), ``text`` of the report files below ``root``; other files are not read."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(suffixes) + "}").text(root, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("report"), F.col("value").alias("text"))
+
+
+def _first(text: Column, pattern: str) -> Column:
+    return F.nullif(F.btrim(F.regexp_extract(text, pattern, 1), F.lit(" \t\r")), F.lit(""))
+
+
+def report_facts(reports: DataFrame) -> DataFrame:
+    """``report``, ``title``, ``auditor``, ``date``: what the beginning of a report says of it.
+
+    The title is the first heading among the first ten lines, else the file's name in words;
+    a date is what a line says that names one, else the first that is written by numbers.
+    Null where a report does not tell; a null text tells nothing.
+    """
+    text = F.coalesce("text", F.lit(""))
+    front = F.left(text, F.lit(_FRONT))
+    heading = F.get(F.filter(F.transform(F.slice(F.split(text, "\r?\n"), 1, 10), lambda x: F.regexp_extract(F.btrim(x), "^#\\s+(.+?)\\s*$", 1)), lambda x: x != ""), F.lit(0))
+    stem = F.regexp_replace(F.regexp_extract(F.col("report").cast("string"), "([^/]*?)(?:[.][A-Za-z0-9]+)?$", 1), "[_-]+", " ")
+    auditor = F.rtrim(F.coalesce(_first(front, _AUDITOR), _first(front, _AUDITED)), F.lit("."))
+    return reports.select("report", F.coalesce(heading, F.initcap(F.btrim(stem))).alias("title"), auditor.alias("auditor"), F.coalesce(_first(front, _DATED), _first(front, _ISO)).alias("date"))
 
 
 def audit_ingest(reports: DataFrame) -> DataFrame:
@@ -30,7 +64,7 @@ def audit_ingest(reports: DataFrame) -> DataFrame:
     head = F.concat_ws("\n", "heading", F.left("body", F.lit(800)))
     s = s.withColumn("severity", normalise_severity(head)).withColumn("id", F.coalesce(normalise_id(F.col("heading")), normalise_id(F.left("body", F.lit(200)))))
     text = F.concat_ws("\n", "heading", "body")
-    s = s.withColumn("files", F.array_distinct(F.regexp_extract_all(text, F.lit(_FILE), F.lit(1)))).withColumn("functions", F.array_except(F.array_distinct(F.regexp_extract_all(text, F.lit(_FUNCTION), F.lit(1))), F.array(*[F.lit(x) for x in _NOISE])))
+    s = s.withColumn("files", F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (_FILE, _ANY_FILE)]))).withColumn("functions", F.array_except(F.array_distinct(F.regexp_extract_all(text, F.lit(_FUNCTION), F.lit(1))), F.array(*[F.lit(x) for x in _NOISE])))
     code = (F.size("files") > 0) | (F.size("functions") > 0)
     hedged = F.col("severity").isNull() & F.col("id").isNull() & head.rlike(_HEDGED) & code
     s = s.withColumn("hedged", hedged).where(F.col("severity").isNotNull() | F.col("id").isNotNull() | F.col("hedged"))

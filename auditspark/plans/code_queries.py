@@ -34,16 +34,23 @@ def strip_comments(t):
 
 @query(
     "audit_ingest",
-    """SELECT doc_id AS report, id, CASE WHEN hit THEN upper(s) ELSE 'UNKNOWN' END AS severity, round(0.7 + CASE WHEN hit THEN 0.15 ELSE 0 END, 2) AS confidence FROM (SELECT doc_id, 'H-' || lpad(CAST(doc_id % 90 + 1 AS VARCHAR), 2, '0') AS id, CASE doc_id % 3 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' ELSE '' END AS s, doc_id % 3 < 2 AS hit FROM documents)""",
+    """SELECT doc_id AS report, id, CASE WHEN hit THEN upper(s) ELSE 'UNKNOWN' END AS severity, round(0.7 + CASE WHEN hit THEN 0.15 ELSE 0 END, 2) AS confidence, 'Issue in ' || lang AS title, sha256(trim(words)) AS description,
+    'Review of ' || lang AS report_title, 'Firm ' || source AS auditor, '2024-03-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS date
+    FROM (SELECT doc_id, lang, source, regexp_replace(translate(coalesce(text, ''), chr(10), ' '), '(?i)critical|high|medium|moderate|low|info|note|[^a-z ]', '', 'g') AS words, 'H-' || lpad(CAST(doc_id % 90 + 1 AS VARCHAR), 2, '0') AS id, CASE doc_id % 3 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' ELSE '' END AS s, doc_id % 3 < 2 AS hit FROM documents)""",
 )
 def audit_ingest(t):
-    """Reports made of documents: a finding's heading over each text's first letters."""
+    """Reports made of documents: title, auditor and date, and a finding's heading over
+    each text's letters."""
     severity = F.when(F.col("doc_id") % 3 == 0, " (High)").when(F.col("doc_id") % 3 == 1, " (Medium)").otherwise("")
     head = F.concat(F.lit("## [H-"), (F.col("doc_id") % 90 + 1).cast("string"), F.lit("] Issue in "), F.col("lang"), severity)
     body = F.translate(F.coalesce("text", F.lit("")), "\n", " ")
     words = F.regexp_replace(body, "(?i)critical|high|medium|moderate|low|info|note|[^a-z ]", "")
-    reports = t.documents.select(F.col("doc_id").alias("report"), F.concat(head, F.lit("\n"), words).alias("text"))
-    return ingest.audit_ingest(reports).select("report", "id", "severity", "confidence")
+    date = F.concat(F.lit("2024-03-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))
+    front = F.concat(F.lit("# Review of "), F.col("lang"), F.lit("\nAuditor: Firm "), F.col("source"), F.lit(".\nDate: "), date, F.lit("\n\n"))
+    reports = t.documents.select(F.col("doc_id").alias("report"), F.concat(front, head, F.lit("\n"), words).alias("text"))
+    facts = ingest.report_facts(reports).select("report", F.col("title").alias("report_title"), "auditor", "date")
+    found = ingest.audit_ingest(reports).select("report", "id", "severity", "confidence", "title", F.sha2("description", 256).alias("description"))
+    return found.join(facts, "report")
 
 
 @query(

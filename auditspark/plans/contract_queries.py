@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from auditspark.functions import source, table
 from auditspark.operators import contracts, locate, verdicts
 from auditspark.plans.base import query
-from auditspark.plans.bindings import lines
 from auditspark.shared import written
 
 _WORDS = "[a-z]{3,9}"
@@ -183,8 +182,11 @@ def source_verdicts(t):
 
 @query("locate_function")
 def locate_function(t):
-    """Lines as bodies of functions: those of every twentieth document are looked for among
-    those of all others (likeness has no SQL form; tested against all pairs)."""
-    every = lines(t.documents).where("content <> ''").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("f"), "line").alias("name"), F.concat(F.lit("{ "), "content", F.lit(" }")).alias("body"))
-    wanted = every.where("doc_id % 20 = 0").select(F.concat_ws(":", "path", "name").alias("id"), F.concat(F.lit("w"), "path").alias("path"), F.concat(F.lit("w"), "name").alias("name"), "body")
+    """A function for each document, with a statement for each of its lines, by the words
+    and commas in it: those of every twentieth are looked for among those of all others
+    (likeness has no SQL form; tested against all pairs)."""
+    count = lambda x, p: F.regexp_count(x, F.lit(p)).cast("string")
+    statements = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("a"), count(x, "[.!?]"), F.lit(" = f("), count(x, "[^ ]+"), F.lit(", "), count(x, ","), F.lit("); ")))
+    every = t.documents.select("doc_id", F.concat(F.lit("p"), "doc_id").alias("path"), F.concat(F.lit("f"), "doc_id").alias("name"), F.concat(F.lit("{ "), F.array_join(statements, ""), F.lit("}")).alias("body"))
+    wanted = every.where("doc_id % 20 = 0").select(F.col("doc_id").alias("id"), "path", "name", "body")
     return locate.locate(wanted, every.where("doc_id % 20 <> 0").select("path", "name", "body"))

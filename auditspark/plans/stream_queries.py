@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from auditspark.functions.text import trigger_id
 from auditspark.operators.findings import upsert_store
-from auditspark.shared import shared_dir
 from auditspark.plans.base import query
-from auditspark.streaming import jobs
+from auditspark.shared import shared_dir
+from auditspark.streaming import jobs, store
 
 
 def _events(t):
@@ -97,10 +97,8 @@ def rate_stream(t):
 
 @query("findings_stream", "SELECT event_id AS fingerprint, user_id AS target, event_type AS status FROM events")
 def findings_stream(t):
-    """Upserts of a stream into snapshots; the newest one holds every finding."""
+    """Upserts of a stream into a bucketed store; what is read back holds every finding."""
     at = f"{shared_dir(t.spark)}/findings-{uuid.uuid4().hex}"
     e = _events(t).select(F.col("event_id").alias("fingerprint"), F.col("user_id").alias("target"), F.col("event_type").alias("status"), F.lit("LOW").alias("severity"), F.col("value").cast("decimal(18,6)").alias("paid"), F.col("ts").alias("seen"))
-    jobs.findings_stream(e, at + "/store", at + "/checkpoint", upsert_store).awaitTermination()
-    s = t.spark.read.parquet(at + "/store")
-    newest = s.agg(F.max("v")).first()[0]
-    return s.where(F.col("v") == newest).select("fingerprint", "target", "status")
+    store.upsert_stream(e, at + "/store", at + "/checkpoint", upsert_store, buckets=16).awaitTermination()
+    return store.read(t.spark, at + "/store").select("fingerprint", "target", "status")

@@ -111,7 +111,8 @@ def each(work: Callable[[str], int], target: str, key: str = "trigger_id") -> Ca
 def findings_stream(findings: DataFrame, store: str, checkpoint: str, upsert: Callable[[DataFrame | None, DataFrame], DataFrame]):
     """Upsert batches into numbered snapshots of a store; a replay rewrites the
     snapshot of its own number from the one before.  The first batch goes through
-    the same upsert, with None for the store."""
+    the same upsert, with None for the store.  Each batch writes all rows; see
+    ``store.upsert_stream`` for one that writes only what a batch touches."""
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
