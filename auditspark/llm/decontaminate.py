@@ -163,10 +163,12 @@ def matched_windows(docs: DataFrame, windows: DataFrame, widths: dict[bool, list
         rows = rows.select("doc_id", "digest", "place", "x.*")
         for w in widths[literal]:
             whole = rows.where(F.col(f"t{w - 1}").isNotNull())
-            parts.append(whole.select("doc_id", "digest", "place", F.lit(literal).alias("literal"), F.array(*[f"t{k}" for k in range(w)]).alias("form"), F.array(*[f"u{k}" for k in range(w)]).alias("doc")))
+            parts.append(whole.select("doc_id", "digest", "place", F.lit(literal).alias("literal"), F.array(*[f"t{k}" for k in range(w)]).alias("form"), F.array(*[f"u{k}" for k in range(w)]).alias("doc"), _key([f"t{k}" for k in range(w)], literal).alias("key")))
     placed = parts[0]
     for p in parts[1:]:
         placed = placed.unionByName(p)
+    # Windows meet by their hash first, which is narrow, so only those that match move as words.
+    placed = placed.join(small(windows.select("key").distinct(), 16, n), "key", "left_semi")
     hits = placed.join(small(windows.drop("key", "width"), 900, n), ["literal", "form"])
     slots = F.filter(F.arrays_zip(F.col("form").alias("canon"), F.col("own").alias("item"), F.col("doc").alias("doc")), lambda x: _slot(x["canon"]))
     return hits.select("doc_id", "digest", "item_id", "version", "literal", "rich", "spoken", "total", "riches", "at", (F.col("place") + 1 - F.col("at")).alias("shift"), slots.alias("slots"))
