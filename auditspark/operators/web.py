@@ -77,15 +77,23 @@ def denied_host(host: Column, names: list[str]) -> Column:
     return F.coalesce((host == "") | host.isin("localhost", *names) | suffix | private_address(host), F.lit(True))
 
 
-def route_diff(builds: DataFrame) -> DataFrame:
+def route_diff(routes: DataFrame) -> DataFrame:
     """Routes added and removed between consecutive builds of a host.
 
-    Input: host, build (orders), routes (array).  Empty diffs are dropped.
+    Input: host, build (orders), route, in any number of rows; a build without routes is
+    a row with a null route.  Only the routes that differ meet in a row; empty diffs are
+    dropped.  Rows without a host or build belong to no build.
     """
-    w = Window.partitionBy("host").orderBy("build")
-    b = builds.withColumn("_p", F.lag("routes").over(w)).where("_p IS NOT NULL")
-    d = b.select("host", "build", F.array_sort(F.array_except("routes", "_p")).alias("added"), F.array_sort(F.array_except("_p", "routes")).alias("removed"))
-    return d.where((F.size("added") > 0) | (F.size("removed") > 0))
+    r = routes.select("host", "build", "route").where("host IS NOT NULL AND build IS NOT NULL").distinct()
+    later = r.select("host", "build").distinct().withColumn("next", F.lead("build").over(Window.partitionBy("host").orderBy("build")))
+    later = later.where("next IS NOT NULL")
+    here = r.where("route IS NOT NULL")
+    now = here.join(later.select("host", F.col("next").alias("build")), ["host", "build"], "left_semi")
+    before = here.join(later, ["host", "build"]).select("host", F.col("next").alias("build"), "route")
+    keys = ["host", "build", "route"]
+    both = now.join(before, keys, "left_anti").withColumn("new", F.lit(True)).unionByName(before.join(now, keys, "left_anti").withColumn("new", F.lit(False)))
+    side = lambda new: F.array_sort(F.collect_list(F.when(F.col("new") == new, F.col("route"))))
+    return both.groupBy("host", "build").agg(side(True).alias("added"), side(False).alias("removed"))
 
 
 def route_presence(archived: DataFrame, live: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditspark.operators import graph
+from auditspark.operators.order import with_sum_before
 from auditspark.plans.base import query
 
 _NODE = "CAST(conv_id * 1000 + turn AS BIGINT)"
@@ -100,11 +101,8 @@ def shared_symbols(t):
 )
 def import_context(t):
     """Imported texts until 6000 bytes are full; the last is cut."""
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     n = F.octet_length(F.coalesce("text", F.lit("")))
-    d = t.documents.select("source", "doc_id", n.alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    d = with_sum_before(t.documents.select("source", "doc_id", n.alias("n")), ["source"], "doc_id", "n")
     return d.where("before < 6000").select("source", "doc_id", F.least("n", 6000 - F.col("before")).alias("taken"))
 
 

@@ -97,8 +97,12 @@ def append_ledger(t):
 
 @query("read_ledger", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props) AND json_extract_string(props, '$.k') IS NOT NULL")
 def read_ledger(t):
-    """Fields of JSON lines; malformed ones are dropped."""
-    return t.events.select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k")).where("k IS NOT NULL")
+    """Fields of JSON lines, written as text and read back; malformed ones are dropped."""
+    at = f"{shared_dir(t.spark)}/ledger-{uuid.uuid4().hex}"
+    line = F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"props":'), F.coalesce("props", F.lit("null")), F.lit("}"))
+    t.events.select(line.alias("value")).write.text(at)
+    stored = feeds.read_ledger(t.spark, at, "event_id long, props struct<k: long>")
+    return stored.select("event_id", F.col("props.k").alias("k")).where("k IS NOT NULL")
 
 
 @query(

@@ -34,7 +34,10 @@ def deployment_stream(t):
 @query("upgrade_stream", "SELECT user_id, event_id, old, event_type AS new FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS old FROM events WHERE event_type IN ('click', 'view')) WHERE old IS NOT NULL AND old <> event_type")
 def upgrade_stream(t):
     e = _events(t).where(F.col("event_type").isin("click", "view"))
-    return _run(t, jobs.upgrade_stream(e, "user_id", "event_type", "event_id"))
+    at = f"{shared_dir(t.spark)}/upgrades-{uuid.uuid4().hex}"
+    jobs.upgrade_stream(e, "user_id", "event_type", "event_id", at, f"{at}/checkpoint").awaitTermination()
+    kind = dict(t.events.dtypes)
+    return t.spark.read.schema(f"user_id {kind['user_id']}, event_id {kind['event_id']}, old string, new string").parquet(f"{at}/changes").select("user_id", "event_id", "old", "new")
 
 
 @query("trigger_queue_stream", "SELECT DISTINCT left(sha256(CAST(user_id AS VARCHAR) || event_type), 16) AS trigger_id FROM events")
@@ -59,25 +62,18 @@ def drain_triggers(t):
         return len(target)
 
     target = F.when(F.col("event_type") != "signup", F.col("event_type"))
-    e = _events(t).where("value > 20 AND user_id IS NOT NULL AND event_type IS NOT NULL").select(trigger_id(F.col("user_id"), F.col("event_type")).alias("trigger_id"), target.alias("target"))
+    e = _events(t).where("value > 20 AND user_id IS NOT NULL AND event_type IS NOT NULL").select(trigger_id(F.col("user_id"), F.col("event_type")).alias("trigger_id"), target.alias("target"), "ts")
     for _ in range(2):
-        jobs.drain(e, f"{at}/done", f"{at}/checkpoint", jobs.each(work, "target")).awaitTermination()
+        jobs.drain(e, f"{at}/done", f"{at}/checkpoint", jobs.each(work, "target"), ts="ts", keep="60 days").awaitTermination()
     return t.spark.read.parquet(f"{at}/done").select("trigger_id", "status", "findings")
 
 
 @query("budget_stream", "SELECT CAST(day AS TIMESTAMP) AS day, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS spent FROM (SELECT *, CAST(ts AS DATE) AS day FROM events) GROUP BY 1")
 def budget_stream(t):
-    """Spend per day; all days are written (complete), also the open one."""
+    """Spend per day, the open day too: the stream updates a store."""
     at = f"{shared_dir(t.spark)}/budget-{uuid.uuid4().hex}"
-    spent = jobs.spend_by_day(_events(t), "value")
-
-    def batch(df, number):
-        df.write.mode("overwrite").parquet(f"{at}/out/v={number}")
-
-    spent.writeStream.foreachBatch(batch).outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    out = t.spark.read.parquet(f"{at}/out")
-    newest = out.agg(F.max("v")).first()[0]
-    return out.where(F.col("v") == newest).select(F.col("day").cast("timestamp_ntz").alias("day"), F.col("spent").cast("double").alias("spent"))
+    store.latest_stream(jobs.spend_by_day(_events(t), "value"), ["day"], f"{at}/store", f"{at}/checkpoint", buckets=16).awaitTermination()
+    return store.read(t.spark, f"{at}/store").select(F.col("day").cast("timestamp_ntz").alias("day"), F.col("spent").cast("double").alias("spent"))
 
 
 @query("rate_stream", "SELECT user_id, CAST(w AS TIMESTAMP) AS start, count(*) AS n FROM (SELECT user_id, unnest(list_transform(range(0, 6), lambda k: time_bucket(INTERVAL 600 SECOND, ts) - to_seconds(k * 600))) AS w FROM events) GROUP BY 1, 2")
@@ -85,14 +81,8 @@ def rate_stream(t):
     """Events per user in hour-long windows that slide by ten minutes."""
     at = f"{shared_dir(t.spark)}/rate-{uuid.uuid4().hex}"
     r = jobs.rate_stream(_events(t), "user_id", 3600)
-
-    def batch(df, number):
-        df.write.mode("overwrite").parquet(f"{at}/out/v={number}")
-
-    r.writeStream.foreachBatch(batch).outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    out = t.spark.read.parquet(f"{at}/out")
-    newest = out.agg(F.max("v")).first()[0]
-    return out.where(F.col("v") == newest).select("user_id", F.col("window.start").cast("timestamp_ntz").alias("start"), F.col("count").alias("n"))
+    store.latest_stream(r, ["user_id", "window"], f"{at}/store", f"{at}/checkpoint", buckets=16).awaitTermination()
+    return store.read(t.spark, f"{at}/store").select("user_id", F.col("window.start").cast("timestamp_ntz").alias("start"), F.col("count").alias("n"))
 
 
 @query("findings_stream", "SELECT event_id AS fingerprint, user_id AS target, event_type AS status FROM events")

@@ -130,8 +130,8 @@ _BUILDS = f"(SELECT {_HOST} AS host, page_id % 3 AS build, list(DISTINCT h) AS r
     FROM (SELECT *, lag(routes) OVER (PARTITION BY host ORDER BY build) AS p FROM {_BUILDS}) WHERE p IS NOT NULL AND (len(list_filter(routes, lambda x: NOT list_contains(p, x))) > 0 OR len(list_filter(p, lambda x: NOT list_contains(routes, x))) > 0)""",
 )
 def build_route_diff(t):
-    h = t.pages.select(fx.hostname_of(F.col("url")).alias("host"), (F.col("page_id") % 3).alias("build"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('href="(/[^"]+)"'), F.lit(1))).alias("h"))
-    d = web.route_diff(h.groupBy("host", "build").agg(F.collect_set("h").alias("routes")))
+    h = t.pages.select(fx.hostname_of(F.col("url")).alias("host"), (F.col("page_id") % 3).alias("build"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('href="(/[^"]+)"'), F.lit(1))).alias("route"))
+    d = web.route_diff(h)
     return d.select("host", "build", F.array_join("added", " ").alias("added"), F.array_join("removed", " ").alias("removed"))
 
 

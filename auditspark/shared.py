@@ -30,6 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """A folder that is there to be read even if nothing is ever written to it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 _WRITTEN: list[str] = []
 
 
@@ -45,10 +56,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession, before: int = 0) -> None:
     """Remove the intermediate tables that ``written`` has made since it had made
     ``before`` of them.  Only for when all results that read them are stored."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     for path in _WRITTEN[before:]:
-        at = hadoop.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        remove_folder(spark, path)
     del _WRITTEN[before:]
 
 

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from auditspark.operators.order import with_previous
+from auditspark.shared import make_folder, remove_folder
+from auditspark.streaming import store
 
 LATE = "1 hour"
 
@@ -35,34 +37,75 @@ def trigger_queue(events: DataFrame, trigger: str = "trigger_id", ts: str = "ts"
     return events.withWatermark(ts, keep).dropDuplicatesWithinWatermark([trigger])
 
 
-def upgrade_stream(events: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """A row when a key's value changes; the first sighting is silent.
+def changes(sightings: DataFrame, last: DataFrame | None, into: str | None = None) -> DataFrame:
+    """Sightings (k, at, v) whose value is not that of the key's sighting before, with
+    ``old``.  ``last`` holds the sighting known of each key; what is not after it is old
+    news.  A key may have any number of sightings: see ``operators.order``."""
+    if last is not None:
+        known = last.select(F.col("k").alias("_k"), F.col("at").alias("_at"))
+        new = sightings.join(known, F.col("k").eqNullSafe(F.col("_k")), "left").where("_at IS NULL OR at > _at")
+        sightings = new.select("k", "at", "v", F.lit(False).alias("known")).unionByName(last.select("k", "at", "v", F.lit(True).alias("known")))
+    else:
+        sightings = sightings.withColumn("known", F.lit(False))
+    found = with_previous(sightings, ["k"], "at", "v", "old", into)
+    return found.where("NOT known AND old <> v").select("k", "at", "old", "v")
+
+
+def upgrade_stream(events: DataFrame, key: str, value: str, order: str, at: str, checkpoint: str, buckets: int = store.BUCKETS):
+    """A row (key, order, old, new) in ``at/changes`` when a key's value changes; the
+    first sighting is silent.
+
+    The last sighting of each key is a row of a bucketed store, so no executor holds
+    state, and a batch reads the buckets of its keys only.  Rows of one batch are taken
+    in their order, of equal places the smallest value; rows at or before a place known
+    of their key, and those without value or place, are no sightings.
+    """
+    spark = events.sparkSession
+
+    def newest(stored: DataFrame | None, rows: DataFrame) -> DataFrame:
+        both = rows if stored is None else stored.select("k", "at", "v").unionByName(rows)
+        return both.groupBy("k").agg(F.max("at").alias("at"), F.max_by("v", "at").alias("v"))
 
-    State per key is its last value and place; rows of one batch are taken in
-    their order.
+    def batch(df: DataFrame, number: int) -> None:
+        rows = df.select(F.col(key).alias("k"), F.col(order).alias("at"), F.col(value).alias("v")).where("at IS NOT NULL AND v IS NOT NULL")
+        rows = rows.groupBy("k", "at").agg(F.min("v").alias("v")).persist()
+        ranges = f"{at}/ranges/batch={number}"
+        found = changes(rows, store.met(rows, number, f"{at}/last", "k", buckets), ranges)
+        found.select(F.col("k").alias(key), F.col("at").alias(order), "old", F.col("v").alias("new")).write.mode("overwrite").parquet(f"{at}/changes/batch={number}")
+        store.upsert_batch(newest(None, rows), number, f"{at}/last", newest, "k", buckets)
+        rows.unpersist()
+        remove_folder(spark, ranges)
+
+    make_folder(spark, f"{at}/changes")
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def late_rows(events: DataFrame, end: Column, at: str, checkpoint: str, ts: str = "ts", delay: str = LATE):
+    """The rows that an aggregate with this watermark leaves out go to ``at/late``.
+
+    ``end`` is the time at which a row's window closes.  A batch's watermark is the
+    greatest time of the batches before it, less the delay, in milliseconds; each batch
+    writes the greatest time known after it.  The rows are the aggregate's own as long as
+    both streams meet the same arrivals in the same batches.  A row without a time is
+    never late.
     """
+    spark = events.sparkSession
+
+    def batch(df: DataFrame, number: int) -> None:
+        mark = spark.read.schema("mark long").parquet(f"{at}/marks/number={number - 1}").first()["mark"] if number else None
+        df = df.persist()
+        limit = F.timestamp_millis(F.lit(mark).cast("long")) - F.expr(f"INTERVAL {delay}")
+        df.where(end <= limit).write.mode("overwrite").parquet(f"{at}/late/batch={number}")
+        df.agg(F.greatest(F.max(F.unix_millis(F.col(ts))), F.lit(mark).cast("long")).alias("mark")).write.mode("overwrite").parquet(f"{at}/marks/number={number}")
+        df.unpersist()
 
-    def changes(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, place = state.get if state.exists else (None, None)
-        rows = pd.concat(list(frames)).sort_values(order)
-        out = []
-        for at, now in zip(rows[order].tolist(), rows[value].tolist(), strict=True):
-            if place is not None and at <= place:
-                continue
-            if last is not None and now != last:
-                out.append((k[0], at, last, now))
-            last, place = now, at
-        state.update((last, place))
-        yield pd.DataFrame(out, columns=[key, order, "old", "new"])
-
-    kind = dict(events.dtypes)
-    return events.select(key, order, value).groupBy(key).applyInPandasWithState(
-        changes, f"{key} {kind[key]}, {order} {kind[order]}, old string, new string", f"last string, place {kind[order]}", "append", GroupStateTimeout.NoTimeout
-    )
+    make_folder(spark, f"{at}/late")
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def spend_by_day(events: DataFrame, cost: str, ts: str = "ts") -> DataFrame:
-    """Spend per tumbling day, final once the watermark passes."""
+    """Spend per tumbling day, final once the watermark passes; in update mode with
+    ``store.latest_stream``, the open days are there too."""
     return events.withWatermark(ts, LATE).groupBy(F.window(ts, "1 day")).agg(F.sum(F.col(cost).cast("decimal(18,6)")).alias("spent")).select(F.col("window.start").alias("day"), "spent")
 
 
@@ -72,18 +115,21 @@ def rate_stream(events: DataFrame, key: str, seconds: int = 60, ts: str = "ts")
     return events.withWatermark(ts, LATE).groupBy(key, F.window(ts, f"{seconds} seconds", f"{slide} seconds")).count()
 
 
-def drain(queue: DataFrame, done_path: str, checkpoint: str, handle: Callable[[DataFrame], DataFrame], key: str = "trigger_id"):
+def drain(queue: DataFrame, done_path: str, checkpoint: str, handle: Callable[[DataFrame], DataFrame], key: str = "trigger_id", ts: str | None = None, keep: str = LATE):
     """Handle every trigger once.
 
     The keys met before are state of the stream, so that no batch reads what earlier
-    ones wrote.  A batch whose triggers were taken but not finished runs again as a
-    whole after a restart and overwrites the results of its number.
+    ones wrote.  With ``ts``, the time of a sighting, a key's state ends once the
+    watermark is ``keep`` past its first sighting, and a later sighting is a new trigger;
+    without it, keys stay for good.  A batch whose triggers were taken but not finished
+    runs again as a whole after a restart and overwrites the results of its number.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         handle(df).write.mode("overwrite").parquet(f"{done_path}/batch={number}")
 
-    return queue.dropDuplicates([key]).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    once = trigger_queue(queue, key, ts, keep) if ts else queue.dropDuplicates([key])
+    return once.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def each(work: Callable[[str], int], target: str, key: str = "trigger_id") -> Callable[[DataFrame], DataFrame]:
@@ -108,7 +154,7 @@ def each(work: Callable[[str], int], target: str, key: str = "trigger_id") -> Ca
     return lambda df: df.select(key, target).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, status string, findings long, reason string")
 
 
-def findings_stream(findings: DataFrame, store: str, checkpoint: str, upsert: Callable[[DataFrame | None, DataFrame], DataFrame]):
+def findings_stream(findings: DataFrame, target: str, checkpoint: str, upsert: Callable[[DataFrame | None, DataFrame], DataFrame]):
     """Upsert batches into numbered snapshots of a store; a replay rewrites the
     snapshot of its own number from the one before.  The first batch goes through
     the same upsert, with None for the store.  Each batch writes all rows; see
@@ -116,8 +162,8 @@ def findings_stream(findings: DataFrame, store: str, checkpoint: str, upsert: Ca
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        stored = spark.read.parquet(f"{store}/v={number - 1}") if number else None
-        upsert(stored, df).write.mode("overwrite").parquet(f"{store}/v={number}")
+        stored = spark.read.parquet(f"{target}/v={number - 1}") if number else None
+        upsert(stored, df).write.mode("overwrite").parquet(f"{target}/v={number}")
 
     return findings.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

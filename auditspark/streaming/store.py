@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 256
@@ -50,15 +50,29 @@ def read(spark: SparkSession, store: str, number: int | None = None) -> DataFram
     return _rows(spark, store, manifest(spark, store, known[-1] if number is None else number)) if known else None
 
 
-def upsert_batch(df: DataFrame, number: int, store: str, upsert: Callable[[DataFrame | None, DataFrame], DataFrame], key: str, buckets: int = BUCKETS) -> None:
+def _bucket(key: str | list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(k) for k in ([key] if isinstance(key, str) else key)]), F.lit(buckets)).cast("int")
+
+
+def _touched(df: DataFrame, bucket: Column) -> list[int]:
+    return [r["b"] for r in df.select(bucket.alias("b")).distinct().collect()]  # as many as there are buckets at most
+
+
+def met(df: DataFrame, number: int, store: str, key: str | list[str], buckets: int = BUCKETS) -> DataFrame | None:
+    """The rows that batch ``number`` finds in the buckets that ``df`` touches."""
+    before = manifest(df.sparkSession, store, number - 1)
+    return _rows(df.sparkSession, store, {b: before[b] for b in _touched(df, _bucket(key, buckets)) if b in before})
+
+
+def upsert_batch(df: DataFrame, number: int, store: str, upsert: Callable[[DataFrame | None, DataFrame], DataFrame], key: str | list[str], buckets: int = BUCKETS) -> None:
     """Upsert a batch: ``upsert`` gets the stored rows of the touched buckets and the
     batch's rows, and gives all rows of those buckets.  A batch without rows keeps the
     manifest.  The number of buckets is that of the first batch for good."""
     spark = df.sparkSession
-    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+    bucket = _bucket(key, buckets)
     df = df.persist()
     before = manifest(spark, store, number - 1)
-    touched = [r["b"] for r in df.select(bucket.alias("b")).distinct().collect()]  # as many as there are buckets at most
+    touched = _touched(df, bucket)
     if touched:
         stored = _rows(spark, store, {b: before[b] for b in touched if b in before})
         rows = upsert(stored, df).withColumn("bucket", bucket)
@@ -103,3 +117,27 @@ def upsert_stream(rows: DataFrame, store: str, checkpoint: str, upsert: Callable
         upsert_batch(df, number, store, upsert, key, buckets)
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(keys: list[str]) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
+    """An upsert that keeps a key's newest row; a batch has a key once."""
+
+    def upsert(stored: DataFrame | None, df: DataFrame) -> DataFrame:
+        if stored is None:
+            return df
+        rest = [c for c in df.columns if c not in keys]
+        both = stored.select(*df.columns, F.lit(0).alias("_newer")).unionByName(df.withColumn("_newer", F.lit(1)))
+        return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_newer").alias("_row")).select(*keys, "_row.*")
+
+    return upsert
+
+
+def latest_stream(aggregates: DataFrame, keys: list[str], store: str, checkpoint: str, buckets: int = BUCKETS):
+    """The newest value of every window in a store.  The stream is in update mode: its
+    state ends with the watermark, a batch hands over only the windows it changed, and
+    closed windows stay in the store."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        upsert_batch(df, number, store, latest(keys), keys, buckets)
+
+    return aggregates.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
