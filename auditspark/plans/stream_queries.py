@@ -35,7 +35,7 @@ def deployment_stream(t):
 def upgrade_stream(t):
     e = _events(t).where(F.col("event_type").isin("click", "view"))
     at = f"{shared_dir(t.spark)}/upgrades-{uuid.uuid4().hex}"
-    jobs.upgrade_stream(e, "user_id", "event_type", "event_id", at, f"{at}/checkpoint").awaitTermination()
+    jobs.upgrade_stream(e, "user_id", "event_type", "event_id", at, f"{at}/checkpoint", buckets=16).awaitTermination()
     kind = dict(t.events.dtypes)
     return t.spark.read.schema(f"user_id {kind['user_id']}, event_id {kind['event_id']}, old string, new string").parquet(f"{at}/changes").select("user_id", "event_id", "old", "new")
 
