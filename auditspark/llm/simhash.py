@@ -30,9 +30,11 @@ from auditspark.llm.components import connected_components
 
 DISTANCE = 3
 SHINGLE = 3
-#: A cell with more points is cut into parts of about this size; each pair of
-#: parts is then a cell of its own.
+#: A cell with more points is cut into parts of half this size, of which every two
+#: are then a cell, or, if that were too many parts, projected again.
 CELL = 1024
+#: Strides that strew the 64 bits over blocks, one for each further projection.
+_STEPS = (1, 5, 11)
 _SLICE = 1 << 17
 
 
@@ -102,30 +104,63 @@ def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return links
 
 
-def near_links(points: DataFrame, distance: int = DISTANCE, blocks: int | None = None, cell: int = CELL) -> DataFrame:
-    """Links ``a``, ``b`` between distinct fingerprints (column ``fp``, unique)
-    whose components equal those of all pairs within ``distance`` bits."""
-    ship(points.sparkSession)
+def spread_masks(level: int, blocks: int) -> list[int]:
+    """Masks over ``blocks`` groups of single bits; each level strews them anew."""
+    return [sum(1 << b for b in range(64) if (b * _STEPS[level] % 67) % blocks == i) for i in range(blocks)]
+
+
+def _projections(masks: list[int], distance: int) -> list[int]:
+    """Signed unions of all but ``distance`` of ``masks``."""
+    tables = [sum(kept) for kept in combinations(masks, len(masks) - distance)]
+    return [m - (1 << 64) if m >> 63 else m for m in tables]
+
+
+def meeting_cells(points: DataFrame, distance: int = DISTANCE, blocks: int | None = None, cell: int = CELL) -> DataFrame:
+    """Lists ``fps`` of about ``cell`` points at most, such that every two points
+    within ``distance`` bits share a list.
+
+    A full cell is dealt in pairs of parts as long as that copies its points no more
+    often than projecting them again would.  A larger one is split by projections of
+    the fingerprints themselves, onto blocks of other bits, which its pairs within
+    ``distance`` survive likewise; so a point has a bounded number of copies at each
+    level however many near copies meet in one cell.  What is full after the last
+    level (at most some bits are free by then) is dealt in pairs of parts.
+    """
     n = points.count()
     if blocks is None:  # more blocks: longer keys, fewer chance meetings, more copies of a point
         blocks = distance + 3 if n < 1 << 25 else distance + 5
-    masks = block_masks(blocks)
-    tables = [sum(masks[i] for i in kept) for kept in combinations(range(blocks), blocks - distance)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in tables]
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("e").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("e").bitwiseAND(F.lit(m))) for i, m in enumerate(_projections(block_masks(blocks), distance))])
     probes = points.select("fp", embed(F.col("fp")).alias("e")).select("fp", F.explode(keys).alias("cell"))
-    counts = written(probes.groupBy("cell").count().where("count > 1"), "cells")
-    full = counts.where(F.col("count") > cell)
-    n_full = full.count()
-    members = probes.join(counts.where(F.col("count") <= cell).select("cell"), "cell", "left_semi")
-    cells = members.groupBy("cell").agg(F.collect_list("fp").alias("fps"))  # at most `cell` entries
-    if n_full:
-        parts = F.ceil(F.col("count") / (cell // 2)).cast("int")
-        own = F.expr(f"cast(pmod(xxhash64(fp, 7), ceil(count / {cell // 2})) as int)")
-        inside = probes.join(small(full, 24, n_full), "cell").select("cell", "fp", parts.alias("parts"), own.alias("own"))
-        pairs = inside.select("cell", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        dealt = pairs.groupBy("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("fp").alias("fps"))
-        cells = cells.unionByName(dealt.select("cell", "fps"))
+    part, found = cell // 2, None
+    for level in range(len(_STEPS) + 1):
+        counts = written(probes.groupBy("cell").count().where("count > 1"), "cells")
+        finer = _projections(spread_masks(level, distance + 3), distance) if level < len(_STEPS) else None
+        most = len(finer) * part if finer else None
+        huge = F.lit(False) if most is None else F.col("count") > most
+        n_full, n_huge = (x or 0 for x in counts.agg(F.sum((F.col("count") > cell).cast("long")), F.sum(huge.cast("long"))).first())
+        members = probes.join(counts.where(F.col("count") <= cell).select("cell"), "cell", "left_semi")
+        cells = members.groupBy("cell").agg(F.collect_list("fp").alias("fps")).select("fps")  # at most `cell` entries
+        if n_full > n_huge:
+            parts = F.ceil(F.col("count") / part).cast("int")
+            own = F.expr(f"cast(pmod(xxhash64(fp, 7), ceil(count / {part})) as int)")
+            full = counts.where((F.col("count") > cell) & ~huge)
+            inside = probes.join(small(full, 24, n_full - n_huge), "cell").select("cell", "fp", parts.alias("parts"), own.alias("own"))
+            pairs = inside.select("cell", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+            dealt = pairs.groupBy("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("fp").alias("fps"))
+            cells = cells.unionByName(dealt.select("fps"))
+        found = cells if found is None else found.unionByName(cells)
+        if not n_huge:
+            break
+        keys = F.array(*[F.xxhash64("cell", F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(finer)])
+        probes = written(probes.join(small(counts.where(huge).select("cell"), 16, n_huge), "cell").select("fp", F.explode(keys).alias("cell")), "finer-cells")
+    return found
+
+
+def near_links(points: DataFrame, distance: int = DISTANCE, blocks: int | None = None, cell: int = CELL) -> DataFrame:
+    """Links ``a``, ``b`` between distinct fingerprints (column ``fp``, unique)
+    whose components equal those of all pairs within ``distance`` bits."""
+    ship(points.sparkSession)
+    cells = meeting_cells(points, distance, blocks, cell)
 
     def link(batches):
         for b in batches:
@@ -145,7 +180,7 @@ def near_links(points: DataFrame, distance: int = DISTANCE, blocks: int | None =
                     c.append(fps[q])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(c).view(np.int64))], ["a", "b"])
 
-    return cells.select("fps").mapInArrow(link, "a long, b long")
+    return cells.mapInArrow(link, "a long, b long")
 
 
 def _classes(fps: DataFrame, distance: int) -> DataFrame:

@@ -449,6 +449,37 @@ def test_simhash(request, which):
     assert got == brute_components([(i, fingerprint(t)) for i, t in texts_of(docs)])
 
 
+def signed(values):
+    return [(v - (1 << 64) if v >> 63 else v,) for v in values]
+
+
+def crowd(rng, n, bits):
+    """``n`` fingerprints that differ from one another in ``bits`` places only."""
+    centre, places, values = rng.getrandbits(64), rng.sample(range(64), bits), set()
+    while len(values) < n:
+        values.add(centre ^ sum(1 << b for b in rng.sample(places, rng.randint(0, 6))))
+    return values
+
+
+@pytest.mark.parametrize(("blocks", "cell"), [(6, 4), (8, 4)])
+def test_crowded_cells(spark, blocks, cell):
+    """Cells that are projected again: every pair within three bits still meets."""
+    rng = random.Random(blocks)
+    values = sorted(crowd(rng, 500, 16) | crowd(rng, 300, 40) | {rng.getrandbits(64) for _ in range(50)})
+    cells = simhash.meeting_cells(spark.createDataFrame(signed(values), "fp long"), blocks=blocks, cell=cell)
+    met = {(a % (1 << 64), b % (1 << 64)) for r in cells.collect() for a in r["fps"] for b in r["fps"]}
+    assert all((a, b) in met for a in values for b in values if a < b and (a ^ b).bit_count() <= 3)
+
+
+def test_crowded_cells_do_not_grow_with_the_square(spark):
+    """Twice as many near copies: their places in cells do not quadruple."""
+    rng, places = random.Random(3), []
+    for n in (4000, 8000):
+        cells = simhash.meeting_cells(spark.createDataFrame(signed(crowd(rng, n, 48)), "fp long"), cell=32)
+        places.append(cells.selectExpr("sum(size(fps)) AS n").first()["n"])
+    assert places[1] < 3 * places[0]
+
+
 @pytest.mark.parametrize(("blocks", "cell"), [(6, 1024), (6, 8), (8, 16)])
 def test_near_links(spark, blocks, cell):
     """Near groups, chance neighbours and full cells: same components as all pairs."""
@@ -459,7 +490,7 @@ def test_near_links(spark, blocks, cell):
         for _ in range(60):
             values.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))))
     values = sorted(values)
-    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    df = spark.createDataFrame(signed(values), "fp long")
     comp = connected_components(simhash.near_links(df, blocks=blocks, cell=cell)).collect()
     root = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in comp}
     group = defaultdict(set)
