@@ -9,6 +9,7 @@ from auditspark.functions import code
 from auditspark.functions import text as fx
 from auditspark.operators import locate, reach, web
 from auditspark.plans.base import query
+from auditspark.plans.bindings import LINES_SQL
 from auditspark.sources import corpus, tool_reports
 
 _TEXT = "coalesce(text, '')"
@@ -37,80 +38,181 @@ def _words() -> Column:
     return F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "\n", " "), "[^a-z ]", "")
 
 
+def _each_line(f) -> Column:
+    """``f(line, place from 0)`` of every line of a text, as an array."""
+    return F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), f)
+
+
+def _word(x: Column) -> Column:
+    return F.regexp_extract(x, "([a-z]+)", 1)
+
+
+def _by_length(x: Column, *values: str | None) -> Column:
+    """The value, or null, that the length of a line picks."""
+    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.length(x) % len(values) + 1).cast("int"))
+
+
+_WORD, _LENGTH = "regexp_extract(content, '([a-z]+)', 1)", "length(content)"
+
+
+def _by_length_sql(*values: str) -> str:
+    return f"""([{', '.join(f"'{v}'" for v in values)}])[{_LENGTH} % {len(values)} + 1]"""
+
+
+def _file(kind: str, x: Column) -> Column:
+    return F.concat(F.lit(kind + "/"), _word(x))
+
+
 def _report(tool: str, t, value: Column) -> DataFrame:
-    """Hits of a tool's reports, one for each document, and of one that is no JSON."""
+    """Hits of a tool's reports, one report for each document with an issue for each
+    of its lines, and of one that is no JSON."""
     rows = t.documents.select(_id().alias("target"), value.alias("value")).unionByName(t.spark.sql("SELECT 'none' AS target, 'no json' AS value"))
     return tool_reports.normalize(tool, rows).withColumn("description", F.sha2("description", 256))
 
 
-def _hits(engine: str, where: str = "TRUE", **columns: str) -> str:
-    none = {"file": "''", "line": "0", "function": "''", "category": "''", "severity": "'MEDIUM'", "title": "''", "description": "''", "swc_id": "''", "confidence": "0.5"} | columns
+def _hits(engine: str, rows: str = LINES_SQL, **columns: str) -> str:
+    none = {"file": "''", "line": "0", "function": "''", "category": "''", "severity": "'MEDIUM'", "title": "''", "description": "content", "swc_id": "''", "confidence": "0.5"} | columns
     none["description"], none["line"], none["confidence"] = f"sha256({none['description']})", f"CAST({none['line']} AS INTEGER)", f"CAST({none['confidence']} AS DOUBLE)"
-    return f"SELECT '{engine}' AS engine, CAST(doc_id AS VARCHAR) AS target, {', '.join(f'{v} AS {k}' for k, v in none.items())} FROM documents WHERE {where}"
+    return f"SELECT '{engine}' AS engine, CAST(doc_id AS VARCHAR) AS target, {', '.join(f'{v} AS {k}' for k, v in none.items())} FROM {rows}"
 
 
-_IMPACTS = ("High", "Medium", "Low", "Informational", "Optimization", "Unheard")
-_LEVELS = ("HIGH", "MEDIUM", "LOW", "INFO", "INFO", "MEDIUM")
+_IMPACTS = ("High", "Medium", "Low", "Informational", "Optimization", "Unheard", None)
+_LEVELS = ("HIGH", "MEDIUM", "LOW", "INFO", "INFO", "MEDIUM", "MEDIUM")
 
 
 @query(
     "normalize_slither",
-    _hits("slither", file="CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'f' || doc_id || '.sol' END", line="CASE WHEN doc_id % 4 = 0 THEN 0 ELSE doc_id % 100 END", function="CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'g' || doc_id END", category="'check-' || lang", severity=_one_of_sql(*_LEVELS), title="'Check-' || lang", description=_TEXT, swc_id="'SWC-' || doc_id % 37", confidence="CASE doc_id % 3 WHEN 0 THEN 0.8 WHEN 1 THEN 0.6 ELSE 0.5 END", where="lang IS NOT NULL"),
-)
+    _hits(
+        "slither",
+        file=f"CASE {_LENGTH} % 5 WHEN 1 THEN 'short/' || {_WORD} WHEN 2 THEN 'src/' || {_WORD} WHEN 3 THEN 'src/' || {_WORD} ELSE '' END",
+        line=f"CASE WHEN {_LENGTH} % 5 IN (1, 2, 3) THEN line ELSE 0 END",
+        function=f"CASE WHEN {_LENGTH} % 5 IN (2, 3) THEN {_WORD} ELSE '' END",
+        category=f"'check-' || {_WORD}",
+        severity=_by_length_sql(*_LEVELS),
+        title=f"'Check-' || {_WORD}",
+        swc_id=f"CASE WHEN {_LENGTH} % 3 = 0 THEN 'SWC-' || {_LENGTH} ELSE '' END",
+        confidence="([0.6, 0.8, 0.5, 0.6])[line % 4 + 1]",
+    ),
+)
 def normalize_slither(t):
-    place = F.struct(F.concat(F.lit("f"), _id(), F.lit(".sol")).alias("filename_relative"), F.array((F.col("doc_id") % 100).cast("int"), F.lit(900)).alias("lines"))
-    own = F.struct(F.lit("function").alias("type"), F.concat(F.lit("g"), _id()).alias("name"), place.alias("source_mapping"))
-    contract = F.struct(F.lit("contract").alias("type"), F.lit("C").alias("name"), place.alias("source_mapping"))
-    elements = F.when(F.col("doc_id") % 4 == 0, F.array(contract)).otherwise(F.array(contract, own))
-    d = F.struct(F.concat(F.lit("Check-"), F.col("lang")).alias("check"), _one_of(*_IMPACTS).alias("impact"), _one_of("High", "Medium", "Low").alias("confidence"), F.col("text").alias("description"), F.concat(F.lit("see SWC-"), (F.col("doc_id") % 37).cast("string")).alias("markdown"), elements.alias("elements"))
-    return _report("slither", t, _json(results=F.struct(F.array(d).alias("detectors")))).where("title <> ''")
+    """Elements by the length of the line: a contract only; a node with a short name;
+    a function; a node without a file before a function; none."""
+
+    def detector(x, i):
+        def element(kind, relative, short, name):
+            place = F.struct(relative.alias("filename_relative"), short.alias("filename_short"), F.array(i + 1, i + 9).alias("lines"))
+            return F.struct(F.lit(kind).alias("type"), name.alias("name"), place.alias("source_mapping"))
+
+        none, empty = F.lit(None).cast("string"), F.lit("")
+        contract, node = element("contract", _file("src", x), none, F.lit("C")), element("node", empty, _file("short", x), F.lit("n"))
+        function, lost = element("function", _file("src", x), none, _word(x)), element("node", none, empty, F.lit("n"))
+        k = F.length(x) % 5
+        elements = F.when(k == 0, F.array(contract)).when(k == 1, F.array(contract, node)).when(k == 2, F.array(contract, function)).when(k == 3, F.array(lost, function)).otherwise(F.slice(F.array(contract), 1, 0))
+        sure = F.element_at(F.array(F.lit("Medium"), F.lit("High"), F.lit("Low"), none), ((i + 1) % 4 + 1).cast("int"))
+        see = F.when(F.length(x) % 3 == 0, F.concat(F.lit("see SWC-"), F.length(x).cast("string"), F.lit(" there")))
+        return F.struct(F.concat(F.lit("Check-"), _word(x)).alias("check"), _by_length(x, *_IMPACTS).alias("impact"), sure.alias("confidence"), x.alias("description"), see.alias("markdown"), elements.alias("elements"))
+
+    return _report("slither", t, _json(results=F.struct(_each_line(detector).alias("detectors"))))
+
 
+_INSTANCES = f"(SELECT l.*, instance FROM {LINES_SQL} l, unnest(CASE {_LENGTH} % 3 WHEN 0 THEN [0] WHEN 1 THEN [1] ELSE [1, 2] END) u(instance))"
 
-@query("normalize_aderyn", _hits("aderyn", file="'a' || doc_id", line="CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE 0 END", function="'g'", category="'weak-point-' || doc_id % 9", severity=_one_of_sql(*_LEVELS), title="'Weak Point ' || doc_id % 9", description=_TEXT))
+
+@query(
+    "normalize_aderyn",
+    _hits("aderyn", _INSTANCES, file=f"CASE WHEN instance = 0 THEN '' ELSE 'src/' || {_WORD} END", line="CASE WHEN instance = 1 THEN line ELSE 0 END", function=f"CASE WHEN instance = 0 THEN '' ELSE {_WORD} END", category=f"'weak-' || {_WORD} || '-point'", severity=_by_length_sql(*_LEVELS), title=f"'Weak ' || {_WORD} || ' Point'"),
+)
 def normalize_aderyn(t):
-    n = F.struct(F.concat(F.lit("a"), _id()).alias("path"), F.when(F.col("doc_id") % 2 == 0, _id()).otherwise("?").alias("line"), F.lit("g").alias("function"))
-    i = F.struct(F.concat(F.lit("Weak Point "), (F.col("doc_id") % 9).cast("string")).alias("title"), _one_of(*_IMPACTS).alias("impact"), F.col("text").alias("details"), F.array(n).alias("instances"))
-    return _report("aderyn", t, _json(issues=F.array(i)))
+    """No, one or two instances an issue; the line of the second is no number."""
+
+    def issue(x, i):
+        places = F.array(*[F.struct(_file("src", x).alias("path"), line.alias("line"), _word(x).alias("function")) for line in ((i + 1).cast("string"), F.lit("?"))])
+        return F.struct(F.concat(F.lit("Weak "), _word(x), F.lit(" Point")).alias("title"), _by_length(x, *_IMPACTS).alias("impact"), x.alias("details"), F.slice(places, 1, F.length(x) % 3).alias("instances"))
+
+    return _report("aderyn", t, _json(issues=_each_line(issue)))
 
 
-@query("normalize_mythril", _hits("mythril", file="'m' || doc_id", line="doc_id % 50", function="'g'", category="'integer-overflow'", severity=_one_of_sql("HIGH", "LOW"), title="'Integer Overflow'", description=_TEXT, swc_id="'SWC-' || doc_id % 30", confidence="0.7"))
+@query(
+    "normalize_mythril",
+    _hits("mythril", file=f"'src/' || {_WORD}", line="line", function=f"CASE WHEN {_LENGTH} % 2 = 0 THEN {_WORD} ELSE '' END", category=f"{_WORD} || '-overflow'", severity=_by_length_sql("HIGH", "LOW", "MEDIUM"), title=f"{_WORD} || ' Overflow'", swc_id=f"CASE WHEN {_LENGTH} % 4 IN (1, 2) THEN 'SWC-' || {_LENGTH} ELSE '' END", confidence="0.7"),
+)
 def normalize_mythril(t):
-    n = (F.col("doc_id") % 30).cast("string")
-    i = F.struct(F.lit("Integer Overflow").alias("title"), _one_of("High", "Low").alias("severity"), F.col("text").alias("description"), F.lit("g").alias("function"), F.concat(F.lit("m"), _id()).alias("filename"), (F.col("doc_id") % 50).alias("lineno"), F.when(F.col("doc_id") % 2 == 0, n).otherwise(F.concat(F.lit("SWC-"), n)).alias("swc-id"))
-    return _report("mythril", t, _json(issues=F.array(i)))
+    """Weakness numbers with and without their prefix, empty or missing."""
+
+    def issue(x, i):
+        n, k = F.length(x).cast("string"), F.length(x) % 4
+        swc = F.when(k == 0, "").when(k == 1, n).when(k == 2, F.concat(F.lit("SWC-"), n))
+        return F.struct(F.concat(_word(x), F.lit(" Overflow")).alias("title"), _by_length(x, "High", "Low", None).alias("severity"), x.alias("description"), F.when(F.length(x) % 2 == 0, _word(x)).alias("function"), _file("src", x).alias("filename"), (i + 1).alias("lineno"), swc.alias("swc-id"))
 
+    return _report("mythril", t, _json(issues=_each_line(issue)))
 
-@query("normalize_semgrep", _hits("semgrep", file="'p' || doc_id", line="doc_id % 70", category="'rule' || doc_id % 5", severity=_one_of_sql("HIGH", "MEDIUM", "LOW"), title="'a.b.rule' || doc_id % 5", description=f"left({_TEXT}, 2000)", confidence="0.6"))
+
+@query(
+    "normalize_semgrep",
+    _hits("semgrep", file=f"'src/' || {_WORD}", line="line", category=_WORD, severity=_by_length_sql("HIGH", "MEDIUM", "LOW", "MEDIUM"), title=_by_length_sql("", "pack.", "pack.deep.") + f" || {_WORD}", description="left(content, 2000)", confidence="0.6"),
+)
 def normalize_semgrep(t):
-    start, extra = F.struct((F.col("doc_id") % 70).alias("line")), F.struct(_one_of("ERROR", "WARNING", "INFO").alias("severity"), F.col("text").alias("message"))
-    r = F.struct(F.concat(F.lit("a.b.rule"), (F.col("doc_id") % 5).cast("string")).alias("check_id"), F.concat(F.lit("p"), _id()).alias("path"), start.alias("start"), extra.alias("extra"))
-    return _report("semgrep", t, _json(results=F.array(r)))
+    """Names of rules with no, one and two packs before them; levels in either case or missing."""
 
+    def result(x, i):
+        extra = F.struct(_by_length(x, "ERROR", "warning", "INFO", None).alias("severity"), x.alias("message"))
+        return F.struct(F.concat(_by_length(x, "", "pack.", "pack.deep."), _word(x)).alias("check_id"), _file("src", x).alias("path"), F.struct((i + 1).alias("line")).alias("start"), extra.alias("extra"))
 
-@query("normalize_echidna", _hits("echidna", file="'C' || doc_id", function="'prop'", category="'assertion-failure'", severity="'HIGH'", title="'assertion failure in prop'", description=f"left({_TEXT}, 2000)", confidence="0.95"))
+    return _report("semgrep", t, _json(results=_each_line(result)))
+
+
+@query(
+    "normalize_echidna",
+    _hits("echidna", file=_WORD, function=f"CASE WHEN {_LENGTH} % 3 = 0 THEN '' ELSE 'echidna_' || {_WORD} END", category="'assertion-failure'", severity="'HIGH'", title=f"'assertion failure in ' || CASE WHEN {_LENGTH} % 3 = 0 THEN '?' ELSE 'echidna_' || {_WORD} END", description="left(content, 2000)", confidence="0.95"),
+)
 def normalize_echidna(t):
-    return _report("echidna", t, _json(issues=F.array(F.struct(F.concat(F.lit("C"), _id()).alias("contract"), F.lit("prop").alias("function"), F.col("text").alias("bug")))))
+    """Every third length of a line names no function."""
+    issue = lambda x: F.struct(_word(x).alias("contract"), F.when(F.length(x) % 3 != 0, F.concat(F.lit("echidna_"), _word(x))).alias("function"), x.alias("bug"))
+    return _report("echidna", t, _json(issues=_each_line(issue)))
 
 
-@query("normalize_npm_audit", _hits("npm-audit", file="'package.json'", category="'dependency-vuln'", severity=_one_of_sql("HIGH", "LOW"), title="CASE WHEN doc_id % 3 = 0 THEN 'pkg' || doc_id ELSE 'T' END", description=_TEXT, confidence="0.8"))
+@query(
+    "normalize_npm_audit",
+    _hits("npm-audit", file="'package.json'", category="'dependency-vuln'", severity=_by_length_sql("HIGH", "LOW", "MEDIUM"), title=f"CASE WHEN {_LENGTH} % 2 = 0 THEN {_WORD} || ' is open' ELSE {_WORD} || '-' || line END", confidence="0.8"),
+)
 def normalize_npm_audit(t):
-    title = F.when(F.col("doc_id") % 3 != 0, "T")
-    v = F.create_map(F.concat(F.lit("pkg"), _id()), F.struct(_one_of("high", "low").alias("severity"), title.alias("title"), F.col("text").alias("url")))
-    return _report("npm-audit", t, _json(vulnerabilities=v))
+    """A package for each line; half have no title."""
+
+    def entry(x, i):
+        v = F.struct(_by_length(x, "high", "low", None).alias("severity"), F.when(F.length(x) % 2 == 0, F.concat(_word(x), F.lit(" is open"))).alias("title"), x.alias("url"))
+        return F.struct(F.concat(_word(x), F.lit("-"), (i + 1).cast("string")).alias("key"), v.alias("value"))
+
+    return _report("npm-audit", t, _json(vulnerabilities=F.map_from_entries(_each_line(entry))))
 
 
-@query("normalize_cargo_audit", _hits("cargo-audit", file="'Cargo.toml'", category="'dependency-vuln'", severity=_one_of_sql("HIGH", "MEDIUM"), title="'crate' || doc_id", description=f"left({_TEXT}, 2000)", confidence="0.85"))
+@query(
+    "normalize_cargo_audit",
+    _hits("cargo-audit", file="'Cargo.toml'", category="'dependency-vuln'", severity=_by_length_sql("HIGH", "MEDIUM", "MEDIUM"), title=_WORD, description="left(content, 2000)", confidence="0.85"),
+)
 def normalize_cargo_audit(t):
-    a = F.struct(_one_of("high", "low").alias("severity"), F.concat(F.lit("crate"), _id()).alias("title"), F.col("text").alias("description"))
-    return _report("cargo-audit", t, _json(vulnerabilities=F.struct(F.array(F.struct(a.alias("advisory"))).alias("list"))))
+    """An advisory for each line, high, low or without a level."""
+    advisory = lambda x: F.struct(_by_length(x, "high", "low", None).alias("severity"), _word(x).alias("title"), x.alias("description"))
+    return _report("cargo-audit", t, _json(vulnerabilities=F.struct(_each_line(lambda x: F.struct(advisory(x).alias("advisory"))).alias("list"))))
 
 
-@query("flatten_report", "SELECT CASE WHEN doc_id % 3 = 0 THEN 'own' ELSE 't' END || doc_id AS target, lang AS category, 'LOW' AS severity, CAST(0.5 AS DOUBLE) AS confidence FROM documents")
+@query(
+    "flatten_report",
+    f"""SELECT CASE WHEN {_LENGTH} % 3 = 0 THEN 'own-' || {_WORD} WHEN size % 2 = 1 THEN 't' || doc_id WHEN {_LENGTH} % 2 = 0 THEN 'even' || doc_id ELSE 'odd' || doc_id END AS target,
+  {_WORD} AS category, {_by_length_sql("HIGH", "LOW")} AS severity, CAST({_LENGTH} % 10 AS DOUBLE) / 10 AS confidence
+  FROM (SELECT doc_id, length({_TEXT}) AS size, unnest(string_split({_TEXT}, chr(10))) AS content FROM documents)""",
+)
 def flatten_report(t):
-    """Findings under a target, or flat; every third has a target of its own."""
-    f = F.array(F.struct(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("own"), _id())).alias("target"), F.col("lang").alias("category"), F.lit("LOW").alias("severity"), F.lit(0.5).alias("confidence")))
-    whose = F.concat(F.lit("t"), _id())
-    value = F.when(F.col("doc_id") % 2 == 0, _json(targets=F.array(F.struct(whose.alias("target"), f.alias("findings"))))).otherwise(_json(target=whose, findings=f))
+    """A finding for each line, under two targets or flat; some have a target of their own."""
+
+    def finding(x):
+        own = F.when(F.length(x) % 3 == 0, F.concat(F.lit("own-"), _word(x)))
+        return F.struct(own.alias("target"), _word(x).alias("category"), _by_length(x, "HIGH", "LOW").alias("severity"), ((F.length(x) % 10) / 10).alias("confidence"))
+
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    part = lambda kind, rest: F.struct(F.concat(F.lit(kind), _id()).alias("target"), F.transform(F.filter(lines, lambda x: F.length(x) % 2 == rest), finding).alias("findings"))
+    nested = _json(targets=F.array(part("even", 0), part("odd", 1)))
+    flat = _json(target=F.concat(F.lit("t"), _id()), findings=F.transform(lines, finding))
+    value = F.when(F.length(F.coalesce("text", F.lit(""))) % 2 == 0, nested).otherwise(flat)
     return tool_reports.flatten_report(t.documents.select(value.alias("value")))
 
 
@@ -122,14 +224,18 @@ def read_chain_logs(t):
     return tool_reports.read_chain_logs(t.events.select(value.alias("value"))).select("address", F.get("topics", F.lit(0)).alias("topic"), "block_number", "tx_hash")
 
 
-@query("dependency_urls", "SELECT DISTINCT 'https://github.com/a/r' || doc_id AS url FROM documents WHERE doc_id % 6 < 5")
+@query("dependency_urls", f"SELECT DISTINCT 'https://github.com/a/' || {_WORD} || '-' || {_LENGTH} AS url FROM {LINES_SQL} WHERE doc_id % 6 < 5")
 def dependency_urls(t):
-    """Git urls in manifests that hold each document after the dependency."""
-    name, at = _one_of(".gitmodules", "package.json", "Cargo.toml", "Scarb.toml", "remappings.txt", "other"), F.concat(F.lit("a/r"), _id())
-    whole = F.concat(F.lit("https://github.com/"), at)
-    k = F.col("doc_id") % 6
-    line = F.when(k == 0, F.concat(F.lit("url = "), whole)).when(k == 1, F.concat(F.lit('"github:'), at, F.lit('"'))).when(k == 2, F.concat(F.lit('git = "'), whole, F.lit('"'))).when(k == 3, F.concat(F.lit('github = "'), at, F.lit('"'))).otherwise(F.concat(F.lit("@x="), whole))
-    rows = t.documents.select(F.concat(F.lit("r/"), name).alias("path"), F.concat(line, F.lit("\n"), _words()).alias("text"))
+    """Git urls in manifests of five kinds, a dependency before every line of a document."""
+    name, k = _one_of(".gitmodules", "package.json", "Cargo.toml", "Scarb.toml", "remappings.txt", "other"), F.col("doc_id") % 6
+
+    def dependency(x):
+        at = F.concat(F.lit("a/"), _word(x), F.lit("-"), F.length(x).cast("string"))
+        whole = F.concat(F.lit("https://github.com/"), at)
+        line = F.when(k == 0, F.concat(F.lit("url = "), whole)).when(k == 1, F.concat(F.lit('"github:'), at, F.lit('"'))).when(k == 2, F.concat(F.lit('git = "'), whole, F.lit('"'))).when(k == 3, F.concat(F.lit('github = "'), at, F.lit('"'))).otherwise(F.concat(F.lit("@x="), whole))
+        return F.concat(line, F.lit("\n"), F.regexp_replace(x, "[^a-z ]", ""))
+
+    rows = t.documents.select(F.concat(F.lit("r/"), name).alias("path"), F.array_join(_each_line(dependency), "\n").alias("text"))
     return tool_reports.manifest_dependencies(rows)
 
 
