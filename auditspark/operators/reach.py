@@ -43,7 +43,7 @@ def inheritance_edges(files: DataFrame) -> DataFrame:
     h = files.select("doc_id", F.explode(heads).alias("h"))
     bases = F.split(F.regexp_replace(F.regexp_extract("h", "\\bis\\s+([^{]+)\\{", 1), "\\([^)]*\\)", ""), ",")
     e = h.select("doc_id", F.regexp_extract("h", "(?:contract|interface|library)\\s+(\\w+)", 1).alias("contract"), F.explode(bases).alias("base"))
-    return e.select("doc_id", "contract", F.trim("base").alias("base")).where("base <> ''").distinct()
+    return e.select("doc_id", "contract", F.regexp_replace("base", "\\s+", "").alias("base")).where("base <> ''").distinct()
 
 
 def external_interfaces(files: DataFrame, most: int = 15) -> DataFrame:

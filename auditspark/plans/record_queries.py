@@ -8,6 +8,7 @@ from auditspark.functions import code
 from auditspark.functions import text as fx
 from auditspark.operators import history, roles, tags
 from auditspark.plans.base import query
+from auditspark.plans.bindings import LINES_SQL
 from auditspark.sources import tool_reports
 
 _TAGS = "(SELECT user_id, 'v' || CAST(event_id AS VARCHAR) AS tag, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, 'v' || CAST(event_id AS VARCHAR)) AS place, lag('v' || CAST(event_id AS VARCHAR)) OVER (PARTITION BY user_id ORDER BY ts, 'v' || CAST(event_id AS VARCHAR)) AS old FROM events)"
@@ -79,13 +80,19 @@ def classify_finding(t):
 
 @query(
     "state_writes",
-    "SELECT doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN ['total', 'rate'] ELSE ['total'] END) AS name FROM documents",
+    f"SELECT DISTINCT doc_id, 'v' || regexp_extract(content, '([a-z]+)', 1) || '_' || length(content) AS name FROM {LINES_SQL} WHERE length(content) % 6 IN (0, 4, 5)",
 )
 def state_writes(t):
-    """Assigned names that a function does not declare, around each document in a string."""
-    words = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "\n", " "), "[^a-z ]", "")
-    more = F.when(F.col("doc_id") % 2 == 0, " rate -= a;").otherwise(" a += 1;")
-    body = F.concat(F.lit("function f(uint a) { string memory s = '"), words, F.lit("'; uint b = a; total = b; x.y = 2; if (total == b) b = 3;"), more, F.lit(" }"))
+    """A statement for each line, by its length: an assignment, a declaration, a
+    comparison, a member, an element, a sum; what a function assigns and does not declare."""
+
+    def statement(x):
+        v, k = F.concat(F.lit("v"), F.regexp_extract(x, "([a-z]+)", 1), F.lit("_"), F.length(x).cast("string")), F.length(x) % 6
+        with_ = lambda before, after: F.concat(F.lit(before), v, F.lit(after))
+        return F.when(k == 0, with_("", " = a;")).when(k == 1, with_("uint ", " = a;")).when(k == 2, with_("if (", " == a) g();")).when(k == 3, with_("", ".x = 2;")).when(k == 4, with_("", "[a][0] = 1;")).otherwise(with_("", " += 1;"))
+
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), statement)
+    body = F.concat(F.lit("function f(uint a) { string memory s = 'x'; uint b = a; b = 3;\n"), F.array_join(lines, "\n"), F.lit(" }"))
     return t.documents.select("doc_id", F.explode(code.state_writes(body)).alias("name"))
 
 

@@ -9,7 +9,7 @@ from auditspark.functions import code
 from auditspark.functions import text as fx
 from auditspark.operators import locate, reach, web
 from auditspark.plans.base import query
-from auditspark.plans.bindings import LINES_SQL
+from auditspark.plans.bindings import LINES_SQL, lines
 from auditspark.sources import corpus, tool_reports
 
 _TEXT = "coalesce(text, '')"
@@ -208,10 +208,10 @@ def flatten_report(t):
         own = F.when(F.length(x) % 3 == 0, F.concat(F.lit("own-"), _word(x)))
         return F.struct(own.alias("target"), _word(x).alias("category"), _by_length(x, "HIGH", "LOW").alias("severity"), ((F.length(x) % 10) / 10).alias("confidence"))
 
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    part = lambda kind, rest: F.struct(F.concat(F.lit(kind), _id()).alias("target"), F.transform(F.filter(lines, lambda x: F.length(x) % 2 == rest), finding).alias("findings"))
+    whole = F.split(F.coalesce("text", F.lit("")), "\n")
+    part = lambda kind, rest: F.struct(F.concat(F.lit(kind), _id()).alias("target"), F.transform(F.filter(whole, lambda x: F.length(x) % 2 == rest), finding).alias("findings"))
     nested = _json(targets=F.array(part("even", 0), part("odd", 1)))
-    flat = _json(target=F.concat(F.lit("t"), _id()), findings=F.transform(lines, finding))
+    flat = _json(target=F.concat(F.lit("t"), _id()), findings=F.transform(whole, finding))
     value = F.when(F.length(F.coalesce("text", F.lit(""))) % 2 == 0, nested).otherwise(flat)
     return tool_reports.flatten_report(t.documents.select(value.alias("value")))
 
@@ -299,16 +299,25 @@ def archive_urls(t):
 
 
 _VERDICTS = ("reachable", "not_reachable", "unknown")
+_LINES_WORDS = f"(SELECT doc_id, line, content, {_LENGTH} AS n, {_WORD} AS word, doc_id * 1000000 + line AS node FROM {LINES_SQL})"
+
+
+def _line_rows(t) -> DataFrame:
+    """doc_id, line, x, n (its length), word (its first) and node of every line."""
+    rows = lines(t.documents).select("doc_id", F.col("line").cast("long").alias("line"), F.col("content").alias("x"))
+    return rows.select("*", F.length("x").alias("n"), _word(F.col("x")).alias("word"), (F.col("doc_id") * 1000000 + F.col("line")).alias("node"))
 
 
 @query(
     "corroborate_reachability",
     f"""SELECT node, CASE WHEN a = 'reachable' OR b = 'reachable' THEN 'reachable' WHEN a = 'not_reachable' AND coalesce(b, a) = a THEN 'not_reachable' ELSE 'unknown' END AS verdict, a = b AS agree
-    FROM (SELECT doc_id AS node, {_one_of_sql(*_VERDICTS)} AS a, CASE WHEN doc_id % 4 < 3 THEN (['reachable', 'not_reachable', 'unknown'])[doc_id % 4 + 1] END AS b FROM documents)""",
+    FROM (SELECT node, {_one_of_sql(*_VERDICTS).replace("doc_id", "n")} AS a, CASE WHEN word <> '' THEN {_one_of_sql(*_VERDICTS).replace("doc_id", "length(word)")} END AS b FROM {_LINES_WORDS})""",
 )
 def corroborate_reachability(t):
-    first = t.documents.select(F.col("doc_id").alias("node"), _one_of(*_VERDICTS).alias("verdict"))
-    second = t.documents.where("doc_id % 4 < 3").select(F.col("doc_id").alias("node"), _one_of(*_VERDICTS, "none").alias("verdict"))
+    """A verdict by the length of a line, and one by that of its first word if it has one."""
+    rows = _line_rows(t)
+    first = rows.select("node", _by_length(F.col("x"), *_VERDICTS).alias("verdict"))
+    second = rows.where("word <> ''").select("node", _by_length(F.col("word"), *_VERDICTS).alias("verdict"))
     return reach.corroborate(first, second)
 
 
@@ -316,33 +325,55 @@ _SIGNATURES = ("@external\ndef f", "@internal\ndef f", "public entry fun f", "pu
 _SIGNED = ("vyper", "vyper", "move", "move", "clarity", "func")
 
 
-def _functions(t):
-    return t.documents.select("doc_id", F.col("doc_id").alias("node"), _one_of(*_SIGNED).alias("lang"), F.concat(_one_of(*_SIGNATURES), _id()).alias("signature"))
+def _functions(t) -> DataFrame:
+    """A signature for each line, of a kind that its length picks."""
+    x = F.col("x")
+    return _line_rows(t).select("doc_id", "line", "node", _by_length(x, *_SIGNED).alias("lang"), F.concat(_by_length(x, *_SIGNATURES), "word", F.lit("(a)")).alias("signature"))
 
 
-@query("visibility_reach", "SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 2) THEN 'reachable' ELSE 'unknown' END AS reach, (['open', 'closed', 'open', 'closed', 'closed', 'none'])[doc_id % 6 + 1] AS declared FROM documents")
+@query("visibility_reach", f"SELECT doc_id, line, CASE WHEN n % 6 IN (0, 2) THEN 'reachable' ELSE 'unknown' END AS reach, (['open', 'closed', 'open', 'closed', 'closed', 'none'])[n % 6 + 1] AS declared FROM {_LINES_WORDS}")
 def visibility_reach(t):
-    return reach.visibility_reach(_functions(t)).select("doc_id", "reach", "declared")
+    return reach.visibility_reach(_functions(t)).select("doc_id", "line", "reach", "declared")
 
 
-@query("reach_dispatch", "SELECT doc_id AS node, CASE WHEN doc_id % 6 IN (0, 2) THEN 'reachable' ELSE 'unknown' END AS verdict FROM documents UNION ALL SELECT -1 - doc_id, 'not_reachable' FROM documents WHERE doc_id % 2 = 0")
+@query("reach_dispatch", f"SELECT node, CASE WHEN n % 6 IN (0, 2) THEN 'reachable' ELSE 'unknown' END AS verdict FROM {_LINES_WORDS} UNION ALL SELECT -1 - node, {_one_of_sql(*_VERDICTS).replace('doc_id', 'length(word)')} FROM {_LINES_WORDS} WHERE n % 2 = 0")
 def reach_dispatch(t):
     """Declarations of four languages, call-graph verdicts of a fifth."""
-    graph = t.documents.where("doc_id % 2 = 0").select((-1 - F.col("doc_id")).alias("node"), F.lit("not_reachable").alias("verdict"))
-    return reach.reach_dispatch(_functions(t).unionByName(graph.select(F.lit(0).cast("long").alias("doc_id"), "node", F.lit("solidity").alias("lang"), F.lit("function f()").alias("signature"))), graph)
+    graph = _line_rows(t).where("n % 2 = 0").select((-1 - F.col("node")).alias("node"), _by_length(F.col("word"), *_VERDICTS).alias("verdict"))
+    solidity = graph.select("node", F.lit("solidity").alias("lang"), F.lit("function f()").alias("signature"))
+    return reach.reach_dispatch(_functions(t).select("node", "lang", "signature").unionByName(solidity), graph)
+
+
+_BASES = "CASE n % 4 WHEN 0 THEN [] WHEN 1 THEN ['B' || word] WHEN 2 THEN ['B' || word, 'C' || n] ELSE ['lib.B' || word, 'C' || n] END"
 
 
-@query("inheritance_edges", "SELECT doc_id, 'A' || doc_id AS contract, base FROM (SELECT doc_id, unnest(['B' || doc_id % 10, 'C']) AS base FROM documents) UNION ALL SELECT doc_id, 'D', 'E' FROM documents WHERE doc_id % 2 = 0")
+@query("inheritance_edges", f"SELECT doc_id, 'A' || line AS contract, unnest({_BASES}) AS base FROM {_LINES_WORDS}")
 def inheritance_edges(t):
-    more = F.when(F.col("doc_id") % 2 == 0, "interface D is E {}").otherwise("interface D {}")
-    text = F.concat(F.lit("contract A"), _id(), F.lit(" is B"), (F.col("doc_id") % 10).cast("string"), F.lit(", C(1) { string s = '"), _words(), F.lit("'; }\n"), more)
-    return reach.inheritance_edges(t.documents.select("doc_id", text.alias("text")))
+    """A contract or interface for each line: without a base, with one, with two of
+    which one has arguments, with a qualified one and a line break."""
 
+    def contract(x, i):
+        b, c, k = F.concat(F.lit("B"), _word(x)), F.concat(F.lit("C"), F.length(x).cast("string")), F.length(x) % 4
+        heirs = F.when(k == 0, "").when(k == 1, F.concat(F.lit(" is "), b)).when(k == 2, F.concat(F.lit(" is "), b, F.lit(", "), c, F.lit("(1, x)"))).otherwise(F.concat(F.lit(" is lib."), b, F.lit(",\n  "), c))
+        return F.concat(F.when(i % 2 == 0, "contract A").otherwise("interface A"), (i + 1).cast("string"), heirs, F.lit(" { string s = '"), F.regexp_replace(x, "[^a-z]", ""), F.lit("'; }"))
 
-@query("external_interfaces", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'IERC20.transfer,IPair.sync' ELSE 'IPair.sync' END AS calls FROM documents")
+    return reach.inheritance_edges(t.documents.select("doc_id", F.array_join(_each_line(contract), "\n").alias("text")))
+
+
+@query(
+    "external_interfaces",
+    f"""SELECT doc_id, array_to_string(list_sort(list_distinct(list(call)))[1:15], ',') AS calls FROM
+    (SELECT doc_id, CASE n % 3 WHEN 0 THEN 'IT' || word || '.go' || n ELSE 'IC' || word || '.sync' || n END AS call FROM {_LINES_WORDS} WHERE n % 3 < 2) GROUP BY doc_id""",
+)
 def external_interfaces(t):
-    typed = F.when(F.col("doc_id") % 2 == 0, "IERC20 token; ").otherwise("uint token; ")
-    text = F.concat(F.lit("contract X { "), typed, F.lit("string s = '"), _words(), F.lit("'; function f() { token.transfer(a, 1); IPair(pair).sync(); } }"))
+    """Lines as calls through typed variables, through casts, and through a number."""
+
+    def call(x, i):
+        n, v, k = F.length(x).cast("string"), F.concat(F.lit("t"), (i + 1).cast("string")), F.length(x) % 3
+        typed = F.concat(F.when(k == 0, F.concat(F.lit("IT"), _word(x))).otherwise("uint"), F.lit(" "), v, F.lit("; "), v, F.lit(".go"), n, F.lit("(a, 1);"))
+        return F.when(k == 1, F.concat(F.lit("IC"), _word(x), F.lit("(pair).sync"), n, F.lit("();"))).otherwise(typed)
+
+    text = F.concat(F.lit("contract X { function f() { "), F.array_join(_each_line(call), "\n"), F.lit(" } }"))
     return reach.external_interfaces(t.documents.select("doc_id", text.alias("text"))).select("doc_id", F.array_join("calls", ",").alias("calls"))
 
 
@@ -403,28 +434,39 @@ def split_statements(t):
     return t.documents.select("doc_id", F.size(code.statements(body)).cast("long").alias("n"))
 
 
-def _weak(t):
-    """Functions that send before, after and without a write, guarded or not."""
-    k = F.col("doc_id") % 4
-    body = F.when(k == 0, "to.transfer(a); total = 0; ").when(k == 1, "total = 0; to.transfer(a); ").when(k == 2, "require(msg.sender == owner); to.transfer(a); ").otherwise("locked = true; ")
-    return t.documents.select("doc_id", F.concat(F.lit("function f"), _id(), F.lit("() public")).alias("signature"), F.concat(F.lit("{ string memory s; // "), _words(), F.lit("\n"), body, F.lit("}")).alias("body"))
+def _weak(t) -> DataFrame:
+    """Functions with a statement for each line, by its length: sends, writes, checks
+    of the caller, locks and events in the order of the document."""
+
+    def statement(x):
+        n, k = F.length(x).cast("string"), F.length(x) % 12
+        write = F.concat(F.lit("v"), n, F.lit(" = 1;"))
+        return F.when(k % 6 == 0, "to.transfer(a);").when(k % 6 == 1, write).when(k == 3, "require(msg.sender == owner);").when(k == 5, "locked;").otherwise(F.concat(F.lit("emit E("), n, F.lit(");")))
+
+    body = F.concat(F.lit("{ string memory s; "), F.array_join(_each_line(statement), "\n"), F.lit(" }"))
+    seen = F.element_at(F.array(*[F.lit(x) for x in (" public", " external", " internal", " public view")]), (F.length(F.coalesce("text", F.lit(""))) % 4 + 1).cast("int"))
+    return t.documents.select("doc_id", F.concat(F.lit("function f"), _id(), F.lit("()"), seen).alias("signature"), body.alias("body"))
+
+
+_ACTS = f"""(SELECT doc_id, any_value(length({_TEXT})) AS size, min(line) FILTER (n % 6 = 0) AS sent, max(line) FILTER (n % 6 = 1) AS wrote, bool_or(n % 12 = 3) AS checked, bool_or(n % 12 = 5) AS locked
+  FROM {_LINES_WORDS} JOIN documents USING (doc_id) GROUP BY doc_id)"""
 
 
-@query("reentrancy_vulnerable", "SELECT doc_id, doc_id % 4 IN (0, 2) AS weak FROM documents")
+@query("reentrancy_vulnerable", f"SELECT doc_id, sent IS NOT NULL AND NOT locked AND (wrote IS NULL OR wrote > sent) AS weak FROM {_ACTS}")
 def reentrancy_vulnerable(t):
     return _weak(t).select("doc_id", code.reentrancy_vulnerable(F.col("body")).alias("weak"))
 
 
-@query("access_vulnerable", "SELECT doc_id, doc_id % 4 <> 2 AS weak FROM documents")
+@query("access_vulnerable", f"SELECT doc_id, size % 4 < 2 AND coalesce(sent, wrote) IS NOT NULL AND NOT checked AS weak FROM {_ACTS}")
 def access_vulnerable(t):
     return _weak(t).select("doc_id", code.access_vulnerable(F.col("signature"), fx.strip_comments(F.col("body"))).alias("weak"))
 
 
-@query("elsewhere_scan", "SELECT 'p' || doc_id AS path, 'f' AS name FROM documents WHERE doc_id % 4 = 0 AND doc_id % 3 <> 0")
+@query("elsewhere_scan", f"SELECT 'p' || doc_id AS path, 'f' AS name FROM {_ACTS} WHERE wrote > sent AND doc_id % 3 <> 0")
 def elsewhere_scan(t):
     """Functions that write after they send, besides those already located."""
     named = _weak(t).select(F.concat(F.lit("p"), _id()).alias("path"), F.lit("f").alias("name"), "body", "doc_id")
-    return locate.elsewhere(named, named.where("doc_id % 3 = 0"), F.col("body").rlike("(?s)transfer.*total"))
+    return locate.elsewhere(named, named.where("doc_id % 3 = 0"), F.col("body").rlike("(?s)transfer.* = 1;"))
 
 
 @query("places", "SELECT event_id, CAST(event_id % 1000 AS INTEGER) AS line, 'f' || event_id || CASE WHEN event_id % 2 = 0 THEN ':' || event_id % 1000 ELSE '' END AS place FROM events")
