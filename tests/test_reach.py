@@ -18,6 +18,12 @@ def test_corroborate(spark):
     assert {r["node"]: r["verdict"] for r in reach.corroborate(a, b).collect()} == {1: "reachable", 2: "not_reachable", 3: "unknown", 4: "not_reachable"}
 
 
+def test_bases_over_lines(spark):
+    """Bases on lines of their own, with arguments and qualified."""
+    df = spark.createDataFrame([(1, "contract A is\n    B,\n\tlib.C,\r\n  D(1, x)\n{ }"), (2, None), (3, "")], "doc_id long, text string")
+    assert {(r["doc_id"], r["contract"], r["base"]) for r in reach.inheritance_edges(df).collect()} == {(1, "A", "B"), (1, "A", "lib.C"), (1, "A", "D")}
+
+
 def test_inheritance_and_interfaces(spark):
     text = "contract A is B, C(1) { IERC20 token; function f() { token.transfer(a, 1); IPair(pair).sync(); } } interface D is E {}"
     df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
