@@ -1,9 +1,13 @@
 """Costs that must not grow faster than the input."""
 
+import difflib
+import os
+import random
 import time
 
 from pyspark.sql import functions as F
 
+from auditspark.operators import locate
 from auditspark.operators.rules import TEXT_RULES, scan_documents
 
 
@@ -29,3 +33,24 @@ def test_rules_read_documents_fast(spark):
     began = time.time()
     scan_documents(docs).count()
     assert time.time() - began < 8
+
+
+def _bytes(folder):
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+
+
+def test_like_forms_write_no_pairs(spark, monkeypatch):
+    """Forms of like letters in any order, in tiles of a few: all pairs compared, none but
+    alike ones written, and the likest ones are those of all pairs."""
+    rng = random.Random(3)
+    texts = sorted({"".join(rng.sample("abcdefgh" * 2, 16)) + "é" * rng.randrange(3) for _ in range(400)})
+    rows = lambda xs: spark.createDataFrame([(x, x) for x in xs], "form string, canon string")
+    monkeypatch.setattr(locate, "TILE_FORMS", 70, raising=False)
+    want = {(a, b): s for a in texts[::4] for b in texts if (s := difflib.SequenceMatcher(None, a, b).ratio()) >= 0.7}
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = _bytes(folder)
+    assert {(r.a_form, r.b_form): r.score for r in locate.like_forms(rows(texts[::4]), rows(texts), 0.7).collect()} == want
+    assert _bytes(folder) - before < 100_000
+    top = {a: max(s for (x, _), s in want.items() if x == a) for a, _ in want}
+    best = locate.like_forms(rows(texts[::4]), rows(texts), 0.7, best=True).collect()
+    assert {(r.a_form, r.b_form) for r in best if r.score == top[r.a_form]} == {p for p, s in want.items() if s == top[p[0]]}
