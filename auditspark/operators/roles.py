@@ -18,8 +18,9 @@ def role_map(files: DataFrame) -> DataFrame:
     lang) whose first word is a power, in files that name a role.  A null text has
     none; rows that repeat a doc_id count on their own."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    low = F.lower(text)
-    present = F.array_compact(F.array(*[F.when(low.rlike(rf"\b{w}\b"), F.lit(w)) for w in ROLE_WORDS]))
+    # Bound once: a text that is made by an expression would be made for every word.
+    listed = lambda x: F.array_compact(F.array(*[F.when(F.contains(x, F.lit(w)) & x.rlike(rf"\b{w}\b"), F.lit(w)) for w in ROLE_WORDS]))
+    present = F.element_at(F.transform(F.array(F.lower(text)), listed), 1)
     named = files.select("doc_id", "lang", text.alias("text"), present.alias("roles")).where(F.size("roles") > 0)
     functions = extract_functions(named.select("doc_id", strip_comments(F.col("text")).alias("text"), "lang"))
     own = facts(F.col("body"), F.concat_ws(" ", "signature", "body"))
