@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from auditspark.functions import code
@@ -56,6 +57,26 @@ def test_statements(spark):
     ]
 
 
+
+def test_statements_few_texts_at_a_time():
+    """A batch is handed over in parts, and pieces of parentheses cut as single marks do."""
+    r = random.Random(4)
+    bodies = [None, *("".join(r.choice("(((()))){};; ab\n'\"/*") for _ in range(r.randint(0, 60))) for _ in range(5000))]
+    parts = list(code.statements.func(iter([pa.array(bodies, pa.string())])))
+    assert max(len(p) for p in parts) <= code.FEW
+
+    def plain(text):
+        depth, start, out, text = 0, 0, [], code._STRING.sub("STR", code._COMMENT.sub(" ", text))
+        for at, c in enumerate(text):
+            if c in "()":
+                depth = depth + 1 if c == "(" else max(0, depth - 1)
+            elif c in "{};" and not depth:
+                out.append(text[start:at])
+                start = at + 1
+        return [" ".join(x.split()) for x in [*out, text[start:]] if x.split()]
+
+    assert [x for p in parts for x in p.to_pylist()] == [plain(b or "") for b in bodies]
+
 def _bodies(rng, n):
     """Bodies of code in families of edits, and copies."""
     words = "a b owner total price msg sender require return if for uint x y z + - * / == < > ( ) ; { } [ ] , .".split()
