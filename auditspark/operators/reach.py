@@ -107,17 +107,36 @@ def local_influence(statements: DataFrame) -> DataFrame:
     return known
 
 
-def mnemonic_scan(files: DataFrame, words: DataFrame, least: int = 12) -> DataFrame:
+#: A word list of up to this many words is an operand of the plan, a larger one is joined.
+LIST_WORDS = 10_000
+
+
+def mnemonic_scan(files: DataFrame, words: DataFrame, least: int = 12, list_words: int = LIST_WORDS) -> DataFrame:
     """Runs of ``least`` or more lower-case words that all stand in a word list:
-    doc_id, start (word number), length.  The list (``word``) is joined by
-    equality; runs are gaps-and-islands per text."""
-    from pyspark.sql import Window
+    doc_id, start (word number), length.
 
-    w = files.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "[^a-z]+")).alias("n", "word")).where("word <> ''")
-    hit = w.join(words.select("word").distinct(), "word", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("n")
-    runs = hit.withColumn("g", F.col("n") - F.row_number().over(order)).groupBy("doc_id", "g").agg(F.min("n").alias("start"), F.count("*").alias("length"))
-    return runs.where(F.col("length") >= least).select("doc_id", "start", "length")
+    A list (``word``) of up to ``list_words`` words, counted first, is looked up inside
+    each text's row, without a shuffle or a row for each word.  A larger one is joined by
+    equality, and the places that it leaves meet per text.
+    """
+    bind = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+
+    def islands(places: Column) -> Column:
+        first = F.filter(places, lambda x, i: ~F.get(places, i - 1).eqNullSafe(x - 1))
+        last = F.filter(places, lambda x, i: ~F.get(places, i + 1).eqNullSafe(x + 1))
+        return F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), (b - a + 1).cast("long").alias("length")))
+
+    split = F.split(F.coalesce("text", F.lit("")), "[^a-z]+")
+    known = words.where("word <> ''").select("word").distinct()
+    listed = [r["word"] for r in known.limit(list_words + 1).collect()]
+    if len(listed) <= list_words:
+        found = F.array_compact(F.transform(split, lambda w, i: F.when(w.isin(*listed), i)))
+        runs = files.select("doc_id", bind(found, islands).alias("runs"))
+    else:
+        w = files.select("doc_id", F.posexplode(split).alias("n", "word")).where("word <> ''")
+        hit = w.join(known, "word", "left_semi")
+        runs = hit.groupBy("doc_id").agg(F.array_sort(F.collect_list("n")).alias("n")).select("doc_id", bind(F.col("n"), islands).alias("runs"))
+    return runs.select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*").where(F.col("length") >= least)
 
 
 def tier_limit(rows: DataFrame, tiers: dict[str, int], key: str, tier: Column, order: list[str]) -> DataFrame:

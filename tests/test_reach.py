@@ -69,6 +69,21 @@ def test_mnemonic(spark):
     assert [(r["doc_id"], r["length"]) for r in out] == [(1, 14)]
 
 
+def test_mnemonic_inside_a_row(spark):
+    """A short list costs no shuffle; a longer one finds the same runs."""
+    words = [f"w{chr(97 + i)}" for i in range(14)]
+    run = " ".join(words)
+    texts = [run, f"- {run}, no {run} {run}", f"{run} 7", "", None, "no", f"{' '.join(words[:11])} no {run}", run.upper()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    listed = spark.createDataFrame([(w,) for w in [*words, "", words[0]]], "word string")
+    inside, joined = reach.mnemonic_scan(df, listed), reach.mnemonic_scan(df, listed, list_words=13)
+    plan = inside._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    found = sorted(map(tuple, inside.collect()))
+    assert found == sorted(map(tuple, joined.collect())) == [(0, 0, 14), (1, 1, 14), (1, 16, 28), (2, 0, 14), (6, 12, 14)]
+    assert inside.dtypes == joined.dtypes == [("doc_id", "bigint"), ("start", "int"), ("length", "bigint")]
+
+
 def test_tiers(spark):
     df = spark.createDataFrame([("a", "free", i) for i in range(5)] + [("b", "team", i) for i in range(5)], "k string, tier string, i int")
     assert reach.tier_limit(df, {"free": 2, "team": -1}, "k", F.col("tier"), ["i"]).count() == 7
