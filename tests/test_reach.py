@@ -65,6 +65,14 @@ def test_assignments(spark):
     assert {k for k in found if k[0] == "n"} == {("n", "msg.sender")}
 
 
+def test_bodies_are_read_once(spark):
+    """What assignments are read from is written without bodies, once."""
+    files = spark.createDataFrame([(1, "function f(uint x) public { y = x; z = y; }", "solidity")], "doc_id long, text string, lang string")
+    out = code.assignments(code.extract_functions(files).withColumn("state", F.array().cast("array<string>")))
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r["target"], r["source"]) for r in out.where("target IS NOT NULL").collect()} == {("y#0", "x"), ("z#1", "y#0"), ("y", "y#0"), ("z", "z#1")}
+
+
 def test_strings_are_leapt_over():
     """Reading a file costs a small part of reading its strings letter by letter."""
     long = "some words of prose " * 200_000
