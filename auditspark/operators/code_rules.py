@@ -20,8 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.functions.code import extract_functions
+from auditspark.functions.code import function_list
 from auditspark.functions.source import clean_code
+from auditspark.shipping import ship
 
 # Weakness numbers of the categories.
 SWC = {
@@ -56,7 +57,7 @@ def facts(text: Column, around: Column) -> dict[str, Column]:
         "assigned": listed(r"(?<![=!<>.A-Za-z0-9_])(?:self\.)?" + _TARGET),
         "late": listed(_LEFT + r"(?:self\.)?" + _TARGET, after),
         "tests": F.array_join(F.regexp_extract_all(text, F.lit(r"\b(?:require|assert|if|while|asserts!)\b([^;{}\n]*)"), F.lit(1)), "\n"),
-        "equal": F.array_join(F.regexp_extract_all(text, F.lit(r"(?<![^\s=!<>&|;{},])[^\s=!<>&|;{},]++\s*+==\s*+[^\s=&|;{},]++"), F.lit(0)), "\n"),
+        "equal": F.when(F.contains(text, F.lit("==")), F.array_join(F.regexp_extract_all(text, F.lit(r"(?<![^\s=!<>&|;{},])[^\s=!<>&|;{},]++\s*+==\s*+[^\s=&|;{},]++"), F.lit(0)), "\n")).otherwise(""),
         "unused": F.regexp_extract_all(text, F.lit(r"(?:^|[;{}])\s*+[\w.\[\]]+(?:\([^();]*\))?\.(call|delegatecall|send)\b"), F.lit(1)),
         "loop": F.regexp_extract(text, r"(?s)\b(?:for|while)\s*\((.*)$", 1),
     }
@@ -88,7 +89,7 @@ class Facts:
 
     def before(self, minor: int) -> Column:
         """Written for a compiler before 0.``minor``."""
-        return F.coalesce(F.regexp_extract(self.texts["file"], r"pragma\s+solidity[^0-9;]{0,100}0\.(\d{1,4})", 1).try_cast("int") < minor, F.lit(False))
+        return F.coalesce(self.texts["minor"] < minor, F.lit(False))
 
     @property
     def guarded(self) -> Column:
@@ -236,24 +237,26 @@ def scan_code(files: DataFrame, rules: tuple[CodeRule, ...] | None = None) -> Da
     rules = tuple(rules or CODE_RULES) + tuple(_EXTRA)
     text = F.coalesce(F.col("text"), F.lit(""))
     clean = files.select("doc_id", "lang", text.alias("raw"), clean_code(text, F.col("lang")).alias("file"))
-    clean = clean.withColumn("file_words", F.array_distinct(F.regexp_extract_all("file", F.lit(_NAME), F.lit(0))))
+    minor = F.regexp_extract("file", r"pragma\s+solidity[^0-9;]{0,100}0\.(\d{1,4})", 1).try_cast("int")
+    clean = clean.select("*", F.array_distinct(F.regexp_extract_all("file", F.lit(_NAME), F.lit(0))).alias("file_words"), minor.alias("minor"))
     parts = []
     documents = [r for r in rules if r.scope == "D"]
     if documents:
         d = clean.select("*", *[c.alias(k) for k, c in facts(F.col("file"), F.col("file")).items()])
-        known = {k: F.col(k) for k in (*facts(F.col("file"), F.col("file")), "file", "raw", "file_words")} | dict.fromkeys(("name", "head", "body", "all"), F.col("file"))
+        known = {k: F.col(k) for k in (*facts(F.col("file"), F.col("file")), "file", "raw", "file_words", "minor")} | dict.fromkeys(("name", "head", "body", "all"), F.col("file"))
         x = d.select("doc_id", F.lit(None).cast("string").alias("function"), F.lit(1).alias("line"), _rows(documents, Facts(known)).alias("r"))
         parts.append(x.select("doc_id", "function", "line", "r.*"))
     functions = [r for r in rules if r.scope == "F"]
     if functions:
-        f = extract_functions(clean.select("doc_id", F.col("file").alias("text"), "lang")).join(clean, "doc_id")
+        ship(files.sparkSession)
+        f = clean.select("*", F.explode(function_list("file", "lang")).alias("f")).select("*", "f.*")
         f = f.withColumn("all", F.concat_ws(" ", "signature", "body"))
         own = facts(F.col("body"), F.col("all")) | {
             "taken": F.regexp_extract_all("body", F.lit(rf"{_LEFT}({_NAME})\s*+=\s*+(?:payable\s*\(\s*)?msg\.sender\b"), F.lit(1)),
             "paid": F.regexp_extract_all("body", F.lit(rf"(?:transfer|send|safeTransfer)\s*+\((?:[^;]{{0,300}},)?\s*({_NAME})\s*+\)"), F.lit(1)),
         }
         f = f.select("*", *[c.alias(k) for k, c in own.items()])
-        known = {k: F.col(k) for k in (*own, "name", "body", "all", "file", "raw", "file_words")} | {"head": F.col("signature")}
+        known = {k: F.col(k) for k in (*own, "name", "body", "all", "file", "raw", "file_words", "minor")} | {"head": F.col("signature")}
         x = f.select("doc_id", F.col("name").alias("function"), F.col("first_line").alias("line"), _rows(functions, Facts(known)).alias("r"))
         parts.append(x.select("doc_id", "function", "line", "r.*"))
     out = parts[0]

@@ -53,3 +53,15 @@ def test_own_rule(spark, scope):
     rule = CodeRule("own", "solidity", scope, "x", "LOW", 0.5, (("all", "magic"),))
     df = spark.createDataFrame([(1, "contract C { function f() public { magic(); } }", "solidity")], "doc_id long, text string, lang string")
     assert [r["rule_id"] for r in scan_code(df, (rule,)).collect()] == ["own"]
+
+
+def test_functions_stay_in_the_row_of_their_file(spark):
+    """Nothing is joined to functions, so texts are not shuffled and files without an id,
+    or with one id, keep their own facts."""
+    fee = "contract C { address owner; function setFee(uint f) public { fee = f; } }"
+    rows = [(None, fee, "solidity"), (1, fee, "solidity"), (1, fee.replace("owner", "other"), "solidity"), (2, P4 + "contract C { function f() { x = 1; } }", "solidity"), (3, None, None)]
+    hits = scan_code(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    found = [(r["doc_id"], r["function"], r["rule_id"]) for r in hits.collect()]
+    assert sorted(found, key=str) == [(1, "setFee", "sol-unguarded-role"), (2, "f", "sol-default-visibility"), (None, "setFee", "sol-unguarded-role")]
